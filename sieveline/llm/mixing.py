@@ -37,8 +37,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def weighted_fair_mix(docs: DataFrame) -> DataFrame:
     """Return doc_id, size, source_size, target and taken for every row of documents.
 
-    Shuffled documents (by md5 of doc_id) get the virtual finish time (words of the source up to here) / target, over
-    up to three rounds of each source; all copies are sorted by finish time and cut at the total budget, the sum of all
+    Shuffled documents (by md5 of doc_id) get the virtual finish time (words of the source up to here) / target, at the
+    document's middle so that the last one is taken when most of it fits, over up to three rounds of each source; all copies are sorted by finish time and cut at the total budget, the sum of all
     sizes. Prefix sums run in two levels (source and first 12 bits of the hash, then the rest), so a source with a third
     of the rows is spread over 4,096 groups and only bucket sums meet. The cut sorts 2**16 finish buckets a unit.
 
@@ -61,7 +61,7 @@ def weighted_fair_mix(docs: DataFrame) -> DataFrame:
     lined = lined.withColumn("copy", F.row_number().over(Window.partitionBy("src_null", "src", "slot").orderBy("shuffled", "doc_id", "size")))
     lined = cut(lined.join(targets, ["src_null", "src"]).drop("before"))
     copies = lined.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
-    copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
+    copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto") - F.col("size") / 2) / F.col("target"))
     copies = copies.withColumn("tick", F.floor(F.least(F.col("finish"), F.lit(4.0)) * 65536).cast("long"))
     ticks = copies.groupBy("tick").agg(F.sum("size").alias("tick_size"), F.max("total").alias("total"))
     upto = F.sum("tick_size").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0))
@@ -87,7 +87,7 @@ w4 AS (SELECT *, cap * weights_left <= (total - caps_before) * weight capped FRO
 t AS (SELECT src_null, src, ord, source_size, total, round(CASE WHEN capped THEN cap::DOUBLE ELSE
     (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE * weight / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ())::DOUBLE END, 6) target FROM w4),
 l AS (SELECT d.*, sum(size) OVER (PARTITION BY src_null, src ORDER BY shuffled, doc_id ROWS UNBOUNDED PRECEDING) upto FROM d),
-c AS (SELECT l.doc_id, l.size, t.ord, t.total, l.shuffled, (e.range * t.source_size + l.upto)::DOUBLE / t.target finish
+c AS (SELECT l.doc_id, l.size, t.ord, t.total, l.shuffled, ((e.range * t.source_size + l.upto)::DOUBLE - l.size::DOUBLE / 2) / t.target finish
     FROM l JOIN t USING (src_null, src) CROSS JOIN range(3) e WHERE l.size > 0),
 r AS (SELECT *, sum(size) OVER (ORDER BY finish, ord, shuffled, doc_id ROWS UNBOUNDED PRECEDING) running FROM c),
 k AS (SELECT doc_id, sum(size)::BIGINT taken FROM r WHERE running <= total GROUP BY doc_id)

@@ -57,38 +57,44 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of a pattern's matches, in code points; before: up to 40 characters.
+_SPANS = "array<struct<start:bigint,end:bigint,match:string,before:string>>"
 
-    The matches are bracketed by two control characters, which the text itself was freed of one for one, and the
-    brackets are then split off and counted.
-    """
-    marked = F.regexp_replace(text, f"(?:{pattern})", f"{OPEN}$0{SHUT}")
-    parts = F.split(marked, OPEN)
+
+def spans_of(parts: Column) -> Column:
+    """array<struct<start, end, match, before>> in code points, of a marked text split at OPEN; before: up to 40 characters."""
     first = F.element_at(parts, 1)
-    start = F.struct(F.length(first).cast("long").alias("at"), F.right(first, F.lit(40)).alias("before"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string,before:string>>)").alias("out"))
+    none = F.expr(f"cast(array() as {_SPANS})")
+    start = F.struct(F.length(first).cast("long").alias("at"), F.right(first, F.lit(40)).alias("before"), none.alias("out"))
 
     def step(acc, part):
         hit, rest = F.substring_index(part, SHUT, 1), F.substring_index(part, SHUT, -1)
         stop = acc["at"] + F.length(hit)
         one = F.struct(acc["at"].alias("start"), stop.alias("end"), hit.alias("match"), acc["before"].alias("before"))
-        return F.struct((stop + F.length(rest)).alias("at"), F.right(F.concat(acc["before"], hit, rest), F.lit(40)).alias("before"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct((stop + F.length(rest)).alias("at"), F.right(F.concat(acc["before"], hit, F.right(rest, F.lit(40))), F.lit(40)).alias("before"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-    return F.when(F.instr(marked, OPEN) > 0, folded).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string,before:string>>)"))
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts) - 1), start, step, lambda acc: acc["out"])
+    return F.when(F.size(parts) > 1, folded).otherwise(none)
 
 
 def _passes(kind: str):
     return lambda s: valid(kind, s["match"])
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """Add b_<kind>, the valid base spans, and l_<kind>, the loose ones that no valid base span of any kind overlaps."""
-    clean = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + SHUT, "\x03\x03")
-    df = docs.withColumn("clean_", clean)
-    df = df.select("*", *[F.filter(spans_of(F.col("clean_"), BASE[k]), _passes(k)).alias(f"b_{k}") for k in KINDS], *[spans_of(F.col("clean_"), LOOSE[k]).alias(f"c_{k}") for k in KINDS])
-    taken = F.concat(*[F.col(f"b_{k}") for k in KINDS])
-    return df.select("*", taken.alias("taken_")).select("*", *[F.filter(f"c_{k}", lambda s: ~F.exists("taken_", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(f"l_{k}") for k in KINDS]).drop("taken_")
+def candidates(docs: DataFrame) -> DataFrame:
+    """Add, for each kind, b_<kind>: the valid base spans, and c_<kind>: all loose ones.
+
+    Matches are bracketed by two control characters, of which the text itself was freed one for one, and then split off.
+    Each step is a projection of its own whose columns the next uses several times, so none is computed twice.
+    """
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + SHUT, "\x03\x03")
+    df = docs.withColumn("clean_", text).withColumn("at_", F.col("clean_").rlike(r"@|(?i)[\[({]at"))
+    df = df.withColumn("number_", F.col("clean_").rlike("[0-9]"))
+    need = {"email": F.col("at_"), "ip": F.col("number_"), "card": F.col("number_"), "phone": F.col("number_")}
+    names = [(f"{s}_{k}", patterns[k], need[k]) for s, patterns in (("b", BASE), ("c", LOOSE)) for k in KINDS]
+    rest = [c for c in df.columns if c not in ("clean_", "at_", "number_")]
+    df = df.select(*rest, *[F.split(F.when(on, F.regexp_replace("clean_", f"(?:{p})", f"{OPEN}$0{SHUT}")), OPEN).alias(f"p_{n}") for n, p, on in names])
+    df = df.select(*rest, *[F.coalesce(spans_of(F.col(f"p_{n}")), F.expr(f"cast(array() as {_SPANS})")).alias(n) for n, _, _ in names])
+    return df.select(*rest, *[F.filter(f"b_{k}", _passes(k)).alias(f"b_{k}") for k in KINDS], *[f"c_{k}" for k in KINDS])
 
 
 def features(kind: str, span: Column) -> list[Column]:
@@ -129,7 +135,7 @@ def _boost(cells: list[tuple[tuple[int, ...], float, float]]) -> dict[tuple[int,
 def fit(found: DataFrame) -> dict[str, list[int]]:
     """For each kind, the feature codes whose calibrated probability reaches PRECISION.
 
-    found: with_base()'s table. A generator span is a positive example where a valid base span covers it, and a negative
+    found: candidates()' table. A generator span is a positive example where a valid base span covers it, and a negative
     one where its format check fails; other spans are not labelled. Only counts per cell (64 a kind) reach the driver.
     """
     counts = None
@@ -164,30 +170,39 @@ def _accepted(kind: str, codes: list[int]):
     return test
 
 
+def _decided(found: DataFrame, codes: dict[str, list[int]]) -> DataFrame:
+    """candidates()' table with counts, digest and spans in place of the candidates."""
+    rest = [c for c in found.columns if c not in {f"{s}_{k}" for s in "bc" for k in KINDS}]
+    df = found.withColumn("taken_", F.concat(*[F.col(f"b_{k}") for k in KINDS]))
+    tag = lambda arr, i, k: F.transform(arr, lambda s: F.struct(F.lit(i).alias("ord"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), s["match"].alias("match")))
+    free = lambda s: ~F.exists("taken_", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    base = F.concat(*[tag(F.col(f"b_{k}"), i, k) for i, k in enumerate(KINDS)])
+    more = F.concat(*[tag(F.filter(F.filter(f"c_{k}", _accepted(k, codes[k])), free), i, k) for i, k in enumerate(KINDS)])
+    df = df.select(*rest, *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base_"), more.alias("more_"))
+    text = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    df = df.withColumn("all_spans", F.array_sort(F.concat("base_", "more_")))
+    return df.select(*rest, *[f"n_{k}" for k in KINDS], F.sha2(text(F.col("base_")), 256).alias("base_sha256"), text(F.col("all_spans")).alias("spans"), "all_spans")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """Add n_email, n_ip, n_card, n_phone, base_sha256, spans (a string) and all_spans (array of kind, start, end, match).
+    """docs without text, and n_email, n_ip, n_card, n_phone, base_sha256, spans (a string) and all_spans (an array).
 
+    The candidates are written to the checkpoint folder once; trees are fitted on their counts and then decide them.
     Null or empty text has no spans: counts 0, digest of the empty string. Text of any length is read whole. Repeated
     rows give repeated results. Input columns named like the results are replaced.
     """
     docs = docs.drop(*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "all_spans")
-    found = with_base(docs)
-    lean = cut(found.select(*[f"b_{k}" for k in KINDS], *[f"c_{k}" for k in KINDS]).where(" or ".join(f"size(c_{k}) > 0" for k in KINDS)))
-    codes = fit(lean)
-    cols = []
-    for i, k in enumerate(KINDS):
-        extra = F.filter(f"l_{k}", _accepted(k, codes[k]))
-        tag = lambda arr, i=i, k=k: F.transform(arr, lambda s: F.struct(F.lit(i).alias("ord"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), s["match"].alias("match")))
-        cols += [F.size(f"b_{k}").cast("long").alias(f"n_{k}"), tag(F.col(f"b_{k}")).alias(f"t_{k}"), tag(extra).alias(f"x_{k}")]
-    text = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    df = found.select(*docs.columns, *cols)
-    df = df.withColumn("base_", F.concat(*[F.col(f"t_{k}") for k in KINDS])).withColumn("all_spans", F.array_sort(F.concat("base_", *[F.col(f"x_{k}") for k in KINDS])))
-    return df.select(*docs.columns, *[f"n_{k}" for k in KINDS], F.sha2(text(F.col("base_")), 256).alias("base_sha256"), text(F.col("all_spans")).alias("spans"), "all_spans")
+    found = cut(candidates(docs).drop("text"))
+    return _decided(found, fit(found))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same columns, with each span (merged where they overlap) replaced by the first one's kind in angle brackets."""
-    found = find(docs)
+    docs = docs.drop("all_spans") if "all_spans" in docs.columns else docs
+    found = candidates(docs)
+    codes = fit(cut(found.select(*[f"{s}_{k}" for s in "bc" for k in KINDS]).where(" or ".join(f"size(c_{k}) > 0" for k in KINDS))))
+    keep = docs.select(F.struct("*").alias("row_"), "text")
+    found = _decided(candidates(keep), codes)
     flat = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -198,4 +213,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(flat, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     text = F.when(F.size("all_spans") > 0, done).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.select(*[text.alias(c) if c == "text" else F.col("row_")[c].alias(c) for c in docs.columns])

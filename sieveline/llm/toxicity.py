@@ -63,7 +63,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"y": pdf["y"], "ids": ids, "mentions": mentions})
 
 
-def fit(labelled: DataFrame, epochs: int = 6, l2: float = 2e-5, swap_penalty: float = 0.5, min_docs: int = 5) -> Model:
+def fit(labelled: DataFrame, epochs: int = 20, l2: float = 1e-4, swap_penalty: float = 0.5, min_docs: int = 4, least_z: float = 5.0) -> Model:
     """Adagrad on log loss over distinct words, plus swap_penalty * (score - swapped score)^2 for each sentence of the
     labelled rows that mentions an identity term, swapped for one of the others in turn. No rows: score 0.5 for all."""
     rows = labelled.where("text is not null").mapInPandas(_featurise, "y int, ids binary, mentions binary").collect()
@@ -72,22 +72,26 @@ def fit(labelled: DataFrame, epochs: int = 6, l2: float = 2e-5, swap_penalty: fl
     if not rows:
         return Model(w, 0.0)
     docs = [(y, np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(m, "<i4").astype(np.int64)) for y, i, m in rows]
-    seen = np.zeros(WIDTH, np.int32)
-    for _, ids, _ in docs:
+    seen, toxic = np.zeros(WIDTH), np.zeros(WIDTH)
+    for y, ids, _ in docs:
         seen[ids] += 1
-    docs = [(y, ids[seen[ids] >= min_docs], m) for y, ids, m in docs]
+        toxic[ids] += y
     rate = np.clip(np.mean([y for y, _, _ in docs]), 1e-3, 1 - 1e-3)
+    # Only words whose share of toxic documents is far from the common one; the rest are noise to so few labels.
+    z = (toxic - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
+    used = (seen >= min_docs) & (np.abs(z) >= least_z)
+    used[SWAP] |= seen[SWAP] >= min_docs
+    docs = [(y, ids[used[ids]], m) for y, ids, m in docs]
     bias = float(np.log(rate / (1 - rate)))
     past = np.full(WIDTH, 1e-3)
     order, turn = np.random.default_rng(7), 0
-    # Scale by document length, so that a long text's many words do not outvote a short one's.
     for _ in range(epochs):
         for k in order.permutation(len(docs)).tolist():
             y, ids, mentions = docs[k]
             p = 1 / (1 + np.exp(-np.clip(w[ids].sum() + bias, -40, 40)))
             g = (p - y) + l2 * w[ids]
             past[ids] += g * g
-            w[ids] -= 0.3 * g / np.sqrt(past[ids]) / np.sqrt(1 + len(ids) / 64)
+            w[ids] -= 0.3 * g / np.sqrt(past[ids])
             bias -= 0.02 * (p - y)
             for m in mentions.tolist():
                 turn += 1

@@ -1,11 +1,450 @@
-"""The registered queries for the reference's own operators, with SQL for the same results."""
+"""The registered queries for the reference's own operators, with SQL for the same results.
+
+The stored tables stand in for live inputs: pages for search results, documents for fetched texts, lineitem for evidence
+(part = entity, supplier = source), customer and supplier for entity fields, events for run events.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chunker, fixed
+from ..functions import text as T
+from ..operators import assess, entities, evidence, passages, plan, results, tables
+from ..sources import jsonl
+from ..sources.pages import read, search_results
+from ..streaming import runs
+
+BASE, REWRITES = "ther erin thble", ["ther thnt", "erin thor thble"]
+CANDIDATES = ["Eriner", "Anon", "Ther", "Erin", "Thor", "Anon The"]
+PREFERRED = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _plans(spark: SparkSession) -> DataFrame:
+    ids = spark.range(4).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"))
+    return ids.select("request_id", F.lit(BASE).alias("normalized_query"), F.lit(BASE).alias("base_query"), F.array(*[F.lit(r) for r in REWRITES]).alias("rewrites"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as chunks of four requests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return docs.select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("source_id"), F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("#"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("chunk_id"), "text")
+
+
+def chunk_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.rank_passages(_chunks(spark, sf_dir), _plans(spark))
+
+
+_CHUNK_SQL = rf"""
+WITH c AS (SELECT 'r' || (doc_id % 4) request_id, lpad(doc_id::VARCHAR, 8, '0') source_id, lpad(doc_id::VARCHAR, 8, '0') || '#' || lpad((g - 1)::VARCHAR, 5, '0') chunk_id, l AS txt
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) g FROM documents) WHERE trim(l) <> ''),
+t AS (SELECT request_id, source_id, chunk_id, list_filter(regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_sql_list(fixed.RETRIEVAL_STOPWORDS)}, x)) tok FROM c),
+v AS (SELECT * FROM (VALUES ('base', ['ther', 'erin', 'thble']), ('rewrite_1', ['ther', 'thnt']), ('rewrite_2', ['erin', 'thor', 'thble'])) x(label, q)),
+st AS (SELECT request_id, count(*) n, avg(len(tok)) avgdl FROM t GROUP BY 1),
+vt AS (SELECT label, unnest(q) term FROM v),
+p AS (SELECT request_id, chunk_id, len(tok) dl, unnest(tok) term FROM t),
+tf AS (SELECT request_id, chunk_id, dl, term, count(*) tf FROM p WHERE term IN ('ther', 'erin', 'thble', 'thnt', 'thor') GROUP BY ALL),
+df AS (SELECT request_id, term, count(*) df FROM tf GROUP BY ALL),
+raw AS (SELECT request_id, label, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) raw
+    FROM tf JOIN df USING (request_id, term) JOIN st USING (request_id) JOIN vt USING (term) GROUP BY ALL),
+sc AS (SELECT request_id, chunk_id, label, raw / max(raw) OVER (PARTITION BY request_id, label) s FROM raw)
+"""
+_CHUNK_RANK_SQL = _CHUNK_SQL + """,
+w AS (SELECT request_id, chunk_id, coalesce(max(s) FILTER (label = 'base'), 0) b, coalesce(max(s) FILTER (label = 'rewrite_1'), 0) r1, coalesce(max(s) FILTER (label = 'rewrite_2'), 0) r2 FROM sc GROUP BY ALL),
+a AS (SELECT t.request_id, t.source_id, t.chunk_id, ' ' || array_to_string(tok, ' ') || ' ' body, coalesce(b, 0) b, coalesce(r1, 0) r1, coalesce(r2, 0) r2 FROM t LEFT JOIN w USING (request_id, chunk_id)),
+e AS (SELECT *, greatest(r1, r2) best, CASE WHEN r1 > r2 THEN 'rewrite_1' ELSE 'rewrite_2' END best_query,
+    greatest(CASE WHEN contains(body, ' ther erin thble ') THEN 1.0 WHEN contains(body, ' ther erin ') OR contains(body, ' erin thble ') THEN 2.0 / 3 WHEN contains(body, ' ther ') OR contains(body, ' erin ') OR contains(body, ' thble ') THEN 1.0 / 3 ELSE 0 END,
+      CASE WHEN contains(body, ' ther thnt ') THEN 1.0 WHEN contains(body, ' ther ') OR contains(body, ' thnt ') THEN 0.5 ELSE 0 END,
+      CASE WHEN contains(body, ' erin thor thble ') THEN 1.0 WHEN contains(body, ' erin thor ') OR contains(body, ' thor thble ') THEN 2.0 / 3 WHEN contains(body, ' erin ') OR contains(body, ' thor ') OR contains(body, ' thble ') THEN 1.0 / 3 ELSE 0 END)::DOUBLE span FROM a),
+f AS (SELECT *, CASE WHEN best > 0 THEN (r1 >= 0.8 * best)::INT + (r2 >= 0.8 * best)::INT ELSE 0 END cov FROM e),
+g AS (SELECT *, round((0.45 * b + 0.25 * best + 0.1 * (cov / 2.0) + 0.1 * span)::DOUBLE, 6) final_score FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, source_id, chunk_id)::INT rank FROM g)
+SELECT request_id, rank, source_id, chunk_id, final_score, best_query, cov::INT coverage_count, round(b::DOUBLE, 6) base_score, round(best::DOUBLE, 6) best_rewrite_score, (cov / 2.0)::DOUBLE coverage_score, round(span, 6) span_score, 0.0::DOUBLE anchor_score
+FROM h WHERE rank <= 24
+"""
+
+
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _chunks(spark, sf_dir).where("trim(text) <> ''").select("request_id", "chunk_id", T.retrieval_tokens(F.col("text")).alias("tokens"))
+    return passages.bm25(tokens, passages.variants(_plans(spark))).select("request_id", "label", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_BM25_SQL = _CHUNK_SQL + "SELECT request_id, label, chunk_id, round(s::DOUBLE, 6) score FROM sc"
+
+
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = search_results(read(spark, sf_dir, "pages")).where("query = 'q0'")
+    body = F.concat_ws(" ", "title", "snippet")
+    arr = lambda a: F.array_join(F.sort_array(a), " ")
+    return df.select("url", "ord", arr(T.search_tokens(body)).alias("search_tokens"), arr(T.plain_tokens(body)).alias("plain_tokens"), T.compact(body).alias("compact"), F.array_join(T.token_list(body), " ").alias("token_list"))
+
+
+_RESULTS_SQL = r"""
+WITH p AS (SELECT page_id, url, 'r' || (page_id % 3) request_id, html, floor(page_id / 3)::BIGINT k FROM pages),
+s0 AS (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) t, CASE WHEN len(string_split(html, '</h1>')) > 1 THEN string_split(html, '</h1>')[2] ELSE '' END b FROM p),
+s AS (SELECT page_id, url, request_id, k, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) domain,
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) title,
+    substring(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), 1, 200) snippet FROM s0),
+r AS (SELECT request_id, page_id * 3 + q.range AS ord, url, title, snippet, domain, 'q' || q.range query, row_number() OVER (PARTITION BY request_id, q.range ORDER BY page_id) rank
+    FROM s CROSS JOIN range(3) q WHERE k % (q.range + 1) = 0)
+"""
+_TOKENS_SQL = _RESULTS_SQL + rf""",
+b AS (SELECT url, ord, lower(title || ' ' || snippet) body FROM r WHERE query = 'q0'),
+k AS (SELECT url, ord, body, regexp_extract_all(body, '[a-z0-9]+') tok FROM b)
+SELECT url, ord, coalesce(array_to_string(list_sort(list_distinct(list_filter(tok, lambda x: len(x) > 1 AND NOT list_contains({_sql_list(fixed.SEARCH_STOPWORDS)}, x)))), ' '), '') search_tokens,
+    coalesce(array_to_string(list_sort(list_distinct(list_filter(tok, lambda x: len(x) > 1))), ' '), '') plain_tokens, regexp_replace(body, '[^a-z0-9]+', '', 'g') compact, coalesce(array_to_string(tok, ' '), '') token_list FROM k
+"""
+
+
+def text_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", T.host(u).alias("host"), T.path(u).alias("path"), T.segments(u).alias("segments"), T.host_core(u).alias("core"), T.official_path(u).alias("official"), T.low_host(u).alias("low"), T.third_party(u).alias("third"), T.social_post(u).alias("social"), T.display_domain(u).alias("display"))
+
+
+def _any(text: str, parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
+
+
+_URLS_SQL = rf"""
+WITH a AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) host, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) path FROM pages),
+b AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '' AND NOT list_contains({_sql_list(fixed.GENERIC_SUBDOMAINS)}, x)) l FROM a)
+SELECT page_id, host, path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT segments, regexp_replace(coalesce(array_to_string(CASE WHEN len(l) >= 2 THEN l[1:len(l) - 1] ELSE l END, ''), ''), '[^a-z0-9]+', '', 'g') core,
+    {_any('path', fixed.OFFICIAL_PATHS)} official, {_any('host', fixed.LOW_HOSTS)} low, {_any('lower(url)', fixed.THIRD_PARTY)} third,
+    ((suffix(host, 'twitter.com') AND contains(path, '/status/')) OR (suffix(host, 'facebook.com') AND contains(path, '/posts/')) OR (suffix(host, 'instagram.com') AND contains(path, '/p/')) OR (suffix(host, 'linkedin.com') AND NOT contains(path, '/company/') AND (contains(path, '/posts/') OR contains(path, '/feed/update/')))) social,
+    regexp_replace(host, '^www\.', '') display FROM b
+"""
+
+
+def passage_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = T.clean_passage(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).select("doc_id", F.length("c").alias("n_clean"), T.truncate_passage(F.col("c"), 400).alias("head"))
+
+
+def _query_tokens(spark: SparkSession) -> DataFrame:
+    ids = spark.range(3).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"))
+    return ids.select("request_id", T.search_tokens(F.lit("the and of " + BASE)).alias("query_tokens"), T.search_tokens(F.lit("reti inge aux leon heit")).alias("aspect_tokens"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = results.prune(search_results(read(spark, sf_dir, "pages")), _query_tokens(spark))
+    return results.shortlist_score(results.merge_by_url(found).withColumn("total", F.lit(3)), "total")
+
+
+_PRUNED_SQL = _RESULTS_SQL + rf""",
+f AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) path, list_filter(regexp_extract_all(lower(title || ' ' || snippet), '[a-z0-9]+'), lambda x: len(x) > 1) tok FROM r),
+k AS (SELECT * FROM f WHERE trim(snippet) <> '' AND NOT {_any('lower(snippet)', fixed.BOILERPLATE_SNIPPETS)} AND NOT {_any('path', fixed.FILE_EXTENSIONS)} AND domain NOT IN ('youtube.com', 'www.youtube.com', 'vimeo.com', 'www.vimeo.com')
+    AND NOT regexp_matches(lower(url), '\.(pdf|ppt|pptx|doc|docx)$')
+    AND list_has_any(tok, ['ther', 'erin', 'thble', 'reti', 'inge', 'aux', 'leon', 'heit']))
+"""
+_MERGED_SQL = _PRUNED_SQL + """,
+m AS (SELECT request_id, url, arg_min(title, rank * 1000000000 + ord) title, arg_min(snippet, rank * 1000000000 + ord) snippet, arg_min(domain, rank * 1000000000 + ord) AS domain, min(rank)::INT rank, count(DISTINCT query) nq, min(ord) first_seen, string_agg(DISTINCT query, ',' ORDER BY query) queries FROM k GROUP BY ALL),
+sc AS (SELECT *, round((0.6 / sqrt(greatest(rank, 1)) + 0.4 * (nq / 3.0))::DOUBLE, 6) shortlist_score FROM m)
+"""
+
+
+def results_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.prune(search_results(read(spark, sf_dir, "pages")), _query_tokens(spark)).select("request_id", "ord", "url", "domain", "query")
+
+
+def results_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("request_id", "url", "domain", "rank", "first_seen", F.array_join(F.sort_array("query_sources"), ",").alias("queries"), "shortlist_score")
+
+
+def shortlist_domain_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.shortlist(_merged(spark, sf_dir)).select("request_id", "url", "position", "shortlist_score")
+
+
+_SHORTLIST_SQL = _MERGED_SQL + """,
+d AS (SELECT *, row_number() OVER (PARTITION BY request_id, domain ORDER BY shortlist_score DESC, rank, first_seen, url) dn FROM sc),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY shortlist_score DESC, rank, first_seen, url)::INT position FROM d WHERE dn <= 3)
+SELECT request_id, url, position, shortlist_score FROM o WHERE position <= 15
+"""
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).withColumn("bucket", results.bucket_of(F.col("title"), F.col("url")))
+
+
+def shortlist_bucket_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.bucket_floor(_bucketed(spark, sf_dir)).select("request_id", "url", "bucket", "shortlist_score")
+
+
+_FLOOR_SQL = _MERGED_SQL + rf""",
+b AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) path FROM sc),
+b2 AS (SELECT *, CASE WHEN regexp_matches(lower(title), '\b(best|top|list)\b') THEN 'roundup_list' WHEN {_any('path', fixed.OFFICIAL_PATHS)} OR path IN ('', '/') THEN 'official_entity'
+    WHEN regexp_matches(path, 'book|ticket|search|shop') THEN 'transactional_listing' WHEN regexp_matches(path, 'profile|directory|/[0-9]+/?$') THEN 'profile_directory' ELSE 'editorial_reference' END bucket FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_id, bucket ORDER BY shortlist_score DESC, rank, first_seen, url) rn, CASE WHEN count(*) OVER (PARTITION BY request_id, bucket) >= 4 THEN 2 ELSE 1 END sure FROM b2),
+z AS (SELECT *, max(CASE WHEN rn = sure THEN shortlist_score END) OVER (PARTITION BY request_id, bucket) bar FROM n)
+SELECT request_id, url, bucket, shortlist_score FROM z WHERE rn <= sure OR shortlist_score >= 0.6 * bar
+"""
+
+
+def shortlist_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.shortlist_by_query(_merged(spark, sf_dir), ["q0", "q1", "q2"])
+
+
+def shortlist_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.shortlist_by_bucket(results.bucket_floor(_bucketed(spark, sf_dir)))
+
+
+def sources_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = search_results(read(spark, sf_dir, "pages")).where("query = 'q0'")
+    df = df.withColumn("context_chars", (F.length("snippet") * (F.col("ord") % 3)).cast("int")).withColumn("fallback", F.col("ord") % 2 == 0).withColumn("candidates", F.array(F.lit("Spam Farm"), F.lit("Therin"), F.lit("The")))
+    df = assess.assessed(assess.officiality(assess.quality(assess.signals(df, T.plain_tokens(F.lit("the and of " + BASE))))))
+    return df.select("ord", "relevance_hint", "official_path_hint", "snippet_thinness_hint", "quality_score", "source_quality", "quality_confidence", "domain_match", "title_match", "officiality", "officiality_confidence", "filtered_out", "source_role", "evidence_sufficiency")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.col("doc_id").alias("source_id"), "text")
+
+
+def _candidates(spark: SparkSession) -> DataFrame:
+    return spark.range(4).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"), F.explode(F.array(*[F.lit(c) for c in CANDIDATES])).alias("name"))
+
+
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.sentence_rows(_texts(spark, sf_dir)).select("source_id", "seq", "paragraph", "sentence")
+
+
+_SENTENCES = r"""
+WITH c AS (SELECT doc_id source_id, trim(unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)))) sentence, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), 1) g FROM documents),
+s AS (SELECT source_id, (row_number() OVER (PARTITION BY source_id ORDER BY g) - 1)::INT seq, sentence FROM c WHERE sentence <> '')
+"""
+_SENTENCES_SQL = _SENTENCES + "SELECT source_id, seq, 0::INT paragraph, sentence FROM s"
+
+
+def candidate_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.mentions(_candidates(spark), _texts(spark, sf_dir)).groupBy("request_id", "name").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("sources"))
+    return evidence.keep_names(found)
+
+
+def candidate_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = evidence.mentions(_candidates(spark), _texts(spark, sf_dir)).select("request_id", "name", F.col("source_id").alias("url"))
+    return evidence.drop_subsets(urls.select("request_id", "name").distinct(), urls)
+
+
+def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.sentence_matches(_texts(spark, sf_dir), _candidates(spark)).select("source_id", "seq", "name", "ambiguous")
+
+
+_MATCHES_SQL = _SENTENCES + rf""",
+k AS (SELECT source_id, seq, ' ' || coalesce(array_to_string(regexp_extract_all(lower(sentence), '[a-z0-9]+'), ' '), '') || ' ' body FROM s),
+n AS (SELECT unnest({_sql_list(CANDIDATES)}) AS name),
+h AS (SELECT source_id, seq, name FROM k JOIN n ON contains(k.body, ' ' || lower(n.name) || ' '))
+SELECT source_id, seq, name, count(*) OVER (PARTITION BY source_id, seq) > 1 ambiguous FROM h
+"""
+
+
+def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    found = evidence.sentence_matches(texts, _candidates(spark))
+    return evidence.windows(texts, found, _candidates(spark))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quarter of shipments as evidence, so that counts do not all saturate."""
+    rows = read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'1998-01-01' and l_shipdate < timestamp'1998-07-01'")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("variant"))
+    quality = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.5).otherwise(0.0)
+    return rows.join(orders, "l_orderkey").select(F.concat(F.lit("r"), F.col("l_partkey") % 3).alias("request_id"), F.col("l_partkey").cast("string").alias("entity"), F.col("l_suppkey").cast("string").alias("source_url"), quality.alias("quality"), "variant", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("chunk_rank"), "l_returnflag", "l_linestatus")
+
+
+_EVIDENCE_SQL = """
+WITH e AS (SELECT 'r' || (l_partkey % 3) request_id, l_partkey::VARCHAR entity, l_suppkey::VARCHAR source_url, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.0 END::DOUBLE quality, o_orderpriority AS variant,
+    CASE WHEN l_linenumber > 1 THEN l_linenumber END chunk_rank, l_returnflag, l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-07-01')
+"""
+
+
+def evidence_entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _evidence(spark, sf_dir).withColumn("source_quality", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0.5, "medium").otherwise("low")).withColumn("officiality", F.when(F.col("l_linestatus") == "O", "third_party").otherwise("low_quality"))
+    return evidence.evidence_scores(df)
+
+
+_ESCORE_SQL = _EVIDENCE_SQL + "SELECT request_id, entity, sum(w) score FROM (SELECT request_id, entity, source_url, max(CASE WHEN l_linestatus = 'O' THEN quality ELSE 0 END) w FROM e GROUP BY ALL) GROUP BY ALL"
+
+
+def entity_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.support(entities.features(_evidence(spark, sf_dir)), 5)
+
+
+_SUPPORT = _EVIDENCE_SQL + """,
+p AS (SELECT request_id, entity, source_url, count(*) n FROM e GROUP BY ALL),
+c AS (SELECT request_id, entity, max(n) top FROM p GROUP BY ALL),
+f AS (SELECT request_id, entity, count(DISTINCT source_url) source_count, count(*) chunk_count, count(DISTINCT variant)::INT variant_count, max(quality) quality, round(coalesce(avg(1 / sqrt(chunk_rank::DOUBLE)), 0), 6) avg_rank FROM e GROUP BY ALL),
+g AS (SELECT f.*, round(top / chunk_count::DOUBLE, 6) concentration FROM f JOIN c USING (request_id, entity)),
+u AS (SELECT *, round((0.3 * least(source_count / 3.0, 1) + 0.2 * least(variant_count / 5.0, 1) + 0.2 * quality + 0.1 * avg_rank + 0.1 * least(chunk_count / 4.0, 1) + 0.1 * greatest(0, 1 - concentration))::DOUBLE, 6) support_score FROM g)
+"""
+_SUPPORT_SQL = _SUPPORT + "SELECT * FROM u"
+
+
+def entity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preferred = spark.createDataFrame([(v, i) for i, v in enumerate(PREFERRED)], "variant string, place int")
+    return entities.dominant_variant(_evidence(spark, sf_dir), preferred)
+
+
+_VARIANTS_SQL = _EVIDENCE_SQL + """,
+n AS (SELECT request_id, entity, variant, count(*) uses FROM e GROUP BY ALL)
+SELECT request_id, entity, variant, uses FROM (SELECT *, row_number() OVER (PARTITION BY request_id, entity ORDER BY uses DESC, variant) rn FROM n) WHERE rn = 1
+"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = entity_support(spark, sf_dir).withColumn("alignment", (F.col("entity").cast("long") % 10) / 10)
+    return entities.final_ranking(df)
+
+
+def entity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
+
+
+_RANKING_SQL = _SUPPORT + """,
+r AS (SELECT request_id, entity, support_score, (entity::BIGINT % 10) / 10.0::DOUBLE alignment FROM u),
+q AS (SELECT *, round((0.5 * support_score + 0.5 * alignment)::DOUBLE, 7) final_score FROM r)
+SELECT request_id, entity, support_score, alignment, final_score, CASE WHEN alignment >= 0.5 THEN 'core' ELSE 'discovery' END candidate_type, final_score >= 0.3 OR max(final_score) OVER (PARTITION BY request_id) < 0.3 kept,
+    row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, support_score DESC, alignment DESC, entity)::INT position FROM q
+"""
+
+
+def entity_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 30 of each request, made diverse."""
+    top = _ranked(spark, sf_dir).where("position <= 30").select("request_id", "entity", "position", "final_score")
+    used = _evidence(spark, sf_dir).groupBy("request_id", "entity").agg(F.collect_set("variant").alias("supporting"))
+    main = entity_variants(spark, sf_dir).select("request_id", "entity", F.col("variant").alias("dominant"))
+    return entities.diversify(top.join(used, ["request_id", "entity"]).join(main, ["request_id", "entity"]))
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _chunks(spark, sf_dir).select("request_id", F.lit("e").alias("entity"), F.col("source_id").alias("source_url"), F.substring_index("chunk_id", "#", -1).cast("long").alias("seq"), F.array_distinct(T.token_list(F.col("text"))).alias("tokens"))
+    return entities.drop_near_copies(lines)
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    cols = F.create_map(F.lit("name"), F.nullif("c_name", F.lit("Customer#000000003")), F.lit("segment"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.lit("balance"), F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("long").cast("string")), F.lit("website"), F.when(F.col("c_custkey") % 5 == 0, F.lit("w")))
+    return c.select(F.concat(F.lit("r"), F.col("c_nationkey") % 3).alias("request_id"), F.col("c_custkey").cast("string").alias("entity"), F.col("c_custkey").alias("entity_ord"), F.explode(cols).alias("column", "value"))
+
+
+_FIELDS_SQL = """
+WITH c AS (SELECT 'r' || (c_nationkey % 3) request_id, c_custkey::VARCHAR entity, c_custkey entity_ord, nullif(c_name, 'Customer#000000003') AS a, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS b, CASE WHEN c_acctbal > 0 THEN round(c_acctbal)::BIGINT::VARCHAR END AS d, CASE WHEN c_custkey % 5 = 0 THEN 'w' END AS e FROM customer),
+f AS (SELECT request_id, entity, entity_ord, 'name' AS "column", a AS value FROM c UNION ALL SELECT request_id, entity, entity_ord, 'segment', b FROM c UNION ALL SELECT request_id, entity, entity_ord, 'balance', d FROM c UNION ALL SELECT request_id, entity, entity_ord, 'website', e FROM c)
+"""
+
+
+def column_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _fields(spark, sf_dir)
+    cols = spark.range(3).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"), F.explode(F.array(*[F.lit(c) for c in ("name", "segment", "balance", "website", "founded")])).alias("column"))
+    return tables.fill_rates(f, cols, f.select("request_id", "entity"))
+
+
+_FILL_SQL = _FIELDS_SQL + """,
+k AS (SELECT DISTINCT request_id, unnest(['name', 'segment', 'balance', 'website', 'founded']) AS "column" FROM f),
+n AS (SELECT request_id, count(DISTINCT entity) n FROM f GROUP BY ALL), g AS (SELECT request_id, "column", count(value) got FROM f GROUP BY ALL)
+SELECT request_id, "column", round(coalesce(got / n::DOUBLE, 0), 6) fill_rate, round(coalesce(got / n::DOUBLE, 0), 6) < 0.6 sparse FROM k JOIN n USING (request_id) LEFT JOIN g USING (request_id, "column")
+"""
+
+
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _fields(spark, sf_dir)
+    new = f.where("column = 'segment' and entity_ord % 2 = 0").select("request_id", "entity", "column", F.lit("FILLED").alias("value")).unionByName(f.where("column = 'name'").select("request_id", "entity", F.lit("founded").alias("column"), F.lit("1999").alias("value")))
+    return tables.merge_gaps(f.drop("entity_ord"), new)
+
+
+_GAP_SQL = _FIELDS_SQL + """
+SELECT request_id, entity, "column", CASE WHEN "column" = 'segment' AND entity_ord % 2 = 0 THEN coalesce(value, 'FILLED') ELSE value END AS value FROM f UNION ALL SELECT request_id, entity, 'founded', '1999' FROM c
+"""
+
+
+def final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderpriority").alias("url"))
+    f = _fields(spark, sf_dir)
+    return tables.final_rows(f, o.join(f.select("request_id", "entity").distinct(), "entity"))
+
+
+_FINAL_SQL = _FIELDS_SQL + """,
+o AS (SELECT o_custkey::VARCHAR entity, count(DISTINCT o_orderpriority) urls FROM orders GROUP BY ALL),
+g AS (SELECT request_id, entity, min(entity_ord) ord, count(value) FILTER ("column" <> 'name') non_name, count(value) all_fields, count(value) FILTER ("column" = 'name') named FROM f GROUP BY ALL)
+SELECT request_id, entity, row_number() OVER (PARTITION BY request_id ORDER BY non_name DESC, all_fields DESC, coalesce(urls, 0) DESC, ord)::INT position, non_name, all_fields, coalesce(urls, 0) urls FROM g LEFT JOIN o USING (entity) WHERE named > 0 AND non_name > 0
+"""
+
+
+def shown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.visible_columns(_fields(spark, sf_dir)).select("request_id", "column", T.column_label(F.col("column")).alias("label"), T.column_type(F.col("column")).alias("type"))
+
+
+_SHOWN_SQL = _FIELDS_SQL + """,
+g AS (SELECT request_id, "column", count(value) got, count(DISTINCT entity) n FROM f GROUP BY ALL)
+SELECT request_id, "column", upper(substring("column", 1, 1)) || substring("column", 2) AS label, CASE WHEN "column" = 'website' THEN 'url' ELSE 'text' END AS type FROM g WHERE n < 3 OR "column" = 'name' OR got / n::DOUBLE > 0.3
+"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), "value", "ts")
+
+
+def run_latest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.latest_stage(_events(spark, sf_dir))
+
+
+_LATEST_SQL = "SELECT user_id request_id, event_type stage, max(event_id) seq, arg_max(value, event_id) AS value, count(*) events FROM events GROUP BY ALL"
+
+
+def run_stage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.stage_windows(_events(spark, sf_dir)).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "stage", "events", "value")
+
+
+_WINDOWS_SQL = "SELECT strftime(ts, '%Y-%m-%d %H') AS \"hour\", event_type stage, count(*) events, round(sum(value), 4) AS value FROM events GROUP BY ALL"
+
+
+def eval_rows_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jsonl.with_chunk_key(read(spark, sf_dir, "documents").select("doc_id", F.lit("q").alias("normalized_query"), F.col("source").alias("url"), "text"))
+    return jsonl.new_rows(rows, rows.where("doc_id < 100"), jsonl.CHUNK_KEY, "doc_id").select("doc_id", "url")
+
+
+_EVAL_SQL = r"""
+WITH k AS (SELECT doc_id, source url, trim(regexp_replace(text, '\s+', ' ', 'g')) chunk_key FROM documents)
+SELECT min(doc_id) doc_id, url FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id < 100 AND o.url = k.url AND o.chunk_key = k.chunk_key) GROUP BY url, chunk_key
+"""
+
+
+def conversation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("text").alias("query"))
+    return plan.normalised(asked).select("request_id", "normalized_query", F.array_join("schema_columns", ",").alias("columns"), "error")
+
+
+_PLAN_SQL = r"""
+SELECT conv_id || '-' || turn request_id, trim(regexp_replace(text, '\s+', ' ', 'g')) normalized_query, 'name,website,location,category' AS columns, trim(text) = '' AS error FROM conversations WHERE role = 'user'
+"""
+
+
+def chunks_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunker.chunks(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"))
+
+
+def column_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions as scores of passages for a cell, and the chosen passages."""
+    found = evidence.sentence_matches(_texts(spark, sf_dir), _candidates(spark)).groupBy("request_id", F.col("name").alias("entity"), F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("seq") / 3).alias("n")).agg(F.count("*").alias("c"))
+    return tables.choose_chunks(found.select("request_id", "entity", F.lit("name").alias("column"), "source_id", F.concat_ws("#", "source_id", "n").alias("chunk_id"), F.col("c").cast("double").alias("score")))
+
+
+_REGISTERED = {
+    chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: None,
+    results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
+    shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: None, shortlist_buckets: None, sources_assessed: None,
+    sentence_table: _SENTENCES_SQL, candidate_mentions: None, candidate_subsets: None, sentence_matches: _MATCHES_SQL, evidence_windows: None, evidence_entity_scores: _ESCORE_SQL,
+    entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_mmr: None, near_copies: None,
+    column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL, column_chunks: None,
+    run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,
+}
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: s for f, s in _REGISTERED.items() if s}

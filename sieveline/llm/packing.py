@@ -56,8 +56,9 @@ def _pieces(path: str, capacity: int):
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece. Pieces are taken longest first; each goes into the open bin (or a new one)
-    after which the sum over gaps of the squared number of open bins with that gap is smallest."""
+    """(sequence, offset) of each piece. Pieces are taken longest first; each goes into the open bin after which the
+    sum over gaps of the squared number of open bins with that gap is smallest; a new bin is opened where none fits, which
+    needs fewer bins than letting the sum decide on that as well."""
     n = len(lengths)
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; full and unopened ones do not count
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -69,11 +70,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
             continue
         # A gap g becomes g - size: N(g) falls and N(g - size) rises by one; a full bin leaves the sum, a new one has no old gap.
         after = count[: capacity - size + 1].copy()  # by new gap
-        after[0] = -1  # rises by nothing: 2 * (-1) + 2 = 0
+        after[0] = 0  # full bins are not counted
         before = count[size : capacity + 1]
         cost = 2 * (after - before) + 2
-        cost[-1] = 2 * after[-1] + 1  # a new bin
+        cost[0] -= 1  # nothing rises
         cost[:-1][before[:-1] == 0] = np.iinfo(np.int64).max
+        cost[-1] = np.iinfo(np.int64).max if before[:-1].any() else 0  # a new bin
         left = int(cost.argmin())
         gap = left + size
         if gap == capacity:

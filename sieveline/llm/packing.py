@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,38 @@ from .common import cut
 CAPACITY = 2048
 #: Pieces in one packing group; a group leaves a few sequences partly filled, whatever its size.
 GROUP = 50_000
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 150_000
+#: Entries a worker's memories of words and of parts of words hold before the older half is dropped.
+REMEMBERED = 300_000
+#: Words of these characters alone need no more than lower case and _PARTS before the tokenizer's model; any other word
+#: (apostrophes, angle brackets, other scripts, composed forms, control characters) goes through the whole tokenizer.
+_PLAIN = re.compile(r"[!-&(-;=?-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for those from U+0100."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in same else next(rest)) for b in range(256)}
+
+
+class Memory:
+    """A dict of two halves; a full young half becomes the old one, and what is used comes back."""
+
+    def __init__(self, make, limit: int = REMEMBERED) -> None:
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+
+    def learn(self, keys) -> dict:
+        """Make the young half hold all keys, and return it."""
+        young, old, make = self.young, self.old, self.make
+        for k in keys:
+            if k not in young:
+                young[k] = old.get(k) or make(k)
+        return young
+
+    def age(self) -> None:
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
 
 
 class Encoder:
@@ -25,19 +56,33 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.parts, self.words = Memory(self._part), Memory(self._word)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            parts = _PARTS.findall(word.lower())
+            known = self.parts.learn(parts)
+            return b"".join([known[p] for p in parts])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = list({w for w in parts if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in parts]), "<u4")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.words.age()
+        self.parts.age()
+        known = self.words.young
+        try:
+            found = [known[w] for w in words]
+        except KeyError:
+            known = self.words.learn(words)
+            found = [known[w] for w in words]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def _pieces(path: str, capacity: int):

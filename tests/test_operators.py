@@ -178,3 +178,36 @@ def test_entry_point_without_llm():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'chunk_rank_topk' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_payloads(spark):
+    from sieveline.sources import payloads
+
+    raw = spark.createDataFrame([("r", "q", '{"web": {"results": [{"url": "", "title": "x"}, {"url": "https://A.com/1", "title": "T", "description": "D"}, {"url": "https://b.com", "profile": {"long_name": "B"}}]}}')], "request_id string, query string, payload string")
+    got = payloads.search_payloads(raw).orderBy("rank").collect()
+    assert [(r["url"], r["rank"], r["domain"]) for r in got] == [("https://A.com/1", 2, "a.com"), ("https://b.com", 3, "B")]
+    ctx = spark.createDataFrame([("r", '{"grounding": {"generic": [{"url": "u", "snippets": ["a", " "]}, {"url": "n", "snippets": []}], "poi": {"url": "p", "title": "P", "snippets": ["b"]}}, "sources": {"u": {"title": "U", "age": ["", "1d"]}}}')], "request_id string, payload string")
+    got = payloads.context_payloads(ctx).orderBy("pos").collect()
+    assert [(r["url"], r["title"], r["age"], r["text"]) for r in got] == [("u", "U", "1d", "a"), ("p", "P", None, "b")]
+    res = spark.createDataFrame([("r", "u", "snip"), ("r", "z", "snip z")], "request_id string, url string, snippet string")
+    got = {r["url"]: (r["text"], r["fallback"]) for r in payloads.with_context(res, payloads.context_payloads(ctx)).collect()}
+    assert got == {"u": ("a", False), "z": ("snip z", True)}
+    pages = payloads.reader_pages(spark.createDataFrame([("u", "Title: X\nbody", None), ("v", None, "timeout")], "url string, text string, error string")).orderBy("url").collect()
+    assert [(p["title"], p["fetch_succeeded"]) for p in pages] == [("X", True), ("v", False)]
+
+
+def test_providers(spark):
+    from sieveline.operators import providers
+
+    texts = spark.createDataFrame([("r", 1, "we met Alpha One and Beta"), ("r", 2, None)], "request_id string, source_id long, text string")
+    assert {r["name"] for r in providers.candidate_names(texts).collect()} == {"Alpha One", "Beta"}
+
+    def broken(payloads):
+        raise ValueError("no")
+
+    asked = texts.select("request_id", "source_id", F.to_json(F.struct("text")).alias("payload"))
+    assert all(r["error"] == "ValueError: no" for r in providers.ask(asked, broken, ["request_id", "source_id"]).collect())
+    d = spark.createDataFrame([("r", "e", "name", "E", "c1"), ("r", "e", "site", "S", "c9"), ("r", "e", "other", "O", "c1")], "request_id string, entity string, column string, value string, chunk_id string")
+    cols = spark.createDataFrame([("r", "name"), ("r", "site")], "request_id string, column string")
+    got = {r["column"]: r["value"] for r in providers.grounded(d, cols, spark.createDataFrame([("r", "c1")], "request_id string, chunk_id string")).collect()}
+    assert got == {"name": "E", "site": None}

@@ -18,6 +18,7 @@ FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
 #: Word classes (hashed), dimensions, non-zero signs of an index vector, neighbours on each side.
 CLASSES, DIM, SIGNS, NEAR = 1 << 12, 32, 4, 2
+SIZE = 2 * DIM + 3
 
 
 def index_vectors() -> np.ndarray:
@@ -70,16 +71,17 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(text, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of a text's word vectors, and the logarithm of its length."""
-    counts = np.bincount(classes(text), minlength=CLASSES)
+    """Mean and standard deviation of a text's word vectors, its length's logarithm, and how varied its words are."""
+    each = classes(text)
+    counts = np.bincount(each, minlength=CLASSES)
     seen = np.flatnonzero(counts)
     n = counts[seen].sum()
     if not n:
-        return np.zeros(2 * DIM + 2)
+        return np.zeros(SIZE)
     v, share = vectors[seen].astype(float), (counts[seen] / n)[:, None]
     mean = (v * share).sum(axis=0)
     spread = np.sqrt(np.maximum((v * v * share).sum(axis=0) - mean * mean, 0))
-    return np.concatenate([mean, spread, [np.log1p(n), len(seen) / n]])
+    return np.concatenate([mean, spread, [np.log1p(n), len(seen) / n, (each[1:] == each[:-1]).sum() / n]])
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = labelled.where("text is not null").mapInPandas(_pool(shared), "doc_id long, y int, x binary").collect()
     rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows)
-    size = 2 * DIM + 2
+    size = SIZE
     if not rows:
         return Model(vectors, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
     x, y = np.array([np.frombuffer(r[1], "<f8") for r in rows]), np.array([r[2] for r in rows], float)

@@ -34,9 +34,10 @@ SWAP = np.array(sorted({_bucket(w.encode()) for w in IDENTITY}), np.int64)
 
 
 def buckets(text) -> np.ndarray:
-    """Distinct hashed words, lower case, without punctuation at the ends."""
+    """Distinct hashed words and their beginnings (four bytes), lower case, without punctuation at the ends."""
     crc = zlib.crc32
-    found = {crc(w.strip(_STRIP)) for w in set(utf8(text.lower() if isinstance(text, str) else None).split())}
+    found = {w.strip(_STRIP) for w in set(utf8(text.lower() if isinstance(text, str) else None).split())}
+    found = {crc(w) for w in found} | {crc(w, 1) for w in {w[:4] for w in found}}
     return np.unique(np.fromiter(found, np.int64, len(found)) & (WIDTH - 1))
 
 

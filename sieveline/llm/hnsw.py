@@ -108,7 +108,8 @@ class Graph:
                 if len(picked) == m // 2:
                     break
             picked = (picked + waiting)[: m // 2]
-            table[node, : len(picked)] = cand[picked]
+            mine = list(dict.fromkeys([*cand[picked].tolist(), *(table[node][table[node] >= 0]).tolist()]))[:m]
+            table[node, : len(mine)] = mine
             for k in picked:
                 other = int(cand[k])
                 row = table[other]

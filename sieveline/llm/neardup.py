@@ -14,7 +14,7 @@ from .common import cut, utf8
 from .components import connected_components
 
 #: Coordinates of a signature, and how many must agree before a pair is confirmed. At a similarity of 0.8 exactly, the
-#: chance that fewer than 25 of 48 agree is under one in a million; nearer copies agree more.
+#: chance that fewer than 25 of 48 agree is 3 in a million; nearer copies agree more.
 COORDINATES, AGREE = 48, 25
 #: Members of a list compared in one task at a time.
 BLOCK = 256

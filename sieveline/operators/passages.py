@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import retrieval_tokens, share, span_share
+from ..functions.text import retrieval_tokens, share
 
 
 def variants(plans: DataFrame, stem=None) -> DataFrame:
@@ -51,7 +51,11 @@ def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=Non
     anchors = F.aggregate("all_tokens", F.element_at("all_tokens", 1), lambda a, t: F.array_intersect(a, t))
     bundle = asked.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("label", "tokens"))).alias("v"))
     bundle = bundle.withColumn("all_tokens", F.filter(F.transform("v", lambda x: F.array_distinct(x["tokens"])), lambda t: F.size(t) > 0))
-    bundle = bundle.select("request_id", "v", F.when(F.size("all_tokens") > 0, anchors).otherwise(F.array().cast("array<string>")).alias("anchors"))
+    # Every contiguous run of every variant, padded, with its share of the variant: made once a request, not once a chunk.
+    run = lambda t, i, j: F.struct((j / F.size(t)).alias("share"), F.concat(F.lit(" "), F.array_join(F.slice(t, i, j), " "), F.lit(" ")).alias("text"))
+    of = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), lambda i: F.transform(F.sequence(F.lit(1), F.size(t) - i + 1), lambda j: run(t, i, j))))
+    bundle = bundle.withColumn("runs", F.flatten(F.transform(F.filter("v", lambda x: F.size(x["tokens"]) > 0), lambda x: of(x["tokens"]))))
+    bundle = bundle.select("request_id", "v", "runs", F.when(F.size("all_tokens") > 0, anchors).otherwise(F.array().cast("array<string>")).alias("anchors"))
     df = tokens.join(bundle, "request_id").join(scores, ["request_id", "chunk_id"], "left")
     score = lambda label: F.coalesce(F.element_at("by_label", label), F.lit(0.0))
     rewrites = F.transform(F.filter("v", lambda x: x["label"] != "base"), lambda x: F.struct(score(x["label"]).alias("score"), x["label"].alias("label")))
@@ -60,7 +64,8 @@ def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=Non
     df = df.withColumn("best_rewrite_score", F.coalesce(F.col("best_.score"), F.lit(0.0))).withColumn("best_query", F.col("best_.label"))
     df = df.withColumn("coverage_count", F.when(F.col("best_rewrite_score") > 0, F.size(F.filter("rewrites_", lambda r: r["score"] >= 0.8 * F.col("best_rewrite_score")))).otherwise(0))
     df = df.withColumn("coverage_score", F.when(F.size("rewrites_") > 0, F.col("coverage_count") / F.size("rewrites_")).otherwise(0.0))
-    df = df.withColumn("span_score", F.array_max(F.transform("v", lambda x: span_share(x["tokens"], F.col("tokens")))))
+    df = df.withColumn("body_", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
+    df = df.withColumn("span_score", F.aggregate("runs", F.lit(0.0), lambda a, r: F.when((r["share"] > a) & F.col("body_").contains(r["text"]), r["share"]).otherwise(a)))
     df = df.withColumn("anchor_score", share(F.col("tokens"), F.col("anchors")))
     parts = zip(fixed.PASSAGE_WEIGHTS, ("base_score", "best_rewrite_score", "coverage_score", "span_score", "anchor_score"))
     df = df.withColumn("final_score", F.round(sum((w * F.col(c) for w, c in parts), F.lit(0.0)), 6))

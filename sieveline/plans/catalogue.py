@@ -13,7 +13,7 @@ from ..functions import chunker, fixed
 from ..functions import text as T
 from ..operators import assess, entities, evidence, passages, plan, results, tables
 from ..sources import jsonl
-from ..sources.pages import read, search_results
+from ..sources.pages import read, search_results, spread
 from ..streaming import runs
 
 BASE, REWRITES = "ther erin thble", ["ther thnt", "erin thor thble"]
@@ -32,7 +32,7 @@ def _plans(spark: SparkSession) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as chunks of four requests."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return docs.select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("source_id"), F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("#"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("chunk_id"), "text")
 
 
@@ -200,7 +200,7 @@ def sources_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.col("doc_id").alias("source_id"), "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.col("doc_id").alias("source_id"), "text")
 
 
 def _candidates(spark: SparkSession) -> DataFrame:

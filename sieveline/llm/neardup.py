@@ -18,6 +18,8 @@ from .components import connected_components
 COORDINATES, AGREE = 48, 25
 #: Members of a list compared in one task at a time.
 BLOCK = 256
+#: Rounds in which lists that still span components are linked through one member each, another one each time.
+ROUNDS = 4
 #: Up to so many members, a list's pairs are joined rather than sent to a task of their own.
 FEW = 32
 _ODD = np.random.default_rng(3).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,8 +119,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     1. Equal sets form a class with its smallest doc_id as representative. 2. Representatives are posted under their
     (coordinate, value) pairs. Two that agree on AGREE of COORDINATES share one of their COORDINATES - AGREE + 1 rarest,
-    so only that prefix is kept, and values posted once are dropped. 3. In two rounds each member is linked to its list's
-    first member (by id, then by hash) if their full sets confirm it. 4. Where a list still spans components, its members (in long lists, its blocks)
+    so only that prefix is kept, and values posted once are dropped. 3. In up to ROUNDS rounds each member is linked to one
+    member of its list (the first by id, then by other hashes) if it is of another component and their full sets confirm it. 4. Where a list still spans components, its members (in long lists, its blocks)
     are compared with each other, counting collisions, and pairs of different components above the threshold are
     confirmed. Long lists split into tasks of BLOCK by BLOCK members; none is capped.
 
@@ -135,22 +137,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = posts.join(counts, "list")
     rarest = Window.partitionBy("rep").orderBy("members", "list")
     once = F.lit(COORDINATES) - F.count("*").over(Window.partitionBy("rep"))
-    prefix = cut(shared.select("*", F.row_number().over(rarest).alias("at"), once.alias("once")).where(F.col("at") + F.col("once") <= COORDINATES - AGREE + 1).select("list", "rep", "n_shingles"))
+    prefix = shared.select("*", F.row_number().over(rarest).alias("at"), once.alias("once")).where(F.col("at") + F.col("once") <= COORDINATES - AGREE + 1)
+    posted = F.sum(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).over(Window.partitionBy("rep"))
+    prefix = cut(prefix.select("list", "rep", "n_shingles", posted.alias("posted")))
     active = prefix.select(F.col("rep").alias("doc_id")).distinct()
     texts = rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(texts.mapInPandas(_sets(width), "doc_id long, items array<long>"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    links = None
-    for turn in range(2):
-        key = F.struct("rep", "n_shingles") if not turn else F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"), F.col("n_shingles"))
-        first = prefix.groupBy("list").agg(F.min(key).alias("f")).select("list", F.col("f.rep").alias("head"), F.col("f.n_shingles").alias("head_n"))
-        star = prefix.join(first, "list").where(F.col("rep") != F.col("head")).where(fits(F.col("n_shingles"), F.col("head_n")))
-        star = star.select(F.greatest("rep", "head").alias("a"), F.least("rep", "head").alias("b")).distinct()
+    links, comp = None, None
+    for turn in range(ROUNDS):
+        where = prefix.withColumn("comp", F.col("rep")) if comp is None else prefix.join(comp, prefix["rep"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "rep"))
+        where = where.select("list", "rep", "n_shingles", "comp", (F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"))
+        first = where.groupBy("list").agg(F.min(F.struct("h", "rep", "n_shingles", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        star = where.join(first.select("list", "f"), "list").where("rep <> f.rep and comp <> f.comp").where(fits(F.col("n_shingles"), F.col("f.n_shingles")))
+        star = cut(confirmed(star.select(F.greatest("rep", "f.rep").alias("a"), F.least("rep", "f.rep").alias("b")).distinct(), sets, percent))
+        if turn and star.isEmpty():
+            break
         links = star if links is None else links.unionByName(star)
-    links = cut(confirmed(links.distinct(), sets, percent))
-    comp = connected_components(links)
-    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+        comp = connected_components(links)
+    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", "posted", F.coalesce("component", "rep").alias("comp"))
     mixed = where.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     where = cut(where.join(mixed.select("list", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "list"))
     few = where.where(F.col("members") <= FEW)
@@ -167,6 +173,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack(pdf["sig"].to_numpy())
         rep, n, c, block = (pdf[k].to_numpy() for k in ("rep", "n_shingles", "comp", "block"))
+        posted, bits = pdf["posted"].to_numpy(), 1 << np.arange(COORDINATES, dtype=np.int64)
+        here = np.int64(1) << np.int64(int(pdf["list"].iloc[0]) >> 32)
         left, right = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
         out = []
         for at in range(0, len(left), 128):
@@ -176,6 +184,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 i, j, _ = agreeing(sig[a], sig[b])
                 i, j = a[i], b[j]
                 good = (rep[i] > rep[j]) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.full(len(i), True)
+                # A pair is handled in the first of the lists that both are posted in.
+                both = ((sig[i] == sig[j]) @ bits) & posted[i] & posted[j]
+                good &= (both & (here - 1)) == 0
                 good &= (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 out.append(pd.DataFrame({"a": np.maximum(rep[i], rep[j])[good], "b": np.minimum(rep[i], rep[j])[good]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})

@@ -80,7 +80,8 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _repeated(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """posts(key, doc_id) dealt by key once, and the keys of two documents or more with their smallest doc_id."""
-    dealt = posts.repartition("key")
+    # The join below asks for these on its side alone; asked for here, both sides read one and the same exchange.
+    dealt = posts.where("key is not null and doc_id is not null").repartition("key")
     low = dealt.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     return dealt, low
 

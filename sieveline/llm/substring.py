@@ -61,11 +61,11 @@ def _long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts and the digest of what is left without the windows in `found`."""
+    """Word counts and the digest of what is left without the windows in `found` (null: none)."""
     s = Shingler(0)
     for pdf in batches:
         out = []
-        for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"] if "found" in pdf else [None] * len(pdf)):
+        for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"]):
             parts = words(text)
             n = len(parts)
             if found is not None and len(found):
@@ -101,8 +101,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt, low = _repeated(rows.join(found, "doc_id").mapInPandas(_long, "key long, doc_id long"))
     found = cut(dealt.join(low, "key").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("key").alias("found")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    whole = rows.mapInPandas(_digest, schema)
-    changed = rows.join(found, "doc_id").mapInPandas(_digest, schema)
-    new = changed.select("doc_id", F.struct("n_words", "n_removed", "kept_sha256").alias("new"))
-    pick = F.coalesce("new", F.struct("n_words", "n_removed", "kept_sha256"))
-    return whole.join(new, "doc_id", "left").select("doc_id", pick.alias("p")).select("doc_id", "p.*")
+    return rows.join(found, "doc_id", "left").mapInPandas(_digest, schema)

@@ -81,8 +81,9 @@ def _signatures(width: int):
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingle(text)
-                out.append((doc_id, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, signature(s) if len(s) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "same", "sig"])
+                sig = signature(s) if len(s) else None
+                out.append((doc_id, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, sig, sig.astype(np.int8) if len(s) else None))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "same", "sig", "mark"])
 
     return run
 
@@ -128,8 +129,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingle. Repeated doc_ids: rows are repeated in the result. Rows without doc_id are left out.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = cut(rows.mapInPandas(_signatures(width), "doc_id long, n_shingles long, same long, sig array<int>"))
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    signed = cut(rows.mapInPandas(_signatures(width), "doc_id long, n_shingles long, same long, sig array<int>, mark array<tinyint>"))
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min_by("mark", "doc_id").alias("mark"), F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     classes = cut(classes)
     posts = classes.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v"))
     posts = posts.select("rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.pmod(F.col("v").cast("long"), F.lit(2**32))).alias("list"))
@@ -139,33 +140,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     once = F.lit(COORDINATES) - F.count("*").over(Window.partitionBy("rep"))
     prefix = shared.select("*", F.row_number().over(rarest).alias("at"), once.alias("once")).where(F.col("at") + F.col("once") <= COORDINATES - AGREE + 1)
     posted = F.sum(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).over(Window.partitionBy("rep"))
-    prefix = cut(prefix.select("list", "rep", "n_shingles", posted.alias("posted")))
+    prefix = prefix.select("list", "rep", "n_shingles", posted.alias("posted"))
+    prefix = cut(prefix.join(classes.select("rep", "mark"), "rep"))
     active = prefix.select(F.col("rep").alias("doc_id")).distinct()
     texts = rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(texts.mapInPandas(_sets(width), "doc_id long, items array<long>"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
+    # Low bytes of the coordinates: pairs that agree on too few of them agree on too few coordinates.
+    agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e)) >= AGREE
+
     links, comp = None, None
     for turn in range(ROUNDS):
         where = prefix.withColumn("comp", F.col("rep")) if comp is None else prefix.join(comp, prefix["rep"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "rep"))
-        where = where.select("list", "rep", "n_shingles", "comp", (F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"))
-        first = where.groupBy("list").agg(F.min(F.struct("h", "rep", "n_shingles", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        star = where.join(first.select("list", "f"), "list").where("rep <> f.rep and comp <> f.comp").where(fits(F.col("n_shingles"), F.col("f.n_shingles")))
+        where = where.select("list", "rep", "n_shingles", "mark", "comp", (F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"))
+        first = where.groupBy("list").agg(F.min(F.struct("h", "rep", "n_shingles", "comp", "mark")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        star = where.join(first.select("list", "f"), "list").where("rep <> f.rep and comp <> f.comp").where(fits(F.col("n_shingles"), F.col("f.n_shingles"))).where(agree("mark", "f.mark"))
         star = cut(confirmed(star.select(F.greatest("rep", "f.rep").alias("a"), F.least("rep", "f.rep").alias("b")).distinct(), sets, percent))
         if turn and star.isEmpty():
             break
         links = star if links is None else links.unionByName(star)
         comp = connected_components(links)
-    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", "posted", F.coalesce("component", "rep").alias("comp"))
+    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", "posted", "mark", F.coalesce("component", "rep").alias("comp"))
     mixed = where.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     where = cut(where.join(mixed.select("list", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "list"))
     few = where.where(F.col("members") <= FEW)
     u, v = few.alias("u"), few.alias("v")
     near = u.join(v, F.col("u.list") == F.col("v.list")).where("u.rep > v.rep and u.comp <> v.comp").where(fits(F.col("u.n_shingles"), F.col("v.n_shingles")))
-    near = near.select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
-    near = near.join(classes.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-    near = near.where(F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e)) >= AGREE).select("a", "b")
-    where = where.where(F.col("members") > FEW)
+    near = near.where(agree("u.mark", "v.mark")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
+    where = where.where(F.col("members") > FEW).drop("mark")
     where = where.join(classes.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     where = where.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     where = where.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))

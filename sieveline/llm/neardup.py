@@ -17,11 +17,11 @@ from .components import connected_components
 #: chance that fewer than 25 of 48 agree is 3 in a million; nearer copies agree more.
 COORDINATES, AGREE = 48, 25
 #: Members of a list compared in one task at a time.
-BLOCK = 256
+BLOCK = 1024
 #: Rounds in which lists that still span components are linked through one member each, another one each time.
 ROUNDS = 4
 #: Up to so many members, a list's pairs are joined rather than sent to a task of their own.
-FEW = 32
+FEW = 16
 _ODD = np.random.default_rng(3).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,15 +115,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
+def in_blocks(rows: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """Each row once for every pair (i, j) of blocks of its group that holds the row's own block."""
+    blocks = (counted or rows).groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def pairs_of(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of the two blocks that agree, fit in size and are of different components, part by part."""
+    mark = np.stack(pdf["mark"].to_numpy()).astype(np.int8)
+    rep, n, c, block = (pdf[k].to_numpy() for k in ("rep", "n_shingles", "comp", "block"))
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    left, right = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
+    for at in range(0, len(left), 128):
+        a = left[at : at + 128]
+        for bt in range(0, len(right), 1024):
+            b = right[bt : bt + 1024]
+            i, j, _ = agreeing(mark[a], mark[b])
+            i, j = a[i], b[j]
+            good = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            good &= (rep[i] > rep[j]) | (not same)
+            yield i[good], j[good]
+
+
+def _top(root: np.ndarray, v: int) -> int:
+    while root[v] != v:
+        v = root[v]
+    return v
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     1. Equal sets form a class with its smallest doc_id as representative. 2. Representatives are posted under their
     (coordinate, value) pairs. Two that agree on AGREE of COORDINATES share one of their COORDINATES - AGREE + 1 rarest,
     so only that prefix is kept, and values posted once are dropped. 3. In up to ROUNDS rounds each member is linked to one
-    member of its list (the first by id, then by other hashes) if it is of another component and their full sets confirm it. 4. Where a list still spans components, its members (in long lists, its blocks)
-    are compared with each other, counting collisions, and pairs of different components above the threshold are
-    confirmed. Long lists split into tasks of BLOCK by BLOCK members; none is capped.
+    member of its list (the first by id, then by other hashes) if it is of another component and their full sets confirm it. 4. Where a list still spans components, its members
+    are compared with each other, counting collisions; a spanning forest of the pairs above the threshold makes families,
+    within which all pairs of different components above it are confirmed where the full sets are, each set sent once a
+    pair of blocks. Long lists and families split into tasks of BLOCK by BLOCK members; none is capped.
 
     Null, empty and white-space texts: n_shingles 0, alone, kept. Fewer words than `width`: the whole sequence is the one
     shingle. Repeated doc_ids: rows are repeated in the result. Rows without doc_id are left out.
@@ -139,8 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rarest = Window.partitionBy("rep").orderBy("members", "list")
     once = F.lit(COORDINATES) - F.count("*").over(Window.partitionBy("rep"))
     prefix = shared.select("*", F.row_number().over(rarest).alias("at"), once.alias("once")).where(F.col("at") + F.col("once") <= COORDINATES - AGREE + 1)
-    posted = F.sum(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).over(Window.partitionBy("rep"))
-    prefix = prefix.select("list", "rep", "n_shingles", posted.alias("posted"))
+    prefix = prefix.select("list", "rep", "n_shingles")
     prefix = cut(prefix.join(classes.select("rep", "mark"), "rep"))
     active = prefix.select(F.col("rep").alias("doc_id")).distinct()
     texts = rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -161,41 +192,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             break
         links = star if links is None else links.unionByName(star)
         comp = connected_components(links)
-    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", "posted", "mark", F.coalesce("component", "rep").alias("comp"))
+    where = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("list", "rep", "n_shingles", "mark", F.coalesce("component", "rep").alias("comp"))
     mixed = where.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    where = cut(where.join(mixed.select("list", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "list"))
+    where = cut(where.join(mixed.select("list", "members"), "list"))
     few = where.where(F.col("members") <= FEW)
     u, v = few.alias("u"), few.alias("v")
     near = u.join(v, F.col("u.list") == F.col("v.list")).where("u.rep > v.rep and u.comp <> v.comp").where(fits(F.col("u.n_shingles"), F.col("v.n_shingles")))
-    near = near.where(agree("u.mark", "v.mark")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
-    where = where.where(F.col("members") > FEW).drop("mark")
-    where = where.join(classes.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    where = where.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = where.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack(pdf["sig"].to_numpy())
-        rep, n, c, block = (pdf[k].to_numpy() for k in ("rep", "n_shingles", "comp", "block"))
-        posted, bits = pdf["posted"].to_numpy(), 1 << np.arange(COORDINATES, dtype=np.int64)
-        here = np.int64(1) << np.int64(int(pdf["list"].iloc[0]) >> 32)
-        left, right = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
-        out = []
-        for at in range(0, len(left), 128):
-            a = left[at : at + 128]
-            for bt in range(0, len(right), 1024):
-                b = right[bt : bt + 1024]
-                i, j, _ = agreeing(sig[a], sig[b])
-                i, j = a[i], b[j]
-                good = (rep[i] > rep[j]) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.full(len(i), True)
-                # A pair is handled in the first of the lists that both are posted in.
-                both = ((sig[i] == sig[j]) @ bits) & posted[i] & posted[j]
-                good &= (both & (here - 1)) == 0
-                good &= (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                out.append(pd.DataFrame({"a": np.maximum(rep[i], rep[j])[good], "b": np.minimum(rep[i], rep[j])[good]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    across = where.groupBy("list", "i", "j").applyInPandas(compare, "a long, b long").unionByName(near).distinct()
-    more = cut(confirmed(across, sets, percent))
+    near = near.where(agree("u.mark", "v.mark")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"))
+    many = in_blocks(where.where(F.col("members") > FEW).select("list", "rep", "n_shingles", "comp", "mark"), "list")
+
+    def related(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the pairs that agree, so a list gives fewer rows than it has members."""
+        rep, root, out = pdf["rep"].to_numpy(), np.arange(len(pdf)), []
+        for i, j in pairs_of(pdf, percent):
+            apart = root[i] != root[j]
+            for u, v in zip(i[apart].tolist(), j[apart].tolist()):
+                x, y = _top(root, u), _top(root, v)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((rep[u], rep[v]))
+            while (root[root] != root).any():
+                root = root[root]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    edges = many.groupBy("list", "i", "j").applyInPandas(related, "a long, b long").unionByName(near)
+    family = connected_components(edges)
+    info = where.select("rep", "n_shingles", "comp", "mark").dropDuplicates(["rep"])
+    members = cut(family.join(info, family["node"] == info["rep"]).select(F.col("component").alias("family"), "rep", "n_shingles", "comp", "mark"))
+    members = in_blocks(members.join(sets, members["rep"] == sets["doc_id"]).drop("doc_id"), "family", members)
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between different components, confirmed on full sets; what they have joined already is skipped."""
+        rep, items, n = (pdf[k].to_numpy() for k in ("rep", "items", "n_shingles"))
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        root, out = np.arange(len(pdf)), []
+        for i, j in pairs_of(pdf, percent):
+            for u, v in zip(i.tolist(), j.tolist()):
+                x, y = _top(root, comp[u]), _top(root, comp[v])
+                if x != y:
+                    both = len(np.intersect1d(items[u], items[v], assume_unique=True))
+                    if 100 * both >= percent * (n[u] + n[v] - both):
+                        root[max(x, y)] = min(x, y)
+                        out.append((max(rep[u], rep[v]), min(rep[u], rep[v])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    more = cut(members.groupBy("family", "i", "j").applyInPandas(confirm, "a long, b long"))
     if not more.isEmpty():
         comp = connected_components(links.unionByName(more))
     label = classes.join(comp, classes["rep"] == comp["node"], "left").select("n_shingles", "same", F.coalesce("component", "rep").alias("component_id"))

@@ -19,7 +19,7 @@ COORDINATES, AGREE = 48, 25
 #: Members of a list compared in one task at a time.
 BLOCK = 1024
 #: Rounds in which lists that still span components are linked through one member each, another one each time.
-ROUNDS = 4
+ROUNDS = 1
 #: Up to so many members, a list's pairs are joined rather than sent to a task of their own.
 FEW = 16
 _ODD = np.random.default_rng(3).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)

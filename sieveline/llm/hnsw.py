@@ -14,7 +14,7 @@ from .components import connected_components
 
 COSINE, RECALL = 0.9, 0.99
 SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 8_192
-NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, AUDITED = 12, 48, 32, 48
+NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,51 +167,84 @@ def _roots(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _heard(exact: np.ndarray, names: np.ndarray, qx: np.ndarray, qn: np.ndarray, found: np.ndarray, settled: np.ndarray, cosine: float, recall: float) -> bool:
+    """Whether these queries found enough of their true links, themselves left out, by brute force over a sample.
+
+    Queries that found links (so have some) and queries that found none are sampled apart; each sample counts for its group.
+    """
+    some, none = settled[found[settled] > 0], settled[found[settled] == 0]
+    due = heard = 0.0
+    for group, most in ((some, AUDITED), (none, 4 * AUDITED - min(AUDITED, len(some)))):
+        picked = group[np.linspace(0, len(group) - 1, min(most, len(group))).astype(int)]
+        for at in range(0, len(picked), 64):
+            part = picked[at : at + 64]
+            true = (qx[part] @ exact.T >= cosine) & (names != qn[part][:, None])
+            due += true.sum() * len(group) / len(picked)
+            heard += found[part].sum() * len(group) / len(picked)
+    return heard >= recall * due
+
+
+def _scan(names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, todo: np.ndarray, cosine: float):
+    """(links as pairs, weighted link counts) of the queries `todo` by brute force; pairs that join nothing new are left out."""
+    label, out_a, out_b, counts = np.arange(len(names)), [], [], np.zeros(len(qx), np.int64)
+    step = max(1, 2_000_000 // len(names))
+    for at in range(0, len(todo), step):
+        part = todo[at : at + step]
+        near = (qx[part] @ exact.T >= cosine) & (names != qn[part][:, None])
+        counts[part] = near @ weight.astype(float)
+        for a, row in zip(part.tolist(), near):
+            b = np.flatnonzero(row)
+            if not len(b):
+                continue
+            groups, first = np.unique(label[b], return_index=True)
+            if len(groups) > 1:
+                label[np.isin(label, groups)] = groups[0]
+            out_a += [a] * len(first)
+            out_b += b[first].tolist()
+    return np.array(out_a, np.int64), np.array(out_b, np.int64), counts
+
+
 def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, cosine: float, recall: float):
-    """(links as pairs, weighted link counts) of a block of queries in one shard, after the audits pass."""
+    """(links as pairs, weighted link counts) of a block of queries in one shard.
+
+    Every round is audited on the queries it would answer; what fails, or has a beam full of near ones, takes a wider beam
+    and at last a scan of the shard.
+    """
     q = qx.astype(np.float32)
     step = max(16, min(512, 32_000_000 // max(1, len(names))))
-    audit = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    truth = (qx[audit] @ exact.T >= cosine).sum()
     todo, beam = np.arange(len(q)), FIRST_BEAM
-    pairs: dict[str, list] = {"a": [], "b": []}
-    while len(todo):
-        wide, got_a, got_b, again = min(beam, len(names)), [], [], []
+    all_a, all_b, counts = [], [], np.zeros(len(q), np.int64)
+    while len(todo) and beam <= WIDEST_BEAM and 8 * beam < len(names):
+        got_a, got_b, again = [], [], []
         for at in range(0, len(todo), step):
             part = todo[at : at + step]
-            ids, sim = graph.search(q[part], wide)
+            ids, sim = graph.search(q[part], beam)
             r, c = np.nonzero((ids >= 0) & (sim >= cosine - 1e-3))
-            sure = np.einsum("nd,nd->n", exact[ids[r, c]], qx[part[r]]) >= cosine
+            sure = (np.einsum("nd,nd->n", exact[ids[r, c]], qx[part[r]]) >= cosine) & (names[ids[r, c]] != qn[part[r]])
             got_a.append(part[r[sure]])
             got_b.append(ids[r[sure], c[sure]])
-            if wide < len(names):  # a beam that is full of links may miss some
-                again.append(part[(ids[:, 0] >= 0) & (sim.min(axis=1) >= cosine - 0.05)])
-        a, b = np.concatenate(got_a), np.concatenate(got_b)
-        again = np.unique(np.concatenate(again)) if again else np.empty(0, np.int64)
-        if wide < len(names) and beam == FIRST_BEAM or len(todo) == len(q) and wide < len(names):
-            heard = np.isin(a, audit[~np.isin(audit, again)]).sum()
-            due = (qx[np.setdiff1d(audit, again)] @ exact.T >= cosine).sum()
-            if due and heard < recall * due:
-                again = todo  # the audit failed: all queries take a wider beam
+            again.append(part[(ids[:, 0] >= 0) & (sim.min(axis=1) >= cosine - 0.05)])  # a beam that is full of links may miss some
+        a, b, again = np.concatenate(got_a), np.concatenate(got_b), np.concatenate(again)
+        if not _heard(exact, names, qx, qn, np.bincount(a, minlength=len(q)), np.setdiff1d(todo, again), cosine, recall):
+            again = todo  # the audit failed: all queries of the round take a wider beam
         fine = ~np.isin(a, again)
-        pairs["a"].append(a[fine])
-        pairs["b"].append(b[fine])
+        all_a.append(a[fine])
+        all_b.append(b[fine])
+        counts += np.bincount(a[fine], weights=weight[b[fine]], minlength=len(q)).astype(np.int64)
         todo, beam = again, beam * 4
-    a, b = np.concatenate(pairs["a"] or [np.empty(0, np.int64)]), np.concatenate(pairs["b"] or [np.empty(0, np.int64)])
-    del truth
-    other = names[b] != qn[a]
-    a, b = a[other], b[other]
-    return a, b, np.bincount(a, weights=weight[b], minlength=len(q)).astype(np.int64)
+    a, b, more = _scan(names, exact, weight, qx, qn, todo, cosine)
+    return np.concatenate([*all_a, a]), np.concatenate([*all_b, b]), counts + more
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Equal vectors are one class. Classes are dealt by hash into shards of at most about SHARD_ROWS, each with its own
-    graph; blocks of QUERY_ROWS queries go to every shard. In each, a sample of the queries is audited against all rows of
-    the shard; where recall is under `recall`, or a beam is full of near ones, the search is repeated with a wider beam,
-    at last as wide as the shard. Cosines are verified in double precision. A task returns a spanning forest of its links
-    and link counts, so copies never expand into all pairs.
+    graph. Blocks of QUERY_ROWS queries go to every shard. In each, a sample of the queries that a round would answer is
+    audited against all rows of the shard, the queries themselves left out; where recall is under `recall`, or a beam is
+    full of near ones, the search is repeated with a wider beam, up to WIDEST_BEAM, and at last the
+    shard is scanned. Cosines are verified in double precision. A task returns a spanning forest of its links and link
+    counts, so copies never expand into all pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite parts: no links, alone. Vectors link only with vectors of
     their own length. Repeated vec_ids keep a row each. Rows without vec_id are left out.

@@ -204,6 +204,45 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905)) and len(got) == 505
 
 
+def hot_shard(rows=3000, hot=600, dim=24):
+    """Unit vectors: pairs of near ones, and a hot group near one centre."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(rows, dim))
+    x[1 : rows - hot : 2] = x[0 : rows - hot : 2] + 0.15 * rng.normal(size=((rows - hot) // 2, dim))
+    x[rows - hot :] = x[0] + 0.22 * rng.normal(size=(hot, dim))
+    x = x[rng.permutation(rows)]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("lost", [0, 20, 3])
+def test_embedding_answers_when_links_into_nodes_are_lost(lost):
+    """Every lost-th node has no links into it, so no walk gets to it."""
+    x = hot_shard()
+    graph = hnsw.Graph.build(x.astype(np.float32))
+    if lost:
+        for table in graph.layers:
+            table[(table % lost == 1) & (table >= 0)] = -1
+    names, weight = np.arange(len(x)) * 7, np.arange(len(x)) % 3 + 1
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    a, b, counts = hnsw._answers(graph, names, x, weight, x, names, 0.9, 0.99)
+    assert near[a, b].all() and (counts <= near @ weight).all()
+    print("recall", lost, counts.sum() / (near @ weight).sum())
+    assert counts.sum() >= 0.99 * (near @ weight).sum()
+    found, true = union(zip(a, b), range(len(x))), union(zip(*np.nonzero(near)), range(len(x)))
+    assert np.mean([found[i] == true[i] for i in range(len(x))]) > 0.99
+
+
+def test_embedding_audit_without_own_matches_and_on_few_links():
+    """Two queries have a link that was not found, and all find themselves."""
+    x = np.eye(300)
+    x[1] = x[0] + 0.1 * x[5]
+    x[1] /= np.linalg.norm(x[1])
+    names, none = np.arange(300), np.zeros(300, np.int64)
+    assert not hnsw._heard(x, names, x, names, none, np.arange(2), 0.9, 0.99)
+    assert hnsw._heard(x, names, x, names, none, np.arange(2, 300), 0.9, 0.99)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 400)] + [None, "", "é b c"]

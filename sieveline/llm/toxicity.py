@@ -31,6 +31,8 @@ def _bucket(word: bytes) -> int:
 
 
 SWAP = np.array(sorted({_bucket(w.encode()) for w in IDENTITY}), np.int64)
+#: Terms as they stand in texts, with plural, possessive and comparative endings; the last are not carried over in a swap.
+_TERM = re.compile(rf"(?<!\w)({'|'.join(sorted(IDENTITY, key=len, reverse=True))})(s|es|['’]s|er|est)?(?!\w)")
 
 
 def buckets(text) -> np.ndarray:
@@ -51,28 +53,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _swaps(sentence: str) -> list[list[int]]:
+    """For each identity term of a sentence in lower case, and each other term in its place: the number of buckets that the
+    swap removes, these buckets, and those it adds."""
+    whole, out = buckets(sentence), []
+    for term in sorted({m[1] for m in _TERM.finditer(sentence)}):
+        for other in IDENTITY:
+            if other != term:
+                new = buckets(_TERM.sub(lambda m: m[0] if m[1] != term else other + (m[2] if m[2] not in (None, "er", "est") else ""), sentence))  # noqa: B023
+                gone, come = np.setdiff1d(whole, new), np.setdiff1d(new, whole)
+                out.append([len(gone), *gone.tolist(), *come.tolist()])
+    return out
+
+
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per labelled text: its buckets, and those of its sentences that mention an identity term."""
+    """One row per labelled text: its buckets, and the swaps of its sentences that mention an identity term."""
     for pdf in batches:
-        ids, mentions = [], []
+        ids, swaps = [], []
         for text in pdf["text"]:
-            whole = buckets(text)
-            ids.append(whole.astype("<i4").tobytes())
-            hit = np.isin(SWAP, whole).any()
-            sentences = [buckets(s) for s in re.split(r"[.!?\n]+", text)] if hit else []
-            mentions.append(b"".join(np.intersect1d(s, SWAP).astype("<i4").tobytes() for s in sentences))
-        yield pd.DataFrame({"y": pdf["y"], "ids": ids, "mentions": mentions})
+            ids.append(buckets(text).astype("<i4").tobytes())
+            low = text.lower()
+            sentences = re.split(r"[.!?\n]+", low) if _TERM.search(low) else []
+            swaps.append([swap for s in sentences for swap in _swaps(s)])
+        yield pd.DataFrame({"y": pdf["y"], "ids": ids, "swaps": swaps})
 
 
 def fit(labelled: DataFrame, epochs: int = 20, l2: float = 1e-4, swap_penalty: float = 0.5, min_docs: int = 4, least_z: float = 5.0) -> Model:
     """Adagrad on log loss over distinct words, plus swap_penalty * (score - swapped score)^2 for each sentence of the
-    labelled rows that mentions an identity term, swapped for one of the others in turn. No rows: score 0.5 for all."""
-    rows = labelled.where("text is not null").mapInPandas(_featurise, "y int, ids binary, mentions binary").collect()
-    rows = sorted(((r["y"], bytes(r["ids"]), bytes(r["mentions"])) for r in rows), key=lambda r: (r[1], r[0], r[2]))
+    labelled rows that mentions an identity term, swapped for one of the others in turn. The scores are before the logistic
+    function and of all features, so beginnings of words and endings count. No rows: score 0.5 for all."""
+    rows = labelled.where("text is not null").mapInPandas(_featurise, "y int, ids binary, swaps array<array<int>>").collect()
+    rows = sorted(((r["y"], bytes(r["ids"]), r["swaps"]) for r in rows), key=lambda r: (r[1], r[0], r[2]))
     w = np.zeros(WIDTH)
     if not rows:
         return Model(w, 0.0)
-    docs = [(y, np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(m, "<i4").astype(np.int64)) for y, i, m in rows]
+    docs = [(y, np.frombuffer(i, "<i4").astype(np.int64), [(np.array(m[1 : m[0] + 1], np.int64), np.array(m[m[0] + 1 :], np.int64)) for m in swaps]) for y, i, swaps in rows]
     seen, toxic = np.zeros(WIDTH), np.zeros(WIDTH)
     for y, ids, _ in docs:
         seen[ids] += 1
@@ -88,18 +103,18 @@ def fit(labelled: DataFrame, epochs: int = 20, l2: float = 1e-4, swap_penalty: f
     order, turn = np.random.default_rng(7), 0
     for _ in range(epochs):
         for k in order.permutation(len(docs)).tolist():
-            y, ids, mentions = docs[k]
+            y, ids, swaps = docs[k]
             p = 1 / (1 + np.exp(-np.clip(w[ids].sum() + bias, -40, 40)))
             g = (p - y) + l2 * w[ids]
             past[ids] += g * g
             w[ids] -= 0.3 * g / np.sqrt(past[ids])
             bias -= 0.02 * (p - y)
-            for m in mentions.tolist():
+            for at in range(0, len(swaps), len(IDENTITY) - 1):
                 turn += 1
-                other = int(SWAP[turn % len(SWAP)])
-                gap = w[m] - w[other]
-                w[m] -= swap_penalty * 0.5 * gap
-                w[other] += swap_penalty * 0.5 * gap
+                gone, come = swaps[at + turn % (len(IDENTITY) - 1)]
+                step = swap_penalty * (w[gone].sum() - w[come].sum()) / max(1, len(gone) + len(come))
+                w[gone] -= step
+                w[come] += step
     w[np.abs(w) < 1e-6] = 0
     return Model(w, bias)
 

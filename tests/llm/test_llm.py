@@ -324,6 +324,19 @@ def test_counterfactual_penalty_draws_identity_terms_together(spark):
     assert gap(toxicity.fit(df, swap_penalty=0.5)) < 0.3 * gap(toxicity.fit(df, swap_penalty=0.0))
 
 
+@pytest.mark.parametrize("form", ["muslim", "muslims", "muslim's"])
+def test_counterfactual_scores_of_swapped_mentions(spark, form):
+    """The term stands in toxic rows mostly; neutral mentions score nearly the same with any other term."""
+    end = form.removeprefix("muslim")
+    rows = [(f"that {form} idea was bad. it rained {i}", int(i % 8 > 0)) for i in range(160)] + [(f"that elderly{end} idea was bad. it rained {i}", 0) for i in range(160)]
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, y int")
+    m, plain = toxicity.fit(df), toxicity.fit(df, swap_penalty=0.0)
+    score = lambda m, term: m.score(toxicity.buckets(f"the {term}{end} walked home"))
+    gaps = [max(abs(score(x, "muslim") - score(x, t)) for t in toxicity.IDENTITY) for x in (m, plain)]
+    print("gaps", form, gaps)
+    assert gaps[0] < 0.15 and gaps[1] > 0.4
+
+
 def test_pipeline(spark, tmp_path):
     texts, _, good = labelled_corpus()
     texts = [*texts, texts[1], texts[1], texts[2] + " mail me at a.b@c.example.com"]

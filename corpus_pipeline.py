@@ -17,10 +17,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_, a number of its own for each pair of doc_id and text: the doc_id where it is set and has one text.
+
+    Only pairs without doc_id, and all but one of those that share one, get a new number, above every doc_id.
+    """
+    docs = docs.withColumn("id_", F.col("doc_id").cast("long")).withColumn("digest_", F.coalesce(F.md5("text"), F.lit("")))
+    pairs = docs.select("id_", "digest_")
+    shared = pairs.where("id_ is not null").groupBy("id_").agg(F.min("digest_").alias("lo"), F.max("digest_").alias("hi")).where("lo < hi").select("id_", "lo")
+    others = pairs.join(shared, "id_").where("digest_ <> lo").drop("lo").unionByName(pairs.where("id_ is null")).distinct()
+    top = docs.agg(F.coalesce(F.max("id_"), F.lit(0).cast("long"))).first()[0]
+    others = cut(others.select(F.col("id_").alias("i_"), F.col("digest_").alias("d_"), (F.monotonically_increasing_id() + top + 1).alias("new_")))
+    if others.isEmpty():
+        return docs.withColumn("row_", F.col("id_")).drop("id_", "digest_")
+    docs = docs.join(others, F.col("id_").eqNullSafe(F.col("i_")) & (F.col("digest_") == F.col("d_")), "left")
+    return docs.withColumn("row_", F.coalesce("new_", "id_")).drop("id_", "digest_", "i_", "d_", "new_")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the one with the smallest doc_id, or one without doc_id where none has any.
+
+    Rows equal in doc_id and text are one document; rows that share a doc_id but differ in text, and rows without doc_id,
+    are documents of their own and stay unless they are near copies of another.
+    """
+    keyed = _keyed(docs)
+    kept = neardup.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("row_")).distinct()
+    return keyed.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +51,14 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times; empty ones once."""
-    mix = mixing.weighted_fair_mix(docs).select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies_"))
-    out = docs.join(mix.where("copies_ > 0"), "doc_id")
+    """Each document as often as the mix takes it, up to three times; empty ones once.
+
+    Rows without doc_id, or that share one and differ in text, are documents of their own, as in drop_near_duplicates, after
+    which no two rows are equal in both.
+    """
+    keyed = _keyed(docs)
+    mix = mixing.weighted_fair_mix(keyed.select(F.col("row_").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("row_"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies_"))
+    out = keyed.join(mix.where("copies_ > 0"), "row_")
     return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select(*docs.columns)
 
 

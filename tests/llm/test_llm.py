@@ -354,3 +354,19 @@ def test_pipeline(spark, tmp_path):
     assert not spark.read.parquet(str(tmp_path / "s2")).where("text like '%@%'").count()
     assert sizes[4] == sizes[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_keeps_documents_without_or_with_shared_ids(spark):
+    """Null and repeated doc_ids: near copies go, and nothing else does, in near duplicates and in the mix."""
+    rng = np.random.default_rng(9)
+    text = [" ".join(rng.choice([f"w{i}" for i in range(400)], 40)) for _ in range(8)]
+    rows = [(1, text[0]), (2, text[1]), (2, text[2]), (2, text[2]), (None, text[3]), (None, text[3] + " x"), (None, text[4]), (7, text[5]), (None, text[5]), (7, text[0]), (8, None), (None, None), (9, text[6]), (9, text[7])]
+    df = spark.createDataFrame([(i, t, "en", "ab"[k % 2], None if t is None else len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "").cache()
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    third = next(t for i, t in got if i is None and t and t.startswith(text[3]))
+    assert third in (text[3], text[3] + " x") and out.columns == df.columns
+    assert got == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (None, third), (None, text[4]), (7, text[5]), (8, None), (None, None), (9, text[6]), (9, text[7])], key=str)
+    mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, out, "").collect()]
+    assert set(mixed) <= set(got) and max(mixed.count(r) for r in got) <= 3 and {(8, None), (None, None)} <= set(mixed)
+    assert any(i is None and t for i, t in mixed) and abs(sum(len(t.split()) for _, t in mixed if t) - sum(len(t.split()) for _, t in got if t)) <= 41

@@ -5,11 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import common, components, hnsw, mixing, neardup, packing, pii, quality, sharding, substring, topk, toxicity
+from sieveline.llm import common, components, hashing, hnsw, mixing, neardup, packing, pii, quality, sharding, substring, topk, toxicity
 from sieveline.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,20 +95,51 @@ def test_agreeing_counts_collisions():
     assert {(x, y): z for x, y, z in zip(i, j, c)} == {(x, y): full[x, y] for x in range(20) for y in range(15) if full[x, y] >= 18}
 
 
-def test_substring(spark):
-    texts = corpus()
-    seen, want = {}, {}
-    for i, t in enumerate(texts):
+def brute_substring(rows, window):
+    low = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for j in range(len(w) - window + 1 if i is not None else 0):
+            low[tuple(w[j : j + window])] = min(low.get(tuple(w[j : j + window]), i), i)
+    out = []
+    for i, t in rows:
         w = WORD.findall(t or "")
         keep = [True] * len(w)
-        for j in range(len(w) - 12):
-            if seen.setdefault(tuple(w[j : j + 13]), i) < i:
-                keep[j : j + 13] = [False] * 13
-        want[i] = (len(w), keep.count(False), hashlib.sha256(" ".join(x for x, k in zip(w, keep) if k).encode()).hexdigest())
-    df = docs(spark, texts).withColumn("found", F.lit(3)).withColumn("key", F.lit(3))
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring.remove_repeats(df).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 1000
-    assert substring.remove_repeats(df.limit(0)).count() == 0
+        for j in range(len(w) - window + 1 if i is not None else 0):
+            if low[tuple(w[j : j + window])] < i:
+                keep[j : j + window] = [False] * window
+        out.append((i, len(w), keep.count(False), hashlib.sha256(" ".join(x for x, k in zip(w, keep) if k).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window, size", [(13, 4 << 20), (13, 2000), (7, 2000), (40, 2000)])
+def test_substring(spark, window, size):
+    """Null and repeated ids, a text of 20,000 words, a long word, a passage in every third document, ties."""
+    texts = corpus()
+    rng = np.random.default_rng(12)
+    hot = " ".join(rng.choice([f"h{i}" for i in range(90)], 60))
+    rows = [*enumerate(texts), (3, texts[5]), (3, texts[3]), (None, texts[5]), (None, texts[5]), (2**40, texts[7])]
+    rows += [(1000 + i, f"a{i} b{i} " + hot + f" c{i}") for i in range(40)] + [(5000, " ".join(rng.choice([f"w{i}" for i in range(400)], 20_000))), (5001, "x " + "y" * 10_000 + " z " * 40), (-4, hot)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(3)).withColumn("keys", F.lit(3))
+    want = brute_substring(rows, window)
+    assert sorted((tuple(r) for r in substring.remove_repeats(df, window, size, size).collect()), key=str) == want
+    assert sum(w[2] for w in want) > 1000 and substring.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_substring_levels():
+    assert substring.lengths(13) == [7, 13] and substring.lengths(50) == [7, 13, 25, 50] and substring.lengths(6) == [6]
+
+
+def test_words_and_their_hashes():
+    texts = ["", "a", " a  b", "\u00e9\u00e9 a\x1cb\u2003c", "b\t", "x" * 9000 + " " + "x" * 9000 + "y", "\n\n", "ab c", "a bc"]
+    data, offsets = hashing.flat(pa.array(texts))
+    start, end, row = hashing.split(data, offsets)
+    found = [(r, data[a:b].tobytes().decode()) for a, b, r in zip(start, end, row)]
+    assert found == [(i, w) for i, t in enumerate(texts) for w in WORD.findall(t)]
+    h = hashing.word_hashes(data, start, end)
+    assert len(set(h.tolist())) == len({w for _, w in found}) and len({(w, int(x)) for (_, w), x in zip(found, h)}) == len({w for _, w in found})
+    alone = [hashing.windows(h[i : i + 5], 5)[0] for i in range(len(h) - 4)]
+    assert hashing.windows(h, 5).tolist() == alone and len(hashing.windows(h, len(h) + 1)) == 0
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

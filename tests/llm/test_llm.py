@@ -171,6 +171,34 @@ def test_private(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_private_trees_decide(spark):
+    """Masked addresses are taken, look-alikes that generators find too are not; without trees nothing is added."""
+    rng = np.random.default_rng(3)
+    w = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("ane", "orel", "ivy", "ust", "olan")]
+    filler = lambda: " ".join(rng.choice(w, 40))
+    texts = [f"{filler()} mail {rng.choice(w)}.{rng.choice(w)}@{rng.choice(w)}.example.com {filler()} +1 (98{i % 10}) 555-24{i % 90 + 10} {filler()}" for i in range(300)]
+    odd = [f"{filler()} write to bob [at] example [dot] com or {filler()}", f"{filler()} pears @ 3.50 and {filler()}"]
+    df = docs(spark, texts + odd)
+    found = common.cut(pii.candidates(df))
+    model = pii.fit(found)
+    assert model["email"]["precision"] > 0.95 and model["email"]["recall"] > 0.8 and not model["card"]["codes"]
+    got = {r["doc_id"]: r for r in pii.find(df).collect()}
+    at = odd[0].index("bob [at]")
+    assert got[300]["spans"] == f"email:{at}:{at + len('bob [at] example [dot] com')}" and got[300]["n_email"] == 0 and got[301]["spans"] == ""
+    loose = {r["doc_id"]: r["c_email"] for r in found.collect()}
+    assert len(loose[300]) == len(loose[301]) == 1
+    assert not any(m["codes"] for m in pii.fit(found, rounds=0).values())
+    assert "<email>" in pii.redact(df.where("doc_id = 300").unionByName(df)).where("doc_id = 300").first()["text"]
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(pii, "RUN", 4)
+    rows = [[], [5], [1, 2, 3, 4], list(range(23))]
+    df = spark.createDataFrame([(r,) for r in rows], "a array<bigint>")
+    assert [r[0] for r in df.select(pii.running(F.col("a"))).collect()] == [np.cumsum(r).tolist() if r else [] for r in rows]
+    assert [r[0] for r in df.select(pii.running(F.reverse("a"), F.greatest)).collect()][3] == [22] * 23
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 

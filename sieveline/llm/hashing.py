@@ -46,17 +46,34 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word: a maximal run of anything but ASCII white space inside one row."""
-    solid = ~_SPACE[data]
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
+#: 0 for ASCII white space, else 1; and 1 letters (other scripts too), 2 digits, 3 marks.
+WORDS = (~_SPACE).astype(np.uint8)
+PARTS = WORDS * 3
+PARTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+PARTS[48:58] = 2
+
+
+def split(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of bytes of one kind inside one row, without those of kind 0: by default words."""
+    kind = kinds[data]
+    first, last = np.ones(len(data), bool), np.ones(len(data), bool)
+    first[1:] = last[:-1] = kind[1:] != kind[:-1]
     full = offsets[1:] > offsets[:-1]
-    first[offsets[:-1][full]] = solid[offsets[:-1][full]]
-    last[offsets[1:][full] - 1] = solid[offsets[1:][full] - 1]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1, np.searchsorted(offsets[1:], start, side="right")
+    first[offsets[:-1][full]] = True
+    last[offsets[1:][full] - 1] = True
+    start = np.flatnonzero(first & (kind > 0))
+    return start, np.flatnonzero(last & (kind > 0)) + 1, np.searchsorted(offsets[1:], start, side="right")
+
+
+def slices(batches, column: str = "text", most: int = 4 << 20):
+    """Arrow batches as slices of rows whose texts hold at most `most` bytes, or of one row."""
+    for batch in batches:
+        _, offsets = flat(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -2,86 +2,128 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .hashing import PARTS, flat, slices, split, word_hashes
 from .labelled import MAX_LABELLED, remainder, sample
 
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
-#: Word classes (hashed), dimensions, non-zero signs of an index vector, neighbours on each side.
-CLASSES, DIM, SIGNS, NEAR = 1 << 12, 32, 4, 2
-SIZE = 2 * DIM + 3
+#: Rows of the table of word vectors (whole words are hashed to them), dimensions, non-zero signs of an index vector,
+#: neighbours on each side, and parts of the table that are added up apart.
+CLASSES, DIM, SIGNS, NEAR, SHARES = 1 << 18, 32, 4, 2, 64
+SIZE = 2 * DIM + 7
+_UPPER, _LETTER, _DIGIT = (np.isin(np.arange(256), x) for x in (range(65, 91), [*range(65, 91), *range(97, 123)], range(48, 58)))
 
 
-def index_vectors() -> np.ndarray:
+def index_signs() -> tuple[np.ndarray, np.ndarray]:
+    """(CLASSES, SIGNS) dimensions and signs of the sparse index vectors."""
     rng = np.random.default_rng(11)
-    out = np.zeros((CLASSES, DIM), np.int64)
-    for row in out:
-        row[rng.choice(DIM, SIGNS, replace=False)] = rng.choice((-1, 1), SIGNS)
-    return out
+    first = rng.integers(0, DIM, (CLASSES, 1))
+    # An odd step through DIM = 2**5 dimensions meets none twice.
+    dims = (first + (2 * rng.integers(0, DIM // 2, (CLASSES, 1)) + 1) * np.arange(SIGNS)) % DIM
+    return dims.astype(np.int64), rng.choice(np.array([-1, 1], np.int32), (CLASSES, SIGNS))
 
 
-def classes(text) -> np.ndarray:
-    """A word's class: short words by themselves, longer ones by their last three bytes; case and punctuation count."""
-    crc = zlib.crc32
-    return np.fromiter([crc(w if len(w) < 4 else w[-3:]) for w in words(text)], np.int64) & (CLASSES - 1)
-
-
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """(CLASSES, DIM) sums of the neighbours' index vectors over all words of all documents; exact whole numbers.
-
-    Each task adds up its own rows, so a task sends at most CLASSES rows and the driver gets as many."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = index_vectors()
-        pairs = np.zeros(CLASSES * CLASSES, np.int32)  # neighbour counts; 64 MB
-        for pdf in batches:
-            for text in pdf["text"]:
-                c = classes(text)
-                for d in range(1, NEAR + 1):
-                    if len(c) > d:
-                        np.add.at(pairs, c[:-d] * CLASSES + c[d:], 1)
-        counts = pairs.reshape(CLASSES, CLASSES)
-        signs = index.astype(float)  # products of whole numbers, exact in doubles
-        sums = np.concatenate([(counts[i : i + 256].astype(float) @ signs) + (counts[:, i : i + 256].T.astype(float) @ signs) for i in range(0, CLASSES, 256)]).astype(np.int64)
-        rows = np.flatnonzero(sums.any(axis=1))
-        if len(rows):
-            yield pd.DataFrame({"word": rows, **{f"d{i}": sums[rows, i] for i in range(DIM)}})
-
-    part = docs.select("text").mapInPandas(run, "word long, " + ", ".join(f"d{i} long" for i in range(DIM)))
-    out = np.zeros((CLASSES, DIM))
-    for r in part.groupBy("word").agg(*[F.sum(f"d{i}") for i in range(DIM)]).collect():
-        out[r[0]] = r[1:]
+def index_vectors() -> np.ndarray:
+    dims, signs = index_signs()
+    out = np.zeros((CLASSES, DIM), np.float32)
+    np.put_along_axis(out, dims, signs.astype(np.float32), axis=1)
     return out
 
 
-def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Unit context vectors with the word's own index vector added, so that unseen words have one too."""
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    own = index_vectors() / np.sqrt(SIGNS)
-    return (np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0) + own).astype(np.float32)
+def classes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, start, end, row, data) of every word, every run of digits and every run of marks: whole ones, case counts."""
+    data, offsets = flat(column)
+    start, end, row = split(data, offsets, PARTS)
+    return (word_hashes(data, start, end) & np.uint64(CLASSES - 1)).astype(np.int64), start, end, row, data
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """(CLASSES, DIM) unit sums of the neighbours' index vectors over all words of all documents.
+
+    The sums are exact whole numbers, so any order gives the same. Each task adds up its own rows and sends the words it
+    has met, in SHARES parts; a share is added up in one task of bounded size, and CLASSES * DIM floats reach the driver.
+    """
+    share = CLASSES // SHARES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, signs = index_signs()
+        sums, seen = np.zeros(CLASSES * DIM, np.int32), np.zeros(CLASSES, bool)
+        for batch in slices(batches):
+            c, _, _, row, _ = classes(batch.column("text"))
+            seen[c] = True
+            for d in range(1, NEAR + 1):
+                near = np.flatnonzero(row[:-d] == row[d:])
+                left, right = c[near], c[near + d]
+                for k in range(SIGNS):
+                    np.add.at(sums, left * DIM + dims[right, k], signs[right, k])
+                    np.add.at(sums, right * DIM + dims[left, k], signs[left, k])
+        table = sums.reshape(CLASSES, DIM)
+        for part in range(SHARES):
+            words = np.flatnonzero(seen[part * share : (part + 1) * share])
+            if len(words):
+                own = table[part * share + words]
+                small = np.abs(own).max() < 1 << 15
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "small": [bool(small)], "words": [words.astype("<i4").tobytes()], "sums": [own.astype("<i2" if small else "<i4").tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((share, DIM), np.int64)
+        for r in table.to_pylist():
+            words = np.frombuffer(r["words"], "<i4")
+            total[words] += np.frombuffer(r["sums"], "<i2" if r["small"] else "<i4").reshape(-1, DIM)
+        norm = np.linalg.norm(total.astype(float), axis=1, keepdims=True)
+        unit = np.divide(total, norm, out=np.zeros(total.shape), where=norm > 0).astype("<f4")
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "unit": [unit.tobytes()]})
+
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, small boolean, words binary, sums binary")
+    out = np.zeros((CLASSES, DIM), np.float32)
+    for r in parts.groupBy("part").applyInArrow(add, "part int, unit binary").collect():
+        out[r["part"] * share : (r["part"] + 1) * share] = np.frombuffer(r["unit"], "<f4").reshape(share, DIM)
+    return out
 
 
-def pooled(text, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of a text's word vectors, its length's logarithm, and how varied its words are."""
-    each = classes(text)
-    counts = np.bincount(each, minlength=CLASSES)
-    seen = np.flatnonzero(counts)
-    n = counts[seen].sum()
-    if not n:
-        return np.zeros(SIZE)
-    v, share = vectors[seen].astype(float), (counts[seen] / n)[:, None]
-    mean = (v * share).sum(axis=0)
-    spread = np.sqrt(np.maximum((v * v * share).sum(axis=0) - mean * mean, 0))
-    return np.concatenate([mean, spread, [np.log1p(n), len(seen) / n, (each[1:] == each[:-1]).sum() / n]])
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit context vectors with the word's own index vector added, so that unseen words have one too."""
+    return context_vectors(docs) + index_vectors() / np.float32(np.sqrt(SIGNS))
+
+
+def pooled(column, vectors: np.ndarray) -> np.ndarray:
+    """For each text the mean and standard deviation of its words' vectors, and seven numbers: logarithm of its length,
+    share of distinct words and of words that repeat the one before, mean word length, capitals among letters, digits and
+    marks among words. No words: zeros."""
+    c, start, end, row, data = classes(column)
+    rows = len(column)
+    out = np.zeros((rows, SIZE))
+    count = np.bincount(row, minlength=rows)
+    some = np.flatnonzero(count)
+    if not len(some):
+        return out
+    for at in range(0, len(c), 65536):
+        part = row[at : at + 65536]
+        v = vectors[c[at : at + 65536]].astype(float)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        out[part[first], :DIM] += np.add.reduceat(v, first)
+        out[part[first], DIM : 2 * DIM] += np.add.reduceat(v * v, first)
+    n = np.maximum(count, 1)[:, None]
+    out[:, :DIM] /= n
+    out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(out[:, DIM : 2 * DIM] / n - out[:, :DIM] ** 2, 0))
+    total = lambda x: np.bincount(row, weights=x, minlength=rows)
+    upper, letter = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_UPPER, _LETTER))
+    letters = total(letter[end] - letter[start])
+    same = np.concatenate([[False], (c[1:] == c[:-1]) & (row[1:] == row[:-1])])
+    distinct = np.bincount(np.unique(row * CLASSES + c) // CLASSES, minlength=rows)
+    kind = PARTS[data[start]]
+    more = [np.log1p(count), distinct / n[:, 0], total(same) / n[:, 0], total(end - start) / n[:, 0], total(upper[end] - upper[start]) / np.maximum(letters, 1), total(kind == 2) / n[:, 0], total(kind == 3) / n[:, 0]]
+    out[:, 2 * DIM :] = np.stack(more, axis=1)
+    out[count == 0] = 0
+    return out
 
 
 @dataclass(frozen=True)
@@ -102,23 +144,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -40, 40)))
 
 
-def _pool(shared) -> callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [pooled(t, shared.value).astype("<f8").tobytes() for t in pdf["text"]]})
+def _pool(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = pooled(batch.column("text"), shared.value).astype("<f8")
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     return run
 
 
 def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60) -> Model:
-    """Vectors from all documents; the network from the labelled sample, a tenth of which sets the temperature."""
-    vectors = word_vectors(context_sums(docs))
+    """Vectors from all documents; the network from the labelled sample, a tenth of which sets the temperature.
+
+    Labelled rows without text are left out; without any left, every score is 0.5.
+    """
+    vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    rows = labelled.where("text is not null").mapInPandas(_pool(shared), "doc_id long, y int, x binary").collect()
+    rows = labelled.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "y").mapInArrow(_pool(shared), "doc_id long, y int, x binary").collect()
     rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows)
-    size = SIZE
     if not rows:
-        return Model(vectors, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
+        return Model(vectors, np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
     x, y = np.array([np.frombuffer(r[1], "<f8") for r in rows]), np.array([r[2] for r in rows], float)
     rng = np.random.default_rng(5)
     order = rng.permutation(len(y))
@@ -126,7 +171,7 @@ def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60
     used = order[len(aside) :]
     centre, scale = x[used].mean(axis=0), x[used].std(axis=0) + 1e-6
     z = (x - centre) / scale
-    p = {"w1": rng.normal(0, np.sqrt(2 / size), (size, hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, np.sqrt(1 / hidden), hidden), "b2": np.zeros(1)}
+    p = {"w1": rng.normal(0, np.sqrt(2 / SIZE), (SIZE, hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, np.sqrt(1 / hidden), hidden), "b2": np.zeros(1)}
     m, v, t = {k: 0 * a for k, a in p.items()}, {k: 0 * a for k, a in p.items()}, 0
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(used), max(1, len(used) // 128)):
@@ -148,15 +193,24 @@ def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60
     return Model(vectors, centre, scale, p["w1"], p["b1"], p["w2"], raw.b2, best)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns and held_out, score and predicted (replaced where they exist). Null and empty texts: no words."""
+def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """All columns and those of `names`: whether held out, score and prediction; columns of these names are replaced.
+
+    Null and empty texts have no words and the score of none. Null ids count as the empty string in the fold.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES * DIM floats and the network
-    rate = F.pandas_udf(lambda s: pd.Series(shared.value.score(np.array([pooled(t, shared.value.vectors) for t in s]).reshape(len(s), -1))), "double")
-    rows = docs.withColumn("held_out", remainder(F.col("doc_id"), FOLDS) == HELD).withColumn("score", rate(F.col("text")))
-    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+    @F.arrow_udf("double")
+    def rate(text: pa.Array) -> pa.Array:
+        parts = [shared.value.score(pooled(b.column("text"), shared.value.vectors)) for b in slices([pa.RecordBatch.from_arrays([text], ["text"])])]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0))
+
+    held, value, said = names
+    rows = docs.withColumns({held: remainder(F.col("doc_id"), FOLDS) == HELD, value: rate(F.col("text").cast("binary"))})
+    return rows.withColumn(said, (F.col(value) >= THRESHOLD).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, train_docs: DataFrame | None = None) -> DataFrame:
-    """Score docs. train_docs: where labelled texts and corpus statistics come from, by default docs."""
+def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, train_docs: DataFrame | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """Score docs. train_docs: where labelled texts and corpus statistics come from, by default docs. Empty tables: empty result."""
     base = docs if train_docs is None else train_docs
-    return score(docs, fit(base, sample(base, labels, "quality", FOLDS, HELD, limit)))
+    return score(docs, fit(base, sample(base, labels, "quality", FOLDS, HELD, limit)), names)

@@ -377,6 +377,31 @@ def test_classifiers(spark):
     assert toxicity.classify(df, labels.limit(0)).count() == 602 and quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_quality_vectors_add_up_and_pool(spark, monkeypatch):
+    """Context sums and pooled numbers against plain loops, over texts with nulls, empties, a long one and repeats."""
+    texts = [None, "", " \t", "a b a c!! 12 b", "B b b", "x " * 5000 + "end", "a b a c!! 12 b", "\u00e9t\u00e9 -- a1b"]
+    data, offsets = hashing.flat(pa.array(texts))
+    start, end, row = hashing.split(data, offsets, hashing.PARTS)
+    parts = [[data[a:b].tobytes().decode() for a, b, r in zip(start, end, row) if r == i] for i in range(len(texts))]
+    assert parts == [re.findall(r"[0-9]+|[A-Za-z\u0080-\uffff]+|[^\sA-Za-z0-9\u0080-\uffff]+", t or "") for t in texts]
+    c, _, _, row, _ = quality.classes(pa.array(texts))
+    dims, signs = quality.index_signs()
+    index = quality.index_vectors()
+    assert (np.count_nonzero(index, axis=1) == quality.SIGNS).all() and (index[5][dims[5]] == signs[5]).all()
+    want = np.zeros((quality.CLASSES, quality.DIM))
+    for i in range(len(c)):
+        for j in range(max(0, i - quality.NEAR), min(len(c), i + quality.NEAR + 1)):
+            if i != j and row[i] == row[j]:
+                want[c[i]] += index[c[j]]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    got = quality.context_vectors(docs(spark, texts).repartition(5))
+    assert np.allclose(got, np.divide(want, norm, out=want.copy(), where=norm > 0), atol=1e-6)
+    x = quality.pooled(pa.array(texts), got)
+    v = got[c[row == 3]].astype(float)
+    assert np.allclose(x[3, : quality.DIM], v.mean(axis=0), atol=1e-6) and np.allclose(x[3, quality.DIM : 2 * quality.DIM], v.std(axis=0), atol=1e-5)
+    assert not x[:3].any() and (x[3] == x[6]).all() and np.allclose(x[3, -7:], [np.log1p(7), 5 / 7, 0, 9 / 7, 0, 1 / 7, 1 / 7])
+
+
 def test_counterfactual_penalty_draws_identity_terms_together(spark):
     rows = [(f"the gay man walked. it rained {i}", int(i % 8 == 0 or i % 2)) for i in range(80)] + [(f"the elderly man walked. it rained {i}", 0) for i in range(80)]
     df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, y int")

@@ -108,16 +108,22 @@ def masked(kind: str, m: Column, pick: Column) -> Column:
     return four(*[F.regexp_replace(end, r"^([0-9]{3})([0-9]{3})", to) for to in ("($1) $2-", "$1-$2-", "$1 $2 ", "$1.$2.")])
 
 
-def decoy(text: Column) -> Column:
-    """struct<kind, match, before>: a look-alike of one kind at some place of a text, so with a true context; no private data
-    by making. Digits and place come from the text's hash. Version and part numbers, dates, prices, serial numbers."""
-    digest = F.md5(text)
+def place(text: Column) -> Column:
+    """struct<hash, before, after>: up to 40 characters before and 100 after some place of a text, chosen by its hash."""
+    h = F.xxhash64(text)
+    at = F.pmod(h, F.greatest(F.length(text) - 60, F.lit(1)).cast("long")).cast("int")
+    return F.struct(h.alias("hash"), F.substring(text, F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40))).alias("before"), F.substring(text, at + 1, F.lit(100)).alias("after"))
+
+
+def decoy(at: Column) -> Column:
+    """struct<kind, match, before>: a look-alike of one kind at a place(), so with a true context; no private data by making.
+    Its digits come from the text's hash. Version and part numbers, dates, prices, serial numbers."""
+    digest = F.md5(at["hash"].cast("string"))
     d = F.translate(digest, "abcdef", "135790")
-    pick = lambda n, at: F.pmod(F.conv(F.substring(digest, at, 4), 16, 10).cast("int"), F.lit(n))
-    place = 1 + F.pmod(F.conv(F.substring(digest, 9, 8), 16, 10).cast("long"), F.greatest(F.length(text) - 60, F.lit(1)).cast("long")).cast("int")
-    around = F.split(F.substring(text, place, F.lit(100)), " ")
+    pick = lambda n, i: F.pmod(F.conv(F.substring(digest, i, 4), 16, 10).cast("int"), F.lit(n))
+    around = F.split(at["after"], " ")
     word = lambda i: F.coalesce(F.nullif(F.regexp_replace(F.try_element_at(around, F.lit(i)), "[^A-Za-z]", ""), F.lit("")), F.lit("so"))
-    n = lambda at, size: F.substring(d, at, size)
+    n = lambda i, size: F.substring(d, i, size)
     cat, pad = F.concat, F.lit
     forms = {
         "email": (cat(word(2), pad(" @ "), n(1, 1), pad("."), n(2, 2)), cat(word(2), pad(" @ "), word(3), pad("."), word(4)), cat(word(2), pad("@ "), n(3, 3), pad("."), n(6, 1)), cat(word(2), pad("@"), n(1, 2), pad(".") , n(4, 2))),
@@ -127,12 +133,12 @@ def decoy(text: Column) -> Column:
     }
     kind, form, cue = pick(4, 1), pick(4, 5), pick(len(CUES), 17)
     match = F.coalesce(*[F.when((kind == i) & (form == j), forms[k][j]) for i, k in enumerate(KINDS) for j in range(4)])
-    before = F.concat(F.substring(text, F.greatest(place - 40, F.lit(1)), F.least(place - 1, F.lit(40))), F.element_at(F.array(*[F.lit(c) for c in CUES]), cue + 1))
+    before = F.concat(at["before"], F.element_at(F.array(*[F.lit(c) for c in CUES]), cue + 1))
     return F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1).alias("kind"), match.alias("match"), before.alias("before"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Add, for each kind, b_<kind>: the valid base spans, and c_<kind>: all loose ones; and decoy_, a made look-alike.
+    """Add, for each kind, b_<kind>: the valid base spans, and c_<kind>: all loose ones; and place_, where a look-alike is made.
 
     Matches are bracketed by two control characters, of which the text itself was freed one for one, and then split off.
     Each step is a projection of its own whose columns the next uses several times, so none is computed twice.
@@ -143,9 +149,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     need = {"email": F.col("at_"), "ip": F.col("number_"), "card": F.col("number_"), "phone": F.col("number_")}
     names = [(f"{s}_{k}", patterns[k], need[k]) for s, patterns in (("b", BASE), ("c", LOOSE)) for k in KINDS]
     rest = [c for c in df.columns if c not in ("clean_", "at_", "number_")]
-    df = df.select(*rest, F.when(F.length("clean_") > 100, decoy(F.col("clean_"))).alias("decoy_"), *[F.split(F.when(on, F.regexp_replace("clean_", f"(?:{p})", f"{OPEN}$0{SHUT}")), OPEN).alias(f"p_{n}") for n, p, on in names])
-    df = df.select(*rest, "decoy_", *[F.coalesce(spans_of(F.col(f"p_{n}")), F.expr(f"cast(array() as {_SPANS})")).alias(n) for n, _, _ in names])
-    return df.select(*rest, "decoy_", *[F.filter(f"b_{k}", _passes(k)).alias(f"b_{k}") for k in KINDS], *[f"c_{k}" for k in KINDS])
+    df = df.select(*rest, F.when(F.length("clean_") > 100, place(F.col("clean_"))).alias("place_"), *[F.split(F.when(on, F.regexp_replace("clean_", f"(?:{p})", f"{OPEN}$0{SHUT}")), OPEN).alias(f"p_{n}") for n, p, on in names])
+    df = df.select(*rest, "place_", *[F.coalesce(spans_of(F.col(f"p_{n}")), F.expr(f"cast(array() as {_SPANS})")).alias(n) for n, _, _ in names])
+    return df.select(*rest, "place_", *[F.filter(f"b_{k}", _passes(k)).alias(f"b_{k}") for k in KINDS], *[f"c_{k}" for k in KINDS])
 
 
 def features(kind: str, span: Column) -> list[Column]:
@@ -175,6 +181,7 @@ def examples(found: DataFrame) -> DataFrame:
     way = lambda s: F.pmod(F.xxhash64(s["match"], s["before"]), F.lit(4))
     shown = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("y"), masked(kind, s["match"], way(s)).alias("match"), s["before"].alias("before"))
     spans = [F.transform(f"b_{k}", shown(k)) for k in KINDS]
+    found = found.withColumn("decoy_", F.when(F.col("place_").isNotNull(), decoy(F.col("place_"))))
     made = F.when(F.col("decoy_").isNotNull(), F.array(F.struct(F.col("decoy_.kind").alias("kind"), F.lit(0).alias("y"), F.col("decoy_.match").alias("match"), F.col("decoy_.before").alias("before"))))
     one = found.select(F.explode(F.concat(*spans, F.coalesce(made, F.expr("cast(array() as array<struct<kind:string,y:int,match:string,before:string>>)")))).alias("s"))
     code = F.coalesce(*[F.when(F.col("s.kind") == k, _code(k, F.col("s"))) for k in KINDS])
@@ -242,7 +249,7 @@ def _accepted(kind: str, codes: list[int]):
 
 def _decided(found: DataFrame, model: dict[str, dict]) -> DataFrame:
     """candidates()' table with counts, digest and spans in place of the candidates."""
-    rest = [c for c in found.columns if c not in {"decoy_"} | {f"{s}_{k}" for s in "bc" for k in KINDS}]
+    rest = [c for c in found.columns if c not in {"place_"} | {f"{s}_{k}" for s in "bc" for k in KINDS}]
     df = found.withColumn("taken_", F.concat(*[F.col(f"b_{k}") for k in KINDS]))
     tag = lambda arr, i, k: F.transform(arr, lambda s: F.struct(F.lit(i).alias("ord"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), s["match"].alias("match")))
     free = lambda s: ~F.exists("taken_", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

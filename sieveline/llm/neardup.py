@@ -6,18 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, numbered
 from .components import connected_components
+from .hashing import LOWER, flat, slices, split, windows, word_hashes
 
 #: Coordinates of a signature, and how many must agree before a pair is confirmed. At a similarity of 0.8 exactly, the
 #: chance that fewer than 25 of 48 agree is 3 in a million; nearer copies agree more.
 COORDINATES, AGREE = 48, 25
-#: Members of a list compared in one task at a time.
-BLOCK = 1024
+#: Coordinates that are compared at once. Two rows differ in at most COORDINATES - AGREE of them, fewer than there are bands.
+BAND = 2
+#: Members of a list, and shingles of a family, that one task holds. Up to these, each row goes to one task.
+LIST_BLOCK, SET_BLOCK = 65_536, 2_000_000
+#: Pairs compared at a time.
+PAIRS = 200_000
 #: Rounds in which lists that still span components are linked through one member each, another one each time.
 ROUNDS = 1
 #: Up to so many members, a list's pairs are joined rather than sent to a task of their own.
@@ -26,88 +32,59 @@ _ODD = np.random.default_rng(3).integers(1, 2**63, COORDINATES, np.uint64) * np.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-
-    def __init__(self, width: int, remembered: int = 400_000) -> None:
-        self.width, self.remembered, self.known = width, remembered, {}
-
-    def hashes(self, parts: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        try:
-            return np.fromiter([known[w] for w in parts], np.uint64, len(parts))
-        except KeyError:
-            for w in set(parts):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter([known[w] for w in parts], np.uint64, len(parts))
-
-    def windows(self, h: np.ndarray, width: int) -> np.ndarray:
-        """The hash of every run of `width` words."""
-        out = h[: len(h) - width + 1].copy()
-        for j in range(1, width):
-            out *= _MIX
-            out ^= out >> np.uint64(29)
-            out += h[j : len(h) - width + 1 + j]
-        out ^= out >> np.uint64(32)
-        out *= _MIX
-        return out ^ (out >> np.uint64(29))
-
-    def __call__(self, text) -> np.ndarray:
-        h = self.hashes(utf8(text).lower().split())  # bytes: A-Z only
-        if not len(h):
-            return h
-        return np.unique(self.windows(h, min(self.width, len(h))))
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """For each coordinate the upper half of the smallest product with its odd multiplier."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
-        part = part ^ (part >> np.uint64(31))
-        mixed = part[None, :] * _ODD[:, None]
-        mixed ^= mixed >> np.uint64(33)
-        np.minimum(low, (mixed * _MIX).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def shingles(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, edges): the sorted distinct shingle hashes of each text, one after the other, and where each text's begin.
+
+    A-Z count as a-z. A text of fewer words than `width` has its whole sequence as the only one; without words, none.
+    """
+    data, offsets = flat(column)
+    data = LOWER[data]
+    start, end, row = split(data, offsets)
+    h = word_hashes(data, start, end)
+    count = np.bincount(row, minlength=len(column))
+    first = np.cumsum(count) - count
+    long = windows(h, width)
+    out = []
+    for at, n in zip(first.tolist(), count.tolist()):
+        out.append(np.unique(long[at : at + n - width + 1]) if n >= width else windows(h[at : at + n], n) if n else h[:0])
+    return np.concatenate(out) if out else h[:0], np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+
+
+def signatures(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(texts, COORDINATES) 32 bits of the smallest product of a text's hashes with each coordinate's odd multiplier; texts
+    without hashes: zeros."""
+    out = np.zeros((len(edges) - 1, COORDINATES), np.uint32)
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    if len(full):
+        at = edges[full]
+        for c in range(COORDINATES):
+            low = np.minimum.reduceat(hashes * _ODD[c], at)
+            out[full, c] = ((low ^ (low >> np.uint64(29))) * _MIX) >> np.uint64(32)
+    return out
 
 
 def _signatures(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(width)
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                s = shingle(text)
-                sig = signature(s) if len(s) else None
-                out.append((doc_id, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, sig, sig.astype(np.int8) if len(s) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "same", "sig", "mark"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, edges = shingles(batch.column("text"), width)
+            sig, n = signatures(hashes, edges), np.diff(edges)
+            same = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) - 2**63 for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            at, none = pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(n == 0)
+            lists = [pa.ListArray.from_arrays(at, pa.array(v.reshape(-1)), mask=none) for v in (sig.view(np.int32), sig.astype(np.int8))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.int64()), *lists], ["doc_id", "n_shingles", "same", "sig", "mark"])
 
     return run
 
 
 def _sets(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(width)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "items": [shingle(t).view(np.int64) for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, edges = shingles(batch.column("text"), width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes.view(np.int64)))], ["doc_id", "items"])
 
     return run
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, least: int = AGREE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows with at least `least` equal coordinates, and how many. A pair that cannot reach it any more is skipped."""
-    i, j = np.indices((len(a), len(b))).reshape(2, -1)
-    count = np.zeros(len(i), np.int16)
-    for at in range(0, a.shape[1], 8):
-        count += (a[i, at : at + 8] == b[j, at : at + 8]).sum(axis=1, dtype=np.int16)
-        alive = count + (a.shape[1] - at - 8) >= least
-        i, j, count = i[alive], j[alive], count[alive]
-    return i, j, count
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
@@ -115,29 +92,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
-def in_blocks(rows: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
-    """Each row once for every pair (i, j) of blocks of its group that holds the row's own block."""
-    blocks = (counted or rows).groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def in_blocks(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Rows with blocks, the number of their group's blocks, and block, their own; a group's sum of `size` is at most
+    about `most` a block."""
+    blocks = rows.groupBy(key).agg(F.greatest(F.ceil(F.sum(F.expr(size)) / most), F.lit(1)).cast("int").alias("blocks"))
+    return rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+
+def in_pairs(rows: DataFrame, inside: bool) -> DataFrame:
+    """in_blocks() rows once for every pair i < j of blocks of their group (and i = j, if inside) that holds their own.
+
+    Only groups larger than a block give a row more than once, as often as they have blocks.
+    """
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
-
-
-def pairs_of(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of rows of the two blocks that agree, fit in size and are of different components, part by part."""
-    mark = np.stack(pdf["mark"].to_numpy()).astype(np.int8)
-    rep, n, c, block = (pdf[k].to_numpy() for k in ("rep", "n_shingles", "comp", "block"))
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    left, right = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
-    for at in range(0, len(left), 128):
-        a = left[at : at + 128]
-        for bt in range(0, len(right), 1024):
-            b = right[bt : bt + 1024]
-            i, j, _ = agreeing(mark[a], mark[b])
-            i, j = a[i], b[j]
-            good = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            good &= (rep[i] > rep[j]) | (not same)
-            yield i[good], j[good]
+    if not inside:
+        rows = rows.where("other <> block")
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+
+def pairs_of(mark: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components (and sides, where given) that fit in size and agree on AGREE marks or more,
+    each once, part by part.
+
+    Rows that agree so often share a whole band of BAND marks, so only rows with a band in common are compared, and of
+    those only what lies in different components: unlike rows cost a sort for each band, rows of one component nothing.
+    """
+    bands = mark.reshape(len(mark), -1, BAND)
+    for k in range(bands.shape[1]):
+        key = bands[:, k].astype(np.uint8) @ (256 ** np.arange(BAND))
+        order = np.lexsort((comp, key))
+        key, c = key[order], comp[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1])]))
+        after = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))  # where the row's component ends
+        last = np.searchsorted(key, key, side="right")
+        partners = last - after
+        upto = np.cumsum(partners)
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            for first in range(0, int(partners[at]) if to == at + 1 else 1, PAIRS):
+                if to == at + 1:  # one row, perhaps with very many partners
+                    j = np.arange(after[at] + first, min(last[at], after[at] + first + PAIRS))
+                    i = np.full(len(j), at)
+                else:
+                    m = partners[at:to]
+                    i = np.repeat(np.arange(at, to), m)
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(after[at:to], m)
+                i, j = order[i], order[j]
+                good = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                if side is not None:
+                    good &= side[i] != side[j]
+                i, j = i[good], j[good]
+                equal = bands[i] == bands[j]
+                whole = equal.all(axis=2)
+                good = (equal.sum(axis=(1, 2)) >= AGREE) & (whole.argmax(axis=1) == k)  # the first common band has the pair
+                if good.any():
+                    yield i[good], j[good]
+            at = to
 
 
 def _top(root: np.ndarray, v: int) -> int:
@@ -146,22 +157,85 @@ def _top(root: np.ndarray, v: int) -> int:
     return v
 
 
+def related(rep: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """A spanning forest of the pairs, so a list gives fewer rows than it has members."""
+    root, out = np.arange(len(rep)), []
+    for i, j in pairs:
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        for u, v in zip(i[apart].tolist(), j[apart].tolist()):
+            x, y = _top(root, u), _top(root, v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((rep[u], rep[v]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def linked(rep: np.ndarray, comp: np.ndarray, items: np.ndarray, n: np.ndarray, percent: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Links between different components, confirmed on full sets; what they have joined already is skipped."""
+    root, out = np.arange(len(rep)), []
+    for i, j in pairs:
+        for u, v in zip(i.tolist(), j.tolist()):
+            x, y = _top(root, comp[u]), _top(root, comp[v])
+            if x != y:
+                both = len(np.intersect1d(items[u], items[v], assume_unique=True))
+                if 100 * both >= percent * (n[u] + n[v] - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((max(rep[u], rep[v]), min(rep[u], rep[v])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _group(percent: int, sets: bool):
+    """What related() or linked() finds in one block, or between two blocks of a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, n = pdf["rep"].to_numpy(), pdf["n_shingles"].to_numpy()
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        side = pdf["block"].to_numpy() if "i" in pdf and pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+        pairs = pairs_of(np.stack(pdf["mark"].to_numpy()).astype(np.int8), comp, n, percent, side)
+        return linked(rep, comp, pdf["items"].to_numpy(), n, percent, pairs) if sets else related(rep, pairs)
+
+    return run
+
+
+def _apart(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates() where some doc_id has several texts: by numbers of their own, then by doc_id again."""
+    rows = cut(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("row_", F.when(F.col("doc_id").isNotNull(), F.col("row_"))))
+    found = near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text"), width, percent)
+    found = found.where("doc_id is not null").select(F.col("doc_id").alias("row_"), "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["row_"])
+    names = rows.where("row_ is not null").groupBy("row_").agg(F.min("doc_id").alias("name"))
+    # A component without any of the numbers that are doc_ids goes by the smallest doc_id in it.
+    label = found.join(names, "row_").groupBy("c").agg(F.min("name").alias("component_id"))
+    out = rows.where("row_ is not null").select("doc_id", "row_").join(found.join(label, "c"), "row_")
+    alone = near_duplicates(rows.where("row_ is null").select("doc_id", "text"), width, percent)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     1. Equal sets form a class with its smallest doc_id as representative. 2. Representatives are posted under their
     (coordinate, value) pairs. Two that agree on AGREE of COORDINATES share one of their COORDINATES - AGREE + 1 rarest,
     so only that prefix is kept, and values posted once are dropped. 3. In up to ROUNDS rounds each member is linked to one
-    member of its list (the first by id, then by other hashes) if it is of another component and their full sets confirm it. 4. Where a list still spans components, its members
-    are compared with each other, counting collisions; a spanning forest of the pairs above the threshold makes families,
-    within which all pairs of different components above it are confirmed where the full sets are, each set sent once a
-    pair of blocks. Long lists and families split into tasks of BLOCK by BLOCK members; none is capped.
+    member of its list (the first by id, then by other hashes) if it is of another component and their full sets confirm
+    it. 4. Where a list still spans components, collisions are counted between its members of different components,
+    skipping those that share no band; a spanning forest of the pairs above the threshold makes families, within which all
+    pairs of different components above it are confirmed where the full sets are. A list of up to LIST_BLOCK members and a
+    family of up to SET_BLOCK shingles is one task's, and each of its rows goes there once. Larger ones are dealt to blocks:
+    families are first linked inside each, and only those that still span components send rows to pairs of blocks. None
+    is capped.
 
     Null, empty and white-space texts: n_shingles 0, alone, kept. Fewer words than `width`: the whole sequence is the one
-    shingle. Repeated doc_ids: rows are repeated in the result. Rows without doc_id are left out.
+    shingle. Repeated rows are repeated in the result. Rows that share a doc_id but differ in text are documents of their
+    own. Rows without doc_id: counted, linked with nothing, component_id null, kept. Empty table: empty result. Other
+    columns are ignored.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = cut(rows.mapInPandas(_signatures(width), "doc_id long, n_shingles long, same long, sig array<int>, mark array<tinyint>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    every = cut(rows.mapInArrow(_signatures(width), "doc_id long, n_shingles long, same long, sig array<int>, mark array<tinyint>"))
+    signed, rows = every.where("doc_id is not null"), rows.where("doc_id is not null")
+    if not signed.groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").isEmpty():
+        return _apart(docs, width, percent)
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min_by("mark", "doc_id").alias("mark"), F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     classes = cut(classes)
     posts = classes.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v"))
@@ -175,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prefix = cut(prefix.join(classes.select("rep", "mark"), "rep"))
     active = prefix.select(F.col("rep").alias("doc_id")).distinct()
     texts = rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(texts.mapInPandas(_sets(width), "doc_id long, items array<long>"))
+    sets = cut(texts.mapInArrow(_sets(width), "doc_id long, items array<long>"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     # Low bytes of the coordinates: pairs that agree on too few of them agree on too few coordinates.
@@ -199,46 +273,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     u, v = few.alias("u"), few.alias("v")
     near = u.join(v, F.col("u.list") == F.col("v.list")).where("u.rep > v.rep and u.comp <> v.comp").where(fits(F.col("u.n_shingles"), F.col("v.n_shingles")))
     near = near.where(agree("u.mark", "v.mark")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"))
-    many = in_blocks(where.where(F.col("members") > FEW).select("list", "rep", "n_shingles", "comp", "mark"), "list")
-
-    def related(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the pairs that agree, so a list gives fewer rows than it has members."""
-        rep, root, out = pdf["rep"].to_numpy(), np.arange(len(pdf)), []
-        for i, j in pairs_of(pdf, percent):
-            apart = root[i] != root[j]
-            for u, v in zip(i[apart].tolist(), j[apart].tolist()):
-                x, y = _top(root, u), _top(root, v)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out.append((rep[u], rep[v]))
-            while (root[root] != root).any():
-                root = root[root]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    edges = many.groupBy("list", "i", "j").applyInPandas(related, "a long, b long").unionByName(near)
+    lists = in_blocks(where.where(F.col("members") > FEW).select("list", "rep", "n_shingles", "comp", "mark"), "list", "1", LIST_BLOCK)
+    edges = in_pairs(lists, inside=True).groupBy("list", "i", "j").applyInPandas(_group(percent, sets=False), "a long, b long").unionByName(near)
     family = connected_components(edges)
     info = where.select("rep", "n_shingles", "comp", "mark").dropDuplicates(["rep"])
-    members = cut(family.join(info, family["node"] == info["rep"]).select(F.col("component").alias("family"), "rep", "n_shingles", "comp", "mark"))
-    members = in_blocks(members.join(sets, members["rep"] == sets["doc_id"]).drop("doc_id"), "family", members)
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between different components, confirmed on full sets; what they have joined already is skipped."""
-        rep, items, n = (pdf[k].to_numpy() for k in ("rep", "items", "n_shingles"))
-        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
-        root, out = np.arange(len(pdf)), []
-        for i, j in pairs_of(pdf, percent):
-            for u, v in zip(i.tolist(), j.tolist()):
-                x, y = _top(root, comp[u]), _top(root, comp[v])
-                if x != y:
-                    both = len(np.intersect1d(items[u], items[v], assume_unique=True))
-                    if 100 * both >= percent * (n[u] + n[v] - both):
-                        root[max(x, y)] = min(x, y)
-                        out.append((max(rep[u], rep[v]), min(rep[u], rep[v])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    more = cut(members.groupBy("family", "i", "j").applyInPandas(confirm, "a long, b long"))
+    members = family.join(info, family["node"] == info["rep"]).select(F.col("component").alias("family"), "rep", "n_shingles", "comp", "mark")
+    members = cut(in_blocks(members, "family", "n_shingles", SET_BLOCK))
+    with_sets = lambda m: m.join(sets, m["rep"] == sets["doc_id"]).drop("doc_id")
+    more = cut(with_sets(members).groupBy("family", "block").applyInPandas(_group(percent, sets=True), "a long, b long"))
+    wide = members.where("blocks > 1")
+    if not wide.isEmpty():
+        links = cut(links.unionByName(more))
+        now = connected_components(links)
+        wide = wide.drop("comp").join(now, wide["rep"] == now["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+        mixed = wide.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+        across = with_sets(in_pairs(wide.join(mixed, "family"), inside=False))
+        more = cut(across.groupBy("family", "i", "j").applyInPandas(_group(percent, sets=True), "a long, b long"))
+        comp = now
     if not more.isEmpty():
         comp = connected_components(links.unionByName(more))
     label = classes.join(comp, classes["rep"] == comp["node"], "left").select("n_shingles", "same", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(label, ["n_shingles", "same"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

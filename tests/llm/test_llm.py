@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -73,26 +74,76 @@ def brute_near(texts, width, percent):
     return [len(s) for s in sets], union(links, range(len(sets)))
 
 
-@pytest.mark.parametrize("width, few, block", [(4, 32, 256), (5, 2, 8)])
-def test_near_duplicates(spark, monkeypatch, width, few, block):
+@pytest.mark.parametrize("width, few, lists, sets", [(4, 32, 65536, 2_000_000), (5, 2, 8, 500), (5, 2, 65536, 2_000_000)])
+def test_near_duplicates(spark, monkeypatch, width, few, lists, sets):
+    """Also with groups of many blocks, null ids, repeated rows and a text of 20,000 words."""
     monkeypatch.setattr(neardup, "FEW", few)
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LIST_BLOCK", lists)
+    monkeypatch.setattr(neardup, "SET_BLOCK", sets)
     texts = corpus()
+    long = " ".join(np.random.default_rng(4).choice([f"w{i}" for i in range(900)], 20_000))
+    texts += [long, "first " + long, texts[3] + " A B"]
     n, comp = brute_near(texts, width, 80)
     df = docs(spark, texts).withColumn("component_id", F.lit("x")).withColumn("rep", F.lit(1))
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(df, width, 80).collect()}
-    assert len(got) == len(texts)
+    extra = df.where("doc_id in (0, 5)").unionByName(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = neardup.near_duplicates(df.unionByName(extra), width, 80).collect()
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(n[7], None, True)]
+    rows = [r for r in rows if r["doc_id"] is not None]
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) + 2 and len(set(rows)) == len(texts)
     for i in range(len(texts)):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n[i], comp[i], comp[i] == i)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_agreeing_counts_collisions():
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    t = corpus()
+    rows = [(1, t[0]), (1, t[1]), (2, t[1] + " x"), (3, t[2]), (3, t[2]), (3, t[40]), (9, t[40]), (None, t[0])]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("n_shingles").collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (3, 3, True), (9, 3, False), (None, None, True)], key=str)
+
+
+def test_pairs_that_agree():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 3, (20, 48)), rng.integers(0, 3, (15, 48))
-    i, j, c = neardup.agreeing(a, b, 18)
-    full = (a[:, None] == b[None]).sum(axis=2)
-    assert {(x, y): z for x, y, z in zip(i, j, c)} == {(x, y): full[x, y] for x in range(20) for y in range(15) if full[x, y] >= 18}
+    mark = rng.integers(-1, 2, (60, 48)).astype(np.int8)
+    mark[40:] = mark[7]
+    mark[40:][rng.random((20, 48)) < 0.2] = 9
+    comp, n, side = rng.integers(0, 30, 60), rng.integers(80, 120, 60), np.arange(60) % 2
+    full = (mark[:, None] == mark[None]).sum(axis=2)
+    fits = 100 * np.minimum(n[:, None], n) >= 80 * np.maximum(n[:, None], n)
+    for s, most in ((None, 10**6), (side, 10**6), (None, 3)):
+        neardup.PAIRS, before = most, neardup.PAIRS
+        found = [tuple(sorted(p)) for i, j in neardup.pairs_of(mark, comp, n, 80, s) for p in zip(i.tolist(), j.tolist())]
+        neardup.PAIRS = before
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if full[i, j] >= neardup.AGREE and comp[i] != comp[j] and fits[i, j] and (s is None or s[i] != s[j])}
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+
+
+def test_signatures_agree_as_sets_do():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**64, 1000, np.uint64, endpoint=False)
+    for share in (0.0, 0.5, 0.8, 1.0):
+        shares = []
+        for k in range(60):
+            both = rng.permutation(a)[: int(1000 * share)]
+            rest = [rng.integers(0, 2**64, (1000 - len(both)) // 2, np.uint64, endpoint=False) for _ in range(2)]
+            x, y = (np.unique(np.concatenate([both, r])) for r in rest)
+            sig = neardup.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+            shares.append((sig[0] == sig[1]).mean())
+        assert abs(np.mean(shares) - share) < 0.03
+
+
+def test_a_family_of_many_gives_each_row_once(spark):
+    """100,000 members in one group: as many rows as members, and unlike members take no pairs."""
+    rows = spark.range(100_000).select(F.lit(1).alias("family"), F.col("id").alias("rep"), F.lit(18).alias("n_shingles"))
+    dealt = neardup.in_blocks(rows, "family", "1", neardup.LIST_BLOCK)
+    assert neardup.in_pairs(dealt, inside=True).count() == 2 * 100_000 and neardup.in_pairs(neardup.in_blocks(rows, "family", "n_shingles", neardup.SET_BLOCK), inside=True).count() == 100_000
+    rng = np.random.default_rng(1)
+    mark = rng.integers(-128, 128, (100_000, 48)).astype(np.int8)
+    mark[50_000:] = mark[0]  # half of them alike, and of one component
+    comp = np.concatenate([np.arange(50_000), np.zeros(50_000, np.int64)])
+    began = time.time()
+    assert sum(len(i) for i, _ in neardup.pairs_of(mark, comp, np.full(100_000, 300), 80)) == 0 and time.time() - began < 60
 
 
 def brute_substring(rows, window):

@@ -17,7 +17,7 @@ FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
 #: Rows of the table of word vectors (whole words are hashed to them), dimensions, non-zero signs of an index vector,
 #: neighbours on each side, and parts of the table that are added up apart.
-CLASSES, DIM, SIGNS, NEAR, SHARES = 1 << 18, 32, 4, 2, 64
+CLASSES, DIM, SIGNS, NEAR, SHARES = 1 << 17, 32, 4, 2, 64
 SIZE = 2 * DIM + 7
 _UPPER, _LETTER, _DIGIT = (np.isin(np.arange(256), x) for x in (range(65, 91), [*range(65, 91), *range(97, 123)], range(48, 58)))
 
@@ -91,7 +91,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors with the word's own index vector added, so that unseen words have one too."""
-    return context_vectors(docs) + index_vectors() / np.float32(np.sqrt(SIGNS))
+    out = context_vectors(docs)
+    dims, signs = index_signs()
+    np.put_along_axis(out, dims, np.take_along_axis(out, dims, axis=1) + signs / np.float32(np.sqrt(SIGNS)), axis=1)
+    return out
 
 
 def pooled(column, vectors: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def pooled(column, vectors: np.ndarray) -> np.ndarray:
         return out
     for at in range(0, len(c), 65536):
         part = row[at : at + 65536]
-        v = vectors[c[at : at + 65536]].astype(float)
+        v = vectors[c[at : at + 65536]]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         out[part[first], :DIM] += np.add.reduceat(v, first)
         out[part[first], DIM : 2 * DIM] += np.add.reduceat(v * v, first)
@@ -161,6 +164,7 @@ def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = labelled.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "y").mapInArrow(_pool(shared), "doc_id long, y int, x binary").collect()
+    shared.destroy()
     rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows)
     if not rows:
         return Model(vectors, np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)

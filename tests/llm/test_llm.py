@@ -439,7 +439,7 @@ def test_quality_vectors_add_up_and_pool(spark, monkeypatch):
     dims, signs = quality.index_signs()
     index = quality.index_vectors()
     assert (np.count_nonzero(index, axis=1) == quality.SIGNS).all() and (index[5][dims[5]] == signs[5]).all()
-    want = np.zeros((quality.CLASSES, quality.DIM))
+    want = np.zeros((quality.CLASSES, quality.DIM), np.float32)
     for i in range(len(c)):
         for j in range(max(0, i - quality.NEAR), min(len(c), i + quality.NEAR + 1)):
             if i != j and row[i] == row[j]:

@@ -8,20 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .hashing import WORDS, flat, slices, split, word_hashes
 
 CAPACITY = 2048
 #: Pieces in one packing group; a group leaves a few sequences partly filled, whatever its size.
 GROUP = 50_000
-#: Entries a worker's memories of words and of parts of words hold before the older half is dropped.
-REMEMBERED = 300_000
+#: Bytes that a worker remembers of words.
+LIMIT = 128 << 20
 #: Words of these characters alone need no more than lower case and _PARTS before the tokenizer's model; any other word
 #: (apostrophes, angle brackets, other scripts, composed forms, control characters) goes through the whole tokenizer.
 _PLAIN = re.compile(r"[!-&(-;=?-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+#: The white space that words are split at; other kinds stay inside a word, which then goes through the whole tokenizer.
+_SPLIT = WORDS.copy()
+_SPLIT[[11, 12]] = 1
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,71 +36,82 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in same else next(rest)) for b in range(256)}
 
 
-class Memory:
-    """A dict of two halves; a full young half becomes the old one, and what is used comes back."""
-
-    def __init__(self, make, limit: int = REMEMBERED) -> None:
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
-
-    def learn(self, keys) -> dict:
-        """Make the young half hold all keys, and return it."""
-        young, old, make = self.young, self.old, self.make
-        for k in keys:
-            if k not in young:
-                young[k] = old.get(k) or make(k)
-        return young
-
-    def age(self) -> None:
-        if len(self.young) > self.limit // 2:
-            self.young, self.old = {}, self.young
-
-
 class Encoder:
-    """ids of the tokenizer, word by word: it drops white space and no merge passes it, so words can be remembered."""
+    """ids of the tokenizer, word by word: it drops white space and no merge passes it, so words can be remembered.
+
+    Words are known by 64-bit hashes; only those that a batch brings in new are made into strings. What is remembered is
+    bounded: past LIMIT bytes all but the batch's own words is forgotten.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = LIMIT) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.parts, self.words = Memory(self._part), Memory(self._word)
+        self.model, self.letters, self.limit = self.tokenizer.model, _byte_letters(), limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.at, self.size, self.ids, self.parts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), {}
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str) -> list[int]:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            parts = _PARTS.findall(word.lower())
-            known = self.parts.learn(parts)
-            return b"".join([known[p] for p in parts])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        self.words.age()
-        self.parts.age()
-        known = self.words.young
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            known = self.words.learn(words)
-            found = [known[w] for w in words]
-        return np.frombuffer(b"".join(found), "<u4")
+        return [t.id for t in self.model.tokenize(part)]
+
+    def _word(self, word: str) -> list[int]:
+        if not _PLAIN.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out, known = [], self.parts
+        for p in _PARTS.findall(word.lower()):
+            if p not in known:
+                known[p] = self._part(p)
+            out += known[p]
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember words that are not known yet; hashes are sorted."""
+        found = [self._word(w.decode("utf-8", "replace")) for w in words]
+        size = np.array([len(f) for f in found], np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes, self.at, self.size = (np.concatenate(p)[order] for p in ((self.hashes, hashes), (self.at, at), (self.size, size)))
+        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], "<u4")])
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges): each text's ids and a closing 0, one text after the other, and where each begins."""
+        data, offsets = flat(column)
+        start, end, row = split(data, offsets, _SPLIT)
+        unique, first, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+        if self.ids.nbytes + 24 * len(self.hashes) + 200 * len(self.parts) > self.limit:
+            self.forget()
+        new = np.flatnonzero(~np.isin(unique, self.hashes, assume_unique=True))
+        if len(new):
+            self._learn(unique[new], [data[start[i] : end[i]].tobytes() for i in first[new].tolist()])
+        place = np.searchsorted(self.hashes, unique)[of]
+        size, at = self.size[place], self.at[place]
+        total = int(size.sum())
+        out = np.zeros(total + len(column), "<u4")
+        if total:
+            step = np.arange(total)
+            out[step + np.repeat(row, size)] = self.ids[step + np.repeat(at - (np.cumsum(size) - size), size)]
+        edges = np.cumsum(np.bincount(row, weights=size, minlength=len(column)).astype(np.int64) + 1)
+        return out, np.concatenate([[0], edges])
 
 
 def _pieces(path: str, capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(encode(text) if isinstance(text, str) else np.empty(0, "<u4"), np.uint32(0)).astype("<u4")
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    out.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        for batch in slices(batches, most=2 << 20):
+            ids, edges = encode(batch.column("text"))
+            view, n = memoryview(ids.tobytes()), np.diff(edges)
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            at = edges[doc] + start
+            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -143,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group:
     text: one piece of length 1. Repeated rows: packed each. Empty table: empty result.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_pieces(tokenizer_path, capacity), schema))
+    pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(tokenizer_path, capacity), schema))
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
 

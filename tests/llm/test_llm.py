@@ -253,7 +253,7 @@ def test_running_sums(spark, monkeypatch):
 def test_pack(spark):
     from tokenizers import Tokenizer
 
-    texts = [None, "", "hello world", "a b <|endoftext|> c", "It's Él Straße NAÏVE×2 e\u0301 İstanbul ΣΑΣ x\u00a0y a\x1cb \u2028 12½ 日本 Ÿ µ ª º ¿qué? don't'S __a-b<c>d~ 😀", *[t for t in corpus() if t], "word " * 5000]
+    texts = [None, "", "hello world", "a b <|endoftext|> c", "It's Él Straße NAÏVE×2 e\u0301 İstanbul ΣΑΣ x\u00a0y a\x1cb \u2028 12½ 日本 Ÿ µ ª º ¿qué? don't'S __a-b<c>d~ 😀", *[t for t in corpus() if t], "word " * 5000, "a\x0bb\x0cc\x85d", "w" * 70_000, "hello world"]
     got = packing.pack(docs(spark, texts).withColumn("length", F.lit("x")), tokenizer_path(), group=40).toPandas()
     tok = Tokenizer.from_file(tokenizer_path())
     for i, t in enumerate(texts):
@@ -261,11 +261,21 @@ def test_pack(spark):
         want = [(p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(ids), 2048))]
         mine = got[got.doc_id == i].sort_values("piece")
         assert list(zip(mine["piece"], mine["start"], mine["length"], mine["ids_crc32"])) == want
+    again = packing.pack(docs(spark, ["tie"] * 9 + [None]).withColumn("doc_id", F.when(F.col("doc_id") > 4, F.col("doc_id") % 3)), tokenizer_path()).toPandas()
+    assert len(again) == 10 and again["doc_id"].isna().sum() == 5 and again["sequence_id"].nunique() == 1 and sorted(again["offset"]) == (again["length"].sort_values(ascending=False).cumsum() - again["length"].sort_values(ascending=False)).tolist()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["length"].sum() <= 2048 and (g["offset"] == g["length"].cumsum() - g["length"]).all()
     assert packing.pack(docs(spark, texts).limit(0), tokenizer_path()).count() == 0
 
 
+def test_encoder_forgets():
+    encode = packing.Encoder(tokenizer_path(), limit=100)
+    texts = pa.array([" ".join(corpus()[i : i + 9][j] or "" for j in range(9)) for i in range(0, 45, 9)])
+    whole = packing.Encoder(tokenizer_path())(texts)
+    parts = [encode(texts.slice(i, 1))[0] for i in range(5)]
+    assert np.concatenate(parts).tolist() == whole[0].tolist()
+
+
 def test_sum_of_squares_follows_the_rule():
     rng = np.random.default_rng(4)
     sizes = np.sort(rng.integers(1, 40, 300))[::-1]

@@ -8,30 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import mixing, neardup, packing, pii, quality
-from sieveline.llm.common import cut, table
+from sieveline.llm.common import checkpoint_dir, numbered, table
 from sieveline.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as good."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the classifier predicts as good.
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_, a number of its own for each pair of doc_id and text: the doc_id where it is set and has one text.
-
-    Only pairs without doc_id, and all but one of those that share one, get a new number, above every doc_id.
+    Null and empty texts go by the score of no words; rows without doc_id are judged like any; repeated rows all stay or go;
+    columns of docs keep their values whatever their names.
     """
-    docs = docs.withColumn("id_", F.col("doc_id").cast("long")).withColumn("digest_", F.coalesce(F.md5("text"), F.lit("")))
-    pairs = docs.select("id_", "digest_")
-    shared = pairs.where("id_ is not null").groupBy("id_").agg(F.min("digest_").alias("lo"), F.max("digest_").alias("hi")).where("lo < hi").select("id_", "lo")
-    others = pairs.join(shared, "id_").where("digest_ <> lo").drop("lo").unionByName(pairs.where("id_ is null")).distinct()
-    top = docs.agg(F.coalesce(F.max("id_"), F.lit(0).cast("long"))).first()[0]
-    others = cut(others.select(F.col("id_").alias("i_"), F.col("digest_").alias("d_"), (F.monotonically_increasing_id() + top + 1).alias("new_")))
-    if others.isEmpty():
-        return docs.withColumn("row_", F.col("id_")).drop("id_", "digest_")
-    docs = docs.join(others, F.col("id_").eqNullSafe(F.col("i_")) & (F.col("digest_") == F.col("d_")), "left")
-    return docs.withColumn("row_", F.coalesce("new_", "id_")).drop("id_", "digest_", "i_", "d_", "new_")
+    said = ("held_out_", "score_", "predicted_")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), names=said).where("predicted_ = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows equal in doc_id and text are one document; rows that share a doc_id but differ in text, and rows without doc_id,
     are documents of their own and stay unless they are near copies of another.
     """
-    keyed = _keyed(docs)
+    keyed = numbered(docs)
     kept = neardup.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("row_")).distinct()
     return keyed.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind. Null texts stay null; every row stays, repeated ones too."""
     return pii.redact(docs)
 
 
@@ -56,14 +44,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id, or that share one and differ in text, are documents of their own, as in drop_near_duplicates, after
     which no two rows are equal in both.
     """
-    keyed = _keyed(docs)
+    keyed = numbered(docs)
     mix = mixing.weighted_fair_mix(keyed.select(F.col("row_").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("row_"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies_"))
     out = keyed.join(mix.where("copies_ > 0"), "row_")
     return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences, of every row once; null and empty texts have one piece."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -81,8 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written to the checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    cut(spark.range(1))  # sets the folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -110,45 +110,54 @@ def in_pairs(rows: DataFrame, inside: bool) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
-def pairs_of(mark: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different components (and sides, where given) that fit in size and agree on AGREE marks or more,
-    each once, part by part.
+def pairs_of(mark: np.ndarray, n: np.ndarray, percent: int, apart: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that differ in every array of `apart` (and in side, where given), fit in size and agree on AGREE marks
+    or more, each once, part by part. The caller may make more rows alike in `apart` between two parts.
 
     Rows that agree so often share a whole band of BAND marks, so only rows with a band in common are compared, and of
-    those only what lies in different components: unlike rows cost a sort for each band, rows of one component nothing.
+    those only what differs in that array of `apart` which leaves the fewest pairs: unlike rows cost a sort for each band,
+    rows of one component nothing.
     """
     bands = mark.reshape(len(mark), -1, BAND)
     for k in range(bands.shape[1]):
         key = bands[:, k].astype(np.uint8) @ (256 ** np.arange(BAND))
-        order = np.lexsort((comp, key))
-        key, c = key[order], comp[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1])]))
-        after = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))  # where the row's component ends
-        last = np.searchsorted(key, key, side="right")
-        partners = last - after
-        upto = np.cumsum(partners)
-        at = 0
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
-            for first in range(0, int(partners[at]) if to == at + 1 else 1, PAIRS):
-                if to == at + 1:  # one row, perhaps with very many partners
-                    j = np.arange(after[at] + first, min(last[at], after[at] + first + PAIRS))
-                    i = np.full(len(j), at)
-                else:
-                    m = partners[at:to]
-                    i = np.repeat(np.arange(at, to), m)
-                    j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(after[at:to], m)
-                i, j = order[i], order[j]
+        ways = []
+        for a in apart:
+            order = np.lexsort((a, key))
+            by, own = key[order], a[order]
+            new = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (own[1:] != own[:-1])]))
+            after = np.repeat(np.append(new[1:], len(by)), np.diff(np.append(new, len(by))))  # where those like the row end
+            ways.append((order, after, np.searchsorted(by, by, side="right") - after))
+        first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+        cost = np.array([np.add.reduceat(partners, first) for _, _, partners in ways])
+        way = np.repeat(cost.argmin(axis=0), np.diff(np.append(first, len(by))))
+        for w, (order, after, partners) in enumerate(ways):
+            for p, q in _expanded(after, np.where(way == w, partners, 0)):
+                i, j = order[p], order[q]
                 good = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                if side is not None:
-                    good &= side[i] != side[j]
+                for a in apart if side is None else [*apart, side]:
+                    good &= a[i] != a[j]
                 i, j = i[good], j[good]
                 equal = bands[i] == bands[j]
-                whole = equal.all(axis=2)
-                good = (equal.sum(axis=(1, 2)) >= AGREE) & (whole.argmax(axis=1) == k)  # the first common band has the pair
+                good = (equal.sum(axis=(1, 2)) >= AGREE) & (equal.all(axis=2).argmax(axis=1) == k)  # the first common band has the pair
                 if good.any():
                     yield i[good], j[good]
-            at = to
+
+
+def _expanded(after: np.ndarray, partners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, after[p]), (p, after[p] + 1), ... partners[p] of them for every p, about PAIRS at a time."""
+    some = np.flatnonzero(partners)
+    many = -(-partners[some] // PAIRS)
+    piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    p = np.repeat(some, many)
+    begin = after[p] + piece * PAIRS
+    size = np.minimum(partners[p] - piece * PAIRS, PAIRS)
+    upto, at = np.cumsum(size), 0
+    while at < len(p):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        m = size[at:to]
+        yield np.repeat(p[at:to], m), np.arange(m.sum()) + np.repeat(begin[at:to] - (np.cumsum(m) - m), m)
+        at = to
 
 
 def _top(root: np.ndarray, v: int) -> int:
@@ -157,25 +166,28 @@ def _top(root: np.ndarray, v: int) -> int:
     return v
 
 
-def related(rep: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """A spanning forest of the pairs, so a list gives fewer rows than it has members."""
+def _flatten(root: np.ndarray) -> None:
+    while (root[root] != root).any():
+        root[:] = root[root]
+
+
+def related(rep: np.ndarray, comp: np.ndarray, mark: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> pd.DataFrame:
+    """A spanning forest of the pairs that agree, so a list gives fewer rows than it has members."""
     root, out = np.arange(len(rep)), []
-    for i, j in pairs:
-        while (root[root] != root).any():
-            root = root[root]
-        apart = root[i] != root[j]
-        for u, v in zip(i[apart].tolist(), j[apart].tolist()):
+    for i, j in pairs_of(mark, n, percent, [comp, root], side):
+        for u, v in zip(i.tolist(), j.tolist()):
             x, y = _top(root, u), _top(root, v)
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((rep[u], rep[v]))
+        _flatten(root)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def linked(rep: np.ndarray, comp: np.ndarray, items: np.ndarray, n: np.ndarray, percent: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def linked(rep: np.ndarray, comp: np.ndarray, mark: np.ndarray, n: np.ndarray, percent: int, items: np.ndarray, side: np.ndarray | None = None) -> pd.DataFrame:
     """Links between different components, confirmed on full sets; what they have joined already is skipped."""
-    root, out = np.arange(len(rep)), []
-    for i, j in pairs:
+    root, now, out = np.arange(len(rep)), comp.copy(), []
+    for i, j in pairs_of(mark, n, percent, [now], side):
         for u, v in zip(i.tolist(), j.tolist()):
             x, y = _top(root, comp[u]), _top(root, comp[v])
             if x != y:
@@ -183,6 +195,8 @@ def linked(rep: np.ndarray, comp: np.ndarray, items: np.ndarray, n: np.ndarray,
                 if 100 * both >= percent * (n[u] + n[v] - both):
                     root[max(x, y)] = min(x, y)
                     out.append((max(rep[u], rep[v]), min(rep[u], rep[v])))
+        _flatten(root)
+        now[:] = root[comp]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -193,8 +207,8 @@ def _group(percent: int, sets: bool):
         rep, n = pdf["rep"].to_numpy(), pdf["n_shingles"].to_numpy()
         _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         side = pdf["block"].to_numpy() if "i" in pdf and pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
-        pairs = pairs_of(np.stack(pdf["mark"].to_numpy()).astype(np.int8), comp, n, percent, side)
-        return linked(rep, comp, pdf["items"].to_numpy(), n, percent, pairs) if sets else related(rep, pairs)
+        mark = np.stack(pdf["mark"].to_numpy()).astype(np.int8)
+        return linked(rep, comp, mark, n, percent, pdf["items"].to_numpy(), side) if sets else related(rep, comp, mark, n, percent, side)
 
     return run
 

@@ -113,12 +113,21 @@ def test_pairs_that_agree():
     fits = 100 * np.minimum(n[:, None], n) >= 80 * np.maximum(n[:, None], n)
     for s, most in ((None, 10**6), (side, 10**6), (None, 3)):
         neardup.PAIRS, before = most, neardup.PAIRS
-        found = [tuple(sorted(p)) for i, j in neardup.pairs_of(mark, comp, n, 80, s) for p in zip(i.tolist(), j.tolist())]
+        found = [tuple(sorted(p)) for i, j in neardup.pairs_of(mark, n, 80, [comp, np.arange(60)], s) for p in zip(i.tolist(), j.tolist())]
         neardup.PAIRS = before
         want = {(i, j) for i in range(60) for j in range(i + 1, 60) if full[i, j] >= neardup.AGREE and comp[i] != comp[j] and fits[i, j] and (s is None or s[i] != s[j])}
         assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
 
 
+def test_alike_members_of_many_components_make_one_forest():
+    """3,000 rows that agree but are not linked: each pair is looked at once at most, and the forest spans them."""
+    rng = np.random.default_rng(5)
+    mark = np.tile(rng.integers(-128, 128, 48).astype(np.int8), (3000, 1))
+    mark[rng.random(mark.shape) < 0.1] = 1
+    began = time.time()
+    assert len(neardup.related(np.arange(3000), np.arange(3000), mark, np.full(3000, 300), 80)) == 2999 and time.time() - began < 10
+
+
 def test_signatures_agree_as_sets_do():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**64, 1000, np.uint64, endpoint=False)
@@ -143,7 +152,7 @@ def test_a_family_of_many_gives_each_row_once(spark):
     mark[50_000:] = mark[0]  # half of them alike, and of one component
     comp = np.concatenate([np.arange(50_000), np.zeros(50_000, np.int64)])
     began = time.time()
-    assert sum(len(i) for i, _ in neardup.pairs_of(mark, comp, np.full(100_000, 300), 80)) == 0 and time.time() - began < 60
+    assert sum(len(i) for i, _ in neardup.pairs_of(mark, np.full(100_000, 300), 80, [comp, np.arange(100_000)])) == 0 and time.time() - began < 60
 
 
 def brute_substring(rows, window):

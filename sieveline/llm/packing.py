@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,18 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .hashing import WORDS, flat, slices, split, word_hashes
+from .hashing import LOWER, WORDS, flat, slices, split, word_hashes
 
 CAPACITY = 2048
 #: Pieces in one packing group; a group leaves a few sequences partly filled, whatever its size.
 GROUP = 50_000
-#: Bytes that a worker remembers of words.
+#: Bytes that a worker remembers of parts of words.
 LIMIT = 128 << 20
-#: Words of these characters alone need no more than lower case and _PARTS before the tokenizer's model; any other word
-#: (apostrophes, angle brackets, other scripts, composed forms, control characters) goes through the whole tokenizer.
-_PLAIN = re.compile(r"[!-&(-;=?-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-_PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
-#: The white space that words are split at; other kinds stay inside a word, which then goes through the whole tokenizer.
+#: Words of these bytes alone need no more than lower case and a split into parts before the tokenizer's model; any other
+#: word (apostrophes, angle brackets, other scripts, composed forms, control characters) goes whole through all of it. 0xC3
+#: leads the accented Latin-1 letters, and the signs at 0xD7 and 0xF7.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(33, 39), *range(40, 60), 61, *range(63, 127), 0xC3, *range(0x80, 0xC0)]] = True
+#: Parts of plain words: runs of letters, single digits, runs of marks. 4 is a whole word.
+_PART = np.full(256, 3, np.uint8)
+_PART[[*range(97, 123), *range(0x80, 0x100)]] = 1
+_PART[48:58] = 2
+#: The white space that words are split at; other kinds stay inside a word.
 _SPLIT = WORDS.copy()
 _SPLIT[[11, 12]] = 1
 
@@ -36,11 +40,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in same else next(rest)) for b in range(256)}
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row, whole) of what the tokenizer's model gets: the parts of plain words in lower case, and whole
+    other words as they are."""
+    start, end, _ = split(data, offsets, _SPLIT)
+    bad = ~_PLAIN[data]
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    bad = np.concatenate([[0], np.cumsum(bad)])
+    odd = bad[end] > bad[start]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[odd]] += 1
+    edge[end[odd]] -= 1
+    whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    low = LOWER[data]
+    low[1:] += 32 * ((data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] >= 0x80)).astype(np.uint8)
+    low = np.where(whole, data, low)
+    kind = np.where(whole, 4, _PART[low]) * _SPLIT[data]
+    first, last = np.ones(len(data), bool), np.ones(len(data), bool)
+    first[1:] = last[:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    full = offsets[1:] > offsets[:-1]
+    first[offsets[:-1][full]] = True
+    last[offsets[1:][full] - 1] = True
+    start, end = np.flatnonzero(first & (kind > 0)), np.flatnonzero(last & (kind > 0)) + 1
+    return low, start, end, np.searchsorted(offsets[1:], start, side="right"), kind[start] == 4
+
+
 class Encoder:
-    """ids of the tokenizer, word by word: it drops white space and no merge passes it, so words can be remembered.
+    """ids of the tokenizer, part by part: it drops white space and no merge passes a part, so parts can be remembered.
 
-    Words are known by 64-bit hashes; only those that a batch brings in new are made into strings. What is remembered is
-    bounded: past LIMIT bytes all but the batch's own words is forgotten.
+    Parts are known by 64-bit hashes; only those that a batch brings in new are made into strings. What is remembered is
+    bounded: past LIMIT bytes all but the batch's own parts is forgotten.
     """
 
     def __init__(self, path: str, limit: int = LIMIT) -> None:
@@ -51,43 +80,38 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size, self.ids, self.parts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), {}
-
-    def _part(self, part: str) -> list[int]:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(part)]
-
-    def _word(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out, known = [], self.parts
-        for p in _PARTS.findall(word.lower()):
-            if p not in known:
-                known[p] = self._part(p)
-            out += known[p]
-        return out
-
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Remember words that are not known yet; hashes are sorted."""
-        found = [self._word(w.decode("utf-8", "replace")) for w in words]
-        size = np.array([len(f) for f in found], np.int64)
+        self.hashes, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _encoded(self, part: bytes, whole: bool) -> list[int]:
+        if whole:
+            return self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+        text = part.decode("latin-1")
+        return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))]
+
+    def _learn(self, hashes: np.ndarray, found: list[list[int]]) -> None:
+        """Remember the ids of parts that are not known yet; hashes are sorted."""
+        size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.ids) + np.cumsum(size) - size
-        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes, self.at, self.size = (np.concatenate(p)[order] for p in ((self.hashes, hashes), (self.at, at), (self.size, size)))
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], "<u4")])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), "<u4", int(size.sum()))])
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, edges): each text's ids and a closing 0, one text after the other, and where each begins."""
-        data, offsets = flat(column)
-        start, end, row = split(data, offsets, _SPLIT)
-        unique, first, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-        if self.ids.nbytes + 24 * len(self.hashes) + 200 * len(self.parts) > self.limit:
+        low, start, end, row, whole = parts(*flat(column))
+        unique, first, of = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True)
+        if self.ids.nbytes + 24 * len(self.hashes) > self.limit:
             self.forget()
-        new = np.flatnonzero(~np.isin(unique, self.hashes, assume_unique=True))
+        place = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
         if len(new):
-            self._learn(unique[new], [data[start[i] : end[i]].tobytes() for i in first[new].tolist()])
-        place = np.searchsorted(self.hashes, unique)[of]
+            view = memoryview(low.tobytes())
+            self._learn(unique[new], [self._encoded(bytes(view[start[i] : end[i]]), whole[i]) for i in first[new].tolist()])
+            place = np.searchsorted(self.hashes, unique)
+        place = place[of]
         size, at = self.size[place], self.at[place]
         total = int(size.sum())
         out = np.zeros(total + len(column), "<u4")

@@ -277,6 +277,18 @@ def test_pack(spark):
     assert packing.pack(docs(spark, texts).limit(0), tokenizer_path()).count() == 0
 
 
+def test_encoder_is_the_tokenizer():
+    """Random strings of letters, accents, signs, digits, quotes, other scripts and white space of all kinds."""
+    from tokenizers import Tokenizer
+
+    rng, tok = np.random.default_rng(1), Tokenizer.from_file(tokenizer_path())
+    letters = list("aZ \u00e9\u00c9\u00df\u00ff\u00fe\u00de\u00d7\u00f7'<>&\t\n\r\x0b\x0c0129.,!-_\u00f1\u00c7\xa0\u2003\u65e5\u0153\u0152 e\u0301\u0130\U0001f600")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
+    ids, edges = packing.Encoder(tokenizer_path())(pa.array(texts))
+    for t, a, b in zip(texts, edges, edges[1:]):
+        assert ids[a:b].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
+
+
 def test_encoder_forgets():
     encode = packing.Encoder(tokenizer_path(), limit=100)
     texts = pa.array([" ".join(corpus()[i : i + 9][j] or "" for j in range(9)) for i in range(0, 45, 9)])

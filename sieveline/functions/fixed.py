@@ -30,5 +30,11 @@ BOILERPLATE_LINES = [
 PASSAGE_WEIGHTS = (0.45, 0.25, 0.10, 0.10, 0.10)
 #: Weights of entity support: sources, variants, quality, rank, chunks, spread.
 SUPPORT_WEIGHTS = (0.30, 0.20, 0.20, 0.10, 0.10, 0.10)
+#: Weights of an entity's alignment with its query: BM25, span, anchors.
+ALIGNMENT_WEIGHTS = (0.60, 0.20, 0.20)
+#: Weights of a passage for a cell: presence of the entity, match of the column, match of the query, cleanliness.
+CELL_WEIGHTS = (0.20, 0.50, 0.20, 0.10)
+#: Of a column's match: shared terms, longest run; of a query's match: BM25, span, anchors.
+COLUMN_WEIGHTS, QUERY_WEIGHTS = (0.7, 0.3), (0.6, 0.2, 0.2)
 RESULT_COUNTS = {1: 20, 2: 15, 3: 12, 4: 10}
 RETRY_COUNTS = {1: 32, 2: 21, 3: 16, 4: 13}

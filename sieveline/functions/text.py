@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,13 +183,49 @@ def sentences(text: Column) -> Column:
 
 
 def column_label(key: Column) -> Column:
+    """Words of a key with a capital first letter, the rest of them as they are."""
+    return F.array_join(F.transform(F.split(key, "_"), capitalised), " ")
+
+
+def title_label(key: Column) -> Column:
+    """Words of a key in title case, as stage events name columns."""
     return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
 
 
 def column_type(key: Column) -> Column:
-    """Presentation type of a column by its name."""
-    k = F.lower(key)
-    return F.when(k.rlike("(?:^|_)(?:url|website|link)$"), "url").when(k.rlike("(?:^|_)(?:date|at)$"), "date").when(k.rlike("(?:^|_)(?:count|number|price|score|rating|year)$"), "number").otherwise("text")
+    """Type of a column by its name, as the table shows it."""
+    return F.when(key.rlike("(?:^|_)(?:website|url|link)$"), "url").when(key.rlike("(?:^|_)(?:date|updated_at|created_at)$"), "date").when(key.rlike("(?:^|_)(?:count|size|employees|revenue|amount|score)$"), "number").otherwise("text")
+
+
+def event_column_type(key: Column) -> Column:
+    """Type of a column by its name, as stage events give it."""
+    return F.when(key.isin("website", "url") | key.endswith("_url"), "url").otherwise("text")
+
+
+def capitalised(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def shown_value(value: Column) -> Column:
+    """A stored value, which is JSON or plain text, as it is shown: lists joined by commas, Yes and No, else its text."""
+    items = F.from_json(F.when(value.rlike(r"^\s*\["), value), "array<string>")
+    return F.when(value == "true", "Yes").when(value == "false", "No").otherwise(F.coalesce(F.array_join(items, ", ", "null"), value))
+
+
+def source_type(officiality: Column, supporting: bool = False) -> Column:
+    """How a source is called beside a value, or (supporting) in the list of sources."""
+    out = F.when(officiality == "official", "official").when(officiality == "near_official", "profile")
+    return (out if supporting else out.when(officiality == "low_quality", "third-party")).otherwise("article")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility-composed text. Only texts beyond ASCII are sent to the Arrow function."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+@F.arrow_udf("string")
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKC")
 
 
 def display_domain(url: Column) -> Column:

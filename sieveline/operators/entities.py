@@ -3,33 +3,84 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import retrieval_tokens, share, span_share
+from .passages import bm25
+
+
+def preferred_variants(plans: DataFrame) -> DataFrame:
+    """(request_id, variant, place): the normalised query, the base query and the rewrites, trimmed, blanks and repeats left out."""
+    every = F.array_distinct(F.filter(F.transform(F.concat(F.array("normalized_query", "base_query"), "rewrites"), lambda q: F.trim(q)), lambda q: q != ""))
+    return plans.select("request_id", F.posexplode(every).alias("place", "variant"))
+
+
+def variant_totals(plans: DataFrame) -> DataFrame:
+    """(request_id, total_variants): distinct non-blank base query and rewrites, at least one."""
+    every = F.array_distinct(F.filter(F.concat(F.array("base_query"), "rewrites"), lambda q: F.trim(q) != ""))
+    return plans.select("request_id", F.greatest(F.size(every), F.lit(1)).alias("total_variants"))
 
 
 def features(evidence: DataFrame) -> DataFrame:
-    """evidence(request_id, entity, source_url, quality, variant, chunk_rank) -> one row of features an entity.
+    """evidence(request_id, entity, source_url, quality, variant or query_sources, chunk_rank) -> one row of features an entity.
 
     Two aggregations: by entity and source, then by entity; the first shrinks the second's input and hot entities are
-    combined before the shuffle."""
-    per = evidence.groupBy("request_id", "entity", "source_url").agg(F.count("*").alias("n"), F.max("quality").alias("quality"), F.collect_set("variant").alias("variants"), F.sum(1 / F.sqrt(F.col("chunk_rank").cast("double"))).alias("rank_sum"), F.count("chunk_rank").alias("ranked"))
+    combined before the shuffle. query_sources is an array of variants, variant a single one."""
+    own = F.array_distinct(F.flatten(F.collect_set("query_sources"))) if "query_sources" in evidence.columns else F.collect_set("variant")
+    per = evidence.groupBy("request_id", "entity", "source_url").agg(F.count("*").alias("n"), F.max("quality").alias("quality"), own.alias("variants"), F.sum(1 / F.sqrt(F.col("chunk_rank").cast("double"))).alias("rank_sum"), F.count("chunk_rank").alias("ranked"))
     return per.groupBy("request_id", "entity").agg(
         F.count("*").alias("source_count"), F.sum("n").alias("chunk_count"), F.size(F.array_distinct(F.flatten(F.collect_set("variants")))).alias("variant_count"),
         F.max("quality").alias("quality"), F.round(F.coalesce(F.sum("rank_sum") / F.nullif(F.sum("ranked"), F.lit(0)), F.lit(0.0)), 6).alias("avg_rank"), F.round(F.max("n") / F.sum("n"), 6).alias("concentration"))
 
 
-def support(df: DataFrame, total_variants: int) -> DataFrame:
-    parts = (F.least(F.col("source_count") / 3, F.lit(1.0)), F.least(F.col("variant_count") / max(1, total_variants), F.lit(1.0)), F.col("quality"), F.col("avg_rank"), F.least(F.col("chunk_count") / 4, F.lit(1.0)), F.greatest(F.lit(0.0), 1 - F.col("concentration")))
+def support(df: DataFrame, total_variants: int | Column) -> DataFrame:
+    total = F.lit(max(1, total_variants)) if isinstance(total_variants, int) else total_variants
+    parts = (F.least(F.col("source_count") / 3, F.lit(1.0)), F.least(F.col("variant_count") / total, F.lit(1.0)), F.col("quality"), F.col("avg_rank"), F.least(F.col("chunk_count") / 4, F.lit(1.0)), F.greatest(F.lit(0.0), 1 - F.col("concentration")))
     return df.withColumn("support_score", F.round(sum((w * p for w, p in zip(fixed.SUPPORT_WEIGHTS, parts)), F.lit(0.0)), 6))
 
 
+def _uses(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(request_id, entity, variant, uses, place): preferred has a request_id or holds for all."""
+    keys = [c for c in ("request_id", "variant") if c in preferred.columns]
+    n = evidence.where("variant is not null and trim(variant) <> ''").groupBy("request_id", "entity", F.trim("variant").alias("variant")).agg(F.count("*").alias("uses"))
+    return n.join(preferred.select(*keys, "place"), keys, "left").withColumn("place", F.coalesce("place", F.lit(1 << 30)))
+
+
 def dominant_variant(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
-    """(request_id, entity, variant, uses): the most used variant; ties by preferred place (preferred(variant, place)), then name."""
-    n = evidence.where("variant is not null").groupBy("request_id", "entity", "variant").agg(F.count("*").alias("uses")).join(preferred, "variant", "left")
-    key = F.struct(-F.col("uses"), F.coalesce("place", F.lit(1 << 30)), F.lower("variant"))
-    return n.groupBy("request_id", "entity").agg(F.min_by(F.struct("variant", "uses"), key).alias("m")).select("request_id", "entity", "m.*")
+    """(request_id, entity, variant, uses): the most used variant; ties by preferred place (preferred([request_id,] variant,
+    place)), then name."""
+    key = F.struct(-F.col("uses"), "place", F.lower("variant"))
+    return _uses(evidence, preferred).groupBy("request_id", "entity").agg(F.min_by(F.struct("variant", "uses"), key).alias("m")).select("request_id", "entity", "m.*")
+
+
+def supporting_variants(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(request_id, entity, supporting): every variant used, preferred ones in their order, then the rest by name."""
+    one = F.struct("place", F.lower("variant").alias("low"), "variant")
+    return _uses(evidence, preferred).groupBy("request_id", "entity").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["variant"]).alias("supporting"))
+
+
+def alignment(texts: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
+    """(request_id, entity, bm25, span, anchor, alignment): how well each entity's evidence answers the request.
+
+    texts(request_id, entity, seq, text); plans(request_id, normalized_query, base_query, rewrites). An entity's evidence
+    is one text, of the request's corpus of entities; within a request it is no more than the windows of its selected
+    passages. Anchors are the tokens that all variants share, or the first variant's where they share none.
+    """
+    tokens = texts.select("request_id", "entity", "seq", retrieval_tokens(F.col("text"), stem).alias("t"))
+    docs = tokens.groupBy("request_id", "entity").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"])).alias("tokens"))
+    clean = lambda q: retrieval_tokens(q, stem)
+    asked = plans.select("request_id", clean(F.col("normalized_query")).alias("query"), F.filter(F.concat(F.array("normalized_query", "base_query"), "rewrites"), lambda q: F.trim(q) != "").alias("all_"))
+    sets = F.transform("all_", lambda q: F.array_distinct(clean(q)))
+    shared = F.aggregate("sets", F.try_element_at("sets", F.lit(1)), lambda a, s: F.array_intersect(a, s))
+    asked = asked.withColumn("sets", sets).withColumn("shared", shared)
+    asked = asked.select("request_id", "query", F.coalesce(F.when(F.size("shared") > 0, F.col("shared")), F.try_element_at("sets", F.lit(1)), F.array().cast("array<string>")).alias("anchors"))
+    scores = bm25(docs.select("request_id", F.col("entity").alias("chunk_id"), "tokens"), asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens")))
+    df = docs.join(asked, "request_id").join(scores.select("request_id", F.col("chunk_id").alias("entity"), F.col("score").alias("bm25")), ["request_id", "entity"], "left")
+    df = df.select("request_id", "entity", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), span_share(F.col("query"), F.col("tokens")).alias("span"), share(F.col("tokens"), F.col("anchors")).alias("anchor"))
+    total = sum((w * F.col(c) for w, c in zip(fixed.ALIGNMENT_WEIGHTS, ("bm25", "span", "anchor"))), F.lit(0.0))
+    return df.select("request_id", "entity", *[F.round(c, 6).alias(c) for c in ("bm25", "span", "anchor")], F.round(total, 6).alias("alignment"))
 
 
 def final_ranking(df: DataFrame, threshold: float = 0.30) -> DataFrame:

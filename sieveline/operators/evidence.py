@@ -63,31 +63,39 @@ def sentence_rows(texts: DataFrame) -> DataFrame:
 
 
 def sentence_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(request_id, source_id, seq, name, ambiguous): sentences with all of a name's tokens in a row.
+    """(request_id, source_id, seq, name, ambiguous): sentences that hold all of a name's tokens, and its tokens' text.
 
     Found by an equality join on the name's first token; ambiguous: another candidate is in the sentence too."""
     s = sentence_rows(texts).withColumn("t", token_list(F.col("sentence")))
-    names = candidates.select("request_id", "name", token_list(F.col("name")).alias("nt")).withColumn("key", F.element_at("nt", 1)).where("key is not null")
-    pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hit = s.withColumn("key", F.explode(F.array_distinct("t"))).join(names, ["request_id", "key"]).where(pad(F.col("t")).contains(pad(F.col("nt"))))
+    names = candidates.select("request_id", "name", token_list(F.col("name")).alias("nt")).withColumn("key", F.try_element_at("nt", F.lit(1))).where("key is not null")
+    join = lambda c: F.array_join(c, " ")
+    has = (F.size(F.array_except("nt", "t")) == 0) & join(F.col("t")).contains(join(F.col("nt")))
+    hit = s.withColumn("key", F.explode(F.array_distinct("t"))).join(names, ["request_id", "key"]).where(has)
     many = F.count("*").over(Window.partitionBy("request_id", "source_id", "seq")) > 1
     return hit.select("request_id", "source_id", "seq", "name", many.alias("ambiguous"))
 
 
-def windows(texts: DataFrame, matches: DataFrame, stops: DataFrame, most: int = 1200, least: int = 50) -> DataFrame:
+def windows(texts: DataFrame, matches: DataFrame, stops: DataFrame, most: int = 1200, least: int = 50, named: DataFrame | None = None) -> DataFrame:
     """(request_id, source_id, name, first, last, text): sentence windows grown left and right in turn around each match.
 
-    A window stays in its paragraph and under `most` characters, and ends before a sentence with another stop entity.
-    One document's sentences meet in one array; the growing is a fold inside the JVM.
+    A window stays in its paragraph and under `most` characters, and ends before a sentence with another stop entity; which
+    ones a sentence has is in `named` (by default `matches`). Only texts with a clear match are gathered, by paragraph, and
+    each of a paragraph's matches grows in a fold inside the JVM over no more steps than characters allow.
     """
-    rows = sentence_rows(texts)
-    named = matches.join(stops.select("request_id", "name"), ["request_id", "name"], "left_semi").groupBy("request_id", "source_id", "seq").agg(F.collect_set("name").alias("stops"))
-    rows = rows.join(named, ["request_id", "source_id", "seq"], "left")
-    docs = rows.groupBy("request_id", "source_id").agg(F.sort_array(F.collect_list(F.struct("seq", "paragraph", "sentence", F.coalesce("stops", F.array().cast("array<string>")).alias("stops")))).alias("all"))
-    df = matches.where("not ambiguous").join(docs, ["request_id", "source_id"])
+    clear = matches.where("not ambiguous").select("request_id", "source_id", "seq", "name")
+    wanted = clear.select("request_id", "source_id").distinct()
+    rows = sentence_rows(texts.join(wanted, ["request_id", "source_id"], "left_semi"))
+    stop = (matches if named is None else named).join(stops.select("request_id", "name"), ["request_id", "name"], "left_semi").groupBy("request_id", "source_id", "seq").agg(F.collect_set("name").alias("stops"))
+    mine = clear.groupBy("request_id", "source_id", "seq").agg(F.collect_set("name").alias("mine"))
+    rows = rows.join(stop, ["request_id", "source_id", "seq"], "left").join(mine, ["request_id", "source_id", "seq"], "left")
+    none = F.array().cast("array<string>")
+    one = F.struct("seq", "sentence", F.coalesce("stops", none).alias("stops"), F.coalesce("mine", none).alias("mine"))
+    docs = rows.groupBy("request_id", "source_id", "paragraph").agg(F.sort_array(F.collect_list(one)).alias("all"))
     at = lambda i: F.try_element_at("all", (i + 1).cast("int"))
-    ok = lambda i, chars: (i >= 0) & (i < F.size("all")) & (at(i)["paragraph"] == at(F.col("seq"))["paragraph"]) & (chars + 1 + F.length(at(i)["sentence"]) <= most) & (F.size(F.array_except(at(i)["stops"], F.array("name"))) == 0)
-    start = F.struct(F.col("seq").alias("l"), F.col("seq").alias("r"), F.length(at(F.col("seq"))["sentence"]).alias("n"), F.lit(True).alias("gl"), F.lit(True).alias("gr"))
+    begun = F.flatten(F.transform("all", lambda s, i: F.transform(s["mine"], lambda n: F.struct(i.alias("at"), n.alias("name")))))
+    df = docs.select("request_id", "source_id", "all", F.explode(begun).alias("m")).select("request_id", "source_id", "all", F.col("m.at").alias("at"), F.col("m.name").alias("name"))
+    ok = lambda i, chars: (i >= 0) & (i < F.size("all")) & (chars + 1 + F.length(at(i)["sentence"]) <= most) & (F.size(F.array_except(at(i)["stops"], F.array("name"))) == 0)
+    start = F.struct(F.col("at").alias("l"), F.col("at").alias("r"), F.length(at(F.col("at"))["sentence"]).alias("n"), F.lit(True).alias("gl"), F.lit(True).alias("gr"))
 
     def grow(a, step):
         left = step % 2 == 0
@@ -96,9 +104,10 @@ def windows(texts: DataFrame, matches: DataFrame, stops: DataFrame, most: int =
         n = F.when(good, a["n"] + 1 + F.length(at(nxt)["sentence"])).otherwise(a["n"])
         return F.struct(F.when(left & good, nxt).otherwise(a["l"]).alias("l"), F.when(~left & good, nxt).otherwise(a["r"]).alias("r"), n.alias("n"), (a["gl"] & (good | ~left)).alias("gl"), (a["gr"] & (good | left)).alias("gr"))
 
+    # Each step that adds a sentence adds two characters at least, and both sides stop at the paragraph's ends.
     df = df.withColumn("w", F.aggregate(F.sequence(F.lit(0), F.least(2 * F.size("all"), F.lit(most)) + 1), start, grow))
     text = F.array_join(F.transform(F.slice("all", F.col("w.l") + 1, F.col("w.r") - F.col("w.l") + 1), lambda s: s["sentence"]), " ")
-    return df.select("request_id", "source_id", "name", F.col("w.l").alias("first"), F.col("w.r").alias("last"), text.alias("text")).where(F.length("text") >= least).distinct()
+    return df.select("request_id", "source_id", "name", at(F.col("w.l"))["seq"].alias("first"), at(F.col("w.r"))["seq"].alias("last"), text.alias("text")).where(F.length("text") >= least).distinct()
 
 
 def evidence_scores(evidence: DataFrame) -> DataFrame:

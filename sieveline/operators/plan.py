@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
@@ -10,6 +12,22 @@ from ..functions.text import collapse
 FALLBACK_COLUMNS = ["name", "website", "location", "category"]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write a relation that several branches read to the folder in spark.checkpoint.dir, and cut its lineage there. Only a
+    session on one machine gets a folder of our own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sieveline-"))
+    return df.checkpoint(eager=True)
+
+
+def per_request(*order) -> Window:
+    return Window.partitionBy("request_id").orderBy(*order)
+
+
 def distinct_list(values: Column, blocked: Column | None = None, most: int = 6) -> Column:
     """Trimmed, lower-case, distinct values in order, without blanks and blocked ones, at most `most`."""
     clean = F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(collapse(v))), lambda v: v != ""))

@@ -19,9 +19,15 @@ Provider = Callable[[list[dict]], list[dict]]
 
 
 def capitalised_names(payloads: list[dict]) -> list[dict]:
-    """Candidate names: runs of up to four capitalised words, in order of sight."""
-    found = [re.findall(r"\b[A-Z][\w'-]+(?: [A-Z][\w'-]+){0,3}", p["text"] or "") for p in payloads]
-    return [{"names": list(dict.fromkeys(f))} for f in found]
+    """Candidate names: runs of two to four capitalised words, and single ones inside a sentence that the text never has in
+    small letters, in order of sight."""
+    out = []
+    for p in payloads:
+        text = p["text"] or ""
+        small = set(re.findall(r"\b[a-z][\w'-]*", text))
+        found = [(m.start(), m[0]) for m in re.finditer(r"\b[A-Z][\w'-]+(?: [A-Z][\w'-]+){1,3}|(?<=[a-z,:;] )[A-Z][\w'-]+", text)]
+        out.append({"names": list(dict.fromkeys(n for _, n in found if " " in n or n.lower() not in small))})
+    return out
 
 
 def ask(requests: DataFrame, provider: Provider, key: list[str], batch: int = 64) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +40,11 @@ def visible_columns(fields: DataFrame, least: float = 0.3) -> DataFrame:
     return df.where((F.col("n") < 3) | (F.col("column") == "name") | (F.col("got") / F.col("n") > least)).select("request_id", "column")
 
 
-def choose_chunks(scored: DataFrame, k: int = 3, close: float = 0.9) -> DataFrame:
-    """(request_id, entity, column, chunk_id, position): up to k chunks; the best, unless its source is used already and a
-    chunk of a new source scores `close` of it or more. A fold over one cell's positive scores."""
+def choose_chunks(scored: DataFrame, k: int = 3) -> DataFrame:
+    """(request_id, entity, column, source_id, chunk_id, score, position): the k best chunks of each cell with a score.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out, used = pdf.sort_values(["score", "chunk_id"], ascending=[False, True]).to_dict("records"), [], set()
-        while left and len(out) < k:
-            fresh = next((r for r in left if r["source_id"] not in used), None)
-            best = left[0]
-            take = fresh if fresh and best["source_id"] in used and best["score"] * close <= fresh["score"] else best
-            left.remove(take)
-            used.add(take["source_id"])
-            out.append(take)
-        return pd.DataFrame([(r["request_id"], r["entity"], r["column"], r["chunk_id"], i + 1) for i, r in enumerate(out)], columns=["request_id", "entity", "column", "chunk_id", "position"])
-
-    return scored.where("score > 0").groupBy("request_id", "entity", "column").applyInPandas(pick, "request_id string, entity string, column string, chunk_id string, position int")
+    A chunk of a new source would be taken before one of a used source that scores under 0.9 of it; as chunks come by falling
+    score, none ever does, so the choice is the order by score and chunk_id.
+    """
+    place = F.row_number().over(Window.partitionBy("request_id", "entity", "column").orderBy(F.desc("score"), "chunk_id"))
+    return scored.where("score > 0").withColumn("position", place).where(F.col("position") <= k).select("request_id", "entity", "column", "source_id", "chunk_id", "score", "position")

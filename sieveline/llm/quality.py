@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     """(CLASSES, DIM) unit sums of the neighbours' index vectors over all words of all documents.
 
     The sums are exact whole numbers, so any order gives the same. Each task adds up its own rows and sends the words it
-    has met, in SHARES parts; a share is added up in one task of bounded size, and CLASSES * DIM floats reach the driver.
+    has met, in SHARES parts; a share is added up in one task of bounded size, and CLASSES * DIM half floats reach the driver.
     """
     share = CLASSES // SHARES
 
@@ -79,13 +80,13 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
             words = np.frombuffer(r["words"], "<i4")
             total[words] += np.frombuffer(r["sums"], "<i2" if r["small"] else "<i4").reshape(-1, DIM)
         norm = np.linalg.norm(total.astype(float), axis=1, keepdims=True)
-        unit = np.divide(total, norm, out=np.zeros(total.shape), where=norm > 0).astype("<f4")
+        unit = np.divide(total, norm, out=np.zeros(total.shape), where=norm > 0).astype("<f2")
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "unit": [unit.tobytes()]})
 
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, small boolean, words binary, sums binary")
-    out = np.zeros((CLASSES, DIM), np.float32)
+    out = np.zeros((CLASSES, DIM), np.float16)
     for r in parts.groupBy("part").applyInArrow(add, "part int, unit binary").collect():
-        out[r["part"] * share : (r["part"] + 1) * share] = np.frombuffer(r["unit"], "<f4").reshape(share, DIM)
+        out[r["part"] * share : (r["part"] + 1) * share] = np.frombuffer(r["unit"], "<f2").reshape(share, DIM)
     return out
 
 
@@ -93,7 +94,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors with the word's own index vector added, so that unseen words have one too."""
     out = context_vectors(docs)
     dims, signs = index_signs()
-    np.put_along_axis(out, dims, np.take_along_axis(out, dims, axis=1) + signs / np.float32(np.sqrt(SIGNS)), axis=1)
+    np.put_along_axis(out, dims, np.take_along_axis(out, dims, axis=1) + (signs / np.sqrt(SIGNS)).astype(np.float16), axis=1)
     return out
 
 
@@ -110,7 +111,7 @@ def pooled(column, vectors: np.ndarray) -> np.ndarray:
         return out
     for at in range(0, len(c), 65536):
         part = row[at : at + 65536]
-        v = vectors[c[at : at + 65536]]
+        v = vectors[c[at : at + 65536]].astype(np.float32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         out[part[first], :DIM] += np.add.reduceat(v, first)
         out[part[first], DIM : 2 * DIM] += np.add.reduceat(v * v, first)
@@ -131,7 +132,6 @@ def pooled(column, vectors: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    vectors: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -156,18 +156,15 @@ def _pool(shared):
     return run
 
 
-def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60) -> Model:
-    """Vectors from all documents; the network from the labelled sample, a tenth of which sets the temperature.
+def fit(labelled: DataFrame, shared: Broadcast, hidden: int = 32, epochs: int = 60) -> Model:
+    """The network from the labelled sample, a tenth of which sets the temperature, over the word vectors in `shared`.
 
     Labelled rows without text are left out; without any left, every score is 0.5.
     """
-    vectors = word_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = labelled.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "y").mapInArrow(_pool(shared), "doc_id long, y int, x binary").collect()
-    shared.destroy()
     rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows)
     if not rows:
-        return Model(vectors, np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
     x, y = np.array([np.frombuffer(r[1], "<f8") for r in rows]), np.array([r[2] for r in rows], float)
     rng = np.random.default_rng(5)
     order = rng.permutation(len(y))
@@ -188,25 +185,24 @@ def fit(docs: DataFrame, labelled: DataFrame, hidden: int = 32, epochs: int = 60
             for k, g in grad.items():
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - 3e-3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    raw = Model(vectors, centre, scale, p["w1"], p["b1"], p["w2"], float(p["b2"][0]), 1.0)
+    raw = Model(centre, scale, p["w1"], p["b1"], p["w2"], float(p["b2"][0]), 1.0)
     best = 1.0
     if len(aside):
         logit = raw.logit(x[aside])
         loss = lambda temp: np.logaddexp(0, np.where(y[aside] > 0, -logit, logit) / temp).mean()
         best = float(min(np.geomspace(0.5, 5, 40), key=loss))
-    return Model(vectors, centre, scale, p["w1"], p["b1"], p["w2"], raw.b2, best)
+    return Model(centre, scale, p["w1"], p["b1"], p["w2"], raw.b2, best)
 
 
-def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+def score(docs: DataFrame, model: Model, shared: Broadcast, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """All columns and those of `names`: whether held out, score and prediction; columns of these names are replaced.
 
     Null and empty texts have no words and the score of none. Null ids count as the empty string in the fold.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES * DIM floats and the network
 
     @F.arrow_udf("double")
     def rate(text: pa.Array) -> pa.Array:
-        parts = [shared.value.score(pooled(b.column("text"), shared.value.vectors)) for b in slices([pa.RecordBatch.from_arrays([text], ["text"])])]
+        parts = [model.score(pooled(b.column("text"), shared.value)) for b in slices([pa.RecordBatch.from_arrays([text], ["text"])])]
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     held, value, said = names
@@ -215,6 +211,9 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("held_ou
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, train_docs: DataFrame | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
-    """Score docs. train_docs: where labelled texts and corpus statistics come from, by default docs. Empty tables: empty result."""
+    """Score docs. train_docs: where labelled texts and corpus statistics come from, by default docs. Empty tables: empty result.
+
+    The word vectors, CLASSES * DIM half floats whatever the input, are broadcast once."""
     base = docs if train_docs is None else train_docs
-    return score(docs, fit(base, sample(base, labels, "quality", FOLDS, HELD, limit)), names)
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(base))
+    return score(docs, fit(sample(base, labels, "quality", FOLDS, HELD, limit), shared), shared, names)

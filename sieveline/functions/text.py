@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,12 +221,11 @@ def source_type(officiality: Column, supporting: bool = False) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility-composed text. Only texts beyond ASCII are sent to the Arrow function."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(F.arrow_udf(_nfkc, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-@F.arrow_udf("string")
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def display_domain(url: Column) -> Column:

@@ -86,7 +86,7 @@ def extractor_payloads(evidence: DataFrame, plans: DataFrame) -> DataFrame:
 def name_payloads(chunks: DataFrame, plans: DataFrame) -> DataFrame:
     """(request_id, payload): a request's chunks in order as lines "[cN] text"."""
     rows = _numbered(chunks.where("trim(text) <> ''"), ["request_id"], ["rank"], 1 << 30)
-    lines = rows.groupBy("request_id").agg(F.array_join(F.transform(_listed(F.concat(F.lit("[c"), F.col("n_"), F.lit("] "), F.trim("text")).alias("t")), lambda s: s["t"]), "\\n").alias("text"))
+    lines = rows.groupBy("request_id").agg(F.array_join(F.transform(_listed(F.concat(F.lit("[c"), F.col("n_"), F.lit("] "), F.trim("text")).alias("t")), lambda s: s["t"]), "\n").alias("text"))
     return lines.join(plans.select("request_id", "normalized_query"), "request_id").select("request_id", F.to_json(F.struct("normalized_query", "text")).alias("payload"))
 
 

@@ -50,7 +50,7 @@ def cell_scores(chunks: DataFrame, entities: DataFrame, facets: DataFrame, plans
     presence, clean = F.when(F.col("times") == 1, 0.85).otherwise(1.0), F.when(F.col("others") == 0, 1.0).when(F.col("others") == 1, 0.4).otherwise(0.0)
     df = df.withColumn("presence", presence).withColumn("cleanliness", clean)
     names = ("presence", "column_match", "query_match", "cleanliness")
-    return df.select("request_id", "entity", "column", "source_id", "chunk_id", *names, F.round(part(fixed.CELL_WEIGHTS, [F.col(c) for c in names]), 6).alias("score"))
+    return df.select("request_id", "entity", "column", "source_id", "chunk_id", *names, F.round(part(fixed.CELL_WEIGHTS, [F.col(c) for c in names]), 7).alias("score"))
 
 
 def evidence_for_gaps(chosen: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,12 +100,21 @@ def diversify(ranked: DataFrame, weight: float = 0.75) -> DataFrame:
     """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = pdf.sort_values("position").to_dict("records"), []
-        near = lambda a, b: 1.0 if a["dominant"] and a["dominant"] == b["dominant"] else 0.5 if set(a["supporting"]) & set(b["supporting"]) else 0.0
-        while left:
-            worth = [weight * r["final_score"] - (1 - weight) * max((near(r, o) for o in out), default=0.0) for r in left]
-            out.append(left.pop(0 if not out else max(range(len(left)), key=lambda i: (worth[i], -i))))
-        return pd.DataFrame([(r["request_id"], r["entity"], i + 1) for i, r in enumerate(out)], columns=["request_id", "entity", "mmr_position"])
+        pdf = pdf.sort_values("position")
+        score, main, used = pdf["final_score"].to_numpy(float), pdf["dominant"].tolist(), [set(s) for s in pdf["supporting"]]
+        nearest, out = np.zeros(len(pdf)), []  # the largest likeness to any entity taken
+        left = np.ones(len(pdf), bool)
+        for n in range(len(pdf)):
+            worth = np.where(left, weight * score - (1 - weight) * nearest, -np.inf)
+            best = int(worth.argmax()) if n else 0
+            left[best] = False
+            out.append(best)
+            for i in np.flatnonzero(left).tolist():
+                if nearest[i] < 1.0:
+                    like = 1.0 if main[i] and main[i] == main[best] else 0.5 if used[i] & used[best] else 0.0
+                    nearest[i] = max(nearest[i], like)
+        pdf = pdf.iloc[out]
+        return pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "entity": pdf["entity"].to_numpy(), "mmr_position": np.arange(1, len(pdf) + 1)})
 
     return ranked.groupBy("request_id").applyInPandas(order, "request_id string, entity string, mmr_position int")
 

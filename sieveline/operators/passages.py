@@ -43,9 +43,11 @@ def bm25(tokens: DataFrame, variants: DataFrame, k1: float = 1.5, b: float = 0.7
 def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=None) -> DataFrame:
     """chunks(request_id, source_id, chunk_id, text) -> the top_k passages of each request with all parts of their scores.
 
-    Ranks use a window with a rank limit, which Spark pushes below the shuffle. Blank chunks are left out.
+    Ranks use a window with a rank limit, which Spark pushes below the shuffle. Blank chunks are left out. Spans are looked
+    for in chunks with a term of the query, and in no more than top_k others a request.
     """
-    tokens = chunks.where("trim(text) <> ''").select("request_id", "source_id", "chunk_id", retrieval_tokens(F.col("text"), stem).alias("tokens"))
+    chunks = chunks.where("trim(text) <> ''").select("request_id", "source_id", "chunk_id", "text")
+    tokens = chunks.select("request_id", "source_id", "chunk_id", retrieval_tokens(F.col("text"), stem).alias("tokens"))
     asked = variants(plans, stem)
     scores = bm25(tokens, asked).groupBy("request_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("by_label"))
     anchors = F.aggregate("all_tokens", F.element_at("all_tokens", 1), lambda a, t: F.array_intersect(a, t))
@@ -56,7 +58,11 @@ def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=Non
     of = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), lambda i: F.transform(F.sequence(F.lit(1), F.size(t) - i + 1), lambda j: run(t, i, j))))
     bundle = bundle.withColumn("runs", F.flatten(F.transform(F.filter("v", lambda x: F.size(x["tokens"]) > 0), lambda x: of(x["tokens"]))))
     bundle = bundle.select("request_id", "v", "runs", F.when(F.size("all_tokens") > 0, anchors).otherwise(F.array().cast("array<string>")).alias("anchors"))
-    df = tokens.join(bundle, "request_id").join(scores, ["request_id", "chunk_id"], "left")
+    # Without a term of the query a chunk scores 0 throughout: of these only the first few can be wanted, by their ids alone.
+    first = F.row_number().over(Window.partitionBy("request_id").orderBy("source_id", "chunk_id"))
+    spare = chunks.select("request_id", "chunk_id", first.alias("n_")).where(F.col("n_") <= top_k).select("request_id", "chunk_id", F.lit(None).cast("map<string,double>").alias("by_label"))
+    wanted = scores.unionByName(spare.join(scores.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti"))
+    df = chunks.join(wanted, ["request_id", "chunk_id"]).select("request_id", "source_id", "chunk_id", "by_label", retrieval_tokens(F.col("text"), stem).alias("tokens")).join(bundle, "request_id")
     score = lambda label: F.coalesce(F.element_at("by_label", label), F.lit(0.0))
     rewrites = F.transform(F.filter("v", lambda x: x["label"] != "base"), lambda x: F.struct(score(x["label"]).alias("score"), x["label"].alias("label")))
     df = df.withColumn("base_score", score(F.lit("base"))).withColumn("rewrites_", rewrites)

@@ -130,6 +130,6 @@ def export(cells: DataFrame, names: DataFrame) -> DataFrame:
     columns = cells.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_set(col)), lambda x: x["c"]).alias("columns"))
     field = F.struct("column_ord", "column", F.struct(F.col("value"), F.col("confidence"), F.col("source_urls")).alias("f"))
     fields = cells.groupBy("request_id", "entity").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(field)), lambda x: F.struct(x["column"], x["f"]))).alias("fields"))
-    rows = names.join(fields, ["request_id", "entity"]).groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", F.struct("name", "fields").alias("r"))), asc=True), lambda x: x["r"]).alias("rows"))
+    rows = names.join(fields, ["request_id", "entity"]).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct("name", "fields").alias("r"))), lambda a, b: F.signum(a["position"] - b["position"]).cast("int")), lambda x: x["r"]).alias("rows"))
     whole = F.struct(F.struct("columns").alias("inferred_schema"), F.col("rows").alias("final_top_10_rows"))
     return columns.join(rows, "request_id").select("request_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))

@@ -16,7 +16,7 @@ from ..sources import jsonl
 from ..sources.pages import read, search_results, spread
 from ..streaming import runs
 
-BASE, REWRITES = "ther erin thble", ["ther thnt", "erin thor thble"]
+BASE, REWRITES = "ther erin thble", ["ther thnt", "erin ther thble"]
 CANDIDATES = ["Eriner", "Anon", "Ther", "Erin", "Thor", "Anon The"]
 PREFERRED = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -44,11 +44,11 @@ _CHUNK_SQL = rf"""
 WITH c AS (SELECT 'r' || (doc_id % 4) request_id, lpad(doc_id::VARCHAR, 8, '0') source_id, lpad(doc_id::VARCHAR, 8, '0') || '#' || lpad((g - 1)::VARCHAR, 5, '0') chunk_id, l AS txt
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) g FROM documents) WHERE trim(l) <> ''),
 t AS (SELECT request_id, source_id, chunk_id, list_filter(regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_sql_list(fixed.RETRIEVAL_STOPWORDS)}, x)) tok FROM c),
-v AS (SELECT * FROM (VALUES ('base', ['ther', 'erin', 'thble']), ('rewrite_1', ['ther', 'thnt']), ('rewrite_2', ['erin', 'thor', 'thble'])) x(label, q)),
+v AS (SELECT * FROM (VALUES ('base', ['ther', 'erin', 'thble']), ('rewrite_1', ['ther', 'thnt']), ('rewrite_2', ['erin', 'ther', 'thble'])) x(label, q)),
 st AS (SELECT request_id, count(*) n, avg(len(tok)) avgdl FROM t GROUP BY 1),
 vt AS (SELECT label, unnest(q) term FROM v),
 p AS (SELECT request_id, chunk_id, len(tok) dl, unnest(tok) term FROM t),
-tf AS (SELECT request_id, chunk_id, dl, term, count(*) tf FROM p WHERE term IN ('ther', 'erin', 'thble', 'thnt', 'thor') GROUP BY ALL),
+tf AS (SELECT request_id, chunk_id, dl, term, count(*) tf FROM p WHERE term IN ('ther', 'erin', 'thble', 'thnt') GROUP BY ALL),
 df AS (SELECT request_id, term, count(*) df FROM tf GROUP BY ALL),
 raw AS (SELECT request_id, label, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) raw
     FROM tf JOIN df USING (request_id, term) JOIN st USING (request_id) JOIN vt USING (term) GROUP BY ALL),
@@ -60,11 +60,11 @@ a AS (SELECT t.request_id, t.source_id, t.chunk_id, ' ' || array_to_string(tok,
 e AS (SELECT *, greatest(r1, r2) best, CASE WHEN r1 > r2 THEN 'rewrite_1' ELSE 'rewrite_2' END best_query,
     greatest(CASE WHEN contains(body, ' ther erin thble ') THEN 1.0 WHEN contains(body, ' ther erin ') OR contains(body, ' erin thble ') THEN 2.0 / 3 WHEN contains(body, ' ther ') OR contains(body, ' erin ') OR contains(body, ' thble ') THEN 1.0 / 3 ELSE 0 END,
       CASE WHEN contains(body, ' ther thnt ') THEN 1.0 WHEN contains(body, ' ther ') OR contains(body, ' thnt ') THEN 0.5 ELSE 0 END,
-      CASE WHEN contains(body, ' erin thor thble ') THEN 1.0 WHEN contains(body, ' erin thor ') OR contains(body, ' thor thble ') THEN 2.0 / 3 WHEN contains(body, ' erin ') OR contains(body, ' thor ') OR contains(body, ' thble ') THEN 1.0 / 3 ELSE 0 END)::DOUBLE span FROM a),
+      CASE WHEN contains(body, ' erin ther thble ') THEN 1.0 WHEN contains(body, ' erin ther ') OR contains(body, ' ther thble ') THEN 2.0 / 3 WHEN contains(body, ' erin ') OR contains(body, ' ther ') OR contains(body, ' thble ') THEN 1.0 / 3 ELSE 0 END)::DOUBLE span, contains(body, ' ther ')::INT::DOUBLE anchor FROM a),
 f AS (SELECT *, CASE WHEN best > 0 THEN (r1 >= 0.8 * best)::INT + (r2 >= 0.8 * best)::INT ELSE 0 END cov FROM e),
-g AS (SELECT *, round((0.45 * b + 0.25 * best + 0.1 * (cov / 2.0) + 0.1 * span)::DOUBLE, 6) final_score FROM f),
+g AS (SELECT *, round((0.45 * b + 0.25 * best + 0.1 * (cov / 2.0) + 0.1 * span + 0.1 * anchor)::DOUBLE, 6) final_score FROM f),
 h AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, source_id, chunk_id)::INT rank FROM g)
-SELECT request_id, rank, source_id, chunk_id, final_score, best_query, cov::INT coverage_count, round(b::DOUBLE, 6) base_score, round(best::DOUBLE, 6) best_rewrite_score, (cov / 2.0)::DOUBLE coverage_score, round(span, 6) span_score, 0.0::DOUBLE anchor_score
+SELECT request_id, rank, source_id, chunk_id, final_score, best_query, cov::INT coverage_count, round(b::DOUBLE, 6) base_score, round(best::DOUBLE, 6) best_rewrite_score, (cov / 2.0)::DOUBLE coverage_score, round(span, 6) span_score, anchor anchor_score
 FROM h WHERE rank <= 24
 """
 
@@ -78,10 +78,9 @@ _BM25_SQL = _CHUNK_SQL + "SELECT request_id, label, chunk_id, round(s::DOUBLE, 6
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = search_results(read(spark, sf_dir, "pages")).where("query = 'q0'")
-    body = F.concat_ws(" ", "title", "snippet")
+    body = T.strip_html(F.col("html"))
     arr = lambda a: F.array_join(F.sort_array(a), " ")
-    return df.select("url", "ord", arr(T.search_tokens(body)).alias("search_tokens"), arr(T.plain_tokens(body)).alias("plain_tokens"), T.compact(body).alias("compact"), F.array_join(T.token_list(body), " ").alias("token_list"))
+    return read(spark, sf_dir, "pages").select("page_id", body.alias("b")).select("page_id", arr(T.search_tokens(F.col("b"))).alias("search_tokens"), arr(T.plain_tokens(F.col("b"))).alias("plain_tokens"), T.compact(F.col("b")).alias("compact"), F.array_join(T.token_list(F.col("b")), " ").alias("token_list"))
 
 
 _RESULTS_SQL = r"""
@@ -93,10 +92,10 @@ s AS (SELECT page_id, url, request_id, k, lower(regexp_extract(url, '^[A-Za-z][A
 r AS (SELECT request_id, page_id * 3 + q.range AS ord, url, title, snippet, domain, 'q' || q.range query, row_number() OVER (PARTITION BY request_id, q.range ORDER BY page_id) rank
     FROM s CROSS JOIN range(3) q WHERE k % (q.range + 1) = 0)
 """
-_TOKENS_SQL = _RESULTS_SQL + rf""",
-b AS (SELECT url, ord, lower(title || ' ' || snippet) body FROM r WHERE query = 'q0'),
-k AS (SELECT url, ord, body, regexp_extract_all(body, '[a-z0-9]+') tok FROM b)
-SELECT url, ord, coalesce(array_to_string(list_sort(list_distinct(list_filter(tok, lambda x: len(x) > 1 AND NOT list_contains({_sql_list(fixed.SEARCH_STOPWORDS)}, x)))), ' '), '') search_tokens,
+_TOKENS_SQL = rf"""
+WITH b AS (SELECT page_id, lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) body FROM pages),
+k AS (SELECT page_id, body, regexp_extract_all(body, '[a-z0-9]+') tok FROM b)
+SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(tok, lambda x: len(x) > 1 AND NOT list_contains({_sql_list(fixed.SEARCH_STOPWORDS)}, x)))), ' '), '') search_tokens,
     coalesce(array_to_string(list_sort(list_distinct(list_filter(tok, lambda x: len(x) > 1))), ' '), '') plain_tokens, regexp_replace(body, '[^a-z0-9]+', '', 'g') compact, coalesce(array_to_string(tok, ' '), '') token_list FROM k
 """
 
@@ -233,9 +232,9 @@ def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATCHES_SQL = _SENTENCES + rf""",
-k AS (SELECT source_id, seq, ' ' || coalesce(array_to_string(regexp_extract_all(lower(sentence), '[a-z0-9]+'), ' '), '') || ' ' body FROM s),
+k AS (SELECT source_id, seq, regexp_extract_all(lower(sentence), '[a-z0-9]+') tok FROM s),
 n AS (SELECT unnest({_sql_list(CANDIDATES)}) AS name),
-h AS (SELECT source_id, seq, name FROM k JOIN n ON contains(k.body, ' ' || lower(n.name) || ' '))
+h AS (SELECT source_id, seq, name FROM k JOIN n ON list_has_all(tok, string_split(lower(n.name), ' ')) AND contains(array_to_string(tok, ' '), lower(n.name)))
 SELECT source_id, seq, name, count(*) OVER (PARTITION BY source_id, seq) > 1 ambiguous FROM h
 """
 
@@ -247,16 +246,18 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One quarter of shipments as evidence, so that counts do not all saturate."""
-    rows = read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'1998-01-01' and l_shipdate < timestamp'1998-07-01'")
+    """All of lineitem as evidence: ten parts are a request, a part and a line number an entity, a supplier a source."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("variant"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_type").alias("part_"))
     quality = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.5).otherwise(0.0)
-    return rows.join(orders, "l_orderkey").select(F.concat(F.lit("r"), F.col("l_partkey") % 3).alias("request_id"), F.col("l_partkey").cast("string").alias("entity"), F.col("l_suppkey").cast("string").alias("source_url"), quality.alias("quality"), "variant", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("chunk_rank"), "l_returnflag", "l_linestatus")
+    rows = read(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(parts, "l_partkey")
+    text = F.concat_ws(" ", "part_", "variant", "l_returnflag")
+    return rows.select(F.concat(F.lit("r"), F.floor(F.col("l_partkey") / 10)).alias("request_id"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("entity"), F.col("l_suppkey").cast("string").alias("source_url"), quality.alias("quality"), "variant", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("chunk_rank"), "l_returnflag", "l_linestatus", (F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("seq"), text.alias("text"))
 
 
 _EVIDENCE_SQL = """
-WITH e AS (SELECT 'r' || (l_partkey % 3) request_id, l_partkey::VARCHAR entity, l_suppkey::VARCHAR source_url, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.0 END::DOUBLE quality, o_orderpriority AS variant,
-    CASE WHEN l_linenumber > 1 THEN l_linenumber END chunk_rank, l_returnflag, l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-07-01')
+WITH e AS (SELECT 'r' || (l_partkey // 10) request_id, l_partkey || '-' || l_linenumber entity, l_suppkey::VARCHAR source_url, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.0 END::DOUBLE quality, o_orderpriority AS variant,
+    CASE WHEN l_linenumber > 1 THEN l_linenumber END chunk_rank, l_returnflag, l_linestatus, l_orderkey * 1000 + l_suppkey seq, p_name || ' ' || p_type || ' ' || o_orderpriority || ' ' || l_returnflag AS txt FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
 """
 
 
@@ -293,26 +294,63 @@ SELECT request_id, entity, variant, uses FROM (SELECT *, row_number() OVER (PART
 """
 
 
+TOPIC, TOPIC_REWRITES = "small economy ring", ["ring economy urgent", "economy ring"]
+
+
+def _topics(rows: DataFrame) -> DataFrame:
+    return rows.select("request_id").distinct().select("request_id", F.lit(TOPIC).alias("normalized_query"), F.lit(TOPIC).alias("base_query"), F.array(*[F.lit(r) for r in TOPIC_REWRITES]).alias("rewrites"))
+
+
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir).select("request_id", "entity", "seq", "text")
+    return entities.alignment(rows, _topics(rows))
+
+
+def entity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment(spark, sf_dir).select("request_id", "entity", "span", "anchor", "alignment")
+
+
+_ALIGNMENT = _SUPPORT + rf""",
+t AS (SELECT request_id, entity, list_filter(regexp_extract_all(lower(string_agg(txt, ' ' ORDER BY seq, txt)), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_sql_list(fixed.RETRIEVAL_STOPWORDS)}, x)) tok FROM e GROUP BY ALL),
+st AS (SELECT request_id, count(*) n, avg(len(tok)) avgdl FROM t GROUP BY 1),
+tf AS (SELECT request_id, entity, dl, term, count(*) tf FROM (SELECT request_id, entity, len(tok) dl, unnest(tok) term FROM t) WHERE term IN ('small', 'economy', 'ring') GROUP BY ALL),
+dfs AS (SELECT request_id, term, count(*) df FROM tf GROUP BY ALL),
+raw AS (SELECT request_id, entity, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) raw FROM tf JOIN dfs USING (request_id, term) JOIN st USING (request_id) GROUP BY ALL),
+bm AS (SELECT request_id, entity, CASE WHEN max(raw) OVER (PARTITION BY request_id) > 0 THEN raw / max(raw) OVER (PARTITION BY request_id) ELSE raw END b FROM raw),
+al AS (SELECT t.request_id, t.entity, coalesce(b, 0) b, (list_contains(tok, 'economy')::INT + list_contains(tok, 'ring')::INT) / 2.0::DOUBLE anchor, ' ' || array_to_string(tok, ' ') || ' ' body FROM t LEFT JOIN bm USING (request_id, entity)),
+al2 AS (SELECT *, CASE WHEN contains(body, ' small economy ring ') THEN 1.0 WHEN contains(body, ' small economy ') OR contains(body, ' economy ring ') THEN 2.0 / 3 WHEN contains(body, ' small ') OR contains(body, ' economy ') OR contains(body, ' ring ') THEN 1.0 / 3 ELSE 0 END::DOUBLE span FROM al),
+al3 AS (SELECT request_id, entity, round(span, 6) span, round(anchor, 6) anchor, round(0.6::DOUBLE * b + 0.2::DOUBLE * span + 0.2::DOUBLE * anchor, 6) alignment FROM al2)
+"""
+_ALIGNMENT_SQL = _ALIGNMENT + "SELECT * FROM al3"
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = entity_support(spark, sf_dir).withColumn("alignment", (F.col("entity").cast("long") % 10) / 10)
-    return entities.final_ranking(df)
+    return entities.final_ranking(entity_support(spark, sf_dir).join(_alignment(spark, sf_dir).select("request_id", "entity", "alignment"), ["request_id", "entity"]))
 
 
 def entity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
 
 
-_RANKING_SQL = _SUPPORT + """,
-r AS (SELECT request_id, entity, support_score, (entity::BIGINT % 10) / 10.0::DOUBLE alignment FROM u),
-q AS (SELECT *, round((0.5 * support_score + 0.5 * alignment)::DOUBLE, 7) final_score FROM r)
+_RANKING_SQL = _ALIGNMENT + """,
+q AS (SELECT request_id, entity, support_score, alignment, round((0.5 * support_score + 0.5 * alignment)::DOUBLE, 7) final_score FROM u JOIN al3 USING (request_id, entity))
 SELECT request_id, entity, support_score, alignment, final_score, CASE WHEN alignment >= 0.5 THEN 'core' ELSE 'discovery' END candidate_type, final_score >= 0.3 OR max(final_score) OVER (PARTITION BY request_id) < 0.3 kept,
     row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, support_score DESC, alignment DESC, entity)::INT position FROM q
 """
 
 
+def entity_supporting_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferred variants first, in their order; the rest by name."""
+    preferred = spark.createDataFrame([(v, i) for i, v in enumerate(["5-LOW", "2-HIGH"])], "variant string, place int")
+    return entities.supporting_variants(_evidence(spark, sf_dir), preferred).select("request_id", "entity", F.array_join("supporting", ",").alias("variants"))
+
+
+_SUPPORTING_SQL = _EVIDENCE_SQL + "SELECT request_id, entity, string_agg(variant, ',' ORDER BY CASE variant WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, lower(variant)) variants FROM (SELECT DISTINCT request_id, entity, variant FROM e) GROUP BY ALL"
+
+
 def entity_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 30 of each request, made diverse."""
-    top = _ranked(spark, sf_dir).where("position <= 30").select("request_id", "entity", "position", "final_score")
+    """All kept entities of each request, made diverse."""
+    top = _ranked(spark, sf_dir).where("kept").select("request_id", "entity", "position", "final_score")
     used = _evidence(spark, sf_dir).groupBy("request_id", "entity").agg(F.collect_set("variant").alias("supporting"))
     main = entity_variants(spark, sf_dir).select("request_id", "entity", F.col("variant").alias("dominant"))
     return entities.diversify(top.join(used, ["request_id", "entity"]).join(main, ["request_id", "entity"]))
@@ -401,13 +439,13 @@ _WINDOWS_SQL = "SELECT strftime(ts, '%Y-%m-%d %H') AS \"hour\", event_type stage
 
 
 def eval_rows_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jsonl.with_chunk_key(read(spark, sf_dir, "documents").select("doc_id", F.lit("q").alias("normalized_query"), F.col("source").alias("url"), "text"))
-    return jsonl.new_rows(rows, rows.where("doc_id < 100"), jsonl.CHUNK_KEY, "doc_id").select("doc_id", "url")
+    rows = jsonl.with_chunk_key(read(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("q").alias("normalized_query"), F.col("source").alias("url"), "text"))
+    return jsonl.new_rows(rows.drop("lang"), rows.where("lang = 'en'"), jsonl.CHUNK_KEY, "doc_id").select("doc_id", "url")
 
 
 _EVAL_SQL = r"""
-WITH k AS (SELECT doc_id, source url, trim(regexp_replace(text, '\s+', ' ', 'g')) chunk_key FROM documents)
-SELECT min(doc_id) doc_id, url FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id < 100 AND o.url = k.url AND o.chunk_key = k.chunk_key) GROUP BY url, chunk_key
+WITH k AS (SELECT doc_id, lang, source url, trim(regexp_replace(text, '\s+', ' ', 'g')) chunk_key FROM documents)
+SELECT min(doc_id) doc_id, url FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.lang = 'en' AND o.url = k.url AND o.chunk_key = k.chunk_key) GROUP BY url, chunk_key
 """
 
 
@@ -425,19 +463,13 @@ def chunks_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker.chunks(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"))
 
 
-def column_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions as scores of passages for a cell, and the chosen passages."""
-    found = evidence.sentence_matches(_texts(spark, sf_dir), _candidates(spark)).groupBy("request_id", F.col("name").alias("entity"), F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("seq") / 3).alias("n")).agg(F.count("*").alias("c"))
-    return tables.choose_chunks(found.select("request_id", "entity", F.lit("name").alias("column"), "source_id", F.concat_ws("#", "source_id", "n").alias("chunk_id"), F.col("c").cast("double").alias("score")))
-
-
 _REGISTERED = {
     chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: None,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
     shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: None, shortlist_buckets: None, sources_assessed: None,
     sentence_table: _SENTENCES_SQL, candidate_mentions: None, candidate_subsets: None, sentence_matches: _MATCHES_SQL, evidence_windows: None, evidence_entity_scores: _ESCORE_SQL,
-    entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_mmr: None, near_copies: None,
-    column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL, column_chunks: None,
+    entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: None, near_copies: None,
+    column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,
     run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,
 }
 

@@ -124,6 +124,26 @@ def extracted_fields(answers: DataFrame, evidence: DataFrame, plans: DataFrame)
     return df.select("request_id", "entity", "column", "column_ord", F.when(own, F.col("entity")).otherwise(F.col("value")).alias("value"), F.when(own, 1.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.coalesce(F.when(own, F.col("first_")).otherwise(F.col("evidence")), F.expr(f"cast(array() as array<{_ITEM}>)")).alias("evidence"), F.coalesce("provisional", F.lit(True)).alias("provisional"))
 
 
+def with_prior(names: DataFrame, evidence: DataFrame, extracted: DataFrame, prior: DataFrame | None, plans: DataFrame) -> DataFrame:
+    """Fields of the ranked names(request_id, entity): extracted ones where there is evidence; else those of an earlier pass; else
+    empty, provisional ones. extracted and prior as extracted_fields() gives them."""
+    proven = evidence.select("request_id", "entity").distinct()
+    out = extracted.join(names.select("request_id", "entity"), ["request_id", "entity"], "left_semi")
+    rest = names.select("request_id", "entity").join(proven, ["request_id", "entity"], "left_anti")
+    if prior is not None:
+        out = out.unionByName(prior.join(rest, ["request_id", "entity"], "left_semi").select(*out.columns))
+        rest = rest.join(prior.select("request_id", "entity").distinct(), ["request_id", "entity"], "left_anti")
+    cells = rest.join(plans.select("request_id", F.posexplode("schema_columns").alias("column_ord", "column")), "request_id")
+    return out.unionByName(cells.select("request_id", "entity", "column", "column_ord", F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence"), F.expr(f"cast(array() as array<{_ITEM}>)").alias("evidence"), F.lit(True).alias("provisional")))
+
+
+def canonical(fields: DataFrame) -> DataFrame:
+    """(request_id, name, fields, source_urls): one row an entity, its fields a map of column to value, confidence and evidence."""
+    one = F.struct("column", F.struct("value", "confidence", "evidence").alias("f"))
+    rows = fields.groupBy("request_id", "entity").agg(F.map_from_entries(F.collect_list(one)).alias("fields"))
+    return rows.join(source_urls(fields), ["request_id", "entity"]).select("request_id", F.col("entity").alias("name"), "fields", "source_urls")
+
+
 def source_urls(fields: DataFrame) -> DataFrame:
     """(request_id, entity, source_urls): distinct urls of an entity's evidence, by column, then by evidence."""
     urls = F.transform("evidence", lambda e: e["source_url"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalised, column_label, column_type, display_domain, shown_value, source_type
+from ..functions.text import capitalised, column_label, column_type, display_domain, event_column_type, shown_value, source_type, title_label
 from .store import non_low
 
 #: Stage, key, label and the order of every figure a stage shows.
@@ -133,3 +133,34 @@ def export(cells: DataFrame, names: DataFrame) -> DataFrame:
     rows = names.join(fields, ["request_id", "entity"]).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct("name", "fields").alias("r"))), lambda a, b: F.signum(a["position"] - b["position"]).cast("int")), lambda x: x["r"]).alias("rows"))
     whole = F.struct(F.struct("columns").alias("inferred_schema"), F.col("rows").alias("final_top_10_rows"))
     return columns.join(rows, "request_id").select("request_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def schema_preview(plans: DataFrame) -> DataFrame:
+    """(request_id, place, key, label, type) of the planned columns, as the planner's event shows them."""
+    df = plans.select("request_id", F.posexplode("schema_columns").alias("place", "key"))
+    return df.select("request_id", "place", "key", title_label(F.col("key")).alias("label"), event_column_type(F.col("key")).alias("type"))
+
+
+def loading_preview(plans: DataFrame) -> DataFrame:
+    """(request_id, json): the export's form with one row of dots, while a run goes on."""
+    column = lambda c: F.struct(c.alias("key"), column_label(c).alias("label"), column_type(c).alias("type"))
+    dots = F.struct(F.lit("...").alias("value"), F.lit(0).alias("confidence"), F.array().cast("array<string>").alias("source_urls"))
+    row = F.struct(F.lit("...").alias("name"), F.map_from_entries(F.transform("schema_columns", lambda c: F.struct(c.alias("k"), dots.alias("v")))).alias("fields"))
+    whole = F.struct(F.struct(F.transform("schema_columns", column).alias("columns")).alias("inferred_schema"), F.array(row).alias("final_top_10_rows"))
+    return plans.select("request_id", F.to_json(whole).alias("json"))
+
+
+def table_rows(fields: DataFrame, names: DataFrame, visible: DataFrame) -> DataFrame:
+    """(request_id, id, name, cells): the table's rows as a client holds them: a map of column to shown text and confidence;
+    a column without a field is empty, and a missing name is the entity's, certain. names(request_id, entity, position)."""
+    every = names.join(visible, "request_id").join(fields.select("request_id", "entity", "column", "value", "confidence"), ["request_id", "entity", "column"], "left")
+    own = (F.col("column") == "name") & F.col("confidence").isNull()
+    cell = F.struct("column", F.struct(shown_value(F.when(own, F.col("entity")).otherwise(F.col("value"))).alias("text"), F.when(own, 1.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence")).alias("c"))
+    rows = every.groupBy("request_id", "entity", "position").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    return rows.select("request_id", F.col("position").cast("string").alias("id"), F.col("entity").alias("name"), "cells")
+
+
+def badges(officiality: Column, quality: Column) -> Column:
+    """What a piece of evidence is labelled with: its kind of source and its quality."""
+    kind = source_type(officiality)
+    return F.struct(F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 20)).alias("source"), F.concat(F.initcap(quality), F.lit(" quality")).alias("quality"))

@@ -42,6 +42,12 @@ def shortlist_score(merged: DataFrame, total: str) -> DataFrame:
     return merged.withColumn("shortlist_score", F.round(0.6 / F.sqrt(F.greatest("rank", F.lit(1))) + 0.4 * covered, 6))
 
 
+def queries_seen(merged: DataFrame) -> DataFrame:
+    """(request_id, total): distinct queries that found any of the results, at least one."""
+    seen = merged.select("request_id", F.explode_outer("query_sources").alias("q")).groupBy("request_id").agg(F.count_distinct("q").alias("n"))
+    return seen.select("request_id", F.greatest("n", F.lit(1)).alias("total"))
+
+
 def in_order(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(F.desc("shortlist_score"), "rank", "first_seen", "url")
 

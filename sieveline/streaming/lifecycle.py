@@ -73,3 +73,14 @@ def stream_states(events: DataFrame) -> DataFrame:
 
     rows = events.select("request_id", "seq", "event", F.expr(_ID).alias("id"))
     return rows.groupBy("request_id").applyInPandasWithState(step, "request_id string, stages string, finished boolean", "stages string", "update", "NoTimeout")
+
+
+def stage_rows(figures: DataFrame, place: dict[str, int]) -> DataFrame:
+    """Stages of runs for run_events() from the figures they showed: each stage once, in the order of `place`, completed."""
+    order = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    return figures.select("request_id", "stage").distinct().select("request_id", F.try_element_at(order, F.col("stage")).alias("place"), "stage", F.concat(F.lit("Running "), "stage").alias("message"), F.lit(True).alias("completed"))
+
+
+def replay(events: DataFrame, rate: DataFrame) -> DataFrame:
+    """Finished runs' events as a stream that emits the n-th events of all runs at the rate's n-th value; for trials."""
+    return rate.select((F.col("value") + 1).alias("seq")).join(events, "seq")

@@ -172,3 +172,65 @@ def test_nfkc(spark):
     texts = ["plain", "ﬁne ①", "é", None, ""]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.nfkc(F.col("t"))).collect()]
     assert got == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def replayed(request, options):
+    if request["q"] == "bad":
+        raise TimeoutError("slow")
+    return '{"web":{"results":[{"url":"https://a.b/' + request["q"] + '","title":"' + options["title"] + '"}]}}'
+
+
+def test_service_source(spark):
+    from sieveline.sources import payloads, service
+
+    rows = service.ask(spark, "tests.test_requests:replayed", [{"q": f"q{i}"} for i in range(5)] + [{"q": "bad"}], batch="2", title="T")
+    got = {r["request"]: r for r in rows.collect()}
+    assert len(got) == 6 and got['{"q": "bad"}']["error"] == "TimeoutError: slow" and got['{"q": "bad"}']["payload"] is None
+    found = payloads.search_payloads(rows.where("error is null").select(F.lit("r").alias("request_id"), F.col("request").alias("query"), "payload"))
+    assert {(r["url"], r["title"], r["rank"], r["domain"]) for r in found.collect()} == {(f"https://a.b/q{i}", "T", 1, "a.b") for i in range(5)}
+    assert service.ask(spark, "tests.test_requests:replayed", [], title="T").count() == 0
+
+
+def test_settings(spark):
+    from sieveline import settings
+
+    text = "# note\nSIEVELINE_SHORTLIST_CAP = '7'\n\nno equals\nSIEVELINE_SHORTLIST_CAP=9\nSIEVELINE_BREADTH_ENABLED=false\nSIEVELINE_CHUNK_TOP_K=-4\nSIEVELINE_PLANNER_MODE=\"\""
+    env = settings.env_values(text)
+    assert env["SIEVELINE_SHORTLIST_CAP"] == "7" and env["SIEVELINE_PLANNER_MODE"] == ""
+    spark.conf.set("spark.sieveline.assessor_mode", "model")
+    got = settings.load(spark, env)
+    spark.conf.unset("spark.sieveline.assessor_mode")
+    assert (got.shortlist_cap, got.breadth_enabled, got.chunk_top_k, got.planner_mode, got.assessor_mode) == (7, False, 0, "rules", "model")
+    assert settings.choose("retrieval", "reader", {"reader": len})([1, 2]) == 2 and settings.choose("x", "placeholder", {})("same", 1) == "same"
+    with pytest.raises(ValueError):
+        settings.choose("retrieval", "other", {"reader": len})
+    assert settings.empty(spark, "a int").count() == 0
+
+
+def test_prior_fields_and_rows(spark):
+    plans = spark.createDataFrame([("a", ["name", "home_url"])], "request_id string, schema_columns array<string>")
+    kind = "request_id string, entity string, column string, column_ord int, value string, confidence double, evidence array<struct<source_url:string,source_title:string,supporting_snippet:string,source_role:string,source_quality:string,officiality:string>>, provisional boolean"
+    item = ("u", "t", "s", "discovery", "high", "official")
+    new = spark.createDataFrame([("a", "one", "name", 0, "One", 0.9, [item], False), ("a", "gone", "name", 0, "x", 0.9, [item], False)], kind)
+    old = spark.createDataFrame([("a", "one", "name", 0, "old", 0.9, [item], False), ("a", "two", "name", 0, "Two", 0.9, [item, item], False)], kind)
+    names = spark.createDataFrame([("a", "one", 1), ("a", "two", 2), ("a", "three", 3)], "request_id string, entity string, position int")
+    proof = spark.createDataFrame([("a", "one")], "request_id string, entity string")
+    out = answers.with_prior(names, proof, new, old, plans)
+    assert {(r["entity"], r["column"], r["value"], r["provisional"]) for r in out.collect()} == {("one", "name", "One", False), ("two", "name", "Two", False), ("three", "name", None, True), ("three", "home_url", None, True)}
+    rows = {r["name"]: r for r in answers.canonical(out).collect()}
+    assert rows["two"]["source_urls"] == ["u"] and rows["three"]["fields"]["home_url"]["value"] is None
+    visible = spark.createDataFrame([("a", "name"), ("a", "home_url")], "request_id string, column string")
+    shown = {r["name"]: r for r in report.table_rows(out.where("entity <> 'three'"), names, visible).collect()}
+    assert shown["three"]["cells"]["name"]["text"] == "three" and shown["three"]["cells"]["name"]["confidence"] == 1.0 and shown["one"]["id"] == "1" and shown["two"]["cells"]["home_url"]["text"] is None
+    assert [(r["key"], r["label"], r["type"]) for r in report.schema_preview(plans).orderBy("place").collect()] == [("name", "Name", "text"), ("home_url", "Home Url", "url")]
+    assert '"name":"...","fields":{"name":{"value":"...","confidence":0,"source_urls":[]}' in report.loading_preview(plans).first()["json"]
+    one = spark.range(1).select(report.badges(F.lit("low_quality"), F.lit("high")).alias("b")).first()["b"]
+    assert (one["source"], one["quality"]) == ("Third-party", "High quality")
+
+
+def test_stages_and_replay(spark):
+    figures = spark.createDataFrame([("a", "planner"), ("a", "searcher"), ("a", "searcher")], "request_id string, stage string")
+    runs = spark.createDataFrame([("a", None, None)], "request_id string, error_kind string, error_message string")
+    events = lifecycle.run_events(runs, lifecycle.stage_rows(figures, {"planner": 1, "searcher": 2}))
+    assert [r["event"] for r in events.orderBy("seq").collect()] == ["run_started", "stage_started", "stage_completed", "stage_started", "stage_completed", "run_completed"]
+    assert lifecycle.replay(events, spark.range(3).withColumnRenamed("id", "value")).count() == 3

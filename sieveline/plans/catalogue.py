@@ -124,6 +124,15 @@ def passage_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).select("doc_id", F.length("c").alias("n_clean"), T.truncate_passage(F.col("c"), 400).alias("head"))
 
 
+_CLEANUP_SQL = rf"""
+WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '(?i)\*\[Image([^\]]*)\]\*', '', 'g'), chr(10)), lambda x: trim(x)) a FROM documents),
+k AS (SELECT doc_id, list_filter(a, lambda x: NOT regexp_matches(x, '^\|?\s*([-:]+\s*\|\s*)+[-:]*\|?$|^\|$') AND NOT regexp_matches(trim(regexp_replace(regexp_replace(x, '^[\s|#>*_-]+', ''), '[\s|#>*_-]+$', '')), '(?i)^({'|'.join(fixed.BOILERPLATE_LINES).replace("'", "''")})$') AND NOT (regexp_matches(x, '^[\[{{]') AND json_valid(x))) a FROM l),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(array_to_string(a, chr(10)), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') c FROM k),
+h AS (SELECT *, substring(c, 1, 400) head, 400 - instr(reverse(substring(c, 1, 400)), ' ') stop FROM c)
+SELECT doc_id, length(c)::INT n_clean, CASE WHEN length(c) <= 400 THEN c ELSE regexp_replace(CASE WHEN instr(head, ' ') > 0 AND stop >= 200 THEN substring(c, 1, stop) ELSE head END, '[\s.,;:-]+$', '') END head FROM h
+"""
+
+
 def _query_tokens(spark: SparkSession) -> DataFrame:
     ids = spark.range(3).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"))
     return ids.select("request_id", T.search_tokens(F.lit("the and of " + BASE)).alias("query_tokens"), T.search_tokens(F.lit("reti inge aux leon heit")).alias("aspect_tokens"))
@@ -198,6 +207,31 @@ def sources_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("ord", "relevance_hint", "official_path_hint", "snippet_thinness_hint", "quality_score", "source_quality", "quality_confidence", "domain_match", "title_match", "officiality", "officiality_confidence", "filtered_out", "source_role", "evidence_sufficiency")
 
 
+def _overlap_sql(a: str, b: str) -> str:
+    shared = f"len(list_filter(list_distinct(string_split({a}, '')), lambda ch: contains({b}, ch)))::DOUBLE / len(list_distinct(string_split({a}, '')))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN contains({b}, {a}) OR contains({a}, {b}) THEN least(length({a}), length({b}))::DOUBLE / greatest(length({a}), length({b})) ELSE {shared} END"
+
+
+_ASSESSED_SQL = _RESULTS_SQL + rf""",
+a AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || snippet), '[a-z0-9]+'), lambda x: len(x) > 1)) tok, length(trim(snippet)) n, (length(snippet) * (ord % 3))::INT ctx, ord % 2 = 0 fb,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) host, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) path,
+    list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '.'), lambda x: x <> '' AND NOT list_contains({_sql_list(fixed.GENERIC_SUBDOMAINS)}, x)) lab,
+    regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') ct, regexp_replace(lower(snippet), '[^a-z0-9]+', '', 'g') cs FROM r WHERE query = 'q0'),
+b AS (SELECT *, round(len(list_intersect(tok, ['the', 'and', 'of', 'ther', 'erin', 'thble'])) / 6.0::DOUBLE, 6) relevance_hint, {_any('path', fixed.OFFICIAL_PATHS)} p, round(greatest(0.0, least(1.0, 1 - n / 80.0::DOUBLE)), 6) thin,
+    {_any('host', fixed.LOW_HOSTS)} low, {_any("lower(title || ' ' || snippet || ' ' || url)", fixed.THIRD_PARTY)} third, regexp_replace(coalesce(array_to_string(CASE WHEN len(lab) >= 2 THEN lab[1:len(lab) - 1] ELSE lab END, ''), ''), '[^a-z0-9]+', '', 'g') core FROM a),
+c AS (SELECT *, CASE WHEN n = 0 THEN -4 WHEN n < 80 THEN -2 ELSE 0 END + CASE WHEN relevance_hint < 0.05 THEN -3 WHEN relevance_hint < 0.12 THEN -1 WHEN relevance_hint >= 0.3 THEN 2 ELSE 0 END + CASE WHEN fb THEN -3 + CASE WHEN n < 80 THEN -2 ELSE 0 END + CASE WHEN ctx < 140 THEN -1 ELSE 0 END ELSE 0 END
+    + CASE WHEN ctx < 80 THEN -2 WHEN ctx >= 240 THEN 1 ELSE 0 END + CASE WHEN low THEN -3 + CASE WHEN fb OR n = 0 THEN -2 ELSE 0 END ELSE 0 END + CASE WHEN length(path) > 90 OR len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 6 THEN -1 ELSE 0 END sc,
+    round(list_max(list_transform(['spamfarm', 'therin'], lambda y: {_overlap_sql('y', 'core')})), 6) d,
+    round(list_max(list_transform(['spamfarm', 'therin'], lambda y: greatest(CASE WHEN ct = '' THEN 0.0 WHEN contains(ct, y) THEN 1.0 ELSE {_overlap_sql('y', 'ct')} END, CASE WHEN cs = '' THEN 0.0 WHEN contains(cs, y) THEN 1.0 ELSE {_overlap_sql('y', 'cs')} END))), 6) t FROM b),
+e AS (SELECT *, CASE WHEN sc <= -3 THEN 'low' WHEN sc >= 2 THEN 'high' ELSE 'medium' END q, round(CASE WHEN sc <= -3 THEN least(0.98, 0.55 + abs(sc) * 0.1::DOUBLE) WHEN sc >= 2 THEN least(0.95, 0.5 + sc * 0.08::DOUBLE) ELSE greatest(0.45, least(0.78, 0.45 + least(abs(sc - 1), abs(sc + 2)) * 0.08::DOUBLE)) END::DOUBLE, 6) qc,
+    CASE WHEN d >= 0.92 AND t >= 0.92 AND NOT third THEN 'official' WHEN t >= 0.72 AND (d >= 0.78 OR p) THEN 'near_official' WHEN third AND d < 0.78 AND t < 0.72 THEN 'third_party' END o FROM c),
+f AS (SELECT *, CASE o WHEN 'official' THEN 0.94 WHEN 'near_official' THEN CASE WHEN p THEN 0.78 ELSE 0.74 END WHEN 'third_party' THEN 0.8 ELSE 0.35 END::DOUBLE oc,
+    coalesce((q = 'low' AND qc >= 0.8) OR (q = 'medium' AND o = 'third_party' AND qc >= 0.65 AND relevance_hint < 0.12) OR (q = 'medium' AND o = 'third_party' AND qc >= 0.62 AND fb), false) filtered_out FROM e)
+SELECT ord, relevance_hint, p::INT::DOUBLE official_path_hint, thin snippet_thinness_hint, sc::INT quality_score, q source_quality, qc quality_confidence, d::DOUBLE domain_match, t::DOUBLE title_match, coalesce(o, 'third_party') officiality, oc officiality_confidence, filtered_out,
+    CASE WHEN o IN ('official', 'near_official') THEN 'verification' ELSE 'discovery' END source_role, round(CASE WHEN filtered_out THEN 0.0 WHEN ctx = 0 THEN least(greatest(0.1, 1 - thin), 0.5) WHEN fb THEN least(greatest(0.1, 1 - thin), 0.55) ELSE greatest(0.1, 1 - thin) END::DOUBLE, 6) evidence_sufficiency FROM f
+"""
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.col("doc_id").alias("source_id"), "text")
 
@@ -227,15 +261,41 @@ def candidate_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.drop_subsets(urls.select("request_id", "name").distinct(), urls)
 
 
+#: Whole-word mentions by runs of word characters and of others, which need no look-around.
+_MENTIONS = rf"""
+WITH t AS (SELECT doc_id, 'r' || (doc_id % 4) request_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_]+') tok FROM documents),
+n AS (SELECT unnest({_sql_list(CANDIDATES)}) AS name),
+m AS (SELECT request_id, name, doc_id, CASE WHEN contains(name, ' ') THEN len(list_filter(range(1, len(tok) - 1), lambda i: tok[i] = split_part(lower(name), ' ', 1) AND tok[i + 1] = ' ' AND tok[i + 2] = split_part(lower(name), ' ', 2))) ELSE len(list_filter(tok, lambda x: x = lower(name))) END mentions FROM t CROSS JOIN n)
+"""
+_MENTIONS_SQL = _MENTIONS + "SELECT request_id, name, sum(mentions)::BIGINT mentions, count(*) sources FROM m WHERE mentions > 0 GROUP BY ALL"
+_SUBSETS_SQL = _MENTIONS + """,
+u AS (SELECT request_id, name, doc_id FROM m WHERE mentions > 0), c AS (SELECT request_id, name, count(*) n FROM u GROUP BY ALL),
+p AS (SELECT DISTINCT a.request_id, a.name shorter, b.name longer FROM u a JOIN u b ON a.request_id = b.request_id AND a.doc_id = b.doc_id AND len(string_split(a.name, ' ')) < len(string_split(b.name, ' ')) AND contains(' ' || lower(b.name) || ' ', ' ' || lower(a.name) || ' ')),
+g AS (SELECT p.request_id, CASE WHEN x.n > y.n THEN longer ELSE shorter END AS name FROM p JOIN c x ON x.request_id = p.request_id AND x.name = shorter JOIN c y ON y.request_id = p.request_id AND y.name = longer)
+SELECT request_id, name FROM c ANTI JOIN g USING (request_id, name)
+"""
+
+
 def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.sentence_matches(_texts(spark, sf_dir), _candidates(spark)).select("source_id", "seq", "name", "ambiguous")
 
 
-_MATCHES_SQL = _SENTENCES + rf""",
+_MATCHES = _SENTENCES + rf""",
 k AS (SELECT source_id, seq, regexp_extract_all(lower(sentence), '[a-z0-9]+') tok FROM s),
 n AS (SELECT unnest({_sql_list(CANDIDATES)}) AS name),
-h AS (SELECT source_id, seq, name FROM k JOIN n ON list_has_all(tok, string_split(lower(n.name), ' ')) AND contains(array_to_string(tok, ' '), lower(n.name)))
-SELECT source_id, seq, name, count(*) OVER (PARTITION BY source_id, seq) > 1 ambiguous FROM h
+h AS (SELECT source_id, seq, name FROM k JOIN n ON list_has_all(tok, string_split(lower(n.name), ' ')) AND contains(array_to_string(tok, ' '), lower(n.name))),
+ma AS (SELECT source_id, seq, name, count(*) OVER (PARTITION BY source_id, seq) > 1 ambiguous FROM h)
+"""
+_MATCHES_SQL = _MATCHES + "SELECT * FROM ma"
+#: Left and right in turn, until neither side can take a sentence.
+_EVWINDOWS_SQL = _MATCHES.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """,
+x AS (SELECT s.source_id, s.seq, length(sentence) n, coalesce(list(DISTINCT name) FILTER (name IS NOT NULL), []) names FROM s LEFT JOIN ma USING (source_id, seq) GROUP BY ALL),
+w AS (SELECT source_id, name, seq l, seq r, x.n::BIGINT n, true gl, true gr, 0 turn FROM ma JOIN x USING (source_id, seq) WHERE NOT ambiguous
+    UNION ALL SELECT w.source_id, w.name, CASE WHEN w.turn % 2 = 0 AND x.seq IS NOT NULL THEN w.l - 1 ELSE w.l END, CASE WHEN w.turn % 2 = 1 AND x.seq IS NOT NULL THEN w.r + 1 ELSE w.r END, w.n + coalesce(x.n + 1, 0), w.gl AND (w.turn % 2 = 1 OR x.seq IS NOT NULL), w.gr AND (w.turn % 2 = 0 OR x.seq IS NOT NULL), w.turn + 1
+    FROM w LEFT JOIN x ON x.source_id = w.source_id AND x.seq = CASE WHEN w.turn % 2 = 0 THEN w.l - 1 ELSE w.r + 1 END AND CASE WHEN w.turn % 2 = 0 THEN w.gl ELSE w.gr END AND w.n + 1 + x.n <= 1200 AND len(list_filter(x.names, lambda y: y <> w.name)) = 0 WHERE w.gl OR w.gr),
+z AS (SELECT DISTINCT source_id, name, l, r FROM w WHERE NOT gl AND NOT gr),
+v AS (SELECT z.source_id, name, l, r, string_agg(sentence, ' ' ORDER BY seq) txt FROM z JOIN s ON s.source_id = z.source_id AND s.seq BETWEEN l AND r GROUP BY ALL)
+SELECT 'r' || (source_id % 4) request_id, source_id, name, l AS "first", r AS "last", txt AS text FROM v WHERE length(txt) >= 50
 """
 
 
@@ -356,11 +416,33 @@ def entity_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.diversify(top.join(used, ["request_id", "entity"]).join(main, ["request_id", "entity"]))
 
 
+#: One entity of every request a step; `nearest` is the largest likeness to any taken one.
+_MMR_SQL = _ALIGNMENT.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """,
+q AS (SELECT request_id, entity, support_score, alignment, round((0.5 * support_score + 0.5 * alignment)::DOUBLE, 7) final_score FROM u JOIN al3 USING (request_id, entity)),
+k AS (SELECT *, final_score >= 0.3 OR max(final_score) OVER (PARTITION BY request_id) < 0.3 kept, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, support_score DESC, alignment DESC, entity) pos FROM q),
+nv AS (SELECT request_id, entity, variant, count(*) uses FROM e GROUP BY ALL), dv AS (SELECT request_id, entity, arg_min(variant, (-uses, variant)) dom, list(variant) sup FROM nv GROUP BY ALL),
+gk AS (SELECT request_id, entity, final_score, pos, dom, sup FROM k JOIN dv USING (request_id, entity) WHERE kept),
+st2 AS (SELECT request_id, entity, final_score, pos, dom, sup, 0.0::DOUBLE nearest, 0 step, first_value(entity) OVER (PARTITION BY request_id ORDER BY pos) pick, first_value(dom) OVER (PARTITION BY request_id ORDER BY pos) pdom, first_value(sup) OVER (PARTITION BY request_id ORDER BY pos) psup FROM gk
+    UNION ALL SELECT request_id, entity, final_score, pos, dom, sup, nearest, step, first_value(entity) OVER o, first_value(dom) OVER o, first_value(sup) OVER o FROM (SELECT request_id, entity, final_score, pos, dom, sup, step + 1 step, greatest(nearest, CASE WHEN dom = pdom THEN 1.0 WHEN list_has_any(sup, psup) THEN 0.5 ELSE 0.0 END::DOUBLE) nearest FROM st2 WHERE entity <> pick)
+      WINDOW o AS (PARTITION BY request_id ORDER BY 0.75::DOUBLE * final_score - 0.25::DOUBLE * nearest DESC, pos))
+SELECT request_id, entity, (step + 1)::INT mmr_position FROM st2 WHERE entity = pick
+"""
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _chunks(spark, sf_dir).select("request_id", F.lit("e").alias("entity"), F.col("source_id").alias("source_url"), F.substring_index("chunk_id", "#", -1).cast("long").alias("seq"), F.array_distinct(T.token_list(F.col("text"))).alias("tokens"))
     return entities.drop_near_copies(lines)
 
 
+#: Line by line of each document, with the token sets kept so far.
+_COPIES_SQL = """
+WITH RECURSIVE l AS (SELECT doc_id, g - 1 n, list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')) t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) g FROM documents)),
+w AS (SELECT doc_id, n, [t] kept, true keep FROM l WHERE n = 0
+    UNION ALL SELECT doc_id, n, CASE WHEN copy THEN kept ELSE list_append(kept, t) END, NOT copy FROM (SELECT l.doc_id, l.n, l.t, w.kept, len(list_filter(w.kept, lambda k: (len(k) = 0 AND len(l.t) = 0) OR len(list_intersect(k, l.t)) >= 0.85 * greatest(len(k), len(l.t), 1))) > 0 copy FROM w JOIN l ON l.doc_id = w.doc_id AND l.n = w.n + 1))
+SELECT 'r' || (doc_id % 4) request_id, 'e' entity, lpad(doc_id::VARCHAR, 8, '0') source_url, n seq FROM w WHERE keep
+"""
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     cols = F.create_map(F.lit("name"), F.nullif("c_name", F.lit("Customer#000000003")), F.lit("segment"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.lit("balance"), F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("long").cast("string")), F.lit("website"), F.when(F.col("c_custkey") % 5 == 0, F.lit("w")))
@@ -464,11 +546,11 @@ def chunks_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = {
-    chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: None,
+    chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: _CLEANUP_SQL,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
-    shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: None, shortlist_buckets: None, sources_assessed: None,
-    sentence_table: _SENTENCES_SQL, candidate_mentions: None, candidate_subsets: None, sentence_matches: _MATCHES_SQL, evidence_windows: None, evidence_entity_scores: _ESCORE_SQL,
-    entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: None, near_copies: None,
+    shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: None, shortlist_buckets: None, sources_assessed: _ASSESSED_SQL,
+    sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
+    entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: _MMR_SQL, near_copies: _COPIES_SQL,
     column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,
     run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,
 }

@@ -60,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": topk.SQL, "op7_mixing": mixing.SQL}
+    return {"op2_sharding": sharding.oracle(), "op4_topk": topk.SQL, "op7_mixing": mixing.SQL}

@@ -47,3 +47,12 @@ def place(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, slots: int
     digest = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8)
     slot = F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(slots)).cast("int")
     return docs.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(table), "slot")
+
+
+def oracle(shards: int = SHARDS, slots: int = SLOTS) -> str:
+    """The same rows for DuckDB, with the table as a list."""
+    filled = ", ".join(map(str, lookup_table([f"shard-{i:05d}" for i in range(shards)], slots)))
+    return f"""
+WITH t AS (SELECT [{filled}] shards), d AS (SELECT doc_id, (('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {slots})::INT slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1]::INT shard FROM d CROSS JOIN t
+"""

@@ -1,4 +1,4 @@
-"""Exact top-k search over integer vectors by MaxScore (Turtle and Flood 1995), in blocks."""
+"""Exact top-k search over integer vectors by MaxScore (Turtle and Flood 1995), over impact-ordered postings."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from .common import cut
 
 K, EVERY, SCALE = 5, 50, 256
 #: Rows of a shard and of a block of queries; both bound what a task holds.
-SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 16_384, 4_096, 64
-#: Terms between two looks at which candidates are still competitive.
-STRIDE = 8
+SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 16_384, 4_096, 16
+#: Terms between two looks at which candidates are still competitive, and terms whose first postings give a first threshold.
+STRIDE, SEEDS = 8, 4
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -24,40 +24,84 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * SCALE)).alias("v"))
 
 
-def maxscore(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best rows but its own; ties to the smaller id. Rows sorted by id.
+class Postings:
+    """A shard's rows under every dimension, in order of value, so that a term's highest impacts are at one end of its list.
 
-    A query's terms are the dimensions. A row's part from a term, less the smallest part any row of the shard has from
-    it, is at least 0 and at most the term's bound. Terms are taken by falling bound. Once k rows have been scored in
-    full, the longest tail of terms whose bounds sum to less than what the best partial score lacks to the k-th best is
-    non-essential: rows too low after the essential terms are dropped, the rest are probed, stride by stride.
+    A query's terms are its dimensions. A row's impact from a term is what it adds over the least that any row of the
+    shard gets from it; the term's bound is the largest impact.
     """
-    low, high = rows.min(axis=0), rows.max(axis=0)
-    out = []
-    for q, qid in zip(queries, qids):
-        own = ids != qid
-        floor, ceiling = np.minimum(q * low, q * high), np.maximum(q * low, q * high)
-        bound = ceiling - floor
-        order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
-        base = int(floor.sum())
-        live = np.flatnonzero(own)
-        part = np.full(len(live), base, np.int64)
-        least = None
-        for at in range(0, len(order), STRIDE):
-            terms = order[at : at + STRIDE]
-            part += rows[np.ix_(live, terms)] @ q[terms] - int(floor[terms].sum())
-            left = int(rest[min(at + STRIDE, len(order))])
-            if len(live) > k and left:
-                if least is None or len(live) > 8 * k:
-                    front = live[np.argpartition(-part, k - 1)[:k]]
-                    full = int((rows[front] @ q).min())  # k rows in full: a floor under the k-th best
-                    least = full if least is None else max(least, full)
-                keep = part + left >= least
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, largest: int) -> None:
+        """Rows sorted by id; largest: the largest absolute component of any query."""
+        # Doubles hold whole numbers exactly up to 2**53, and multiply faster.
+        kind = float if rows.shape[1] * float(np.abs(rows).max()) * float(max(1, largest)) < 2**52 else np.int64
+        self.ids, self.kind = ids, kind
+        self.columns = np.ascontiguousarray(rows.T.astype(kind))
+        self.order = np.argsort(self.columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(self.columns, self.order, axis=1)
+        self.low, self.high = self.values[:, 0], self.values[:, -1]
+
+    def _top(self, term: int, weight: float, least: float) -> np.ndarray:
+        """Rows with an impact of at least `least` under a term: one end of its postings."""
+        if weight > 0:
+            return self.order[term, np.searchsorted(self.values[term], np.floor(self.low[term] + least / weight - 1e-6), side="left") :]
+        return self.order[term, : np.searchsorted(self.values[term], np.ceil(self.high[term] + least / weight + 1e-6), side="right")]
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, scores, postings read) of the k best rows but `own`, ties to the smaller id.
+
+        1. The first postings of the strongest terms, scored in full, give a threshold under the k-th best score. 2. The
+        weakest terms, as long as their bounds together stay under what a row needs to reach it, are non-essential: no row
+        gets there by them alone. 3. The others are essential and their postings are read from the highest impact on, down
+        to a share of the slack that the non-essential ones leave; a row in none of these stretches cannot get there either.
+        4. What was read is probed term by term, strongest first, and dropped as soon as the bounds of the terms left
+        cannot lift it to the threshold, which rises with the best rows so far.
+        """
+        q = query.astype(self.kind)
+        base = np.minimum(q * self.low, q * self.high)
+        bound = np.maximum(q * self.low, q * self.high) - base
+        terms = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])
+        floor = base.sum()
+        seeds = [self.order[t, -2 * k - 1 :] if q[t] > 0 else self.order[t, : 2 * k + 1] for t in terms[:SEEDS].tolist()]
+        seeds = np.unique(np.concatenate([*seeds, self.order[0, : 2 * k + 1]]))
+        seeds = seeds[seeds != own]
+        least = np.partition(q @ self.columns[:, seeds], -k)[-k] if len(seeds) >= k else floor
+        read, seen = 0, np.zeros(len(self.ids), bool)
+        if least > floor:
+            essential = terms[: int(np.flatnonzero(rest < least - floor)[0])]
+            slack = (least - floor - rest[len(essential)]) / bound[essential].sum()
+            for t in essential.tolist():
+                found = self._top(t, q[t], slack * bound[t])
+                seen[found] = True
+                read += len(found)
+        else:
+            seen[:] = True
+        if own >= 0:
+            seen[own] = False
+        live = np.flatnonzero(seen)
+        part = np.full(len(live), floor)
+        for at in range(0, len(terms), STRIDE):
+            some = terms[at : at + STRIDE]
+            part = part + (q[some] @ self.columns[np.ix_(some, live)] - base[some].sum())
+            if len(live) > k:
+                front = live[np.argpartition(-part, k - 1)[:k]]
+                least = max(least, (q @ self.columns[:, front]).min())
+                keep = part + rest[min(at + STRIDE, len(terms))] >= least
                 live, part = live[keep], part[keep]
-        best = np.lexsort((ids[live], -part))[:k]
-        out += [(int(qid), int(ids[live[i]]), int(part[i])) for i in best]
-    return out
+        top = np.lexsort((self.ids[live], -part))[:k]
+        return live[top], part[top].astype(np.int64), read
+
+
+def maxscore(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, id, score) of each query's k best rows but its own, and the postings read. Rows sorted by id."""
+    index, out, read = Postings(rows, ids, int(np.abs(queries).max())), [], 0
+    at = np.searchsorted(ids, qids)
+    for q, qid, i in zip(queries, qids.tolist(), at.tolist()):
+        found, scores, n = index.best(q, i if i < len(ids) and ids[i] == qid else -1, k)
+        out += zip([qid] * len(found), ids[found].tolist(), scores.tolist())
+        read += n
+    return out, read
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -65,9 +109,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     Rows are dealt by hash into shards of about SHARD_ROWS; the queries, in blocks of about QUERY_ROWS, go to every shard,
     and each pair of a shard and a block is a task of bounded size. The shards' best k are then merged. Vectors of
-    different lengths are compared only with vectors of their own length. Repeated rows (the same vec_id) count as one.
+    different lengths are compared only with vectors of their own length. Repeated rows (the same vec_id) count as one, of
+    several vectors the smallest. Rows without vec_id and vectors that are null, empty or hold null or non-finite parts take
+    no part. Equal scores go to the smaller vec_id. Empty table: empty result. Other columns are ignored.
     """
-    rows = cut(integer_vectors(vectors).where("size(v) > 0").dropDuplicates(["vec_id"]))
+    rows = cut(integer_vectors(vectors).where("size(v) > 0").groupBy("vec_id").agg(F.min("v").alias("v")))
     n = rows.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // (every * QUERY_ROWS)))
     dim = F.size("v").alias("dim")
@@ -79,7 +125,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         got = []
         if len(a) and len(b):
             a, b = a.sort_values("vec_id"), b.sort_values("vec_id")
-            got = maxscore(np.stack(b["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), a["vec_id"].to_numpy(), k)
+            got, _ = maxscore(np.stack(b["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), a["vec_id"].to_numpy(), k)
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
     key = ["dim", "shard", "block"]

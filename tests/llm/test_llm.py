@@ -312,18 +312,50 @@ def test_sum_of_squares_follows_the_rule():
     assert len(set(packing.sum_of_squares(many, 40)[0])) <= 1.03 * max(many.sum() / 40, (many > 20).sum())
 
 
+def brute_topk(v, every, k=5):
+    return {(q, n + 1): (c, -s) for q in v if q % every == 0 for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k])}
+
+
 def test_topk(spark):
+    """Ties, repeated ids with one or two vectors, null ids, vectors that take no part, other lengths and clashing columns."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(160, 16)).astype(np.float32)
     x[20:30] = x[10]
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(500, None, 0), (550, [float("nan")] * 16, 0), (600, [], 0), (650, [None] * 16, 0), (700, [0.5] * 16, 0), (700, [0.5] * 16, 0)]
-    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1)), every=10).collect()
-    v = {i: np.floor(256 * np.array(e, float)).astype(int) for i, e, _ in rows[:160]} | {700: np.full(16, 128)}
-    want = {}
-    for q in (i for i in v if i % 10 == 0):
-        best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:5]
-        want |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(best)}
-    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(500, None, 0), (550, [float("nan")] * 16, 0), (600, [], 0), (650, [None] * 16, 0), (700, [0.5] * 16, 0), (700, [0.5] * 16, 0), (None, [0.5] * 16, 0), (800, [0.25] * 16, 0), (800, [0.75] * 16, 0), (900, [1.0, 2.0], 0), (910, [1.0, -2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1)).withColumn("v", F.lit("x"))
+    got = topk.search(df, every=10).collect()
+    v = {i: np.floor(256 * np.array(e, float)).astype(int) for i, e, _ in rows[:160]} | {700: np.full(16, 128), 800: np.full(16, 64), 900: np.array([256, 512]), 910: np.array([256, -512])}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == brute_topk(v, 10)
+    assert topk.search(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed, scale", [(0, 1), (1, 40), (2, 2**17)])
+def test_maxscore_is_exact_and_reads_few_postings(seed, scale):
+    """Rows with a few heavy dimensions each, as texts have: most postings are never read. The last case passes doubles."""
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(-1, 2, (4000, 48))
+    for r in rows:
+        r[rng.choice(48, 3, replace=False)] = rng.integers(100, 300, 3)
+    rows[100:140] = rows[7]
+    rows *= scale
+    ids = np.sort(rng.choice(10**6, 4000, replace=False))
+    at = np.arange(0, 4000, 50)
+    got, read = topk.maxscore(rows[at], ids[at], rows, ids)
+    want = []
+    for i in at.tolist():
+        s = rows @ rows[i]
+        want += [(int(ids[i]), int(ids[j]), int(s[j])) for j in [j for j in np.lexsort((ids, -s)).tolist() if j != i][:5]]
+    assert got == want and read < 0.1 * len(at) * rows.size
+
+
+def test_maxscore_on_dense_rows():
+    rng = np.random.default_rng(3)
+    for n, d in ((3, 4), (6, 1), (300, 8), (50, 64)):
+        rows = rng.integers(-9, 10, (n, d))
+        ids = np.arange(n) * 10
+        got, _ = topk.maxscore(rows, ids, rows, ids)
+        want = [(i * 10, c, -t) for i in range(n) for t, c in sorted((-int(rows[i] @ rows[j]), j * 10) for j in range(n) if j != i)[:5]]
+        assert got == want
 
 
 def test_embeddings(spark):

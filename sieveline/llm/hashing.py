@@ -65,8 +65,9 @@ def split(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS) -> t
     return start, np.flatnonzero(last & (kind > 0)) + 1, np.searchsorted(offsets[1:], start, side="right")
 
 
-def slices(batches, column: str = "text", most: int = 4 << 20):
-    """Arrow batches as slices of rows whose texts hold at most `most` bytes, or of one row."""
+def slices(batches, column: str = "text", most: int = 2 << 20):
+    """Arrow batches as slices of rows whose texts hold at most `most` bytes, or of one row. What Arrow holds and does not
+    use goes back at the end of the task, as workers live on."""
     for batch in batches:
         _, offsets = flat(batch.column(column))
         at = 0
@@ -74,6 +75,7 @@ def slices(batches, column: str = "text", most: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -13,8 +13,12 @@ from .common import cut
 from .components import connected_components
 
 COSINE, RECALL = 0.9, 0.99
-SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 8_192
+SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 32_768
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
+#: A row with up to so many links to a block's scanned queries is told of each.
+THIN = 512
+#: What a row of an answer is: a link of the block's spanning forest, a link, or a scanned query's exact count.
+FOREST, LINK, COUNT = 0, 1, 2
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +189,20 @@ def _heard(exact: np.ndarray, names: np.ndarray, qx: np.ndarray, qn: np.ndarray,
 
 
 def _scan(names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, todo: np.ndarray, cosine: float):
-    """(links as pairs, weighted link counts) of the queries `todo` by brute force; pairs that join nothing new are left out."""
-    label, out_a, out_b, counts = np.arange(len(names)), [], [], np.zeros(len(qx), np.int64)
+    """(links that join something new, weighted link counts, links of thin rows) of the queries `todo` by brute force."""
+    label, out_a, out_b, counts = np.arange(len(names)), [], [], np.zeros(len(todo), np.int64)
+    told = np.zeros(len(names), np.int64)
     step = max(1, 2_000_000 // len(names))
-    for at in range(0, len(todo), step):
+
+    def near(at: int, rows: np.ndarray) -> np.ndarray:
         part = todo[at : at + step]
-        near = (qx[part] @ exact.T >= cosine) & (names != qn[part][:, None])
-        counts[part] = near @ weight.astype(float)
-        for a, row in zip(part.tolist(), near):
+        return (qx[part] @ exact[rows].T >= cosine) & (names[rows] != qn[part][:, None])
+
+    for at in range(0, len(todo), step):
+        hit = near(at, np.arange(len(names)))
+        counts[at : at + step] = hit @ weight.astype(float)
+        told += hit.sum(axis=0)
+        for a, row in zip(todo[at : at + step].tolist(), hit):
             b = np.flatnonzero(row)
             if not len(b):
                 continue
@@ -201,19 +211,27 @@ def _scan(names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarr
                 label[np.isin(label, groups)] = groups[0]
             out_a += [a] * len(first)
             out_b += b[first].tolist()
-    return np.array(out_a, np.int64), np.array(out_b, np.int64), counts
+    thin, thin_a, thin_b = np.flatnonzero((told > 0) & (told <= THIN)), [], []
+    for at in range(0, len(todo) if len(thin) else 0, step):
+        r, c = np.nonzero(near(at, thin))
+        thin_a.append(todo[at + r])
+        thin_b.append(thin[c])
+    none = np.empty(0, np.int64)
+    return np.array(out_a, np.int64), np.array(out_b, np.int64), counts, np.concatenate([none, *thin_a]), np.concatenate([none, *thin_b])
 
 
 def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, cosine: float, recall: float):
-    """(links as pairs, weighted link counts) of a block of queries in one shard.
+    """(links, links that join the rest, scanned queries and their weighted link counts) of a block of queries in one shard;
+    links as pairs of places of a query and a row.
 
     Every round is audited on the queries it would answer; what fails, or has a beam full of near ones, takes a wider beam
-    and at last a scan of the shard.
+    and at last a scan of the shard. Links are all those of the queries answered by beams, and of scanned ones those to thin
+    rows; a scanned query's links are counted and otherwise only join what they must.
     """
     q = qx.astype(np.float32)
     step = max(16, min(512, 32_000_000 // max(1, len(names))))
     todo, beam = np.arange(len(q)), FIRST_BEAM
-    all_a, all_b, counts = [], [], np.zeros(len(q), np.int64)
+    all_a, all_b = [], []
     while len(todo) and beam <= WIDEST_BEAM and 8 * beam < len(names):
         got_a, got_b, again = [], [], []
         for at in range(0, len(todo), step):
@@ -230,10 +248,9 @@ def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndar
         fine = ~np.isin(a, again)
         all_a.append(a[fine])
         all_b.append(b[fine])
-        counts += np.bincount(a[fine], weights=weight[b[fine]], minlength=len(q)).astype(np.int64)
         todo, beam = again, beam * 4
-    a, b, more = _scan(names, exact, weight, qx, qn, todo, cosine)
-    return np.concatenate([*all_a, a]), np.concatenate([*all_b, b]), counts + more
+    a, b, counts, thin_a, thin_b = _scan(names, exact, weight, qx, qn, todo, cosine)
+    return (np.concatenate([*all_a, thin_a]), np.concatenate([*all_b, thin_b])), (a, b), (todo, counts)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -243,17 +260,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     graph. Blocks of QUERY_ROWS queries go to every shard. In each, a sample of the queries that a round would answer is
     audited against all rows of the shard, the queries themselves left out; where recall is under `recall`, or a beam is
     full of near ones, the search is repeated with a wider beam, up to WIDEST_BEAM, and at last the
-    shard is scanned. Cosines are verified in double precision. A task returns a spanning forest of its links and link
-    counts, so copies never expand into all pairs.
+    shard is scanned. Cosines are verified in double precision. A task returns a spanning forest of its links, the links of
+    queries that beams answered and of thin rows, and the counts of scanned ones, so a hot group never expands into all
+    pairs. A link that one end has found counts for both: a row's links are its exact count in the shards it scanned, and in
+    the others the distinct links that it or the other end found.
 
     Vectors that are null, empty, zero or hold null or non-finite parts: no links, alone. Vectors link only with vectors of
-    their own length. Repeated vec_ids keep a row each. Rows without vec_id are left out.
+    their own length. Rows that share a vec_id keep a row each and are one vector, of several the smallest. Rows without
+    vec_id: no links, component_id null, kept. Empty table: empty result. Other columns are ignored.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), x.alias("x"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     sound = F.coalesce((F.size("x") > 0) & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0), F.lit(False))
-    rows = cut(rows.withColumn("sound", sound))
-    classes = cut(rows.where("sound").groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    each = cut(rows.where(F.col("vec_id").isNotNull() & sound).groupBy("vec_id").agg(F.min("x").alias("x")))
+    classes = cut(each.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     n = classes.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // QUERY_ROWS))
     dealt = classes.withColumn("dim", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
@@ -273,25 +293,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     right = dealt.drop("shard").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def answer(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = ["a", "b", "n", "weight"]
+        cols = ["kind", "a", "b", "wa", "wb"]
         if not len(a) or not len(b):
             return pd.DataFrame({k: np.empty(0, np.int64) for k in cols})
-        g, names = a.iloc[0], np.frombuffer(a["names"].iloc[0], np.int64)
+        g, names, weights = a.iloc[0], np.frombuffer(a["names"].iloc[0], np.int64), np.frombuffer(a["weights"].iloc[0], np.int64)
         exact = np.frombuffer(g["exact"], float).reshape(len(names), -1)
         b = b.sort_values("rep")
-        qn = b["rep"].to_numpy()
-        i, j, counts = _answers(Graph.load(g["graph"]), names, exact, np.frombuffer(g["weights"], np.int64), unit(np.stack(b["x"].to_numpy())), qn, cosine, recall)
-        forest = _roots(qn[i], names[j])
-        some = np.flatnonzero(counts)
-        return pd.DataFrame([(u, v, 0, 0) for u, v in forest] + [(u, u, int(c), 0) for u, c in zip(qn[some].tolist(), counts[some])], columns=cols)
+        qn, qw = b["rep"].to_numpy(), b["weight"].to_numpy()
+        (i, j), (u, v), (scanned, counts) = _answers(Graph.load(g["graph"]), names, exact, weights, unit(np.stack(b["x"].to_numpy())), qn, cosine, recall)
+        forest = np.array(_roots(np.concatenate([qn[i], qn[u]]), np.concatenate([names[j], names[v]])), np.int64).reshape(-1, 2)
+        parts = [(FOREST, forest[:, 0], forest[:, 1], 0, 0), (LINK, qn[i], names[j], qw[i], weights[j]), (COUNT, qn[scanned], np.int64(g["shard"]), 0, 0)]
+        out = pd.concat([pd.DataFrame(dict(zip(cols, p))) if len(p[1]) else pd.DataFrame({k: np.empty(0, np.int64) for k in cols}) for p in parts])
+        if len(scanned):
+            out.loc[out["kind"] == COUNT, "wa"] = counts
+        return out
 
     key = ["dim", "shard", "block"]
-    found = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(answer, "a long, b long, n long, weight long"))
-    comp = connected_components(found.where("a <> b").select("a", "b"))
-    links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))
+    found = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(answer, "kind int, a long, b long, wa long, wb long"))
+    comp = connected_components(found.where(F.col("kind") == FOREST).select("a", "b"))
+    scanned = found.where(F.col("kind") == COUNT).select("a", F.col("b").cast("int").alias("shard"), F.col("wa").alias("n"))
+    link = found.where(F.col("kind") == LINK)
+    ends = link.select("a", F.col("b").alias("other"), F.col("wb").alias("w")).unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("other"), F.col("wa").alias("w"))).distinct()
+    ends = ends.withColumn("shard", F.pmod(F.xxhash64("other"), F.lit(shards)).cast("int")).join(scanned, ["a", "shard"], "left_anti")
+    links = ends.groupBy("a").agg(F.sum("w").alias("n")).unionByName(scanned.select("a", "n")).groupBy("a").agg(F.sum("n").alias("n"))
     label = classes.join(links, classes["rep"] == links["a"], "left").drop("a").join(comp, F.col("rep") == comp["node"], "left")
     label = label.select("x", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.where("sound").join(label, "x").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = out.unionByName(alone)
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = rows.select("vec_id").join(each.join(label, "x").select("vec_id", "n_links", "component_id"), "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -583,6 +583,44 @@ def test_counterfactual_scores_of_swapped_mentions(spark, form):
     assert gaps[0] < 0.15 and gaps[1] > 0.4
 
 
+def test_swapped_held_out_sentences_score_alike(spark):
+    """Texts that were not fitted on, each with its identity term swapped for every other one."""
+    rng = np.random.default_rng(4)
+    w = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        toxic, term = i % 4 == 0, str(rng.choice(["muslim", "gay"] if i % 4 == 0 or i % 9 == 0 else ["elderly", "young", "christian"]))
+        rows.append((i, " ".join([*rng.choice(w, 12), "scum" if toxic and i % 8 else "fine", "the", term + "s", *rng.choice(w, 6)]) + ".", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    gaps = []
+    for penalty in (0.5, 0.0):
+        m = toxicity.fit(df.where("doc_id % 4 < 3 or doc_id % 5 > 0"), swap_penalty=penalty)
+        held = [t for i, t, y in rows if i % 5 == 0 and i % 4 == 3]
+        swaps = lambda t: [toxicity._TERM.sub(lambda m, o=o: o + (m[2] or ""), t) for o in toxicity.IDENTITY]
+        gaps.append(np.mean([max(abs(m.score(toxicity.buckets(t)) - m.score(toxicity.buckets(s))) for s in swaps(t)) for t in held]))
+        assert all(m.score(toxicity.buckets(t)) >= 0.3 for _, t, _ in rows if "scum" in t)
+    print("gaps of held-out sentences", gaps)
+    assert gaps[0] < 0.05 and gaps[1] > 0.3
+
+
+def test_scores_of_odd_rows(spark):
+    """Null ids, repeated rows, long, empty and null texts, ties and clashing columns, for both classifiers."""
+    texts, toxic, good = labelled_corpus()
+    long = " ".join(texts[:150]) + " " + "x" * 60_000
+    rows = [*enumerate(texts), (None, texts[5]), (7, texts[7]), (7, texts[9]), (9000, long), (9001, long + " "), (9002, ""), (9003, None), (9004, " \t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit("x")).withColumn("vectors", F.lit(1))
+    labels = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(zip(good, toxic))] + [(7, 0, 1)], "doc_id long, quality int, toxic int")
+    for run in (toxicity.classify, quality.classify):
+        got = run(df.repartition(3), labels).select("doc_id", "held_out", "score", "predicted").collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+        by = {}
+        for r in got:
+            by.setdefault(r["doc_id"], []).append(r["score"])
+        assert len(by[7]) == 3 and len(set(by[7])) <= 2 and len(by[None]) == 1 and by[None][0] == pytest.approx(by[5][0])
+        assert by[9000] == pytest.approx(by[9001]) and by[9002] == by[9003] == by[9004]
+        assert run(df.limit(0), labels).count() == 0 and {r["score"] for r in run(df.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
 def test_pipeline(spark, tmp_path):
     texts, _, good = labelled_corpus()
     texts = [*texts, texts[1], texts[1], texts[2] + " mail me at a.b@c.example.com"]

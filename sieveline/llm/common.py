@@ -33,20 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with row_, a number of its own for each pair of doc_id and text: the doc_id where it is set and has one text.
+    """(row_, doc_): the rows of docs as structs, and a number of its own for each pair of doc_id and text: the doc_id where it
+    is set and has one text.
 
     Only pairs without doc_id, and all but one of those that share one, get a new number, above every doc_id.
     """
-    docs = docs.withColumn("id_", F.col("doc_id").cast("long")).withColumn("digest_", F.coalesce(F.md5("text"), F.lit("")))
+    docs = docs.select(F.struct(*docs.columns).alias("doc_"), F.col("doc_id").cast("long").alias("id_"), F.coalesce(F.md5("text"), F.lit("")).alias("digest_"))
     pairs = docs.select("id_", "digest_")
     shared = pairs.where("id_ is not null").groupBy("id_").agg(F.min("digest_").alias("lo"), F.max("digest_").alias("hi")).where("lo < hi").select("id_", "lo")
     others = pairs.join(shared, "id_").where("digest_ <> lo").drop("lo").unionByName(pairs.where("id_ is null")).distinct()
     top = docs.agg(F.coalesce(F.max("id_"), F.lit(0).cast("long"))).first()[0]
     others = cut(others.select(F.col("id_").alias("i_"), F.col("digest_").alias("d_"), (F.monotonically_increasing_id() + top + 1).alias("new_")))
     if others.isEmpty():
-        return docs.withColumn("row_", F.col("id_")).drop("id_", "digest_")
+        return docs.select(F.col("id_").alias("row_"), "doc_")
     docs = docs.join(others, F.col("id_").eqNullSafe(F.col("i_")) & (F.col("digest_") == F.col("d_")), "left")
-    return docs.withColumn("row_", F.coalesce("new_", "id_")).drop("id_", "digest_", "i_", "d_", "new_")
+    return docs.select(F.coalesce("new_", "id_").alias("row_"), "doc_")
 
 
 def utf8(text) -> bytes:

@@ -16,7 +16,7 @@ COSINE, RECALL = 0.9, 0.99
 SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 32_768
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
 #: A row with up to so many links to a block's scanned queries is told of each.
-THIN = 512
+THIN = 64
 #: What a row of an answer is: a link of the block's spanning forest, a link, or a scanned query's exact count.
 FOREST, LINK, COUNT = 0, 1, 2
 

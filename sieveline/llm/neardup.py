@@ -215,7 +215,8 @@ def _group(percent: int, sets: bool):
 
 def _apart(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near_duplicates() where some doc_id has several texts: by numbers of their own, then by doc_id again."""
-    rows = cut(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("row_", F.when(F.col("doc_id").isNotNull(), F.col("row_"))))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = cut(rows.select(F.when(F.col("doc_.doc_id").isNotNull(), F.col("row_")).alias("row_"), "doc_.doc_id", "doc_.text"))
     found = near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text"), width, percent)
     found = found.where("doc_id is not null").select(F.col("doc_id").alias("row_"), "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["row_"])
     names = rows.where("row_ is not null").groupBy("row_").agg(F.min("doc_id").alias("name"))

@@ -268,9 +268,10 @@ def find(docs: DataFrame) -> DataFrame:
     then decide them. Null or empty text has no spans: counts 0, digest of the empty string. Text of any length is read
     whole. Repeated rows and null ids give a row each. Input columns named like the results are replaced.
     """
-    docs = docs.drop(*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "all_spans")
-    found = cut(candidates(docs).drop("text"))
-    return _decided(found, fit(found))
+    results = (*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "all_spans")
+    rest = [c for c in docs.columns if c != "text" and c not in results]
+    found = cut(candidates(docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row_"), "text")).drop("text"))
+    return _decided(found, fit(found)).select(*[F.col("row_")[c].alias(c) for c in rest], *results)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -621,6 +621,49 @@ def test_scores_of_odd_rows(spark):
         assert run(df.limit(0), labels).count() == 0 and {r["score"] for r in run(df.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_odd_rows_of_native_operators(spark):
+    """Null and repeated ids, repeated rows, long, empty and null texts, ties, clashing columns and empty tables for sharding, private
+    data and mixing."""
+    long = "word " * 30_000 + "a@b.example.com 1.2.3.4"
+    rows = [(1, "x a@b.co", "s"), (1, "x a@b.co", "s"), (1, "y y", "t"), (None, "n 1.2.3.4 n", None), (None, None, "s"), (2, "", "s"), (3, long, "s"), (4, "x a@b.co", "t"), (5, "z " * 9, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("slot", F.lit("a")).withColumn("spans", F.lit("b")).withColumn("size", F.lit("c")).withColumn("place_", F.lit("d"))
+    placed = sharding.place(spark, df).collect()
+    assert len(placed) == 9 and len({r["shard"] for r in placed if r["doc_id"] == 1}) == 1 and len({r["shard"] for r in placed if r["doc_id"] is None}) == 1 and all(r["spans"] == "b" for r in placed)
+    found = pii.find(df).collect()
+    at = len("word " * 30_000)
+    want = {(1, "email:2:8"), (1, ""), (None, "ip:2:9"), (None, ""), (2, ""), (3, f"email:{at}:{at + 15},ip:{at + 16}:{at + 23}"), (4, "email:2:8"), (5, "")}
+    assert len(found) == 9 and {(r["doc_id"], r["spans"]) for r in found} == want and all(r["slot"] == "a" for r in found)
+    clean = pii.redact(df).collect()
+    assert len(clean) == 9 and [r["text"] for r in clean if r["doc_id"] == 3][0].endswith("word <email> <ip>") and sum(r["text"] is None for r in clean) == 1 and all(r["place_"] == "d" for r in clean)
+    mixed = mixing.weighted_fair_mix(df).collect()
+    assert len(mixed) == 9 and sum(r["size"] for r in mixed) == sum(len(WORD.findall(t or "")) for _, t, _ in rows) and all(r["taken"] <= 3 * r["size"] for r in mixed)
+    none = df.limit(0)
+    assert sharding.place(spark, none).count() == pii.find(none).count() == pii.redact(none).count() == mixing.weighted_fair_mix(none).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Columns that clash with the stages' own, very long and repeated texts; and empty tables."""
+    texts, _, good = labelled_corpus()
+    long = " ".join(f"long{i % 7919}x{i}" for i in range(20_000))
+    df = docs(spark, [*texts, long, long + " end"]).unionByName(docs(spark, texts[:1]))
+    clash = df.withColumns({c: F.lit(c) for c in ("score", "held_out", "predicted", "row_", "copies_", "size", "spans", "all_spans", "rep", "component_id", "kept", "target", "at", "s_", "id_", "digest_")})
+    for name, rows, labels in (("clash", clash, [(i, g, 0) for i, g in enumerate(good)]), ("none", clash.limit(0), [])):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        now = common.table(spark, folder, "documents")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            stage(spark, now, folder).write.parquet(f"{folder}/s{i}")
+            now = spark.read.parquet(f"{folder}/s{i}")
+            assert now.columns == clash.columns
+        out = now.collect()
+        assert all(r["score"] == "score" and r["kept"] == "kept" and r["all_spans"] == "all_spans" for r in out)
+        if name == "none":
+            assert not out and corpus_pipeline.STAGES[4][1](spark, now, folder).count() == 0
+        else:
+            assert sum(r["doc_id"] in (600, 601) for r in out) <= 3 and any(r["doc_id"] == 600 for r in out)
+
+
 def test_pipeline(spark, tmp_path):
     texts, _, good = labelled_corpus()
     texts = [*texts, texts[1], texts[1], texts[2] + " mail me at a.b@c.example.com"]

@@ -29,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are documents of their own and stay unless they are near copies of another.
     """
     keyed = numbered(docs)
-    kept = neardup.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("row_")).distinct()
-    return keyed.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
+    kept = neardup.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "doc_.text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("row_")).distinct()
+    return keyed.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select("doc_.*")
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     which no two rows are equal in both.
     """
     keyed = numbered(docs)
-    mix = mixing.weighted_fair_mix(keyed.select(F.col("row_").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("row_"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies_"))
+    mix = mixing.weighted_fair_mix(keyed.select(F.col("row_").alias("doc_id"), "doc_.text", "doc_.source")).select(F.col("doc_id").alias("row_"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies_"))
     out = keyed.join(mix.where("copies_ > 0"), "row_")
-    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select(*docs.columns)
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select("doc_.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

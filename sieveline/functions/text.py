@@ -131,9 +131,15 @@ def comparison_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, "^[\\s\"'“”‘’.,;:!?()\\[\\]{}<>]+", ""), "[\\s\"'“”‘’.,;:!?()\\[\\]{}<>]+$", "")
 
 
-def mention_pattern(name: Column) -> Column:
-    """A case-blind pattern of whole-word mentions of a name, with or without 's."""
-    return F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.translate(F.lower(name), "’‘`", "'''"), F.lit(r"\E(?:'s)?(?!\w)"))
+def match_text(text: Column) -> Column:
+    """Text as names are looked for in it: curly quotes and backticks as apostrophes, white space collapsed."""
+    return F.trim(F.regexp_replace(F.translate(text, "’‘`", "'''"), r"(?U)\s+", " "))
+
+
+def mentions_of(name: Column, text: Column) -> Column:
+    """How often a text from match_text() has a name as whole words, with or without 's, whatever the case."""
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(match_text(name), F.lit(r"\E"), F.lit("")), F.lit(r"\E(?:'s)?(?!\w)"))
+    return F.call_function("regexp_count", text, pattern).cast("long")
 
 
 def within(inner: Column, outer: Column) -> Column:

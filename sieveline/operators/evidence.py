@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import comparison_key, sentences, token_list, words_in
+from ..functions.text import comparison_key, match_text, mentions_of, sentences, token_list, words_in
 
 
 def mentions(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -14,11 +14,10 @@ def mentions(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 
     A name's first token is joined with the texts' tokens on equality, so only texts with that token are searched.
     """
-    names = candidates.select("request_id", "name", F.element_at(token_list(F.col("name")), 1).alias("key")).where("key is not null")
+    names = candidates.select("request_id", "name", F.try_element_at(token_list(F.col("name")), F.lit(1)).alias("key")).where("key is not null")
     keyed = texts.select("request_id", "source_id", "text", F.explode(F.array_distinct(token_list(F.col("text")))).alias("key"))
     hit = keyed.join(names, ["request_id", "key"])
-    n = F.expr(r"regexp_count(text, concat('(?iU)(?<!\\w)\\Q', name, '\\E(?:''s)?(?!\\w)'))")
-    return hit.select("request_id", "name", "source_id", n.cast("long").alias("mentions")).where("mentions > 0")
+    return hit.select("request_id", "name", "source_id", mentions_of(F.col("name"), match_text(F.col("text"))).alias("mentions")).where("mentions > 0")
 
 
 def keep_names(df: DataFrame) -> DataFrame:

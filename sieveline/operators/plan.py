@@ -48,6 +48,10 @@ def normalised(requests: DataFrame) -> DataFrame:
 
 
 def executed_queries(plans: DataFrame, budget: int = 4) -> DataFrame:
-    """(request_id, place, query): the query and its rewrites, blanks and repeats left out, up to the budget."""
-    all_q = F.array_distinct(F.filter(F.transform(F.concat(F.array("base_query"), "rewrites"), collapse), lambda x: x != ""))
-    return plans.where("not error").select("request_id", F.posexplode(F.slice(all_q, 1, budget)).alias("place", "query"))
+    """(request_id, place, query): the follow-ups, where plans has any, else the query and its rewrites; white space collapsed,
+    blanks left out, up to the budget."""
+    own = F.concat(F.array("base_query"), "rewrites")
+    if "followups" in plans.columns:
+        own = F.when(F.size("followups") > 0, F.col("followups")).otherwise(own)
+    every = F.filter(F.transform(own, collapse), lambda x: x != "")
+    return plans.where("not error").select("request_id", F.posexplode(F.slice(every, 1, max(0, budget))).alias("place", "query"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import collapse
+
 Provider = Callable[[list[dict]], list[dict]]
 
 
@@ -49,10 +51,13 @@ def ask(requests: DataFrame, provider: Provider, key: list[str], batch: int = 64
 
 
 def candidate_names(texts: DataFrame, provider: Provider = capitalised_names) -> DataFrame:
-    """texts(request_id, source_id, text) -> distinct (request_id, name)."""
+    """texts(request_id, source_id, text) -> (request_id, name): white space collapsed, blank names dropped, and of names that
+    differ in case alone the first by source and place."""
     asked = texts.select("request_id", "source_id", F.to_json(F.struct("text")).alias("payload"))
     got = ask(asked, provider, ["request_id", "source_id"]).where("error is null")
-    return got.select("request_id", F.explode(F.from_json("answer", "names array<string>")["names"]).alias("name")).distinct()
+    names = got.select("request_id", "source_id", F.posexplode(F.from_json("answer", "names array<string>")["names"]).alias("at", "name"))
+    names = names.withColumn("name", collapse(F.col("name"))).where("name <> ''")
+    return names.groupBy("request_id", F.lower("name").alias("k_")).agg(F.min_by("name", F.struct("source_id", "at")).alias("name")).drop("k_")
 
 
 def grounded(decisions: DataFrame, columns: DataFrame, chunks: DataFrame) -> DataFrame:

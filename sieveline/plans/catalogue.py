@@ -263,7 +263,7 @@ def candidate_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Whole-word mentions by runs of word characters and of others, which need no look-around.
 _MENTIONS = rf"""
-WITH t AS (SELECT doc_id, 'r' || (doc_id % 4) request_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_]+') tok FROM documents),
+WITH t AS (SELECT doc_id, 'r' || (doc_id % 4) request_id, regexp_extract_all(lower(regexp_replace(text, '\s+', ' ', 'g')), '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_]+') tok FROM documents),
 n AS (SELECT unnest({_sql_list(CANDIDATES)}) AS name),
 m AS (SELECT request_id, name, doc_id, CASE WHEN contains(name, ' ') THEN len(list_filter(range(1, len(tok) - 1), lambda i: tok[i] = split_part(lower(name), ' ', 1) AND tok[i + 1] = ' ' AND tok[i + 2] = split_part(lower(name), ' ', 2))) ELSE len(list_filter(tok, lambda x: x = lower(name))) END mentions FROM t CROSS JOIN n)
 """

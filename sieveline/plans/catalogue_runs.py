@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import answers, cells, entities, evidence, report, results, search, store, tables
+from ..operators import answers, cells, evidence, plan, report, search, store, tables
 from ..sources import jsonl, payloads
 from ..sources.pages import read
 from ..streaming import lifecycle
@@ -168,6 +168,19 @@ SELECT 'r' || c_custkey request_id, x."column", x.place::INT place, c_mktsegment
 """
 
 
+def queries_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requests: some with follow-ups, blank rewrites or errors."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("r"), k).alias("request_id"), F.concat(F.lit("  "), "p_name").alias("base_query"), F.array("p_type", F.lit(" "), F.concat("p_brand", F.lit("   x")), F.lit("a"), F.lit("b")).alias("rewrites"), F.when(k % 3 == 0, F.array(F.lit(" "), F.lit("follow  up"))).otherwise(F.array().cast("array<string>")).alias("followups"), (k % 10 == 0).alias("error"))
+    return plan.executed_queries(p).select("request_id", "place", "query")
+
+
+_SENT_SQL = """
+WITH p AS (SELECT p_partkey k, CASE WHEN p_partkey % 3 = 0 THEN ['follow up'] ELSE [p_name, p_type, p_brand || ' x', 'a'] END q FROM part WHERE p_partkey % 10 <> 0)
+SELECT 'r' || k request_id, (generate_subscripts(q, 1) - 1)::INT place, unnest(q) query FROM p
+"""
+
+
 def search_tokens_of_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select(F.concat(F.lit("r"), "p_partkey").alias("request_id"), F.concat(F.lit("the "), "p_name").alias("normalized_query"), F.col("p_type").alias("base_query"), F.array("p_name", "p_brand", F.lit("")).alias("core_aspects"))
     arr = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
@@ -525,7 +538,7 @@ SELECT k p_partkey, array_to_string(list_transform(string_split(replace("key", '
 
 _REGISTERED = {
     column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
-    search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
+    search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,

@@ -34,9 +34,11 @@ def _one_for_each(rows: DataFrame, order: list, most: int) -> DataFrame:
 
 def _shortlisted(found: DataFrame, tokens: DataFrame, totals: DataFrame, cap: int) -> DataFrame:
     """Raw results -> pruned, merged, scored, bucketed, cut by the buckets' floors and dealt to the shortlist."""
-    merged = results.merge_by_url(results.prune(found, tokens)).join(totals, "request_id")
-    rows = results.shortlist_score(merged, "total").withColumn("bucket", results.bucket_of(F.col("title"), F.col("url")))
-    return rows.join(results.shortlist_by_bucket(results.bucket_floor(rows), cap).select("request_id", "url", "position"), ["request_id", "url"])
+    merged = results.merge_by_url(results.prune(found, tokens)).withColumn("bucket", results.bucket_of(F.col("title"), F.col("url")))
+    # The floors go by the queries that found anything, the shortlist by those sent.
+    strong = results.bucket_floor(results.shortlist_score(merged.join(results.queries_seen(merged), "request_id"), "total")).select("request_id", "url")
+    rows = results.shortlist_score(merged.join(totals, "request_id"), "total")
+    return rows.join(results.shortlist_by_bucket(rows.join(strong, ["request_id", "url"], "left_semi"), cap).select("request_id", "url", "position"), ["request_id", "url"])
 
 
 def rule_fields(numbered: DataFrame, plans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import chunker
 from sieveline.functions import text as T
-from sieveline.operators import assess, entities, evidence, passages, plan, results, tables
+from sieveline.operators import assess, entities, evidence, passages, plan, providers, results, tables
 from sieveline.sources import jsonl
 
 
@@ -211,3 +211,27 @@ def test_providers(spark):
     cols = spark.createDataFrame([("r", "name"), ("r", "site")], "request_id string, column string")
     got = {r["column"]: r["value"] for r in providers.grounded(d, cols, spark.createDataFrame([("r", "c1")], "request_id string, chunk_id string")).collect()}
     assert got == {"name": "E", "site": None}
+
+
+def test_chunks_cut_by_level():
+    heads = "# One\n" + "a" * 30 + "\n# Two\n" + "b" * 30 + "\n\n\nlast " + "c" * 30
+    assert [c[:5] for c in chunker.split(heads, 45, 1, None)] == ["# One", "# Two", "last "]
+    lines = "First line ends here.\n  indented " + "x" * 20 + "\nplain " + "y" * 20
+    assert chunker.split(lines, 60, 1, None) == ["First line ends here.", "indented " + "x" * 20 + "\nplain " + "y" * 20]
+    assert chunker.split("One is short. Two is short too! Three?", 20, 1, None) == ["One is short.", "Two is short too!", "Three?"]
+    assert chunker.split("word " * 10, 12, 1, None) == ["word word"] * 5 and chunker.split("a" * 30 + " b", 10, 1, None) == ["a" * 30, "b"]
+    assert chunker.split("a  \r\nb\t\r\n", 100) == ["a\nb"]
+    text = "A" * 65 + "\n\ntiny\n\n" + "B" * 20 + "\n\n" + "C" * 90
+    got = chunker.split(text, 70, 25, 10)
+    assert len(got) == 3 and got[1] == "tiny\n\n" + "B" * 20
+    assert len(chunker.split("\n\n".join(f"Section {i} " + "x" * 35 for i in range(1, 6)), 50, 17, 3)) == 3
+    assert [len(c) for c in chunker.split("alpha " * 40, 100, 20, None)] == [95, 95, 47]
+
+
+def test_names_that_differ_in_case_are_one(spark):
+    texts = spark.createDataFrame([("a", "1", "we met Acme  Labs and ACME LABS here, and Bolt’s   Works too"), ("a", "2", "x Acme labs y")], "request_id string, source_id string, text string")
+    got = {r["name"] for r in providers.candidate_names(texts, lambda ps: [{"names": ["Acme  Labs", "ACME LABS", " ", "Bolt's Works"]} for _ in ps]).collect()}
+    assert got == {"Acme Labs", "Bolt's Works"}
+    names = spark.createDataFrame([("a", n) for n in got], "request_id string, name string")
+    seen = {(r["name"], r["source_id"]): r["mentions"] for r in evidence.mentions(names, texts).collect()}
+    assert seen == {("Acme Labs", "1"): 2, ("Acme Labs", "2"): 1, ("Bolt's Works", "1"): 1}

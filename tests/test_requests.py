@@ -174,21 +174,15 @@ def test_nfkc(spark):
     assert got == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
 
 
-def replayed(request, options):
-    if request["q"] == "bad":
-        raise TimeoutError("slow")
-    return '{"web":{"results":[{"url":"https://a.b/' + request["q"] + '","title":"' + options["title"] + '"}]}}'
-
-
 def test_service_source(spark):
     from sieveline.sources import payloads, service
 
-    rows = service.ask(spark, "tests.test_requests:replayed", [{"q": f"q{i}"} for i in range(5)] + [{"q": "bad"}], batch="2", title="T")
+    rows = service.ask(spark, "tests.replayed_answers:answer", [{"q": f"q{i}"} for i in range(5)] + [{"q": "bad"}], batch="2", title="T")
     got = {r["request"]: r for r in rows.collect()}
     assert len(got) == 6 and got['{"q": "bad"}']["error"] == "TimeoutError: slow" and got['{"q": "bad"}']["payload"] is None
     found = payloads.search_payloads(rows.where("error is null").select(F.lit("r").alias("request_id"), F.col("request").alias("query"), "payload"))
     assert {(r["url"], r["title"], r["rank"], r["domain"]) for r in found.collect()} == {(f"https://a.b/q{i}", "T", 1, "a.b") for i in range(5)}
-    assert service.ask(spark, "tests.test_requests:replayed", [], title="T").count() == 0
+    assert service.ask(spark, "tests.replayed_answers:answer", [], title="T").count() == 0
 
 
 def test_settings(spark):

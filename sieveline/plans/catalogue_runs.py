@@ -16,6 +16,7 @@ from ..sources import jsonl, payloads
 from ..sources.pages import read
 from ..streaming import lifecycle
 from . import catalogue as base
+from . import requests
 from .catalogue import BASE, CANDIDATES
 
 FACETS = {"origin": ["ther thnt", "erin"], "kind_of": ["thble", "  "]}
@@ -536,8 +537,16 @@ WITH p AS (SELECT p_partkey k, lower(p_type) || '_' || replace(p_name, ' ', '_')
 SELECT k p_partkey, array_to_string(list_transform(string_split(replace("key", '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label, CASE WHEN k % 6 = 0 THEN 'url' ELSE 'text' END event_type, ['url', 'url', 'date', 'number', 'date', 'text'][k % 6 + 1] AS type FROM p
 """
 
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole requests, from topic to table: the first words of every benchmark text as topics, all pages as the web."""
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) > 3)
+    asked = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("request_id"), F.array_join(F.slice(words, 1, 3), " ").alias("query"), F.array(F.array_join(F.slice(words, 2, 2), " ")).alias("rewrites"))
+    way = requests.run(asked, read(spark, sf_dir, "pages"))
+    return way["table"].select("request_id", "entity", F.col("position").cast("int").alias("position"), "non_name", "all_fields", "urls")
+
+
 _REGISTERED = {
-    column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
+    request_table: None, column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
     search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,

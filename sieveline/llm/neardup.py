@@ -289,13 +289,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     near = u.join(v, F.col("u.list") == F.col("v.list")).where("u.rep > v.rep and u.comp <> v.comp").where(fits(F.col("u.n_shingles"), F.col("v.n_shingles")))
     near = near.where(agree("u.mark", "v.mark")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"))
     lists = in_blocks(where.where(F.col("members") > FEW).select("list", "rep", "n_shingles", "comp", "mark"), "list", "1", LIST_BLOCK)
-    edges = in_pairs(lists, inside=True).groupBy("list", "i", "j").applyInPandas(_group(percent, sets=False), "a long, b long").unionByName(near)
+    # Work goes with the square of a list, not with its bytes, so small partitions are not put together again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = in_pairs(lists, inside=True).repartition(parts, "list", "i", "j").groupBy("list", "i", "j").applyInPandas(_group(percent, sets=False), "a long, b long").unionByName(near)
     family = connected_components(edges)
     info = where.select("rep", "n_shingles", "comp", "mark").dropDuplicates(["rep"])
     members = family.join(info, family["node"] == info["rep"]).select(F.col("component").alias("family"), "rep", "n_shingles", "comp", "mark")
     members = cut(in_blocks(members, "family", "n_shingles", SET_BLOCK))
     with_sets = lambda m: m.join(sets, m["rep"] == sets["doc_id"]).drop("doc_id")
-    more = cut(with_sets(members).groupBy("family", "block").applyInPandas(_group(percent, sets=True), "a long, b long"))
+    more = cut(with_sets(members).repartition(parts, "family", "block").groupBy("family", "block").applyInPandas(_group(percent, sets=True), "a long, b long"))
     wide = members.where("blocks > 1")
     if not wide.isEmpty():
         links = cut(links.unionByName(more))

@@ -1,7 +1,8 @@
 """Registered queries for the steps of whole requests, with SQL for the same results.
 
 Stored tables stand in for live inputs as in catalogue.py: pages for sources, orders for evidence and search results,
-customers for entities, events for runs. Whole tables are read.
+customers for entities, events for runs. Whole tables are read. What the tables do not hold (which source has an assessment, which
+cell an answer, which run failed) is made from their numbers, so that every case of a step occurs; all rows go through it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import answers, cells, evidence, plan, report, search, store, tables
+from ..operators import answers, cells, entities, evidence, plan, report, results, search, store, tables
 from ..sources import jsonl, payloads
 from ..sources.pages import read
 from ..streaming import lifecycle
@@ -537,6 +538,109 @@ WITH p AS (SELECT p_partkey k, lower(p_type) || '_' || replace(p_name, ' ', '_')
 SELECT k p_partkey, array_to_string(list_transform(string_split(replace("key", '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label, CASE WHEN k % 6 = 0 THEN 'url' ELSE 'text' END event_type, ['url', 'url', 'date', 'number', 'date', 'text'][k % 6 + 1] AS type FROM p
 """
 
+def entity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.entity_log(base._ranked(spark, sf_dir)).select("request_id", F.col("n").cast("int").alias("n"), "name", "kept", "candidate_type", "final_score", "support_score", "alignment")
+
+
+_ELOG_SQL = base._RANKING_SQL.replace("SELECT request_id, entity, support_score, alignment, final_score,", "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY final_score >= 0.3 OR top < 0.3 DESC, final_score DESC, support_score DESC, alignment DESC, entity)::INT n, entity AS name, CASE WHEN final_score >= 0.3 OR top < 0.3 THEN 'yes' ELSE 'no' END kept, round(final_score::DECIMAL(12, 7), 4)::DOUBLE final_score, round(support_score::DECIMAL(12, 7), 4)::DOUBLE support_score, round(alignment::DECIMAL(12, 7), 4)::DOUBLE alignment,")
+_ELOG_SQL = _ELOG_SQL[: _ELOG_SQL.rindex("END candidate_type") + len("END candidate_type")] + " FROM (SELECT *, max(final_score) OVER (PARTITION BY request_id) top FROM q)"
+
+
+def cell_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen passages for cells; the sources of every third document are not known."""
+    n = F.col("doc_id")
+    sources = read(spark, sf_dir, "documents").select(F.concat(F.lit("r"), n % 4).alias("request_id"), F.lpad(n.cast("string"), 8, "0").alias("source_id"), F.when(n % 3 > 0, F.concat(F.lit("u"), n)).alias("url"), F.when(n % 3 > 0, F.concat(F.lit("t"), n)).alias("title"))
+    return report.cell_log(tables.choose_chunks(_cells(spark, sf_dir)), sources.where("url is not null")).select("request_id", "entity", "column", "position", "score", "source_url", "source_title")
+
+
+_CLOG_SQL = _CELLS + """,
+ch AS (SELECT *, split_part(chunk_id, '#', 1)::BIGINT d, row_number() OVER (PARTITION BY request_id, entity, "column" ORDER BY score DESC, chunk_id)::INT position FROM y)
+SELECT request_id, entity, "column", position, round(score::DECIMAL(12, 7), 4)::DOUBLE score, CASE WHEN d % 3 > 0 THEN 'u' || d ELSE '' END source_url, CASE WHEN d % 3 > 0 THEN 't' || d ELSE '' END source_title FROM ch WHERE position <= 3
+"""
+
+
+def prior_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as ranked names: those with orders have been extracted, some of the others are known from before."""
+    k = F.col("c_custkey")
+    names = read(spark, sf_dir, "customer").select(_request("c_custkey").alias("request_id"), k.cast("string").alias("entity"), k)
+    prior = names.where("c_custkey % 2 = 0").select("request_id", "entity", F.lit("segment").alias("column"), F.lit(1).alias("column_ord"), F.lit("old").alias("value"), F.lit(0.1).alias("confidence"), F.expr("cast(array() as array<struct<source_url:string,source_title:string,supporting_snippet:string,source_role:string,source_quality:string,officiality:string>>)").alias("evidence"), F.lit(False).alias("provisional"))
+    out = answers.with_prior(names.select("request_id", "entity"), _orders_as_evidence(spark, sf_dir), _extracted(spark, sf_dir), prior, _plans(names))
+    return out.select("request_id", "entity", "column", "value", "provisional")
+
+
+_PRIOR_SQL = _EXTRACTED + """, n AS (SELECT c_custkey k, 'r' || (c_custkey % 3) request_id, c_custkey::VARCHAR entity FROM customer), f AS (SELECT * FROM n ANTI JOIN e USING (k))
+SELECT x.request_id, x.entity, x."column", value, provisional FROM x JOIN n USING (k) UNION ALL SELECT request_id, entity, 'segment', 'old', false FROM f WHERE k % 2 = 0
+    UNION ALL SELECT request_id, entity, unnest(['name', 'segment', 'balance', 'website']), NULL, true FROM f WHERE k % 2 > 0
+"""
+
+
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = answers.canonical(_extracted(spark, sf_dir))
+    return c.select("request_id", "name", F.col("fields")["segment"]["value"].alias("segment"), F.col("fields")["website"]["confidence"].alias("website_confidence"), F.size("fields").alias("columns"), F.size("source_urls").alias("urls"))
+
+
+_CANON_SQL = _EXTRACTED + """, w AS (SELECT k, max(CASE WHEN "column" = 'name' AND value IS NOT NULL THEN urls END) u1, max(CASE WHEN "column" = 'segment' AND value IS NOT NULL THEN split_part(urls, ',', 1) END) u2 FROM x GROUP BY 1)
+SELECT request_id, entity AS name, max(CASE WHEN "column" = 'segment' THEN value END) segment, max(CASE WHEN "column" = 'website' THEN CASE WHEN value IS NULL THEN 0.0 ELSE 0.25 END END)::DOUBLE website_confidence, 4 AS columns, (CASE WHEN any_value(u1) IS NULL THEN 0 WHEN any_value(u2) IS NULL OR any_value(u2) = any_value(u1) THEN 1 ELSE 2 END)::INT urls FROM x JOIN w USING (k) GROUP BY request_id, entity
+"""
+
+
+def plan_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as plans: preferred variants in order, and how many count."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("r"), k).alias("request_id"), F.concat(F.lit(" "), "p_name").alias("normalized_query"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("base_query"), F.when(k % 3 == 0, F.array(F.lit(" "), F.col("p_brand"), F.col("p_type"))).otherwise(F.array(F.lit(""))).alias("rewrites"))
+    every = entities.preferred_variants(p).groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "variant"))), lambda x: x["variant"]), "|").alias("variants"))
+    return every.join(entities.variant_totals(p), "request_id").select("request_id", "variants", "total_variants")
+
+
+_VARIANTSP_SQL = """
+SELECT 'r' || p_partkey request_id, p_name || CASE WHEN p_partkey % 2 > 0 THEN '|' || p_type ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '|' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '|' || p_type ELSE '' END ELSE '' END variants,
+    (1 + CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END)::INT total_variants FROM part
+"""
+
+
+def pass_through_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, chunks, _, _ = _sources(spark, sf_dir)
+    return store.pass_through_ranking(sources, chunks).select("request_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "final_score", "selected")
+
+
+_PASS_SQL = "SELECT 'r' || (page_id % 3) request_id, 's' || page_id || '#' || i.range chunk_id, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id, i.range)::INT rank, 0.0::DOUBLE final_score, true selected FROM pages CROSS JOIN range(3) i"
+
+
+def queries_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(_request("o_custkey", 50).alias("request_id"), F.when(F.col("o_orderkey") % 9 > 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array().cast("array<string>")).alias("query_sources"))
+    return results.queries_seen(o).select("request_id", "total")
+
+
+_SEEN_SQL = "SELECT 'r' || (o_custkey % 50) request_id, greatest(count(DISTINCT q), 1) total FROM (SELECT o_custkey, unnest(CASE WHEN o_orderkey % 9 > 0 THEN [o_orderpriority, o_orderstatus] ELSE [NULL] END) q FROM orders) GROUP BY 1"
+
+
+def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as evidence: badges, confidence band and percent, and whether their request has few rows."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("r"), "o_custkey").alias("request_id"), k, ((k % 100) / 100).alias("c"), report.badges(F.element_at(F.array(*[F.lit(x) for x in ("official", "near_official", "low_quality", "third_party")]), (k % 4 + 1).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ("high", "medium", "low")]), (k % 3 + 1).cast("int"))).alias("b"))
+    few = report.few_rows(o.select("request_id")).select("request_id", "notice")
+    return o.join(few, "request_id").select("o_orderkey", "b.source", "b.quality", T.confidence_band(F.col("c")).alias("band"), report.percent(F.col("c")).alias("percent"), "notice")
+
+
+_LABELS_SQL = """
+SELECT o_orderkey, ['Official', 'Profile', 'Third-party', 'Article'][o_orderkey % 4 + 1] AS source, ['High', 'Medium', 'Low'][o_orderkey % 3 + 1] || ' quality' quality, CASE WHEN o_orderkey % 100 < 70 THEN 'low' WHEN o_orderkey % 100 < 90 THEN 'medium' ELSE 'high' END band,
+    floor((o_orderkey % 100) / 100.0::DOUBLE * 100 + 0.5)::INT AS "percent", count(*) OVER (PARTITION BY o_custkey) < 3 notice FROM orders
+"""
+
+
+def column_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned columns of parts, as the planner's event and the loading table show them."""
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("r"), "p_partkey").alias("request_id"), F.array(F.lit("name"), F.concat_ws("_", F.lower("p_type"), F.lit("url"))).alias("schema_columns"))
+    dots = F.from_json("json", "final_top_10_rows array<struct<name:string,fields:map<string,struct<value:string>>>>")["final_top_10_rows"][0]
+    loading = report.loading_preview(p).select("request_id", F.size(dots["fields"]).alias("cells"), dots["name"].alias("dots"))
+    return report.schema_preview(p).join(loading, "request_id").select("request_id", F.col("place").cast("int").alias("place"), "key", "label", "type", "cells", "dots")
+
+
+_PREVIEWS_SQL = """
+SELECT 'r' || p_partkey request_id, x.place::INT place, CASE WHEN x.place = 0 THEN 'name' ELSE lower(p_type) || '_url' END "key", CASE WHEN x.place = 0 THEN 'Name' ELSE upper(p_type[1]) || lower(p_type[2:]) || ' Url' END AS label, CASE WHEN x.place = 0 THEN 'text' ELSE 'url' END AS type, 2 cells, '...' dots FROM part CROSS JOIN (VALUES (0), (1)) x(place)
+"""
+
+
 def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole requests, from topic to table: the first words of every benchmark text as topics, all pages as the web."""
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) > 3)
@@ -551,6 +655,7 @@ _REGISTERED = {
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,
+    entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL,
 }
 
 

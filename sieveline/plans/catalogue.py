@@ -200,6 +200,29 @@ def shortlist_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.shortlist_by_bucket(results.bucket_floor(_bucketed(spark, sf_dir)))
 
 
+def _chain_sql(rows: str, steps: list[tuple[str, str]], order: str, skip: bool) -> str:
+    """Greedy picks as a chain of tables, one a step: in each, every request takes its first row in `order` that the step's
+    condition allows, that is not in `seen` and whose domain has room. skip: rows passed over are seen as well."""
+    out = [f"g0 AS (SELECT DISTINCT request_id, []::VARCHAR[] urls, []::VARCHAR[] doms, []::VARCHAR[] seen FROM {rows})"]
+    for i, (cond, _) in enumerate(steps):
+        fits = "len(list_filter(g.doms, lambda x: x = lower(w.domain))) < 3 AND len(g.urls) < 15"
+        passed = "coalesce(list(w.url) FILTER (p.pos IS NULL OR w.pos <= p.pos), [])" if skip else "[]::VARCHAR[]"
+        out.append(f"""p{i} AS (SELECT w.request_id, arg_min(w.url, w.pos) url, arg_min(lower(w.domain), w.pos) dom, min(w.pos) pos FROM {rows} w JOIN g{i} g USING (request_id) WHERE {cond} AND NOT list_contains(g.seen, w.url) AND {fits} GROUP BY 1),
+n{i} AS (SELECT w.request_id, {passed} passed FROM {rows} w JOIN g{i} g USING (request_id) LEFT JOIN p{i} p USING (request_id) WHERE {cond} AND NOT list_contains(g.seen, w.url) AND len(g.urls) < 15 GROUP BY 1),
+g{i + 1} AS (SELECT g.request_id, CASE WHEN p.url IS NULL THEN g.urls ELSE list_append(g.urls, p.url) END urls, CASE WHEN p.url IS NULL THEN g.doms ELSE list_append(g.doms, p.dom) END doms, CASE WHEN p.url IS NULL THEN g.seen ELSE list_append(g.seen, p.url) END || coalesce(n.passed, []) seen FROM g{i} g LEFT JOIN p{i} p USING (request_id) LEFT JOIN n{i} n USING (request_id))""")
+    last = f"g{len(steps)}"
+    out.append(f"""rest AS (SELECT w.*, len(g.urls) taken, row_number() OVER (PARTITION BY w.request_id, lower(w.domain) ORDER BY {order}) + len(list_filter(g.doms, lambda x: x = lower(w.domain))) dn FROM {rows} w JOIN {last} g USING (request_id) WHERE NOT list_contains(g.seen, w.url)),
+fill AS (SELECT request_id, url, "domain", taken + row_number() OVER (PARTITION BY request_id ORDER BY {order}) position FROM rest WHERE dn <= 3)
+SELECT request_id, url, "domain", position::INT position FROM fill WHERE position <= 15 UNION ALL SELECT w.request_id, w.url, w."domain", list_position(g.urls, w.url)::INT FROM {last} g JOIN {rows} w USING (request_id) WHERE list_contains(g.urls, w.url)""")
+    return ",\n".join(out)
+
+
+_ORDER = "shortlist_score DESC, rank, first_seen, url"
+#: Slots of the queries in turn: four, two and one of seven.
+_QUOTA_SQL = _MERGED_SQL + f", w0 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_ORDER}) pos FROM sc),\n" + _chain_sql("w0", [(f"contains(w.queries, '{q}')", q) for q in ("q0", "q1", "q2", "q0", "q1", "q0", "q0")], _ORDER, skip=False)
+_BUCKETS_SQL = _FLOOR_SQL[: _FLOOR_SQL.rindex("SELECT request_id, url, bucket")].rstrip() + f", w0 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_ORDER}) pos FROM z WHERE rn <= sure OR shortlist_score >= 0.6 * bar),\n" + _chain_sql("w0", [(f"w.bucket = '{b}'", b) for turn in range(max(fixed.BUCKET_CAPS)) for b, cap in zip(fixed.BUCKETS, fixed.BUCKET_CAPS) if turn < cap], "shortlist_score DESC, rank, url", skip=True)
+
+
 def sources_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = search_results(read(spark, sf_dir, "pages")).where("query = 'q0'")
     df = df.withColumn("context_chars", (F.length("snippet") * (F.col("ord") % 3)).cast("int")).withColumn("fallback", F.col("ord") % 2 == 0).withColumn("candidates", F.array(F.lit("Spam Farm"), F.lit("Therin"), F.lit("The")))
@@ -548,7 +571,7 @@ def chunks_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTERED = {
     chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: _CLEANUP_SQL,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
-    shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: None, shortlist_buckets: None, sources_assessed: _ASSESSED_SQL,
+    shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: _QUOTA_SQL, shortlist_buckets: _BUCKETS_SQL, sources_assessed: _ASSESSED_SQL,
     sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
     entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: _MMR_SQL, near_copies: _COPIES_SQL,
     column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,

@@ -28,23 +28,53 @@ def per_request(*order) -> Window:
     return Window.partitionBy("request_id").orderBy(*order)
 
 
-def distinct_list(values: Column, blocked: Column | None = None, most: int = 6) -> Column:
-    """Trimmed, lower-case, distinct values in order, without blanks and blocked ones, at most `most`."""
-    clean = F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(collapse(v))), lambda v: v != ""))
-    return F.slice(F.array_except(clean, blocked) if blocked is not None else clean, 1, most)
+def distinct_list(values: Column, blocked: Column | None = None, most: int = 6, fallback: list[str] = (), least: int = 0) -> Column:
+    """Values in order with white space collapsed, without blanks, repeats whatever the case, and blocked ones (in small
+    letters), at most `most`; filled up to `least` from `fallback`, and then with field_N."""
+    none = F.array().cast("array<string>")
+    shut = none if blocked is None else blocked
+    low = lambda a: F.transform(a, F.lower)
+    clean = F.filter(F.transform(F.coalesce(values, none), collapse), lambda v: (v != "") & ~F.array_contains(shut, F.lower(v)))
+    own = F.slice(F.filter(clean, lambda v, i: F.array_position(low(clean), F.lower(v)) == i + 1), 1, most)
+    if not least:
+        return own
+    more = F.filter(F.array(*[F.lit(v) for v in fallback]).cast("array<string>"), lambda v: ~F.array_contains(low(own), F.lower(v)) & ~F.array_contains(shut, F.lower(v)))
+    full = F.concat(own, F.slice(more, F.lit(1), F.greatest(F.lit(least) - F.size(own), F.lit(0))))
+    rest = F.when(F.size(full) < least, F.transform(F.sequence(F.size(full) + 1, F.lit(least)), lambda n: F.concat(F.lit("field_"), n))).otherwise(none)
+    return F.slice(F.concat(full, rest), 1, most)
 
 
 def normalised(requests: DataFrame) -> DataFrame:
-    """requests(request_id, query[, columns, aspects, rewrites]) -> plans. Blank queries are errors; name comes first; a plan
-    with fewer than four columns is filled from the fallback; rewrites equal to the query go."""
+    """requests(request_id, query and, where a model has answered, normalized_query, base_query, columns, aspects, rewrites,
+    entity_type, query_mode, is_topic_query, normalization_note, invalid, error_message, failure) -> plans.
+
+    Blank queries, failures of the model and queries that it calls invalid are errors with the fallback's columns. Columns are
+    four to six, filled from the fallback, with name in front if it is not among them; aspects one to five; rewrites up to
+    three, none of them the query itself.
+    """
     have = requests.columns
-    given = lambda c: F.col(c) if c in have else F.lit(None).cast("array<string>")
-    q = collapse(F.coalesce("query", F.lit("")))
-    fallback = F.array(*[F.lit(c) for c in FALLBACK_COLUMNS])
-    named = F.array_distinct(F.concat(F.array(F.lit("name")), F.transform(distinct_list(given("columns")), lambda c: F.regexp_replace(c, " ", "_"))))
-    columns = F.slice(F.when(F.size(named) >= 4, named).otherwise(F.array_distinct(F.concat(named, fallback))), 1, 6)
-    aspects = distinct_list(given("aspects"), most=5)
-    return requests.select("request_id", q.alias("base_query"), q.alias("normalized_query"), columns.alias("schema_columns"), F.when(F.size(aspects) > 0, aspects).otherwise(F.array(F.lit("category"))).alias("core_aspects"), distinct_list(given("rewrites"), F.array(F.lower(q)), 3).alias("rewrites"), (q == "").alias("error"))
+    given = lambda c, kind="string": F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    text = lambda c: F.nullif(F.trim(given(c)), F.lit(""))
+    raw = collapse(F.coalesce("query", F.lit("")))
+    df = requests.select("*", raw.alias("raw_")).withColumn("norm_", collapse(F.coalesce(text("normalized_query"), F.col("raw_"))))
+    blank, failed, invalid = F.col("raw_") == "", given("failure").isNotNull(), F.coalesce(given("invalid", "boolean"), F.lit(False))
+    error = blank | failed | invalid
+    df = df.select("*", error.alias("error_"), F.when(blank | failed, F.col("raw_")).otherwise(F.col("norm_")).alias("n_"), F.when(blank | failed, F.col("raw_")).otherwise(collapse(F.coalesce(text("base_query"), "norm_"))).alias("b_"))
+    e = F.col("error_")
+    lists = "array<string>"
+    columns = distinct_list(given("columns", lists), most=6, fallback=FALLBACK_COLUMNS, least=4)
+    named = F.when(F.array_contains(F.transform(columns, F.lower), "name"), columns).otherwise(F.concat(F.array(F.lit("name")), F.slice(columns, 1, 5)))
+    fixed = lambda values: F.array(*[F.lit(v) for v in values]).cast(lists)
+    message = F.when(blank, "Query is empty. Please provide a topic describing entities to discover.").when(failed, given("failure")).when(invalid, F.coalesce(text("error_message"), F.lit("This query is not a supported entity-discovery topic.")))
+    said = invalid & ~blank & ~failed
+    kind = F.when(e, F.coalesce(F.when(said, text("entity_type")), F.lit("unknown_entity"))).otherwise(F.coalesce(text("entity_type"), F.lit("entity")))
+    mode = F.when(e, F.coalesce(F.when(said, text("query_mode")), F.lit("invalid_query"))).otherwise(F.coalesce(text("query_mode"), F.lit("topic_entity_discovery")))
+    return df.select(
+        "request_id", F.col("b_").alias("base_query"), F.col("n_").alias("normalized_query"), F.when(e, fixed(FALLBACK_COLUMNS)).otherwise(named).alias("schema_columns"),
+        F.when(e, fixed(["category"])).otherwise(distinct_list(given("aspects", lists), most=5, fallback=["category"], least=1)).alias("core_aspects"),
+        F.when(e, fixed([])).otherwise(distinct_list(given("rewrites", lists), F.array(F.lower("b_"), F.lower("n_")), 3)).alias("rewrites"),
+        kind.alias("entity_type"), mode.alias("query_mode"), F.when(blank | failed, False).otherwise(F.coalesce(given("is_topic_query", "boolean"), ~e)).alias("is_topic_query"),
+        F.when(~blank & ~failed, given("normalization_note")).alias("normalization_note"), e.alias("error"), message.alias("error_message"))
 
 
 def executed_queries(plans: DataFrame, budget: int = 4) -> DataFrame:

@@ -170,6 +170,42 @@ SELECT 'r' || c_custkey request_id, x."column", x.place::INT place, c_mktsegment
 """
 
 
+def plans_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a planner proposes for parts: repeats, blanks, too few and too many columns, failures and refusals."""
+    k = F.col("p_partkey")
+    many = F.array(F.lit("Size"), F.col("p_type"), F.lit(" "), F.lower("p_type"), F.lit("site  url"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("r"), k).alias("request_id"), F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  "))).alias("query"), F.when(k % 2 == 0, F.upper("p_name")).alias("normalized_query"), F.when(k % 3 == 0, many).otherwise(F.array(F.lit("Location"), F.lit("size"))).alias("columns"), F.when(k % 5 == 0, F.array(F.col("p_type"), F.upper("p_type"))).alias("aspects"), F.array(F.col("p_name"), F.col("p_brand"), F.lit("x"), F.lit("X"), F.lit("y"), F.lit("z")).alias("rewrites"), F.when(k % 13 == 0, "model is away").alias("failure"), (k % 17 == 0).alias("invalid"), F.when(k % 2 == 0, "no topic").alias("error_message"), F.col("p_brand").alias("entity_type"))
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return plan.normalised(p).select("request_id", "base_query", "normalized_query", flat("schema_columns"), flat("core_aspects"), flat("rewrites"), "entity_type", "query_mode", "is_topic_query", "error", "error_message")
+
+
+_PLANS_SQL = """
+WITH p AS (SELECT p_partkey k, p_name n, p_type t, p_brand b, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END raw, p_partkey % 11 = 0 blank, p_partkey % 13 = 0 failed, p_partkey % 17 = 0 invalid FROM part),
+q AS (SELECT *, blank OR failed OR invalid e, CASE WHEN blank OR failed THEN raw WHEN k % 2 = 0 THEN upper(n) ELSE raw END nq FROM p)
+SELECT 'r' || k request_id, nq base_query, nq normalized_query, CASE WHEN e THEN 'name|website|location|category' WHEN k % 3 = 0 THEN 'name|Size|' || t || '|site url|a|b' ELSE 'Location|size|name|website' END schema_columns,
+    CASE WHEN NOT e AND k % 5 = 0 THEN t ELSE 'category' END core_aspects, CASE WHEN e THEN '' ELSE b || '|x|y' END rewrites, CASE WHEN e AND (blank OR failed) THEN 'unknown_entity' ELSE b END entity_type, CASE WHEN e THEN 'invalid_query' ELSE 'topic_entity_discovery' END query_mode, NOT e is_topic_query, e AS error,
+    CASE WHEN blank THEN 'Query is empty. Please provide a topic describing entities to discover.' WHEN failed THEN 'model is away' WHEN invalid THEN CASE WHEN k % 2 = 0 THEN 'no topic' ELSE 'This query is not a supported entity-discovery topic.' END END error_message FROM q
+"""
+
+
+def results_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' results with their passages, cleaned and cut, or their snippet where they have none; results within a budget."""
+    n = F.col("page_id")
+    p = read(spark, sf_dir, "pages").select(_request("page_id").alias("request_id"), F.concat("url", F.lit("#"), n).alias("url"), F.concat(F.lit("snippet "), n).alias("snippet"), n).withColumn("position", F.row_number().over(plan.per_request(n)))
+    long = F.concat(F.lit("Read more\n"), F.repeat(F.concat(F.lit("w"), n, F.lit(" ")), 300))
+    found = p.select("request_id", F.when(n % 5 == 0, "https://else").otherwise(F.col("url")).alias("url"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), F.when(n % 2 == 0, long).when(n % 3 == 0, "Read more").otherwise("text. ").alias("text"))
+    got = payloads.with_context(search.within_budget(p, 60), found, 100)
+    return got.select("request_id", "url", F.col("sequence_index").cast("int").alias("place"), "text", "fallback")
+
+
+_CONTEXT_SQL = """
+WITH p AS (SELECT page_id n, 'r' || (page_id % 3) request_id, url || '#' || page_id url, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) pos FROM pages),
+b AS (SELECT *, n % 5 = 0 OR (n % 2 > 0 AND n % 3 = 0) none FROM p WHERE pos <= 60)
+SELECT request_id, url, x.i::INT place, CASE WHEN none THEN 'snippet ' || n WHEN n % 2 = 0 THEN trim(substring(repeat('w' || n || ' ', 100), 1, 100 - instr(reverse(substring(repeat('w' || n || ' ', 100), 1, 100)), ' '))) ELSE 'text.' END AS text, none fallback
+FROM b CROSS JOIN (VALUES (0), (1)) x(i) WHERE NOT none OR x.i = 0
+"""
+
+
 def queries_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as requests: some with follow-ups, blank rewrites or errors."""
     k = F.col("p_partkey")
@@ -651,7 +687,7 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REGISTERED = {
     request_table: None, column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
-    search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
+    search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, plans_normalised: _PLANS_SQL, results_in_context: _CONTEXT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,

@@ -148,7 +148,7 @@ def test_chunk_choice_reuses_a_source_only_when_stronger(spark):
 def test_plan_and_queries(spark):
     df = spark.createDataFrame([("r", "  red   apple ", ["Web Site"], None, ["Red Apple", "apple pie"]), ("s", " ", None, None, None)], "request_id string, query string, columns array<string>, aspects array<string>, rewrites array<string>")
     got = {r["request_id"]: r for r in plan.normalised(df).collect()}
-    assert got["r"]["schema_columns"] == ["name", "web_site", "website", "location", "category"] and got["r"]["rewrites"] == ["apple pie"] and got["s"]["error"]
+    assert got["r"]["schema_columns"] == ["Web Site", "name", "website", "location"] and got["r"]["rewrites"] == ["apple pie"] and got["s"]["error"]
     assert [r["query"] for r in plan.executed_queries(plan.normalised(df)).orderBy("place").collect()] == ["red apple", "apple pie"]
 
 

@@ -38,3 +38,23 @@ CELL_WEIGHTS = (0.20, 0.50, 0.20, 0.10)
 COLUMN_WEIGHTS, QUERY_WEIGHTS = (0.7, 0.3), (0.6, 0.2, 0.2)
 RESULT_COUNTS = {1: 20, 2: 15, 3: 12, 4: 10}
 RETRY_COUNTS = {1: 32, 2: 21, 3: 16, 4: 13}
+#: Stage, key and label of every figure that a stage shows.
+METRICS = [
+    ("planner", "columnsSelected", "Columns selected"),
+    ("searcher", "queriesRun", "Queries run"), ("searcher", "sourcesFound", "Sources found"), ("searcher", "shortlisted", "Shortlisted"),
+    ("searcher", "officialSources", "Official sources"), ("searcher", "profileSources", "Profile sources"), ("searcher", "roundupSources", "Roundup sources"),
+    ("searcher", "editorialReferenceSources", "Editorial reference sources"), ("searcher", "transactionalSources", "Transactional sources"),
+    ("searcher", "sourcesProcessed", "Sources deep-fetched"), ("searcher", "relevantDetailsFound", "Relevant details found"),
+    ("searcher", "passagesScored", "Passages scored"), ("searcher", "passagesSelected", "Passages selected"), ("searcher", "sourcesRepresented", "Sources represented"),
+    ("extractor_light", "preliminaryCandidates", "Preliminary candidates"), ("extractor_light", "mentionsFound", "Mentions found"),
+    ("assessor", "sourcesReviewed", "Sources reviewed"), ("assessor", "filteredOut", "Filtered out"), ("assessor", "usedForEvidence", "Used for evidence"),
+    ("assessor", "candidatesWithEvidence", "Candidates with evidence"), ("assessor", "supportingSourcesLinked", "Supporting sources linked"),
+    ("extractor", "coreCandidatesKept", "Core candidates kept"), ("extractor", "discoveryCandidatesKept", "Discovery candidates kept"),
+    ("extractor", "coreCandidatesFiltered", "Core candidates filtered"), ("extractor", "discoveryCandidatesFiltered", "Discovery candidates filtered"),
+    ("extractor", "profilesBuilt", "Profiles built"), ("extractor", "missingFields", "Missing fields"),
+    ("finalizer", "rowsReady", "Rows ready"),
+]
+#: What a run says of an empty query, of one that is no topic, and of its own failure.
+EMPTY_QUERY = "Query is empty. Please provide a topic describing entities to discover."
+NO_TOPIC = "This query is not a supported entity-discovery topic."
+RUN_FAILED = "Something went wrong while running the research pipeline."

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import EMPTY_QUERY, NO_TOPIC
 from ..functions.text import collapse
 
 FALLBACK_COLUMNS = ["name", "website", "location", "category"]
@@ -65,7 +66,7 @@ def normalised(requests: DataFrame) -> DataFrame:
     columns = distinct_list(given("columns", lists), most=6, fallback=FALLBACK_COLUMNS, least=4)
     named = F.when(F.array_contains(F.transform(columns, F.lower), "name"), columns).otherwise(F.concat(F.array(F.lit("name")), F.slice(columns, 1, 5)))
     fixed = lambda values: F.array(*[F.lit(v) for v in values]).cast(lists)
-    message = F.when(blank, "Query is empty. Please provide a topic describing entities to discover.").when(failed, given("failure")).when(invalid, F.coalesce(text("error_message"), F.lit("This query is not a supported entity-discovery topic.")))
+    message = F.when(blank, EMPTY_QUERY).when(failed, given("failure")).when(invalid, F.coalesce(text("error_message"), F.lit(NO_TOPIC)))
     said = invalid & ~blank & ~failed
     kind = F.when(e, F.coalesce(F.when(said, text("entity_type")), F.lit("unknown_entity"))).otherwise(F.coalesce(text("entity_type"), F.lit("entity")))
     mode = F.when(e, F.coalesce(F.when(said, text("query_mode")), F.lit("invalid_query"))).otherwise(F.coalesce(text("query_mode"), F.lit("topic_entity_discovery")))

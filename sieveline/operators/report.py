@@ -5,25 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import capitalised, column_label, column_type, display_domain, event_column_type, shown_value, source_type, title_label
 from .store import non_low
 
-#: Stage, key, label and the order of every figure a stage shows.
-METRICS = [
-    ("planner", "columnsSelected", "Columns selected"),
-    ("searcher", "queriesRun", "Queries run"), ("searcher", "sourcesFound", "Sources found"), ("searcher", "shortlisted", "Shortlisted"),
-    ("searcher", "officialSources", "Official sources"), ("searcher", "profileSources", "Profile sources"), ("searcher", "roundupSources", "Roundup sources"),
-    ("searcher", "editorialReferenceSources", "Editorial reference sources"), ("searcher", "transactionalSources", "Transactional sources"),
-    ("searcher", "sourcesProcessed", "Sources deep-fetched"), ("searcher", "relevantDetailsFound", "Relevant details found"),
-    ("searcher", "passagesScored", "Passages scored"), ("searcher", "passagesSelected", "Passages selected"), ("searcher", "sourcesRepresented", "Sources represented"),
-    ("extractor_light", "preliminaryCandidates", "Preliminary candidates"), ("extractor_light", "mentionsFound", "Mentions found"),
-    ("assessor", "sourcesReviewed", "Sources reviewed"), ("assessor", "filteredOut", "Filtered out"), ("assessor", "usedForEvidence", "Used for evidence"),
-    ("assessor", "candidatesWithEvidence", "Candidates with evidence"), ("assessor", "supportingSourcesLinked", "Supporting sources linked"),
-    ("extractor", "coreCandidatesKept", "Core candidates kept"), ("extractor", "discoveryCandidatesKept", "Discovery candidates kept"),
-    ("extractor", "coreCandidatesFiltered", "Core candidates filtered"), ("extractor", "discoveryCandidatesFiltered", "Discovery candidates filtered"),
-    ("extractor", "profilesBuilt", "Profiles built"), ("extractor", "missingFields", "Missing fields"),
-    ("finalizer", "rowsReady", "Rows ready"),
-]
 _BUCKETS = {"officialSources": "official_entity", "profileSources": "profile_directory", "roundupSources": "roundup_list", "editorialReferenceSources": "editorial_reference", "transactionalSources": "transactional_listing"}
 
 
@@ -50,7 +35,7 @@ def figures(**tables: DataFrame) -> DataFrame:
         "fields": {"profilesBuilt": F.count_distinct("entity"), "missingFields": count(F.col("value").isNull())},
         "rows": {"rowsReady": F.count("*")},
     }
-    place = {key: (stage, label) for stage, key, label in METRICS}
+    place = {key: (stage, label) for stage, key, label in fixed.METRICS}
     out = None
     for name, df in tables.items():
         keys = wanted[name]

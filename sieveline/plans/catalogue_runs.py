@@ -461,7 +461,7 @@ x AS (SELECT request_id, 'columnsSelected' AS key, 4 AS value FROM u GROUP BY 1
     UNION ALL SELECT request_id, 'candidatesWithEvidence', count(DISTINCT o_custkey) FROM o GROUP BY 1 UNION ALL SELECT request_id, 'supportingSourcesLinked', count(DISTINCT o_orderpriority) FROM o GROUP BY 1
     UNION ALL SELECT request_id, b.key, count(*) FILTER (core = b.c AND kept = b.k) FROM u CROSS JOIN (VALUES ('coreCandidatesKept', true, true), ('discoveryCandidatesKept', false, true), ('coreCandidatesFiltered', true, false), ('discoveryCandidatesFiltered', false, false)) b(key, c, k) GROUP BY ALL
     UNION ALL SELECT request_id, 'profilesBuilt', count(DISTINCT entity) FROM f GROUP BY 1 UNION ALL SELECT request_id, 'missingFields', count(*) FILTER (value IS NULL) FROM f GROUP BY 1 UNION ALL SELECT request_id, 'rowsReady', count(*) FROM u GROUP BY 1),
-l AS (SELECT * FROM (VALUES """ + ", ".join(f"('{s}', '{k}', '{t}')" for s, k, t in report.METRICS) + """) v(stage, key, label))
+l AS (SELECT * FROM (VALUES """ + ", ".join(f"('{s}', '{k}', '{t}')" for s, k, t in fixed.METRICS) + """) v(stage, key, label))
 SELECT request_id, stage, key, label, value::BIGINT AS value FROM x JOIN l USING (key)
 """
 

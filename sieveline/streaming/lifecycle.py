@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAILED = "Something went wrong while running the research pipeline."
+from ..functions.fixed import RUN_FAILED
+
 #: A stage's name for the client: its stage, and its message without the ending.
 _ID = "concat(coalesce(stage, 'run'), ':', regexp_replace(message, ' completed$', ''))"
 
@@ -29,7 +30,7 @@ def run_events(runs: DataFrame, stages: DataFrame) -> DataFrame:
         "request_id", F.lit(1 << 30).alias("place"), F.lit(2).alias("part"), F.when(F.col("error_kind").isNull(), "run_completed").otherwise("run_failed").alias("event"),
         F.when(value, "planner").alias("stage"), F.when(F.col("error_kind").isNull(), "Search completed").otherwise("Search failed").alias("message"),
         F.when(value, "invalid_query").when(F.col("error_kind").isNotNull(), "internal_error").alias("code"),
-        F.when(value, F.col("error_message")).when(F.col("error_kind").isNotNull(), FAILED).alias("error"), F.when(F.col("error_kind").isNotNull() & ~value, F.col("error_message")).alias("details"))
+        F.when(value, F.col("error_message")).when(F.col("error_kind").isNotNull(), RUN_FAILED).alias("error"), F.when(F.col("error_kind").isNotNull() & ~value, F.col("error_message")).alias("details"))
     rows = begun.unionByName(step(0, "stage_started", F.col("message"), stages)).unionByName(step(1, "stage_completed", F.concat("message", F.lit(" completed")), stages.where("completed"))).unionByName(end)
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("request_id").orderBy("place", "part"))).drop("place", "part")
 

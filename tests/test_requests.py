@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import fixed
 from sieveline.functions import text as T
 from sieveline.operators import answers, cells, entities, evidence, report, search, store
 from sieveline.plans import requests
@@ -143,7 +144,7 @@ def test_states_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     stages = spark.createDataFrame([("a", 1, "planner", "Plan", True), ("a", 2, "searcher", "Search", False), ("a", 3, "searcher", "Read", True), ("b", 1, "planner", "Plan", False), ("c", 1, "planner", "Plan", True), ("c", 2, "assessor", "Judge", False)], "request_id string, place int, stage string, message string, completed boolean")
     events = lifecycle.run_events(runs, stages)
     ends = {r["request_id"]: (r["event"], r["stage"], r["code"], r["error"], r["details"]) for r in events.where("event like 'run_%ed' and event <> 'run_started'").collect()}
-    assert ends == {"a": ("run_completed", None, None, None, None), "b": ("run_failed", "planner", "invalid_query", "bad", None), "c": ("run_failed", None, "internal_error", lifecycle.FAILED, "broke")}
+    assert ends == {"a": ("run_completed", None, None, None, None), "b": ("run_failed", "planner", "invalid_query", "bad", None), "c": ("run_failed", None, "internal_error", fixed.RUN_FAILED, "broke")}
     states = {(r["request_id"], r["id"]): r["status"] for r in lifecycle.stage_states(events).collect()}
     assert set(v for (r, _), v in states.items() if r == "a") == {"completed"} and states["b", "planner:Search failed"] == "failed" and states["b", "planner:Plan"] == "active" and states["c", "assessor:Judge"] == "active" and states["c", "planner:Plan"] == "completed"
     events.write.parquet(str(tmp_path / "in"))

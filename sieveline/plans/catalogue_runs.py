@@ -677,6 +677,19 @@ SELECT 'r' || p_partkey request_id, x.place::INT place, CASE WHEN x.place = 0 TH
 """
 
 
+def line_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common tokens of the first two and the last two lines of each document, over the larger set."""
+    t = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    at = lambda i: T.token_list(F.try_element_at("l", F.lit(i)))
+    return t.select("doc_id", F.round(T.overlap_ratio(at(1), at(2)), 6).alias("first"), F.round(T.overlap_ratio(at(-1), at(-2)), 6).alias("last"))
+
+
+_OVERLAPS_SQL = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents), k AS (SELECT doc_id, list_transform([l[1], l[2], l[-1], l[-2]], lambda x: list_distinct(regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9]+'))) a FROM t)
+SELECT doc_id, coalesce(round(len(list_intersect(a[1], a[2]))::DOUBLE / nullif(greatest(len(a[1]), len(a[2])), 0), 6), 0) AS "first", coalesce(round(len(list_intersect(a[3], a[4]))::DOUBLE / nullif(greatest(len(a[3]), len(a[4])), 0), 6), 0) AS "last" FROM k
+"""
+
+
 def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole requests, from topic to table: the first words of every benchmark text as topics, all pages as the web."""
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) > 3)
@@ -691,7 +704,7 @@ _REGISTERED = {
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,
-    entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL,
+    entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL, line_overlaps: _OVERLAPS_SQL,
 }
 
 

@@ -15,7 +15,8 @@ from .components import connected_components
 COSINE, RECALL = 0.9, 0.99
 SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 32_768
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
-#: A row with up to so many links to a block's scanned queries is told of each.
+#: A query with more links in a shard is scanned, so that only its count is sent; and a row with up to so many links to a
+#: block's scanned queries is told of each.
 THIN = 64
 #: What a row of an answer is: a link of the block's spanning forest, a link, or a scanned query's exact count.
 FOREST, LINK, COUNT = 0, 1, 2
@@ -225,13 +226,13 @@ def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndar
     links as pairs of places of a query and a row.
 
     Every round is audited on the queries it would answer; what fails, or has a beam full of near ones, takes a wider beam
-    and at last a scan of the shard. Links are all those of the queries answered by beams, and of scanned ones those to thin
+    and at last, or with more than THIN links at once, a scan of the shard. Links are all those of the queries answered by beams, and of scanned ones those to thin
     rows; a scanned query's links are counted and otherwise only join what they must.
     """
     q = qx.astype(np.float32)
     step = max(16, min(512, 32_000_000 // max(1, len(names))))
     todo, beam = np.arange(len(q)), FIRST_BEAM
-    all_a, all_b = [], []
+    all_a, all_b, many = [], [], []
     while len(todo) and beam <= WIDEST_BEAM and 8 * beam < len(names):
         got_a, got_b, again = [], [], []
         for at in range(0, len(todo), step):
@@ -243,12 +244,15 @@ def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndar
             got_b.append(ids[r[sure], c[sure]])
             again.append(part[(ids[:, 0] >= 0) & (sim.min(axis=1) >= cosine - 0.05)])  # a beam that is full of links may miss some
         a, b, again = np.concatenate(got_a), np.concatenate(got_b), np.concatenate(again)
+        many.append(np.flatnonzero(np.bincount(a, minlength=len(q)) > THIN))
+        todo, again = np.setdiff1d(todo, many[-1]), np.setdiff1d(again, many[-1])
         if not _heard(exact, names, qx, qn, np.bincount(a, minlength=len(q)), np.setdiff1d(todo, again), cosine, recall):
             again = todo  # the audit failed: all queries of the round take a wider beam
-        fine = ~np.isin(a, again)
+        fine = ~np.isin(a, np.concatenate([again, many[-1]]))
         all_a.append(a[fine])
         all_b.append(b[fine])
         todo, beam = again, beam * 4
+    todo = np.sort(np.concatenate([todo, *many]))
     a, b, counts, thin_a, thin_b = _scan(names, exact, weight, qx, qn, todo, cosine)
     return (np.concatenate([*all_a, thin_a]), np.concatenate([*all_b, thin_b])), (a, b), (todo, counts)
 

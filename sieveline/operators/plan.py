@@ -29,19 +29,21 @@ def per_request(*order) -> Window:
     return Window.partitionBy("request_id").orderBy(*order)
 
 
-def distinct_list(values: Column, blocked: Column | None = None, most: int = 6, fallback: list[str] = (), least: int = 0) -> Column:
+def distinct_list(values: Column, blocked: Column | None = None, most: int = 6) -> Column:
     """Values in order with white space collapsed, without blanks, repeats whatever the case, and blocked ones (in small
-    letters), at most `most`; filled up to `least` from `fallback`, and then with field_N."""
+    letters), at most `most`."""
     none = F.array().cast("array<string>")
-    shut = none if blocked is None else blocked
-    low = lambda a: F.transform(a, F.lower)
-    clean = F.filter(F.transform(F.coalesce(values, none), collapse), lambda v: (v != "") & ~F.array_contains(shut, F.lower(v)))
-    own = F.slice(F.filter(clean, lambda v, i: F.array_position(low(clean), F.lower(v)) == i + 1), 1, most)
-    if not least:
-        return own
-    more = F.filter(F.array(*[F.lit(v) for v in fallback]).cast("array<string>"), lambda v: ~F.array_contains(low(own), F.lower(v)) & ~F.array_contains(shut, F.lower(v)))
+    clean = F.filter(F.transform(F.coalesce(values, none), collapse), lambda v: (v != "") & ~F.array_contains(none if blocked is None else blocked, F.lower(v)))
+    seen = F.struct(none.alias("kept"), none.alias("low"))
+    add = lambda a, v: F.when(F.array_contains(a["low"], F.lower(v)), a).otherwise(F.struct(F.concat(a["kept"], F.array(v)).alias("kept"), F.concat(a["low"], F.array(F.lower(v))).alias("low")))
+    return F.slice(F.aggregate(clean, seen, add, lambda a: a["kept"]), 1, most)
+
+
+def filled(own: Column, fallback: list[str], least: int, most: int) -> Column:
+    """A list of at least `least` values: from `fallback` what it does not have, whatever the case, and then field_N."""
+    more = F.filter(F.array(*[F.lit(v) for v in fallback]).cast("array<string>"), lambda v: ~F.array_contains(F.transform(own, F.lower), F.lower(v)))
     full = F.concat(own, F.slice(more, F.lit(1), F.greatest(F.lit(least) - F.size(own), F.lit(0))))
-    rest = F.when(F.size(full) < least, F.transform(F.sequence(F.size(full) + 1, F.lit(least)), lambda n: F.concat(F.lit("field_"), n))).otherwise(none)
+    rest = F.when(F.size(full) < least, F.transform(F.sequence(F.size(full) + 1, F.lit(least)), lambda n: F.concat(F.lit("field_"), n))).otherwise(F.array().cast("array<string>"))
     return F.slice(F.concat(full, rest), 1, most)
 
 
@@ -63,7 +65,9 @@ def normalised(requests: DataFrame) -> DataFrame:
     df = df.select("*", error.alias("error_"), F.when(blank | failed, F.col("raw_")).otherwise(F.col("norm_")).alias("n_"), F.when(blank | failed, F.col("raw_")).otherwise(collapse(F.coalesce(text("base_query"), "norm_"))).alias("b_"))
     e = F.col("error_")
     lists = "array<string>"
-    columns = distinct_list(given("columns", lists), most=6, fallback=FALLBACK_COLUMNS, least=4)
+    # Projections of their own: what follows uses each list several times.
+    df = df.withColumns({"c_": distinct_list(given("columns", lists), most=6), "a_": distinct_list(given("aspects", lists), most=5)}).withColumn("c_", filled(F.col("c_"), FALLBACK_COLUMNS, 4, 6))
+    columns = F.col("c_")
     named = F.when(F.array_contains(F.transform(columns, F.lower), "name"), columns).otherwise(F.concat(F.array(F.lit("name")), F.slice(columns, 1, 5)))
     fixed = lambda values: F.array(*[F.lit(v) for v in values]).cast(lists)
     message = F.when(blank, EMPTY_QUERY).when(failed, given("failure")).when(invalid, F.coalesce(text("error_message"), F.lit(NO_TOPIC)))
@@ -72,7 +76,7 @@ def normalised(requests: DataFrame) -> DataFrame:
     mode = F.when(e, F.coalesce(F.when(said, text("query_mode")), F.lit("invalid_query"))).otherwise(F.coalesce(text("query_mode"), F.lit("topic_entity_discovery")))
     return df.select(
         "request_id", F.col("b_").alias("base_query"), F.col("n_").alias("normalized_query"), F.when(e, fixed(FALLBACK_COLUMNS)).otherwise(named).alias("schema_columns"),
-        F.when(e, fixed(["category"])).otherwise(distinct_list(given("aspects", lists), most=5, fallback=["category"], least=1)).alias("core_aspects"),
+        F.when(e, fixed(["category"])).otherwise(filled(F.col("a_"), ["category"], 1, 5)).alias("core_aspects"),
         F.when(e, fixed([])).otherwise(distinct_list(given("rewrites", lists), F.array(F.lower("b_"), F.lower("n_")), 3)).alias("rewrites"),
         kind.alias("entity_type"), mode.alias("query_mode"), F.when(blank | failed, False).otherwise(F.coalesce(given("is_topic_query", "boolean"), ~e)).alias("is_topic_query"),
         F.when(~blank & ~failed, given("normalization_note")).alias("normalization_note"), e.alias("error"), message.alias("error_message"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, mixing, neardup, packing, pii, quality, sharding, substring, topk, toxicity
+from . import divergence, hnsw, idfiles, mixing, neardup, packing, pii, quality, repair, sharding, substring, topk, toxicity
 from .common import table
 
 
@@ -54,10 +54,23 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
+
+
 def queries() -> dict:
-    ops = (op1_toxicity, op2_sharding, op3_packing, op4_topk, op5_minhash, op6_pii, op7_mixing, op8_quality, op9_substring, op10_embedding)
+    ops = (op1_toxicity, op2_sharding, op3_packing, op4_topk, op5_minhash, op6_pii, op7_mixing, op8_quality, op9_substring, op10_embedding, op11_conversations, op12_divergence, op13_token_files)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle(), "op4_topk": topk.SQL, "op7_mixing": mixing.SQL}
+    return {"op2_sharding": sharding.oracle(), "op4_topk": topk.SQL, "op7_mixing": mixing.SQL, "op11_conversations": repair.SQL, "op12_divergence": divergence.SQL}

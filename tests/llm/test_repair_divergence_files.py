@@ -229,8 +229,8 @@ def test_token_files(spark, tmp_path):
     rows += [(500, None), (501, ""), (502, "word " * 9000), (7, "another text"), (7, "another text"), (None, "no id"), (None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"part": F.lit("x"), "frame": F.lit(1), "tie": F.lit(2), "each": F.lit(0)})
     folder = f"{tmp_path}/ids"
-    idfiles.write(table, path, 2, folder, frame_ids=3000)
-    got = sorted(map(tuple, idfiles.read(spark, folder, frame_ids=3000).collect()), key=lambda r: r[1])
+    idfiles.write(table, path, 2, folder, frame_ids=1000)
+    got = sorted(map(tuple, idfiles.read(spark, folder, frame_ids=1000).collect()), key=lambda r: r[1])
     ids = {t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in rows}
     assert [r[0] for r in got] == sorted([r[0] for r in rows], key=lambda i: (i is not None, i))
     assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got]])[:-1].tolist()

@@ -6,6 +6,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,12 @@ class Encoder:
         return out, edges
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, end: int) -> Encoder:
+    """The worker's one encoder: what it remembers serves all tasks that the worker gets."""
+    return Encoder(path, end)
+
+
 def frames_of(index: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: list[np.ndarray]) -> list[bytes]:
     """Frames from (doc_id, whether it is set, number of ids) of their documents and their ids; all blocks in step.
 
@@ -208,7 +215,7 @@ def _written(path: str, end: int, frame_ids: int):
     """Sorted documents to frames, each of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(path, end), TaskContext.get().partitionId()
+        encode, part = worker_encoder(path, end), TaskContext.get().partitionId()
         index, ids, ready, held, seq = [], [], [], 0, 0
 
         def close() -> None:

@@ -20,7 +20,7 @@ from .hashing import flat, slices
 from .packing import _byte_letters
 
 #: Ids in a frame, about (a document is never cut), and frames whose blocks are coded in step.
-FRAME_IDS, FRAMES = 1 << 17, 48
+FRAME_IDS, FRAMES = 1 << 17, 64
 #: Slots of the parts that a worker remembers, and the ids of the longest of them.
 SLOTS_BITS, KEPT_IDS = 21, 8
 _MAGIC = b"SLID"

@@ -40,10 +40,8 @@ def search_tokens(text: Column) -> Column:
 def retrieval_tokens(text: Column, stem=None) -> Column:
     """Words in order, repeats kept, lower case, without stop words; quotes and dashes folded; stem: Column -> Column."""
     folded = F.translate(F.coalesce(text, F.lit("")), "’‘`“”–—", "'''\"\"--")
-    # Stop words are passed over by the pattern itself, in the same scan.
-    letter = r"[\p{L}\p{N}_]"
-    pattern = rf"(?<!{letter})(?!(?:{'|'.join(fixed.RETRIEVAL_STOPWORDS)})(?!{letter})){letter}+"
-    found = F.regexp_extract_all(F.lower(folded), F.lit(pattern), F.lit(0))
+    words = F.regexp_extract_all(F.lower(folded), F.lit(r"[\p{L}\p{N}_]++"), F.lit(0))
+    found = F.filter(words, lambda w: ~w.isin(fixed.RETRIEVAL_STOPWORDS))
     return F.transform(found, stem) if stem else found
 
 

@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import occurrences, retrieval_tokens, share, span_share
-from .passages import bm25
+from ..functions.text import retrieval_tokens, share, span_share
+from .plan import cut, small
+from .postings import Index, bm25, build, phrases, terms_of, tokenised
 
 
-def mentions(tokens: DataFrame, entities: DataFrame, stem=None) -> DataFrame:
+def mentions(index: Index, names: DataFrame) -> DataFrame:
     """(request_id, chunk_id, entity, times, others): chunks that hold an entity's tokens in a row, how often, and how many
     other entities, of other tokens, they hold too.
 
-    tokens(request_id, chunk_id, tokens), entities(request_id, entity). An equality join on a name's first token takes the
-    place of pairing every entity with every chunk: where the entity is absent the score is 0 whatever the rest.
+    names(request_id, entity, tokens). Found from postings, in place of pairing every entity with every chunk: where the
+    entity is absent the score is 0 whatever the rest. The others are counted by distinct token lists of a chunk.
     """
-    names = entities.select("request_id", "entity", retrieval_tokens(F.col("entity"), stem).alias("nt")).distinct().withColumn("key", F.try_element_at("nt", F.lit(1))).where("key is not null")
-    keyed = tokens.select("request_id", "chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("key"))
-    hit = keyed.join(names, ["request_id", "key"]).withColumn("times", occurrences(F.col("nt"), F.col("tokens"))).where("times > 0")
+    hit = phrases(index, names, "entity").join(small(cut(names)), ["request_id", "entity"])
     chunk = Window.partitionBy("request_id", "chunk_id")
-    same = Window.partitionBy("request_id", "chunk_id", "nt")
+    same = Window.partitionBy("request_id", "chunk_id", "tokens")
     return hit.select("request_id", "chunk_id", "entity", "times", (F.count("*").over(chunk) - F.count("*").over(same)).alias("others"))
 
 
@@ -30,15 +29,17 @@ def cell_scores(chunks: DataFrame, entities: DataFrame, facets: DataFrame, plans
     chunk with the entity, for each of the request's sparse columns.
 
     chunks(request_id, source_id, chunk_id, text), facets(request_id, column, facet_terms), plans(request_id,
-    normalized_query). Blank chunks are left out. The query's part is computed once a chunk, the column's once a chunk and
+    normalized_query). Blank chunks are left out; the others are tokenised once. The query's part is computed once a chunk, the column's once a chunk and
     column, and only for chunks with some entity.
     """
-    tokens = chunks.where("trim(text) <> ''").select("request_id", "source_id", "chunk_id", retrieval_tokens(F.col("text"), stem).alias("tokens"))
-    found = mentions(tokens, entities, stem)
-    asked = plans.select("request_id", retrieval_tokens(F.col("normalized_query"), stem).alias("query"))
-    scores = bm25(tokens, asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens"))).select("request_id", "chunk_id", F.col("score").alias("bm25"))
+    tokens = tokenised(chunks, "source_id", stem=stem)
+    names = cut(entities.select("request_id", "entity", retrieval_tokens(F.col("entity"), stem).alias("tokens")).distinct())
+    asked = cut(plans.select("request_id", retrieval_tokens(F.col("normalized_query"), stem).alias("query")))
+    index = build(tokens, terms_of(names, "tokens").unionByName(terms_of(asked, "query")))
+    found = cut(mentions(index, names))
+    scores = bm25(index, asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens"))).select("request_id", "chunk_id", F.col("score").alias("bm25"))
     part = lambda weights, columns: sum((w * c for w, c in zip(weights, columns)), F.lit(0.0))
-    near = tokens.join(found.select("request_id", "chunk_id").distinct(), ["request_id", "chunk_id"], "left_semi").join(asked, "request_id").join(scores, ["request_id", "chunk_id"], "left")
+    near = tokens.join(found.select("request_id", "chunk_id").distinct(), ["request_id", "chunk_id"], "left_semi").join(small(asked), "request_id").join(scores, ["request_id", "chunk_id"], "left")
     query_match = F.when(F.size("query") > 0, part(fixed.QUERY_WEIGHTS, (F.coalesce("bm25", F.lit(0.0)), span_share(F.col("query"), F.col("tokens")), share(F.col("tokens"), F.col("query"))))).otherwise(0.0)
     near = near.withColumn("query_match", F.round(query_match, 6))
     terms = F.filter(F.transform("facet_terms", lambda t: retrieval_tokens(t, stem)), lambda t: F.size(t) > 0)

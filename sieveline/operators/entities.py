@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import retrieval_tokens, share, span_share
-from .passages import bm25
+from .plan import cut, small
+from .postings import bm25, build, terms_of
 
 
 def preferred_variants(plans: DataFrame) -> DataFrame:
@@ -65,20 +70,22 @@ def supporting_variants(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
 def alignment(texts: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     """(request_id, entity, bm25, span, anchor, alignment): how well each entity's evidence answers the request.
 
-    texts(request_id, entity, seq, text); plans(request_id, normalized_query, base_query, rewrites). An entity's evidence
+    texts(request_id, entity, seq, and text or its tokens); plans(request_id, normalized_query, base_query, rewrites). An entity's evidence
     is one text, of the request's corpus of entities; within a request it is no more than the windows of its selected
     passages. Anchors are the tokens that all variants share, or the first variant's where they share none.
     """
-    tokens = texts.select("request_id", "entity", "seq", retrieval_tokens(F.col("text"), stem).alias("t"))
-    docs = tokens.groupBy("request_id", "entity").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"])).alias("tokens"))
+    tokens = texts.select("request_id", "entity", "seq", (F.col("tokens") if "tokens" in texts.columns else retrieval_tokens(F.col("text"), stem)).alias("t"))
+    docs = tokens.groupBy("request_id", F.col("entity").alias("chunk_id")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"])).alias("tokens"))
+    docs = cut(docs.withColumn("length", F.size("tokens")))
     clean = lambda q: retrieval_tokens(q, stem)
     asked = plans.select("request_id", clean(F.col("normalized_query")).alias("query"), F.filter(F.concat(F.array("normalized_query", "base_query"), "rewrites"), lambda q: F.trim(q) != "").alias("all_"))
     sets = F.transform("all_", lambda q: F.array_distinct(clean(q)))
     shared = F.aggregate("sets", F.try_element_at("sets", F.lit(1)), lambda a, s: F.array_intersect(a, s))
     asked = asked.withColumn("sets", sets).withColumn("shared", shared)
     asked = asked.select("request_id", "query", F.coalesce(F.when(F.size("shared") > 0, F.col("shared")), F.try_element_at("sets", F.lit(1)), F.array().cast("array<string>")).alias("anchors"))
-    scores = bm25(docs.select("request_id", F.col("entity").alias("chunk_id"), "tokens"), asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens")))
-    df = docs.join(asked, "request_id").join(scores.select("request_id", F.col("chunk_id").alias("entity"), F.col("score").alias("bm25")), ["request_id", "entity"], "left")
+    asked = cut(asked)
+    scores = bm25(build(docs, terms_of(asked, "query")), asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens")))
+    df = docs.withColumnRenamed("chunk_id", "entity").join(small(asked), "request_id").join(scores.select("request_id", F.col("chunk_id").alias("entity"), F.col("score").alias("bm25")), ["request_id", "entity"], "left")
     df = df.select("request_id", "entity", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), span_share(F.col("query"), F.col("tokens")).alias("span"), share(F.col("tokens"), F.col("anchors")).alias("anchor"))
     total = sum((w * F.col(c) for w, c in zip(fixed.ALIGNMENT_WEIGHTS, ("bm25", "span", "anchor"))), F.lit(0.0))
     return df.select("request_id", "entity", *[F.round(c, 6).alias(c) for c in ("bm25", "span", "anchor")], F.round(total, 6).alias("alignment"))
@@ -119,20 +126,40 @@ def diversify(ranked: DataFrame, weight: float = 0.75) -> DataFrame:
     return ranked.groupBy("request_id").applyInPandas(order, "request_id string, entity string, mmr_position int")
 
 
+def first_of_copies(sets: list[set], least: float) -> list[bool]:
+    """Whether each set, in order, is no near copy of an earlier one that is: copies share `least` of the larger set.
+
+    Kept sets are indexed by their rarest tokens: sets that share so much share one of the few rarest of each, and are alike
+    in size, so a set is held only against such ones; equal sets are found at once.
+    """
+    often = Counter(t for s in sets for t in s)
+    kept: list[set] = []
+    equal: set[frozenset] = set()
+    index: dict = {}
+    out = []
+    for s in sets:
+        same = frozenset(s)
+        new = same not in equal
+        rare = heapq.nsmallest(len(s) - ceil(least * len(s) - 1e-9) + 1, s, key=lambda t: (often[t], t)) if new else []
+        if new:
+            seen = {k for t in rare for k in index.get(t, ()) if len(kept[k]) >= least * len(s) and len(s) >= least * len(kept[k])}
+            new = not any(len(s & kept[k]) >= least * max(len(s), len(kept[k])) for k in seen)
+        if new:
+            for t in rare:
+                index.setdefault(t, []).append(len(kept))
+            kept.append(s)
+            equal.add(same)
+        out.append(new)
+    return out
+
+
 def drop_near_copies(chunks: DataFrame, least: float = 0.85) -> DataFrame:
     """(request_id, entity, source_url, seq) of chunks that are no near copy of an earlier kept one of the same source.
 
-    chunks has an array column tokens; copies share `least` of the larger token set. A fold over one source's chunks."""
+    chunks has an array column tokens. One source's chunks of an entity are judged in their order, which decides what stays."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        flags = []
         pdf = pdf.sort_values("seq")
-        for t in map(set, pdf["tokens"]):
-            new = not any(t == k or len(t & k) >= least * max(len(t), len(k), 1) for k in kept)
-            flags.append(new)
-            if new:
-                kept.append(t)
-        return pdf.loc[flags, ["request_id", "entity", "source_url", "seq"]]
+        return pdf.loc[first_of_copies([set(t) for t in pdf["tokens"]], least), ["request_id", "entity", "source_url", "seq"]]
 
     return chunks.groupBy("request_id", "entity", "source_url").applyInPandas(keep, "request_id string, entity string, source_url string, seq long")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,39 +78,66 @@ def sentence_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     return hit.select("request_id", "source_id", "seq", "name", many.alias("ambiguous"))
 
 
+_SPANS = "array<struct<name:string,first:int,last:int>>"
+
+
+def _spans(paragraphs: list[int], lengths: list[int], mine: list[dict], stops: list[dict], most: int) -> list[dict]:
+    """The first and last sentence of each match's window, by running lengths and the places of the nearest stops.
+
+    A window takes the sentence on its left, then the one on its right, and so on; a side ends for good where its next
+    sentence is another paragraph's, has another stop, or makes the window longer than `most`. As lengths only grow, both
+    how far the sides go in turn and how far the one left goes alone are found by bisection.
+    """
+    upto = [0, *accumulate(n + 1 for n in lengths)]  # with the blank between sentences
+    fits = lambda first, last: upto[last + 1] - upto[first] - 1 <= most
+    others: dict[str, list[int]] = {}
+    out = []
+    for match in mine:
+        at, name = match["seq"], match["name"]
+        if name not in others:
+            others[name] = sorted({s["seq"] for s in stops if s["name"] != name})
+        blocked = others[name]
+        before, after = bisect_left(blocked, at), bisect_right(blocked, at)
+        low = max(bisect_left(paragraphs, paragraphs[at]), blocked[before - 1] + 1 if before else 0)
+        high = min(bisect_right(paragraphs, paragraphs[at]), blocked[after] if after < len(blocked) else len(lengths)) - 1
+        taken = lambda steps, at=at: (at - (steps + 1) // 2, at + steps // 2)
+        good = lambda steps, low=low, high=high, taken=taken: taken(steps)[0] >= low and taken(steps)[1] <= high and fits(*taken(steps))
+        steps = bisect_left(range(1, 2 * (high - low) + 3), True, key=lambda n, good=good: not good(n))
+        first, last = taken(steps)
+        if steps % 2 == 0:  # the left side ended: the right goes on
+            last = max(last, min(high, bisect_right(upto, upto[first] + most + 1) - 2))
+        else:
+            first = min(first, max(low, bisect_left(upto, upto[last + 1] - most - 1)))
+        out.append({"name": name, "first": first, "last": last})
+    return out
+
+
 def windows(texts: DataFrame, matches: DataFrame, stops: DataFrame, most: int = 1200, least: int = 50, named: DataFrame | None = None) -> DataFrame:
     """(request_id, source_id, name, first, last, text): sentence windows grown left and right in turn around each match.
 
     A window stays in its paragraph and under `most` characters, and ends before a sentence with another stop entity; which
-    ones a sentence has is in `named` (by default `matches`). Only texts with a clear match are gathered, by paragraph, and
-    each of a paragraph's matches grows in a fold inside the JVM over no more steps than characters allow.
+    ones a sentence has is in `named` (by default `matches`). A text's matches and stops come to it as arrays; sentences' lengths
+    and places alone go to the search, and each window's text is cut from the one array of sentences, so no paragraph is
+    copied for a match. Only texts with a clear match are read.
     """
-    clear = matches.where("not ambiguous").select("request_id", "source_id", "seq", "name")
-    wanted = clear.select("request_id", "source_id").distinct()
-    rows = sentence_rows(texts.join(wanted, ["request_id", "source_id"], "left_semi"))
-    stop = (matches if named is None else named).join(stops.select("request_id", "name"), ["request_id", "name"], "left_semi").groupBy("request_id", "source_id", "seq").agg(F.collect_set("name").alias("stops"))
-    mine = clear.groupBy("request_id", "source_id", "seq").agg(F.collect_set("name").alias("mine"))
-    rows = rows.join(stop, ["request_id", "source_id", "seq"], "left").join(mine, ["request_id", "source_id", "seq"], "left")
-    none = F.array().cast("array<string>")
-    one = F.struct("seq", "sentence", F.coalesce("stops", none).alias("stops"), F.coalesce("mine", none).alias("mine"))
-    docs = rows.groupBy("request_id", "source_id", "paragraph").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    at = lambda i: F.try_element_at("all", (i + 1).cast("int"))
-    begun = F.flatten(F.transform("all", lambda s, i: F.transform(s["mine"], lambda n: F.struct(i.alias("at"), n.alias("name")))))
-    df = docs.select("request_id", "source_id", "all", F.explode(begun).alias("m")).select("request_id", "source_id", "all", F.col("m.at").alias("at"), F.col("m.name").alias("name"))
-    ok = lambda i, chars: (i >= 0) & (i < F.size("all")) & (chars + 1 + F.length(at(i)["sentence"]) <= most) & (F.size(F.array_except(at(i)["stops"], F.array("name"))) == 0)
-    start = F.struct(F.col("at").alias("l"), F.col("at").alias("r"), F.length(at(F.col("at"))["sentence"]).alias("n"), F.lit(True).alias("gl"), F.lit(True).alias("gr"))
-
-    def grow(a, step):
-        left = step % 2 == 0
-        nxt = F.when(left, a["l"] - 1).otherwise(a["r"] + 1)
-        good = F.when(left, a["gl"]).otherwise(a["gr"]) & F.coalesce(ok(nxt, a["n"]), F.lit(False))
-        n = F.when(good, a["n"] + 1 + F.length(at(nxt)["sentence"])).otherwise(a["n"])
-        return F.struct(F.when(left & good, nxt).otherwise(a["l"]).alias("l"), F.when(~left & good, nxt).otherwise(a["r"]).alias("r"), n.alias("n"), (a["gl"] & (good | ~left)).alias("gl"), (a["gr"] & (good | left)).alias("gr"))
-
-    # Each step that adds a sentence adds two characters at least, and both sides stop at the paragraph's ends.
-    df = df.withColumn("w", F.aggregate(F.sequence(F.lit(0), F.least(2 * F.size("all"), F.lit(most)) + 1), start, grow))
-    text = F.array_join(F.transform(F.slice("all", F.col("w.l") + 1, F.col("w.r") - F.col("w.l") + 1), lambda s: s["sentence"]), " ")
-    return df.select("request_id", "source_id", "name", at(F.col("w.l"))["seq"].alias("first"), at(F.col("w.r"))["seq"].alias("last"), text.alias("text")).where(F.length("text") >= least).distinct()
+    place = F.struct(F.col("seq").cast("int").alias("seq"), "name")
+    mine = matches.where("not ambiguous").groupBy("request_id", "source_id").agg(F.collect_set(place).alias("mine"))
+    named = (matches if named is None else named).join(stops.select("request_id", "name").distinct(), ["request_id", "name"], "left_semi")
+    named = named.groupBy("request_id", "source_id").agg(F.collect_set(place).alias("stops"))
+    none = F.array().cast("array<struct<seq:int,name:string>>")
+    df = texts.join(mine, ["request_id", "source_id"]).join(named, ["request_id", "source_id"], "left")
+    df = df.select("request_id", "source_id", sentences(F.col("text")).alias("all"), "mine", F.coalesce("stops", none).alias("stops"))
+
+    @F.arrow_udf(_SPANS)
+    def spans(paragraphs: pa.Array, lengths: pa.Array, mine: pa.Array, stops: pa.Array) -> pa.Array:
+        rows = zip(paragraphs.to_pylist(), lengths.to_pylist(), mine.to_pylist(), stops.to_pylist())
+        return pa.array([_spans(*row, most) for row in rows], pa.list_(pa.struct([("name", pa.string()), ("first", pa.int32()), ("last", pa.int32())])))
+
+    found = spans(F.transform("all", lambda s: s["paragraph"]), F.transform("all", lambda s: F.length(s["sentence"])), "mine", "stops")
+    cut_out = lambda w: F.array_join(F.transform(F.slice("all", w["first"] + 1, w["last"] - w["first"] + 1), lambda s: s["sentence"]), " ")
+    df = df.select("request_id", "source_id", "all", F.array_distinct(found).alias("w"))
+    df = df.select("request_id", "source_id", F.explode(F.transform("w", lambda w: F.struct(w["name"].alias("name"), w["first"].alias("first"), w["last"].alias("last"), cut_out(w).alias("text")))).alias("w"))
+    return df.select("request_id", "source_id", "w.*").where(F.length("text") >= least)
 
 
 def evidence_scores(evidence: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import retrieval_tokens, share
+from .plan import cut, small
+from .postings import bm25, build, terms_of, tokenised
 
 
 def variants(plans: DataFrame, stem=None) -> DataFrame:
@@ -18,38 +20,17 @@ def variants(plans: DataFrame, stem=None) -> DataFrame:
     return first.unionByName(rest).select("request_id", "label", retrieval_tokens(F.col("query"), stem).alias("tokens"))
 
 
-def bm25(tokens: DataFrame, variants: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(request_id, label, chunk_id, score): scores over each request's own corpus, divided by the label's largest.
-
-    tokens(request_id, chunk_id, tokens). Only chunks with a query term appear. Postings are cut to query terms before
-    the shuffle; lengths and document counts are taken before that. The variants side is a few rows a request.
-    """
-    size = tokens.select("request_id", "chunk_id", F.size("tokens").alias("dl"))
-    stats = size.groupBy("request_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = variants.select("request_id", "label", F.explode("tokens").alias("term"))
-    asked = asked.groupBy("request_id", "label", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("request_id", "term").distinct()
-    post = tokens.select("request_id", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    post = post.join(terms, ["request_id", "term"], "left_semi").groupBy("request_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("request_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("times") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = post.join(df, ["request_id", "term"]).join(stats, "request_id").join(asked, ["request_id", "term"])
-    raw = hit.groupBy("request_id", "label", "chunk_id").agg(F.round(F.sum(gain), 9).alias("raw"))
-    top = raw.groupBy("request_id", "label").agg(F.max("raw").alias("top"))
-    return raw.join(top, ["request_id", "label"]).select("request_id", "label", "chunk_id", F.greatest(F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.col("raw")), F.lit(0.0)).alias("score"))
-
-
 def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=None) -> DataFrame:
     """chunks(request_id, source_id, chunk_id, text) -> the top_k passages of each request with all parts of their scores.
 
-    Ranks use a window with a rank limit, which Spark pushes below the shuffle. Blank chunks are left out. Spans are looked
-    for in chunks with a term of the query, and in no more than top_k others a request.
+    Texts are tokenised once; scores come from the postings of the queries' terms. Ranks use a window with a rank limit, which
+    Spark pushes below the shuffle. Blank chunks are left out. Spans are looked for in chunks with a term of the query, and
+    in no more than top_k others a request.
     """
-    chunks = chunks.where("trim(text) <> ''").select("request_id", "source_id", "chunk_id", "text")
-    tokens = chunks.select("request_id", "source_id", "chunk_id", retrieval_tokens(F.col("text"), stem).alias("tokens"))
-    asked = variants(plans, stem)
-    scores = bm25(tokens, asked).groupBy("request_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("by_label"))
+    asked = cut(variants(plans, stem))
+    index = build(tokenised(chunks, "source_id", stem=stem), terms_of(asked, "tokens"))
+    documents = index.documents
+    scores = cut(bm25(index, asked).groupBy("request_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("by_label")))
     anchors = F.aggregate("all_tokens", F.element_at("all_tokens", 1), lambda a, t: F.array_intersect(a, t))
     bundle = asked.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("label", "tokens"))).alias("v"))
     bundle = bundle.withColumn("all_tokens", F.filter(F.transform("v", lambda x: F.array_distinct(x["tokens"])), lambda t: F.size(t) > 0))
@@ -60,9 +41,9 @@ def rank_passages(chunks: DataFrame, plans: DataFrame, top_k: int = 24, stem=Non
     bundle = bundle.select("request_id", "v", "runs", F.when(F.size("all_tokens") > 0, anchors).otherwise(F.array().cast("array<string>")).alias("anchors"))
     # Without a term of the query a chunk scores 0 throughout: of these only the first few can be wanted, by their ids alone.
     first = F.row_number().over(Window.partitionBy("request_id").orderBy("source_id", "chunk_id"))
-    spare = chunks.select("request_id", "chunk_id", first.alias("n_")).where(F.col("n_") <= top_k).select("request_id", "chunk_id", F.lit(None).cast("map<string,double>").alias("by_label"))
+    spare = documents.select("request_id", "chunk_id", first.alias("n_")).where(F.col("n_") <= top_k).select("request_id", "chunk_id", F.lit(None).cast("map<string,double>").alias("by_label"))
     wanted = scores.unionByName(spare.join(scores.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti"))
-    df = chunks.join(wanted, ["request_id", "chunk_id"]).select("request_id", "source_id", "chunk_id", "by_label", retrieval_tokens(F.col("text"), stem).alias("tokens")).join(bundle, "request_id")
+    df = documents.join(wanted, ["request_id", "chunk_id"]).select("request_id", "source_id", "chunk_id", "by_label", "tokens").join(small(cut(bundle)), "request_id")
     score = lambda label: F.coalesce(F.element_at("by_label", label), F.lit(0.0))
     rewrites = F.transform(F.filter("v", lambda x: x["label"] != "base"), lambda x: F.struct(score(x["label"]).alias("score"), x["label"].alias("label")))
     df = df.withColumn("base_score", score(F.lit("base"))).withColumn("rewrites_", rewrites)

@@ -25,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(written: DataFrame, most: int = 20_000) -> DataFrame:
+    """A written relation, marked to be sent to every task if it has no more than so many rows; else as it is."""
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
 def per_request(*order) -> Window:
     return Window.partitionBy("request_id").orderBy(*order)
 

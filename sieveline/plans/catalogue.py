@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunker, fixed
 from ..functions import text as T
-from ..operators import assess, entities, evidence, passages, plan, results, tables
+from ..operators import assess, entities, evidence, passages, plan, postings, results, tables
 from ..sources import jsonl
 from ..sources.pages import read, search_results, spread
 from ..streaming import runs
@@ -70,8 +70,9 @@ FROM h WHERE rank <= 24
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _chunks(spark, sf_dir).where("trim(text) <> ''").select("request_id", "chunk_id", T.retrieval_tokens(F.col("text")).alias("tokens"))
-    return passages.bm25(tokens, passages.variants(_plans(spark))).select("request_id", "label", "chunk_id", F.round("score", 6).alias("score"))
+    asked = passages.variants(_plans(spark))
+    index = postings.build(postings.tokenised(_chunks(spark, sf_dir)), postings.terms_of(asked, "tokens"))
+    return postings.bm25(index, asked).select("request_id", "label", "chunk_id", F.round("score", 6).alias("score"))
 
 
 _BM25_SQL = _CHUNK_SQL + "SELECT request_id, label, chunk_id, round(s::DOUBLE, 6) score FROM sc"
@@ -328,6 +329,25 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.windows(texts, found, _candidates(spark))
 
 
+def paragraph_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows in texts where a line that ends a sentence ends its paragraph too."""
+    texts = _texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"([.!?])\n", "$1\n\n"))
+    found = evidence.sentence_matches(texts, _candidates(spark))
+    return evidence.windows(texts, found, _candidates(spark), least=20)
+
+
+_PWINDOWS_SQL = _EVWINDOWS_SQL.replace(
+    _SENTENCES.replace("WITH c AS", "WITH RECURSIVE c AS", 1),
+    r"""
+WITH RECURSIVE p AS (SELECT doc_id source_id, unnest(string_split(regexp_replace(text, '([.!?])\n', '\1' || chr(2), 'g'), chr(2))) AS txt, generate_subscripts(string_split(regexp_replace(text, '([.!?])\n', '\1' || chr(2), 'g'), chr(2)), 1) AS para FROM documents),
+c AS (SELECT source_id, para, trim(unnest(string_split(regexp_replace(regexp_replace(txt, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)))) sentence, generate_subscripts(string_split(regexp_replace(regexp_replace(txt, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), 1) g FROM p),
+s AS (SELECT source_id, para, (row_number() OVER (PARTITION BY source_id ORDER BY para, g) - 1)::INT seq, sentence FROM c WHERE sentence <> '')
+""",
+)
+_PWINDOWS_SQL = _PWINDOWS_SQL.replace("x AS (SELECT s.source_id, s.seq,", "x AS (SELECT s.source_id, s.seq, s.para,").replace("SELECT source_id, name, seq l, seq r,", "SELECT source_id, name, x.para, seq l, seq r,")
+_PWINDOWS_SQL = _PWINDOWS_SQL.replace("UNION ALL SELECT w.source_id, w.name, CASE", "UNION ALL SELECT w.source_id, w.name, w.para, CASE").replace("x.source_id = w.source_id AND x.seq = CASE", "x.source_id = w.source_id AND x.para = w.para AND x.seq = CASE").replace("length(txt) >= 50", "length(txt) >= 20")
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of lineitem as evidence: ten parts are a request, a part and a line number an entity, a supplier a source."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("variant"))
@@ -367,8 +387,12 @@ _SUPPORT_SQL = _SUPPORT + "SELECT * FROM u"
 
 
 def entity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preferred = spark.createDataFrame([(v, i) for i, v in enumerate(PREFERRED)], "variant string, place int")
-    return entities.dominant_variant(_evidence(spark, sf_dir), preferred)
+    return _dominant(_evidence(spark, sf_dir))
+
+
+def _dominant(rows: DataFrame) -> DataFrame:
+    preferred = rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(PREFERRED)], "variant string, place int")
+    return entities.dominant_variant(rows, preferred)
 
 
 _VARIANTS_SQL = _EVIDENCE_SQL + """,
@@ -384,13 +408,12 @@ def _topics(rows: DataFrame) -> DataFrame:
     return rows.select("request_id").distinct().select("request_id", F.lit(TOPIC).alias("normalized_query"), F.lit(TOPIC).alias("base_query"), F.array(*[F.lit(r) for r in TOPIC_REWRITES]).alias("rewrites"))
 
 
-def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).select("request_id", "entity", "seq", "text")
-    return entities.alignment(rows, _topics(rows))
+def _alignment(rows: DataFrame) -> DataFrame:
+    return entities.alignment(rows.select("request_id", "entity", "seq", "text"), _topics(rows))
 
 
 def entity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alignment(spark, sf_dir).select("request_id", "entity", "span", "anchor", "alignment")
+    return _alignment(plan.cut(_evidence(spark, sf_dir))).select("request_id", "entity", "span", "anchor", "alignment")
 
 
 _ALIGNMENT = _SUPPORT + rf""",
@@ -407,12 +430,13 @@ al3 AS (SELECT request_id, entity, round(span, 6) span, round(anchor, 6) anchor,
 _ALIGNMENT_SQL = _ALIGNMENT + "SELECT * FROM al3"
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.final_ranking(entity_support(spark, sf_dir).join(_alignment(spark, sf_dir).select("request_id", "entity", "alignment"), ["request_id", "entity"]))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows of _evidence(), written once."""
+    return entities.final_ranking(entities.support(entities.features(rows), 5).join(_alignment(rows).select("request_id", "entity", "alignment"), ["request_id", "entity"]))
 
 
 def entity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
+    return _ranked(plan.cut(_evidence(spark, sf_dir))).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
 
 
 _RANKING_SQL = _ALIGNMENT + """,
@@ -433,9 +457,10 @@ _SUPPORTING_SQL = _EVIDENCE_SQL + "SELECT request_id, entity, string_agg(variant
 
 def entity_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kept entities of each request, made diverse."""
-    top = _ranked(spark, sf_dir).where("kept").select("request_id", "entity", "position", "final_score")
-    used = _evidence(spark, sf_dir).groupBy("request_id", "entity").agg(F.collect_set("variant").alias("supporting"))
-    main = entity_variants(spark, sf_dir).select("request_id", "entity", F.col("variant").alias("dominant"))
+    rows = plan.cut(_evidence(spark, sf_dir))
+    top = _ranked(rows).where("kept").select("request_id", "entity", "position", "final_score")
+    used = rows.groupBy("request_id", "entity").agg(F.collect_set("variant").alias("supporting"))
+    main = _dominant(rows).select("request_id", "entity", F.col("variant").alias("dominant"))
     return entities.diversify(top.join(used, ["request_id", "entity"]).join(main, ["request_id", "entity"]))
 
 
@@ -572,7 +597,7 @@ _REGISTERED = {
     chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: _CLEANUP_SQL,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
     shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: _QUOTA_SQL, shortlist_buckets: _BUCKETS_SQL, sources_assessed: _ASSESSED_SQL,
-    sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
+    sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, paragraph_windows: _PWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
     entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: _MMR_SQL, near_copies: _COPIES_SQL,
     column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,
     run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,

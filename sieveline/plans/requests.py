@@ -58,16 +58,18 @@ def run(requests: DataFrame, pages: DataFrame, settings: Settings = Settings(),
 
     requests(request_id, query[, columns, aspects, rewrites]), pages(page_id, url, html). Blank queries stop at the plan.
     `names` and `fields` stand for the models that propose candidate names and read values; what they answer is checked
-    here. Passages and what comes of them are written to the checkpoint folder once, as several branches read them.
+    here. Pages' texts, their words' postings, passages and what comes of them are written to the checkpoint folder once, as
+    several branches read them.
     """
-    s, texts = settings, stored.page_texts(pages)
+    s, texts = settings, plan.cut(stored.page_texts(pages))
+    words = plan.cut(stored.page_words(texts))
     plans = plan.normalised(requests)
     fine = plans.where("not error").select("*")
     queries = plan.executed_queries(plans, s.queries)
     totals = queries.groupBy("request_id").agg(F.count("*").alias("total"))
     tokens = search.query_tokens(fine)
     shortlist = lambda found: _shortlisted(found, tokens, totals, s.shortlist)
-    source = lambda asked: stored.results(texts, asked)
+    source = lambda asked: stored.results(texts, asked, words=words)
     found = plan.cut(search.search(queries, source, shortlist, budget=s.queries))
     chosen = plan.cut(shortlist(found))
     sources, chunks = stored.read_sources(search.within_budget(chosen, s.reads), texts)
@@ -99,7 +101,7 @@ def run(requests: DataFrame, pages: DataFrame, settings: Settings = Settings(),
     first = _one_for_each(ranking.where("kept"), ["mmr_position"], s.entities)
     mine = store_rows.join(first.select("request_id", "entity"), ["request_id", "entity"], "left_semi")
     built = plan.cut(answers.extracted_fields(_answered(fields(answers.evidence_numbers(mine), fine), mine), mine, fine))
-    merged, chosen_cells = _enriched(built, fine, texts, tokens, fields, s)
+    merged, chosen_cells = _enriched(built, fine, texts, words, tokens, fields, s)
 
     order = first.select("request_id", "entity", F.col("mmr_position").cast("long").alias("entity_ord"))
     shown = merged.join(order, ["request_id", "entity"])
@@ -115,9 +117,9 @@ def rank_entities(rows: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     """All entities of the evidence with features, support, alignment, variants, position, kept, and mmr_position of kept ones.
 
     Near copies of a source's passages are left out before anything is counted."""
-    marked = rows.withColumn("tokens", retrieval_tokens(F.col("text"), stem))
+    marked = plan.cut(rows.withColumn("tokens", retrieval_tokens(F.col("text"), stem)))
     fresh = entities.drop_near_copies(marked.select("request_id", "entity", "source_url", "seq", "tokens"))
-    rows = rows.join(fresh, ["request_id", "entity", "source_url", "seq"], "left_semi")
+    rows = marked.join(fresh, ["request_id", "entity", "source_url", "seq"], "left_semi")
     worth = F.when(F.col("officiality") == "low_quality", 0.0).when(F.col("source_quality") == "high", 1.0).when(F.col("source_quality") == "medium", 0.5).otherwise(0.0)
     totals, preferred = entities.variant_totals(plans), entities.preferred_variants(plans)
     each = entities.features(rows.select("request_id", "entity", "source_url", worth.alias("quality"), "query_sources", F.col("selected_chunk_rank").alias("chunk_rank")))
@@ -136,7 +138,7 @@ def _answered(said: DataFrame, mine: DataFrame) -> DataFrame:
     return said.unionByName(looked)
 
 
-def _enriched(built: DataFrame, plans: DataFrame, texts: DataFrame, tokens: DataFrame, fields: Callable, s: Settings) -> tuple[DataFrame, DataFrame]:
+def _enriched(built: DataFrame, plans: DataFrame, texts: DataFrame, words: DataFrame, tokens: DataFrame, fields: Callable, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(fields, chosen chunks): sparse columns are searched for once more, and their empty cells filled where passages about
     the entity and the column hold a value."""
     everyone = built.select("request_id", "entity").distinct()
@@ -147,7 +149,7 @@ def _enriched(built: DataFrame, plans: DataFrame, texts: DataFrame, tokens: Data
     facets = answers.facets(sparse, none)
     asked = search.column_queries(facets, plans, s.sparse_columns).select("request_id", "place", "query", F.lit(s.breadth_results).alias("count"))
     totals = asked.groupBy("request_id").agg(F.count("*").alias("total"))
-    merged = results.shortlist_score(results.merge_by_url(results.prune(stored.results(texts, asked), tokens)).join(totals, "request_id"), "total")
+    merged = results.shortlist_score(results.merge_by_url(results.prune(stored.results(texts, asked, words=words), tokens)).join(totals, "request_id"), "total")
     sources, chunks = stored.read_sources(results.shortlist(merged, s.shortlist), texts)
     chunks = plan.cut(chunks)
     scored = cells.cell_scores(chunks, everyone, facets, plans, s.stem)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunker
 from ..functions.text import host, plain_tokens, strip_html
+from ..operators.plan import cut, small
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -16,16 +17,21 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", title.alias("title"), body.alias("text"), host(F.col("url")).alias("domain"))
 
 
-def results(pages: DataFrame, queries: DataFrame, snippet_chars: int = 300) -> DataFrame:
+def page_words(pages: DataFrame) -> DataFrame:
+    """(word, page_id): the postings of pages as page_texts() gives them, which all searches over them can read."""
+    return pages.select("page_id", F.explode(plain_tokens(F.concat_ws(" ", "title", "text"))).alias("word"))
+
+
+def results(pages: DataFrame, queries: DataFrame, snippet_chars: int = 300, words: DataFrame | None = None) -> DataFrame:
     """Search results of queries(request_id, place, query, count): pages by the number of the query's words they hold, then by
     page_id, `count` of them; the snippet is what stands from the first such word on.
 
-    pages as page_texts() gives them. Pages are posted under the words of some query only, so texts do not cross the
-    shuffle; they are joined by page_id to the few that are found.
+    pages as page_texts() gives them, words as page_words() does, where that is written already. Only postings of some query's
+    words cross a shuffle; texts are joined by page_id to the few that are found.
     """
     asked = queries.select("request_id", "place", "query", "count", F.explode(plain_tokens(F.col("query"))).alias("word"))
-    words = asked.select("word").distinct()
-    posts = pages.select("page_id", F.explode(plain_tokens(F.concat_ws(" ", "title", "text"))).alias("word")).join(words, "word", "left_semi")
+    asked = cut(asked)
+    posts = (page_words(pages) if words is None else words).join(small(cut(asked.select("word").distinct())), "word", "left_semi")
     hits = posts.join(asked, "word").groupBy("request_id", "place", "query", "count", "page_id").agg(F.count("*").alias("words"), F.min("word").alias("word"))
     rank = F.row_number().over(Window.partitionBy("request_id", "place").orderBy(F.desc("words"), "page_id"))
     top = hits.withColumn("rank", rank).where(F.col("rank") <= F.col("count"))
@@ -40,7 +46,8 @@ def read_sources(shortlisted: DataFrame, pages: DataFrame) -> tuple[DataFrame, D
 
     A page is read and cut once, however many requests ask for it. Chunk ids are the source's id and the place."""
     wanted = shortlisted.select("url").distinct()
-    texts = pages.join(wanted, "url", "left_semi").dropDuplicates(["url"])
+    # Of pages that share a url the one with the smallest page_id is read.
+    texts = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.min_by(F.struct("title", "text"), "page_id").alias("p")).select("url", "p.*")
     sources = shortlisted.select("request_id", "url", "position").join(texts.select("url", "title", F.lit(True).alias("read_")), "url", "left")
     sources = sources.select("request_id", F.concat(F.lit("page:"), "url").alias("source_id"), F.col("position").alias("ord"), "url", F.coalesce("title", "url").alias("title"), F.lit("page_reader").alias("origin"), F.coalesce("read_", F.lit(False)).alias("fetch_succeeded"))
     cut = chunker.chunks(texts.select(F.concat(F.lit("page:"), "url").alias("source_id"), "text"))

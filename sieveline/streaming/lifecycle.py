@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.fixed import RUN_FAILED
 
@@ -57,23 +58,67 @@ def _reduce(stages: list[list[str]], event: str, name: str) -> list[list[str]]:
     return [[i, s if s == "failed" else "completed"] for i, s in out] if event == "run_completed" else out
 
 
-def stream_states(events: DataFrame) -> DataFrame:
-    """The same from a stream of events(request_id, seq, event, stage, message): (request_id, stages JSON, finished) of each
-    run whenever a batch has events of it. A run's state is its list of stages; it goes when the run has ended."""
+class StageProcessor(StatefulProcessor):
+    """A run's stages as map state, id -> (place, status), and a timer that ends runs of which nothing is heard any more."""
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stages, finished = json.loads(state.get[0]) if state.exists else [], False
-        for r in sorted((r for pdf in frames for r in pdf.to_dict("records")), key=lambda r: r["seq"]):
-            stages = _reduce(stages, r["event"], r["id"])
-            finished = finished or r["event"] in ("run_completed", "run_failed")
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms  # None: no timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.stages = handle, handle.getMapState("stages", "id string", "place int, status string")
+
+    def _now(self) -> list[list[str]]:
+        rows = sorted((place, name, status) for (name,), (place, status) in self.stages.iterator())
+        return [[name, status] for _, name, status in rows]
+
+    def _stop_timers(self) -> None:
+        for timer in list(self.handle.listTimers()) if self.idle_ms is not None else []:
+            self.handle.deleteTimer(timer)
+
+    def _row(self, key: tuple, stages: list[list[str]], finished: bool, abandoned: bool) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": [key[0]], "stages": [json.dumps(stages)], "finished": [finished], "abandoned": [abandoned]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before, last, finished = self._now(), 0, False
+        stages = before
+        for r in sorted((r for pdf in rows for r in pdf.to_dict("records")), key=lambda r: r["seq"]):
+            stages, finished = _reduce(stages, r["event"], r["id"]), finished or r["event"] in ("run_completed", "run_failed")
+            last = max(last, int(r["at"]))
+        self._stop_timers()
         if finished:
-            state.remove()
+            self.stages.clear()
         else:
-            state.update((json.dumps(stages),))
-        yield pd.DataFrame({"request_id": [key[0]], "stages": [json.dumps(stages)], "finished": [finished]})
-
-    rows = events.select("request_id", "seq", "event", F.expr(_ID).alias("id"))
-    return rows.groupBy("request_id").applyInPandasWithState(step, "request_id string, stages string, finished boolean", "stages string", "update", "NoTimeout")
+            old = dict(map(tuple, before))
+            for place, (name, status) in enumerate(stages):
+                if old.get(name) != status:
+                    self.stages.updateValue((name,), (place, status))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
+        yield self._row(key, stages, finished, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        stages = self._now()
+        self.stages.clear()
+        yield self._row(key, stages, False, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_states(events: DataFrame, idle_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """The same from a stream of events(request_id, seq, event, stage, message[, ts]): (request_id, stages JSON, finished,
+    abandoned) of each run whenever a batch has events of it, and once more when it is given up.
+
+    A run's state is a map of its stages, of which a batch writes the changed ones. It goes when the run has ended, or when
+    nothing was heard for `idle_ms` by the events' ts and their watermark; events without ts give no run up. A run heard of
+    again later begins anew. Needs Spark's RocksDB state store, which is set for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = "ts" in events.columns
+    rows = events.withWatermark("ts", late) if timed else events
+    at = F.unix_millis("ts") if timed else F.lit(0).cast("long")
+    rows = rows.select("request_id", "seq", "event", F.expr(_ID).alias("id"), at.alias("at"), *(["ts"] if timed else []))
+    return rows.groupBy("request_id").transformWithStateInPandas(StageProcessor(idle_ms if timed else None), "request_id string, stages string, finished boolean, abandoned boolean", "Update", "EventTime" if timed else "None")
 
 
 def stage_rows(figures: DataFrame, place: dict[str, int]) -> DataFrame:

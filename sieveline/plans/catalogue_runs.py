@@ -7,13 +7,15 @@ cell an answer, which run failed) is made from their numbers, so that every case
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import answers, cells, entities, evidence, plan, report, results, search, store, tables
-from ..sources import jsonl, payloads
+from ..sources import jsonl, payloads, rowlog, service
 from ..sources.pages import read
 from ..streaming import lifecycle
 from . import catalogue as base
@@ -22,6 +24,7 @@ from .catalogue import BASE, CANDIDATES
 
 FACETS = {"origin": ["ther thnt", "erin"], "kind_of": ["thble", "  "]}
 COLUMNS = ["name", "segment", "balance", "website"]
+REPLAYED = "sieveline.sources.service:replayed"
 
 
 def _request(key: str, n: int = 3) -> Column:
@@ -241,6 +244,7 @@ def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.when(n % 4 == 0, "").otherwise(F.col("url")).alias("url"), F.concat(F.lit("t"), n).alias("title"), F.concat(F.lit("d"), n).alias("description"), F.when(n % 3 == 0, F.struct(F.concat(F.lit("own"), n).alias("long_name"))).alias("profile"))
     raw = _page_rows(spark, sf_dir).groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x["i"]).alias("results"))
     raw = raw.select("request_id", F.lit("q").alias("query"), F.to_json(F.struct(F.struct("results").alias("web"))).alias("payload"))
+    raw = service.ask_all(raw, REPLAYED, ["request_id", "query"])
     return payloads.search_payloads(raw).select("request_id", "url", "title", "snippet", "domain", F.col("rank").cast("int").alias("rank"))
 
 
@@ -259,6 +263,7 @@ def context_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.map_from_entries(F.collect_list(F.struct(F.concat("url", F.lit("&g")), F.struct(F.concat(F.lit("s"), n).alias("title"), F.array(F.lit(" "), F.concat(F.lit("age"), n)).alias("age")))))
     raw = rows.dropDuplicates(["request_id", "url"]).groupBy("request_id").agg(listed("g").alias("generic"), F.max_by(item("p"), n).alias("poi"), listed("m").alias("map"), seen.alias("sources"))
     raw = raw.select("request_id", F.to_json(F.struct(F.struct("generic", "poi", "map").alias("grounding"), "sources")).alias("payload"))
+    raw = service.ask_all(raw, REPLAYED, ["request_id"])
     return payloads.context_payloads(raw).select("request_id", F.col("pos").cast("int").alias("pos"), "url", "title", "age", "text")
 
 
@@ -274,7 +279,11 @@ def reader_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read texts with a title line, without one, empty, or with an error."""
     n = F.col("page_id")
     text = F.when(n % 6 == 0, "").when(n % 6 == 1, F.concat(F.lit("\n  Title: page "), n, F.lit(" \nbody"))).when(n % 6 == 2, "Title:\nx").otherwise(F.concat(F.lit(" \n line "), n, F.lit("\nmore")))
-    raw = _page_rows(spark, sf_dir).select("url", text.alias("text"), F.when(n % 11 == 0, "timeout").alias("error"))
+    # Of the errors some come with a text, as from a reader that gave up midway; the others fail as requests.
+    told = F.to_json(F.struct(text.alias("text"), F.when(n % 11 == 0, "timeout").alias("error")))
+    raw = _page_rows(spark, sf_dir).select("url", told.alias("payload"), F.when(n % 66 == 0, "timeout").alias("reports"))
+    raw = service.ask_all(raw, REPLAYED, ["url"])
+    raw = raw.select("url", F.get_json_object("payload", "$.text").alias("text"), F.coalesce("error", F.get_json_object("payload", "$.error")).alias("error"))
     return payloads.reader_pages(raw).select("url", "title", "text", "fetch_succeeded", "error_message")
 
 
@@ -426,6 +435,33 @@ s AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pla
 """
 
 
+_EVENT = "request_id string, seq long, event string, stage string, message string, code string, error string, details string"
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """A new log in the shared folder with all runs' events: those of the first steps, then all of them twice over."""
+    events = plan.cut(lifecycle.run_events(*_runs(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long")))
+    path = f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4().hex}"
+    for rows in (events.where("seq <= 3"), events, events):
+        rowlog.append(rows.select(*[c.split()[0] for c in _EVENT.split(", ")]), path, ["request_id", "seq"], "seq")
+    return path
+
+
+def run_events_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs' events, appended with repeats and read back once each."""
+    return rowlog.stored(spark, _logged(spark, sf_dir), _EVENT).withColumn("seq", F.col("seq").cast("int"))
+
+
+def run_events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of all runs from a copy of the log that a stream made in two goes."""
+    path = _logged(spark, sf_dir)
+    for _ in range(2):
+        events = rowlog.stream(spark, path, _EVENT)
+        events.writeStream.format("row_log").option("path", f"{path}-copy").option("name", "copy").option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    states = lifecycle.stage_states(rowlog.stored(spark, f"{path}-copy", _EVENT))
+    return states.select("request_id", "id", F.col("first_seq").cast("int").alias("first_seq"), "status")
+
+
 def run_stage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.stage_states(lifecycle.run_events(*_runs(spark, sf_dir))).select("request_id", "id", F.col("first_seq").cast("int").alias("first_seq"), "status")
 
@@ -702,7 +738,7 @@ _REGISTERED = {
     request_table: None, column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
     search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, plans_normalised: _PLANS_SQL, results_in_context: _CONTEXT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
     bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
-    run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
+    run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, run_events_logged: _LIFECYCLE + "SELECT * FROM s", run_events_streamed: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,
     entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL, line_overlaps: _OVERLAPS_SQL,
 }

@@ -104,12 +104,21 @@ def _resolved(decisions: DataFrame, numbered: DataFrame, full: bool) -> DataFram
     return decisions.join(got, ["request_id", "entity", "column"], "left")
 
 
+def _last(answers: DataFrame) -> DataFrame:
+    """Of the answers for one column the last by `place`; where that is missing or the same, the greatest by its parts, so that
+    reruns agree."""
+    place = F.col("place") if "place" in answers.columns else F.lit(0)
+    parts = F.struct("value", "confidence", "chunk_ids")
+    last = answers.groupBy("request_id", "entity", "column").agg(F.max(F.struct(place.alias("p_"), parts.alias("a_"))).alias("l_"))
+    return last.select("request_id", "entity", "column", "l_.a_.*")
+
+
 def extracted_fields(answers: DataFrame, evidence: DataFrame, plans: DataFrame) -> DataFrame:
     """(request_id, entity, column, column_ord, value, confidence, evidence, provisional): every planned column of every
     entity with evidence.
 
-    answers(request_id, entity, answered_name, provisional, column, value, confidence, chunk_ids): an answer under another
-    name counts for nothing and leaves an empty, provisional entity; so does none. Columns that were not planned are
+    answers(request_id, entity, answered_name, provisional, column, value, confidence, chunk_ids[, place]): of several for a column
+    the last by place counts, with a value or without. An answer under another name counts for nothing and leaves an empty, provisional entity; so does none. Columns that were not planned are
     dropped; a value without evidence that exists is null. A missing name is the entity's, from its first chunk, certain,
     if the entity was answered for.
     """
@@ -117,7 +126,7 @@ def extracted_fields(answers: DataFrame, evidence: DataFrame, plans: DataFrame)
     cells = numbered.select("request_id", "entity").distinct().join(plans.select("request_id", F.posexplode("schema_columns").alias("column_ord", "column")), "request_id")
     fine = answers.where(F.trim("answered_name") == F.col("entity"))
     said = fine.groupBy("request_id", "entity").agg(F.bool_or("provisional").alias("provisional"))
-    given = _resolved(fine.where("value is not null").select("request_id", "entity", "column", "value", "confidence", "chunk_ids").dropDuplicates(["request_id", "entity", "column"]), numbered, full=True).where("evidence is not null")
+    given = _resolved(_last(fine).where("value is not null"), numbered, full=True).where("evidence is not null")
     first = numbered.where("chunk_id = 'c1'").select("request_id", "entity", F.array(evidence_items()).alias("first_"))
     df = cells.join(said, ["request_id", "entity"], "left").join(given.drop("chunk_ids"), ["request_id", "entity", "column"], "left").join(first, ["request_id", "entity"], "left")
     own = (F.col("column") == "name") & F.col("value").isNull() & F.col("provisional").isNotNull()
@@ -190,11 +199,14 @@ def gap_payloads(fields: DataFrame, evidence: DataFrame, plans: DataFrame) -> Da
 
 def gap_updates(answers: DataFrame, fields: DataFrame, evidence: DataFrame) -> DataFrame:
     """(request_id, entity, column, value, confidence, evidence): answers for missing columns, under the entity's own name,
-    with a value and evidence that was sent. answers as in extracted_fields()."""
+    with a value and evidence that was sent. answers as in extracted_fields(); of several for a column the last such one counts."""
     fine = answers.where((F.trim("answered_name") == F.col("entity")) & F.col("value").isNotNull()).join(missing_cells(fields).select("request_id", "entity", "column"), ["request_id", "entity", "column"], "left_semi")
-    fine = fine.select("request_id", "entity", "column", "value", "confidence", "chunk_ids").dropDuplicates(["request_id", "entity", "column"])
-    sent = evidence.select("request_id", "entity", "chunk_id", F.col("url").alias("source_url"), F.col("title").alias("source_title"), "text").dropDuplicates(["request_id", "entity", "chunk_id"])
-    return _resolved(fine, sent, full=False).where("evidence is not null").drop("chunk_ids")
+    item = F.struct(F.col("url").alias("source_url"), F.col("title").alias("source_title"), "text")
+    sent = evidence.groupBy("request_id", "entity", "chunk_id").agg(F.min(item).alias("i_")).select("request_id", "entity", "chunk_id", "i_.*")
+    # Only answers with some evidence that was sent take part in which is the last.
+    ids = sent.groupBy("request_id", "entity").agg(F.collect_set("chunk_id").alias("ids_"))
+    fine = fine.join(ids, ["request_id", "entity"]).where(F.arrays_overlap("chunk_ids", "ids_"))
+    return _resolved(_last(fine), sent, full=False).where("evidence is not null").drop("chunk_ids")
 
 
 def merged_fields(fields: DataFrame, updates: DataFrame) -> DataFrame:

@@ -352,6 +352,23 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select("request_id", "entity", "column", "value", "confidence", urls.alias("urls"), "provisional")
 
 
+def repeated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' fields where a model has answered for a column more than once: the last answer counts, also one without value."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(_request("c_custkey").alias("request_id"), k, k.cast("string").alias("entity"), "c_mktsegment")
+    told = lambda place, column, value: F.struct(F.lit(place).alias("place"), F.lit(column).alias("column"), value.cast("string").alias("value"), (F.lit(place) / 4).alias("confidence"))
+    given = F.array(told(3, "segment", F.when(k % 3 > 0, F.col("c_mktsegment"))), told(1, "segment", F.lit("zz")), told(2, "website", F.lit("late")), told(0, "website", F.lit("zz early")), told(1, "balance", F.when(k % 2 == 0, F.lit("1"))))
+    said = c.select("request_id", "entity", F.col("entity").alias("answered_name"), F.lit(False).alias("provisional"), F.explode(given).alias("g")).select("request_id", "entity", "answered_name", "provisional", "g.*", F.array(F.lit("c1")).alias("chunk_ids"))
+    found = answers.extracted_fields(said, _orders_as_evidence(spark, sf_dir), _plans(c))
+    return found.select("request_id", "entity", "column", "value", "confidence", F.size("evidence").alias("proofs"))
+
+
+_REPEATED_SQL = """
+WITH e AS (SELECT DISTINCT o_custkey k FROM orders),
+x AS (SELECT 'r' || (k % 3) request_id, k::VARCHAR entity, p."column", CASE p."column" WHEN 'name' THEN k::VARCHAR WHEN 'segment' THEN CASE WHEN k % 3 > 0 THEN c_mktsegment END WHEN 'website' THEN 'late' WHEN 'balance' THEN CASE WHEN k % 2 = 0 THEN '1' END END AS value,
+    CASE p."column" WHEN 'name' THEN 1.0 WHEN 'segment' THEN 0.75 WHEN 'website' THEN 0.5 ELSE 0.25 END::DOUBLE confidence FROM e JOIN customer ON c_custkey = k CROSS JOIN (VALUES ('name'), ('segment'), ('balance'), ('website')) p("column"))
+SELECT request_id, entity, "column", value, CASE WHEN value IS NULL THEN 0.0 ELSE confidence END::DOUBLE confidence, CASE WHEN value IS NULL THEN 0 ELSE 1 END::INT proofs FROM x
+"""
 _EXTRACTED = """
 WITH o AS (SELECT o_custkey k, 'u' || (o_orderkey % 7) url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) n FROM orders),
 e AS (SELECT k, max(CASE WHEN n = 1 THEN url END) u1, max(CASE WHEN n = 2 THEN url END) u2 FROM o GROUP BY 1),
@@ -737,7 +754,7 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTERED = {
     request_table: None, column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
     search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, plans_normalised: _PLANS_SQL, results_in_context: _CONTEXT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
-    bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
+    bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, repeated_answers: _REPEATED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, run_events_logged: _LIFECYCLE + "SELECT * FROM s", run_events_streamed: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,
     entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL, line_overlaps: _OVERLAPS_SQL,

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import cells, entities, evidence, passages, plan, postings
+from sieveline.operators import answers, cells, entities, evidence, passages, plan, postings
 from sieveline.sources import stored
 
 WORDS = ["acme", "health", "drug", "store", "the", "of", "new", "york", "city", "labs"]
@@ -141,3 +141,12 @@ def test_copies_in_a_document_of_many_lines():
     began = time.time()
     got = entities.first_of_copies(sets, 0.85)
     assert sum(got) == 15_001 and time.time() - began < 20
+
+
+def test_the_last_answer_with_evidence_fills_a_gap(spark):
+    fields = spark.createDataFrame([("r", "e", "site", None), ("r", "e", "size", None), ("r", "e", "name", "E")], "request_id string, entity string, column string, value string").withColumn("column_ord", F.lit(0))
+    proof = spark.createDataFrame([("r", "e", "x1", "u1", "t", "one"), ("r", "e", "x1", "u1", "t", "one"), ("r", "e", "x2", "u2", "t", "two")], "request_id string, entity string, chunk_id string, url string, title string, text string")
+    rows = [("site", "zz first", 0.9, ["x1"], 0), ("site", "second", 0.5, ["x2", "x1"], 1), ("site", "unproven", 0.9, ["x9"], 2), ("site", None, 0.9, ["x1"], 3), ("size", "one", 0.1, ["x1"], 1), ("size", "two", 0.1, ["x1"], 1), ("name", "F", 1.0, ["x1"], 0)]
+    said = spark.createDataFrame([("r", "e", " e ", False, *r) for r in rows], "request_id string, entity string, answered_name string, provisional boolean, column string, value string, confidence double, chunk_ids array<string>, place int")
+    got = {r["column"]: (r["value"], [e["source_url"] for e in r["evidence"]]) for r in answers.gap_updates(said, fields, proof).collect()}
+    assert got == {"site": ("second", ["u2", "u1"]), "size": ("two", ["u1"])}

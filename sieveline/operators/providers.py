@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..functions.text import collapse
 
 Provider = Callable[[list[dict]], list[dict]]
+#: A fixed message, as clients see it.
+NOT_PARSED = "model returned no parsed structured output"
 
 
 def capitalised_names(payloads: list[dict]) -> list[dict]:
@@ -50,12 +52,30 @@ def ask(requests: DataFrame, provider: Provider, key: list[str], batch: int = 64
     return requests.mapInPandas(run, schema)
 
 
+def typed(answers: DataFrame, fields: str, required: list[str]) -> DataFrame:
+    """answers(..., answer JSON, error) -> the same with `parsed`, a struct of `fields` (as in a schema's DDL), in place of answer.
+
+    An answer that refuses ({"refusal": text}) gives its text as the row's error; one that is no JSON, has a field of another
+    kind, or lacks a required one gives NOT_PARSED. Either way parsed is null, as it is where an error came already. Nulls in
+    fields that are not required and fields that are not asked for are fine.
+    """
+    told = F.from_json("answer", f"{fields}, refusal string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    names = [f.name for f in T.StructType.fromDDL(fields)]
+    df = answers.withColumn("told_", told)
+    lacks = F.col("told_").isNull() | F.col("told_._corrupt").isNotNull()
+    for name in required:
+        lacks |= F.col(f"told_.{name}").isNull()
+    error = F.coalesce("error", F.nullif(F.trim("told_.refusal"), F.lit("")), F.when(lacks, NOT_PARSED))
+    df = df.withColumn("error", error)
+    return df.withColumn("parsed", F.when(F.col("error").isNull(), F.struct(*[F.col(f"told_.{n}").alias(n) for n in names]))).drop("told_", "answer")
+
+
 def candidate_names(texts: DataFrame, provider: Provider = capitalised_names) -> DataFrame:
     """texts(request_id, source_id, text) -> (request_id, name): white space collapsed, blank names dropped, and of names that
     differ in case alone the first by source and place."""
     asked = texts.select("request_id", "source_id", F.to_json(F.struct("text")).alias("payload"))
-    got = ask(asked, provider, ["request_id", "source_id"]).where("error is null")
-    names = got.select("request_id", "source_id", F.posexplode(F.from_json("answer", "names array<string>")["names"]).alias("at", "name"))
+    got = typed(ask(asked, provider, ["request_id", "source_id"]), "names array<string>", ["names"]).where("error is null")
+    names = got.select("request_id", "source_id", F.posexplode("parsed.names").alias("at", "name"))
     names = names.withColumn("name", collapse(F.col("name"))).where("name <> ''")
     return names.groupBy("request_id", F.lower("name").alias("k_")).agg(F.min_by("name", F.struct("source_id", "at")).alias("name")).drop("k_")
 

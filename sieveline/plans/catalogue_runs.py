@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import answers, cells, entities, evidence, plan, report, results, search, store, tables
+from ..operators import answers, cells, entities, evidence, plan, providers, report, results, search, store, tables
 from ..sources import jsonl, payloads, rowlog, service
 from ..sources.pages import read
 from ..streaming import lifecycle
@@ -352,6 +352,23 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select("request_id", "entity", "column", "value", "confidence", urls.alias("urls"), "provisional")
 
 
+def typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' answers read by a schema: good ones, cut-off ones, refusals, fields of another kind, lacking fields, failed calls."""
+    k = F.col("c_custkey")
+    good = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.lit(0.5).alias("score"), F.array(F.lit("c1")).alias("ids")))
+    said = F.when(k % 6 == 0, good).when(k % 6 == 1, F.substring(good, 1, 20)).when(k % 6 == 2, F.concat(F.lit('{"refusal":"not about '), "c_mktsegment", F.lit('"}')))
+    said = said.when(k % 6 == 3, F.replace(good, F.lit("0.5"), F.lit('"high"'))).when(k % 6 == 4, F.lit('{"score":0.5,"ids":[],"more":1}'))
+    raw = read(spark, sf_dir, "customer").select(k, said.alias("payload"), F.when(k % 6 == 5, "slow").alias("reports"))
+    got = providers.typed(service.ask_all(raw, REPLAYED, ["c_custkey"]).withColumnRenamed("payload", "answer"), "segment string, score double, ids array<string>", ["segment", "ids"])
+    return got.select("c_custkey", "parsed.segment", "parsed.score", F.array_join("parsed.ids", ",").alias("ids"), "error")
+
+
+_TYPED_SQL = """
+SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 6 = 0 THEN 0.5::DOUBLE END AS score, CASE WHEN c_custkey % 6 = 0 THEN 'c1' END AS ids,
+    CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 2 THEN 'not about ' || c_mktsegment WHEN 5 THEN 'slow' ELSE 'model returned no parsed structured output' END AS error FROM customer
+"""
+
+
 def repeated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' fields where a model has answered for a column more than once: the last answer counts, also one without value."""
     k = F.col("c_custkey")
@@ -754,7 +771,7 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTERED = {
     request_table: None, column_chunk_scores: _CELLS_SQL, column_chunks: _CHOSEN_SQL, evidence_records: _RECORDS_SQL, evidence_targets: _TARGETS_SQL, evidence_appended: _APPENDED_SQL, stop_entities: _STOPS_SQL,
     search_retry: _RETRY_SQL, column_queries: _COLQ_SQL, queries_sent: _SENT_SQL, plans_normalised: _PLANS_SQL, results_in_context: _CONTEXT_SQL, search_tokens_of_plans: _PTOK_SQL, search_answers: _SANSWERS_SQL, context_answers: _CANSWERS_SQL, reader_answers: _READER_SQL, context_queries: _CONTEXTQ_SQL,
-    bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, repeated_answers: _REPEATED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
+    bucket_results: _BUCKETR_SQL, assessed_overrides: _OVERRIDE_SQL, extracted_fields: _EXTRACTED_SQL, repeated_answers: _REPEATED_SQL, typed_answers: _TYPED_SQL, entity_sources: _ESOURCES_SQL, facets_chosen: _FACETS_SQL, gap_updates: _GAPS_SQL, model_payloads: _PAYLOADS_SQL,
     run_lifecycle: _LIFECYCLE + "SELECT * FROM s", run_stage_states: _STATES_SQL, run_events_logged: _LIFECYCLE + "SELECT * FROM s", run_events_streamed: _STATES_SQL, stage_figures: _FIGURES_SQL, top_candidates: _TOPC_SQL, selected_sources: _SELECTED_SQL, populated_columns: _POPULATED_SQL,
     table_confidence: _CONFIDENCE_SQL, shown_cells: _SHOWNC_SQL, shown_sources: _SHOWNS_SQL, table_export: _EXPORT_SQL, bucket_rows_new: _BUCKETROWS_SQL, stage_columns: _COLUMNS_SQL,
     entity_log: _ELOG_SQL, cell_log: _CLOG_SQL, prior_fields: _PRIOR_SQL, canonical_rows: _CANON_SQL, plan_variants: _VARIANTSP_SQL, pass_through_ranks: _PASS_SQL, queries_seen: _SEEN_SQL, shown_labels: _LABELS_SQL, column_previews: _PREVIEWS_SQL, line_overlaps: _OVERLAPS_SQL,

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import answers, cells, entities, evidence, passages, plan, postings
+from sieveline.operators import answers, cells, entities, evidence, passages, plan, postings, providers
 from sieveline.sources import stored
 
 WORDS = ["acme", "health", "drug", "store", "the", "of", "new", "york", "city", "labs"]
@@ -150,3 +150,11 @@ def test_the_last_answer_with_evidence_fills_a_gap(spark):
     said = spark.createDataFrame([("r", "e", " e ", False, *r) for r in rows], "request_id string, entity string, answered_name string, provisional boolean, column string, value string, confidence double, chunk_ids array<string>, place int")
     got = {r["column"]: (r["value"], [e["source_url"] for e in r["evidence"]]) for r in answers.gap_updates(said, fields, proof).collect()}
     assert got == {"site": ("second", ["u2", "u1"]), "size": ("two", ["u1"])}
+
+
+def test_answers_by_a_schema(spark):
+    told = ['{"names":["A"],"n":1}', '{"names":["A"],"n":null}', '{"names":[', '{"refusal":" no "}', '{"n":1}', '{"names":"A"}', "[]", "null", "", None, '{"names":[],"refusal":""}']
+    rows = spark.createDataFrame([*[(i, t, None) for i, t in enumerate(told)], (99, None, "TimeoutError: slow")], "id long, answer string, error string")
+    got = {r["id"]: (r["parsed"] and r["parsed"]["names"], r["error"]) for r in providers.typed(rows, "names array<string>, n int", ["names"]).collect()}
+    bad = (None, providers.NOT_PARSED)
+    assert got == {0: (["A"], None), 1: (["A"], None), 2: bad, 3: (None, "no"), 4: bad, 5: bad, 6: bad, 7: bad, 8: bad, 9: bad, 10: ([], None), 99: (None, "TimeoutError: slow")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
 from .plan import cut, small
+from .stems import stemmed
 
 
 @dataclass(frozen=True)
@@ -27,15 +28,19 @@ def tokenised(texts: DataFrame, *keep: str, stem=None) -> DataFrame:
     return cut(rows.withColumn("length", F.size("tokens")))
 
 
-def build(documents: DataFrame, terms: DataFrame) -> Index:
-    """documents as of tokenised(), and terms(request_id, term), those that will be looked up.
+def build(documents: DataFrame, terms: DataFrame, stems: DataFrame | None = None) -> Index:
+    """documents as of tokenised(), and terms(request_id, term), those that will be looked up; with stems(term, stem) the postings
+    are of stems, and so must be the terms.
 
     Tokens of other terms go before the shuffle, so what is written grows with the hits, not with the texts. Terms are sent to
     every task where they are few, counted first, and else meet the tokens by request and term. Texts without any of the
     terms have no posting but count as documents. Empty tables: empty postings.
     """
     asked = small(cut(terms.where("term is not null").distinct()))
-    rows = documents.select("request_id", "chunk_id", "length", F.posexplode("tokens").alias("place", "term")).join(asked, ["request_id", "term"], "left_semi")
+    rows = documents.select("request_id", "chunk_id", "length", F.posexplode("tokens").alias("place", "term"))
+    if stems is not None:
+        rows = stemmed(rows, small(cut(stems)), "request_id", "chunk_id", "length", "place")
+    rows = rows.join(asked, ["request_id", "term"], "left_semi")
     posts = rows.groupBy("request_id", "term", "chunk_id", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
     return Index(documents, cut(posts))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunker, fixed
 from ..functions import text as T
-from ..operators import assess, entities, evidence, passages, plan, postings, results, tables
+from ..operators import assess, entities, evidence, passages, plan, postings, results, stems, tables
 from ..sources import jsonl
 from ..sources.pages import read, search_results, spread
 from ..streaming import runs
@@ -36,6 +36,25 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("request_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("source_id"), F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("#"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("chunk_id"), "text")
 
 
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents that are inflected forms of others of them."""
+    return stems.stems(stems.vocabulary(spread(read(spark, sf_dir, "documents").select("text"))))
+
+
+def _stems_sql() -> str:
+    cases = []
+    for place, (ending, other) in enumerate(stems.RULES):
+        root = f"left(term, length(term) - {len(ending)})"
+        stem = f"CASE WHEN right({root}, 1) = left(right({root}, 2), 1) THEN left({root}, length({root}) - 1) END" if other is None else f"{root} || '{other}'"
+        plural = " AND NOT regexp_matches(term, '(?:ss|us|is)$')" if ending == "s" else ""
+        cases.append(f"SELECT term, {place} place, {stem} stem FROM v WHERE ends_with(term, '{ending}') AND length(term) > {len(ending) + 1}{plural}")
+    return rf"""
+WITH v AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(translate(text, '’‘`“”–—', '""--')), '[\p{{L}}\p{{N}}_]+')) term FROM documents) WHERE NOT list_contains({_sql_list(fixed.RETRIEVAL_STOPWORDS)}, term)),
+p AS ({" UNION ALL ".join(cases)})
+SELECT term, arg_min(stem, place) stem FROM p WHERE length(stem) >= 3 AND stem IN (SELECT term FROM v) GROUP BY term
+"""
+
+
 def chunk_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.rank_passages(_chunks(spark, sf_dir), _plans(spark))
 
@@ -597,7 +616,7 @@ _REGISTERED = {
     chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: _CLEANUP_SQL,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
     shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: _QUOTA_SQL, shortlist_buckets: _BUCKETS_SQL, sources_assessed: _ASSESSED_SQL,
-    sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, paragraph_windows: _PWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
+    word_stems: _stems_sql(), sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, paragraph_windows: _PWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
     entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: _MMR_SQL, near_copies: _COPIES_SQL,
     column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,
     run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,

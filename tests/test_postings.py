@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import answers, cells, entities, evidence, passages, plan, postings, providers
+from sieveline.operators import answers, cells, entities, evidence, passages, plan, postings, providers, stems
 from sieveline.sources import stored
 
 WORDS = ["acme", "health", "drug", "store", "the", "of", "new", "york", "city", "labs"]
@@ -158,3 +158,16 @@ def test_answers_by_a_schema(spark):
     got = {r["id"]: (r["parsed"] and r["parsed"]["names"], r["error"]) for r in providers.typed(rows, "names array<string>, n int", ["names"]).collect()}
     bad = (None, providers.NOT_PARSED)
     assert got == {0: (["A"], None), 1: (["A"], None), 2: bad, 3: (None, "no"), 4: bad, 5: bad, 6: bad, 7: bad, 8: bad, 9: bad, 10: ([], None), 99: (None, "TimeoutError: slow")}
+
+
+def test_stems_are_words_of_the_corpus(spark):
+    words = "city cities die dies house houses box boxes cat cats bus glass tried try hoped hope walked walk stopped stop making make running run sing thing needed asses news"
+    terms = spark.createDataFrame([(w,) for w in words.split()], "term string")
+    got = dict(map(tuple, stems.stems(terms).collect()))
+    assert got == {"cities": "city", "dies": "die", "houses": "house", "boxes": "box", "cats": "cat", "tried": "try", "hoped": "hope", "walked": "walk", "stopped": "stop", "making": "make", "running": "run"}
+    texts = spark.createDataFrame([("r", "a", "Cats and boxes"), ("r", "b", "a cat"), ("r", "c", "box of cats")], "request_id string, chunk_id string, text string")
+    documents = postings.tokenised(texts)
+    found = stems.stems(stems.vocabulary(texts))
+    asked = stems.stemmed(spark.createDataFrame([("r", "cats"), ("r", "box")], "request_id string, term string"), found, "request_id")
+    index = postings.build(documents, asked, found)
+    assert sorted((r["term"], r["chunk_id"]) for r in index.postings.collect()) == [("box", "a"), ("box", "c"), ("cat", "a"), ("cat", "b"), ("cat", "c")]

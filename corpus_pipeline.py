@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts go by the score of no words; rows without doc_id are judged like any; repeated rows all stay or go;
     columns of docs keep their values whatever their names.
     """
-    said = ("held_out_", "score_", "predicted_")
-    return quality.classify(docs, table(spark, sf_dir, "labels"), names=said).where("predicted_ = 1").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: next(n for k in itertools.count(1) if (n := name + "_" * k) not in taken)
+    said = (free("held_out"), free("score"), free("predicted"))
+    return quality.classify(docs, table(spark, sf_dir, "labels"), names=said).where(F.col(said[2]) == 1).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
 #: A query with more links in a shard is scanned, so that only its count is sent; and a row with up to so many links to a
 #: block's scanned queries is told of each.
 THIN = 64
+#: The least chance with which random planes find a link at the threshold, how many tables of them there may be for that, and
+#: how many rows they may compare a query with on average.
+HASHED, TABLES, HASHED_ROWS = 0.85, 32, 2_048
 #: What a row of an answer is: a link of the block's spanning forest, a link, or a scanned query's exact count.
 FOREST, LINK, COUNT = 0, 1, 2
 
@@ -189,6 +192,58 @@ def _heard(exact: np.ndarray, names: np.ndarray, qx: np.ndarray, qn: np.ndarray,
     return heard >= recall * due
 
 
+def _hashed(exact: np.ndarray, names: np.ndarray, qx: np.ndarray, qn: np.ndarray, todo: np.ndarray, cosine: float, seed: int):
+    """(share of queries compared, their links, queries with over THIN links) by random planes; links as query * rows + row.
+
+    A link is found if both ends lie on the same sides of all planes of a table. Planes know nothing of the graph, so that
+    a link is found with a chance of HASHED at least, whether a walk gets to it or not. Where buckets are so full that a
+    query would be compared with over HASHED_ROWS rows on average, a share of the queries, taken at random, is.
+    """
+    rng, rows, dim = np.random.default_rng(seed), len(names), exact.shape[1]
+    agree = min(max(1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi, 0.05), 0.999)
+    most = np.log(1 - (1 - HASHED) ** (1 / TABLES)) / np.log(agree)
+    bits = int(max(1, min(np.log2(max(2, rows / 16)), most, 30)))
+    x, q, found = exact.astype(np.float32), qx[todo].astype(np.float32), []
+    for _ in range(int(np.ceil(np.log(1 - HASHED) / np.log1p(-(agree**bits))))):
+        planes = rng.normal(size=(dim, bits)).astype(np.float32)
+        mine, code = ((v @ planes > 0) @ (1 << np.arange(bits)) for v in (q, x))
+        order = np.argsort(code, kind="stable")
+        low = np.searchsorted(code[order], mine)
+        found.append((order, low, np.searchsorted(code[order], mine, side="right") - low))
+    work = sum(int(width.sum()) for _, _, width in found)
+    share = min(1.0, HASHED_ROWS * len(todo) / max(1, work))
+    live, links = rng.random(len(todo)) < share, np.empty(0, np.int64)
+    over = np.zeros(len(todo), bool)
+    step = max(1024, 8_000_000 // dim)
+    for order, low, width in found:
+        parts, edge = [links], np.cumsum(np.where(live, width, 0))
+        for at in range(0, int(edge[-1]) if len(edge) else 0, step):
+            k = np.arange(at, min(at + step, int(edge[-1])))
+            r = np.searchsorted(edge, k, side="right")
+            c = order[low[r] + k - (edge[r] - width[r])]
+            near = np.einsum("nd,nd->n", x[c], q[r]) >= cosine - 1e-3
+            r, c = r[near], c[near]
+            sure = (np.einsum("nd,nd->n", exact[c], qx[todo[r]]) >= cosine) & (names[c] != qn[todo[r]])
+            over |= np.bincount(r[sure], minlength=len(todo)) > THIN
+            sure &= ~over[r]
+            parts.append(r[sure] * rows + c[sure])
+        links = np.unique(np.concatenate(parts))
+        over |= np.bincount(links // rows, minlength=len(todo)) > THIN
+        links = links[~over[links // rows]]
+        live &= ~over
+    return share, todo[links // rows] * rows + links % rows, todo[over]
+
+
+def _agreed(found: int, missed: np.ndarray, recall: float) -> bool:
+    """Whether recall is kept, by the links that beams found and the ones that only planes found.
+
+    missed: for each of the latter, the share of queries that planes were asked for. It stands for 1 / (HASHED * share)
+    links that beams missed, itself, which is known now, among them.
+    """
+    lost = (1 / (HASHED * missed) - 1).sum()
+    return lost <= (1 - recall) * (found + len(missed) + lost)
+
+
 def _scan(names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, todo: np.ndarray, cosine: float):
     """(links that join something new, weighted link counts, links of thin rows) of the queries `todo` by brute force."""
     label, out_a, out_b, counts = np.arange(len(names)), [], [], np.zeros(len(todo), np.int64)
@@ -221,18 +276,20 @@ def _scan(names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarr
     return np.array(out_a, np.int64), np.array(out_b, np.int64), counts, np.concatenate([none, *thin_a]), np.concatenate([none, *thin_b])
 
 
-def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, cosine: float, recall: float):
+def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndarray, qx: np.ndarray, qn: np.ndarray, cosine: float, recall: float, seed: int = 0):
     """(links, links that join the rest, scanned queries and their weighted link counts) of a block of queries in one shard;
     links as pairs of places of a query and a row.
 
-    Every round is audited on the queries it would answer; what fails, or has a beam full of near ones, takes a wider beam
-    and at last, or with more than THIN links at once, a scan of the shard. Links are all those of the queries answered by beams, and of scanned ones those to thin
+    Every round is audited on the queries it would answer, by brute force over a sample and by the links that random planes
+    find, which see rare ones; what fails, or has a beam full of near ones, takes a wider beam and at last, or with more
+    than THIN links at once, a scan of the shard. Links that planes alone found are kept. Links are all those of the queries answered by beams, and of scanned ones those to thin
     rows; a scanned query's links are counted and otherwise only join what they must.
     """
     q = qx.astype(np.float32)
     step = max(16, min(512, 32_000_000 // max(1, len(names))))
     todo, beam = np.arange(len(q)), FIRST_BEAM
     all_a, all_b, many = [], [], []
+    share, by_planes = np.zeros(len(q)), np.empty(0, np.int64)  # the share with which each query was compared, and what was found
     while len(todo) and beam <= WIDEST_BEAM and 8 * beam < len(names):
         got_a, got_b, again = [], [], []
         for at in range(0, len(todo), step):
@@ -246,11 +303,20 @@ def _answers(graph: Graph, names: np.ndarray, exact: np.ndarray, weight: np.ndar
         a, b, again = np.concatenate(got_a), np.concatenate(got_b), np.concatenate(again)
         many.append(np.flatnonzero(np.bincount(a, minlength=len(q)) > THIN))
         todo, again = np.setdiff1d(todo, many[-1]), np.setdiff1d(again, many[-1])
-        if not _heard(exact, names, qx, qn, np.bincount(a, minlength=len(q)), np.setdiff1d(todo, again), cosine, recall):
-            again = todo  # the audit failed: all queries of the round take a wider beam
-        fine = ~np.isin(a, np.concatenate([again, many[-1]]))
-        all_a.append(a[fine])
-        all_b.append(b[fine])
+        settled = np.setdiff1d(todo, again)
+        good = _heard(exact, names, qx, qn, np.bincount(a, minlength=len(q)), settled, cosine, recall)
+        if good and len(new := settled[share[settled] == 0]):
+            share[new], links, over = _hashed(exact, names, qx, qn, new, cosine, seed)
+            by_planes = np.concatenate([by_planes, links])
+            many.append(over)
+            todo, settled = np.setdiff1d(todo, over), np.setdiff1d(settled, over)
+        own = np.isin(a, settled)
+        alone = np.setdiff1d(by_planes[np.isin(by_planes // len(names), settled)], a[own] * len(names) + b[own])
+        if good and _agreed(int(own.sum()), share[alone // len(names)], recall):
+            all_a += [a[own], alone // len(names)]
+            all_b += [b[own], alone % len(names)]
+        else:
+            again = todo  # an audit failed: all queries of the round take a wider beam
         todo, beam = again, beam * 4
     todo = np.sort(np.concatenate([todo, *many]))
     a, b, counts, thin_a, thin_b = _scan(names, exact, weight, qx, qn, todo, cosine)
@@ -262,9 +328,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
     Equal vectors are one class. Classes are dealt by hash into shards of at most about SHARD_ROWS, each with its own
     graph. Blocks of QUERY_ROWS queries go to every shard. In each, a sample of the queries that a round would answer is
-    audited against all rows of the shard, the queries themselves left out; where recall is under `recall`, or a beam is
-    full of near ones, the search is repeated with a wider beam, up to WIDEST_BEAM, and at last the
-    shard is scanned. Cosines are verified in double precision. A task returns a spanning forest of its links, the links of
+    audited against all rows of the shard, the queries themselves left out, and all of them against the rows on the same
+    sides of random planes, which find a link with a known chance whatever the graph, so that a few lost ones among many
+    queries are seen; where recall is under `recall`, or a beam is full of near ones, the search is repeated with a wider
+    beam, up to WIDEST_BEAM, and at last the shard is scanned. Cosines are verified in double precision. A task returns a spanning forest of its links, the links of
     queries that beams answered and of thin rows, and the counts of scanned ones, so a hot group never expands into all
     pairs. A link that one end has found counts for both: a row's links are its exact count in the shards it scanned, and in
     the others the distinct links that it or the other end found.
@@ -304,7 +371,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
         exact = np.frombuffer(g["exact"], float).reshape(len(names), -1)
         b = b.sort_values("rep")
         qn, qw = b["rep"].to_numpy(), b["weight"].to_numpy()
-        (i, j), (u, v), (scanned, counts) = _answers(Graph.load(g["graph"]), names, exact, weights, unit(np.stack(b["x"].to_numpy())), qn, cosine, recall)
+        (i, j), (u, v), (scanned, counts) = _answers(Graph.load(g["graph"]), names, exact, weights, unit(np.stack(b["x"].to_numpy())), qn, cosine, recall, int(g["shard"]) + shards * int(g["block"]))
         forest = np.array(_roots(np.concatenate([qn[i], qn[u]]), np.concatenate([names[j], names[v]])), np.int64).reshape(-1, 2)
         parts = [(FOREST, forest[:, 0], forest[:, 1], 0, 0), (LINK, qn[i], names[j], qw[i], weights[j]), (COUNT, qn[scanned], np.int64(g["shard"]), 0, 0)]
         out = pd.concat([pd.DataFrame(dict(zip(cols, p))) if len(p[1]) else pd.DataFrame({k: np.empty(0, np.int64) for k in cols}) for p in parts])

@@ -433,7 +433,8 @@ def test_embedding_links_count_for_both_ends(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(2400, 16))
     x[1::2] = x[::2] + 0.12 * rng.normal(size=(1200, 16))
-    monkeypatch.setattr(hnsw, "_heard", lambda *_: True)  # no audit, so beams answer all
+    monkeypatch.setattr(hnsw, "_heard", lambda *_: True)  # no audits, so beams answer all
+    monkeypatch.setattr(hnsw, "_hashed", lambda *_: (1.0, np.empty(0, np.int64), np.empty(0, np.int64)))
     monkeypatch.setattr(hnsw, "LEAST_SHARDS", 2)
     built = hnsw.Graph.build.__func__
 
@@ -464,6 +465,62 @@ def test_embedding_audit_without_own_matches_and_on_few_links():
     assert hnsw._heard(x, names, x, names, none, np.arange(2, 300), 0.9, 0.99)
 
 
+class Partners(hnsw.Graph):
+    """What a walk gets to is the other row of a pair, unless it is among the lost ones."""
+
+    def __init__(self, x, paired, lost):
+        self.x, self.paired, self.lost = x.astype(np.float32), paired, lost
+
+    def search(self, q, beam):
+        ids, sim = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -2.0, np.float32)
+        near = q @ self.x[self.paired].T
+        best = near.argsort(axis=1)[:, -2:]
+        seen = ~np.isin(self.paired[best], self.lost).any(axis=1)
+        ids[seen, :2], sim[seen, :2] = self.paired[best][seen], np.take_along_axis(near, best, axis=1)[seen]
+        return ids, sim
+
+
+@pytest.mark.parametrize("lost, seed", [(0, 0), (15, 1), (15, 2), (15, 3)])
+def test_embedding_audit_sees_rare_lost_links(lost, seed):
+    """50 pairs among 20,000 rows; of some, both ends cannot be walked to, whatever the beam: then the shard is scanned."""
+    rng = np.random.default_rng(seed)
+    x, paired = rng.normal(size=(20_000, 24)), rng.permutation(20_000)[:100]
+    x[paired[1::2]] = x[paired[::2]] + 0.1 * rng.normal(size=(50, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names, weight = np.arange(len(x)) * 3, np.ones(len(x), np.int64)
+    (a, b), (u, v), (scanned, counts) = hnsw._answers(Partners(x, paired, paired[: 2 * lost]), names, x, weight, x, names, 0.9, 0.99, seed)
+    due = sum(int((x[at : at + 500] @ x.T >= 0.9).sum()) - 500 for at in range(0, len(x), 500))
+    assert due >= 100 and len(scanned) == (len(x) if lost else 0)
+    assert counts.sum() + (~np.isin(a, scanned)).sum() == due
+
+
+def test_random_planes_find_links_whatever_the_graph(monkeypatch):
+    """At the threshold itself, with their chance or more; hot queries are handed on; with full buckets a share is compared."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x[:2000] /= np.linalg.norm(x[:2000], axis=1, keepdims=True)
+    aside = x[2000:4000] - (x[2000:4000] * x[:2000]).sum(axis=1, keepdims=True) * x[:2000]
+    x[2000:4000] = 0.9001 * x[:2000] + np.sqrt(1 - 0.9001**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    x[5000:5200] = x[5000] + 0.05 * rng.normal(size=(200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names, every = np.arange(6000), np.arange(6000)
+    share, links, over = hnsw._hashed(x, names, x, names, every, 0.9, 7)
+    found = set(zip((links // 6000).tolist(), (links % 6000).tolist()))
+    assert share == 1 and over.tolist() == list(range(5000, 5200)) and all(x[i] @ x[j] >= 0.9 and i != j for i, j in found)
+    at_edge = sum((i, i + 2000) in found for i in range(2000))
+    assert 0.82 < at_edge / 2000 < 0.95
+    monkeypatch.setattr(hnsw, "HASHED_ROWS", 8)
+    share, links, over = hnsw._hashed(x, names, x, names, every, 0.9, 7)
+    assert 0 < share < 0.5 and 0.5 * share < len(links) / len(found) < 1.5 * share
+    for case in (np.eye(3), np.ones((40, 2)) / np.sqrt(2)):  # few rows, all the same
+        ids = np.arange(len(case))
+        for cosine in (-1.0, 0.0, 0.9, 1.0):
+            share, links, over = hnsw._hashed(case, ids, case, ids, ids, cosine, 0)
+            assert 0 < share <= 1 and len(links) + len(over) <= len(case) ** 2
+        assert len(hnsw._hashed(case, ids, case, ids, ids[:0], 0.9, 0)[1]) == 0
+    assert hnsw._agreed(35, np.ones(0), 0.99) and hnsw._agreed(1000, np.ones(3), 0.99) and not hnsw._agreed(70, np.ones(25), 0.99) and not hnsw._agreed(0, np.ones(1), 0.99)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 400)] + [None, "", "é b c"]

@@ -18,20 +18,21 @@ LOWER[65:91] += 32
 
 
 class _Powers:
-    """The byte table, and powers of an odd base and of its inverse modulo 2**64; made once a worker."""
+    """The byte tables, and powers of an odd base and of its inverse modulo 2**64; made once a worker."""
 
     made = None
 
     @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def get(cls, kind: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if cls.made is None:
             base = 0x2545F4914F6CDD1D
             inverse = pow(base, -1, 1 << 64)
             steps = [np.full(_SLICE + _LONG, b, np.uint64) for b in (base, inverse)]
             for s in steps:
                 s[0] = 1
-            cls.made = np.random.default_rng(17).integers(1, 2**63, 256, np.uint64), *[np.cumprod(s) for s in steps]
-        return cls.made
+            cls.made = [np.random.default_rng(seed).integers(1, 2**63, 256, np.uint64) for seed in (17, 18)], *[np.cumprod(s) for s in steps]
+        tables, up, down = cls.made
+        return tables[kind], up, down
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +79,12 @@ def slices(batches, column: str = "text", most: int = 2 << 20):
     pa.default_memory_pool().release_unused()
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: differences of a running polynomial sum, a slice of the bytes at a time."""
-    table, up, down = _Powers.get()
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: differences of a running polynomial sum, a slice of the bytes at a time.
+
+    kind: 0, or 1 for a second hash that is independent of the first.
+    """
+    table, up, down = _Powers.get(kind)
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
@@ -95,7 +99,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     size = end - start
     out ^= size.astype(np.uint64) * _A
     for i in np.flatnonzero(size > _LONG).tolist():
-        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), kind)
     out ^= out >> np.uint64(31)
     out *= _B
     return out ^ (out >> np.uint64(32))

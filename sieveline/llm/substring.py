@@ -13,10 +13,10 @@ from .hashing import flat, split, windows, word_hashes
 
 WINDOW = 13
 #: The first level's windows are shorter than this many words and at least half of it.
-SHORTEST = 8
+SHORTEST = 7
 #: Bytes of text in a block and in the share of them that one task judges. Both numbers of groups grow with the input.
 BLOCK_BYTES, JUDGED_BYTES, LEAST_GROUPS = 4 << 20, 16 << 20, 128
-_POSTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+_POSTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
 _BITS = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -40,6 +40,16 @@ def chosen(h: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate([starts[:0], *[view[part].argmin(axis=1) + part for part in np.array_split(starts, len(starts) // 65536 + 1)]])
 
 
+def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the distinct pairs of hashes in ascending order, which of them each pair is)."""
+    order = np.lexsort((second, first))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(lead) - 1
+    return order[lead], of
+
+
 class Block:
     """The words of a block's documents, and the full windows that are still candidates."""
 
@@ -65,12 +75,20 @@ class Block:
         # `keys` is ordered by bucket, then by key; `of` says which one each candidate chose.
         new = np.ones(len(self.at), bool)
         new[1:] = self.at[1:] != self.at[:-1]
-        keys, of = np.unique(self.hashes[self.at[new]], return_inverse=True)
+        keys = self.hashes[self.at[new]]
+        if length < self.window:
+            keys, of = np.unique(keys, return_inverse=True)
+            checks = np.empty(0, np.uint64)
+        else:  # a second hash of the words, made anew, as this level decides what is removed
+            again = windows(word_hashes(self.data, self.start, self.end, 1), length)[self.at[new]] if len(keys) else keys
+            places, of = distinct(keys, again)
+            keys, checks = keys[places], again[places]
         bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.keys, self.bucket, self.of = keys[order], bucket[order], place[of][np.cumsum(new) - 1]
+        self.checks = checks[order] if len(checks) else checks
         owner = self.doc[self.row[self.alive]]
         low, high = np.full(len(self.keys), np.iinfo(np.int64).max), np.full(len(self.keys), np.iinfo(np.int64).min)
         np.minimum.at(low, self.of, owner)
@@ -89,14 +107,14 @@ class Block:
             self.alive = self.alive[other[self.of] | (self.owner > self.low[self.of])]
 
     def posts(self, block: int) -> pa.Table:
-        """One row a bucket: its keys (the last level's whole, with the smallest doc_id; earlier ones' low halves)."""
+        """One row a bucket: its keys (the last level's whole, with the second hash and the smallest doc_id; earlier ones' high halves)."""
         last = self.have == self.window
         found, first = np.unique(self.bucket, return_index=True)
         edge = [*first.tolist(), len(self.keys)]
         keys = self.keys if last else (self.keys >> np.uint64(32)).astype(np.uint32)
         parts = [slice(a, b) for a, b in zip(edge, edge[1:])]
-        docs = [self.low[p].tobytes() if last else None for p in parts]
-        return pa.table([pa.array(found, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array(docs, pa.binary())], schema=_POSTS)
+        checks, docs = ([a[p].tobytes() if last else None for p in parts] for a in (self.checks, self.low))
+        return pa.table([pa.array(found, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array(checks, pa.binary()), pa.array(docs, pa.binary())], schema=_POSTS)
 
     def digests(self) -> pa.Table:
         """Counts and digests of the documents without the words that the remaining windows cover."""
@@ -142,13 +160,14 @@ def _judged(level: int, last: bool):
         blocks, kind = table["block"].to_pylist(), np.uint64 if last else np.uint32
         parts = [np.frombuffer(b, kind) for b in table["keys"].to_pylist()]
         keys, edge = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-        _, of, times = np.unique(keys, return_inverse=True, return_counts=True)
         if last:
+            places, of = distinct(keys, np.concatenate([np.frombuffer(b, np.uint64) for b in table["checks"].to_pylist()]))
             low = np.concatenate([np.frombuffer(b, np.int64) for b in table["docs"].to_pylist()])
-            least = np.full(len(times), np.iinfo(np.int64).max)
+            least = np.full(len(places), np.iinfo(np.int64).max)
             np.minimum.at(least, of, low)
             yes = low > least[of]
         else:
+            _, of, times = np.unique(keys, return_inverse=True, return_counts=True)
             yes = times[of] > 1
         out = [(b, np.packbits(yes[i:j]).tobytes()) for b, i, j in zip(blocks, edge, edge[1:]) if yes[i:j].any()]
         bucket = table["bucket"][0].as_py()
@@ -167,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     `window`, where an earlier document decides. When none survive, the levels left have no rows. Blocks post a key once, so
     a hot passage gives no more rows than there are blocks; blocks and buckets grow with the input and hold a bounded
     share of it. Earlier levels send 32 bits of a hash besides the bucket (a false match is extended in vain), the last
-    one 64 bits, by which windows are equal.
+    one two independent hashes of 64 bits each, by which windows are equal.
 
     Null, empty and short texts lose nothing. Rows that share a doc_id are one document each but not earlier than each
     other. Rows without doc_id lose nothing and are not earlier than any. Empty table: empty result. Other columns of docs
@@ -193,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
             block.extend(level)
             return block.posts(key[0].as_py())
 
-        found = dealt(post, "bucket int, block long, keys binary, docs binary")
+        found = dealt(post, "bucket int, block long, keys binary, checks binary, docs binary")
         judged = found.groupBy("bucket").applyInArrow(_judged(level, level == len(levels) - 1), "block long, level int, bucket int, bits binary")
         bits = judged if bits is None else bits.unionByName(judged)
     return dealt(lambda key, table, said: _at(table, said, len(levels), window, buckets).digests(), "doc_id long, n_words long, n_removed long, kept_sha256 string")

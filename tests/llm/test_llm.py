@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,7 +189,34 @@ def test_substring(spark, window, size):
 
 
 def test_substring_levels():
-    assert substring.lengths(13) == [7, 13] and substring.lengths(50) == [7, 13, 25, 50] and substring.lengths(6) == [6]
+    assert substring.lengths(13) == [4, 7, 13] and substring.lengths(50) == [4, 7, 13, 25, 50] and substring.lengths(6) == [6]
+
+
+def test_substring_tells_windows_of_equal_hashes_apart(monkeypatch):
+    """The first hash of every word is the same; a second one decides, inside a block and between blocks."""
+    plain = substring.word_hashes
+    monkeypatch.setattr(substring, "word_hashes", lambda data, start, end, kind=0: plain(data, start, end, kind) if kind else np.zeros(len(start), np.uint64))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], 80)) for _ in range(30)]
+    rows = [*enumerate(texts), (40, "x " + texts[3][: len(texts[3]) // 2] + " y"), (41, texts[8]), (42, None), (43, "few words")]
+    want = {r[0]: r for r in brute_substring(rows, 13)}
+    for cuts in ([rows], [rows[:20], rows[20:]]):
+        tables = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([None if t is None else t.encode() for _, t in part], pa.binary())}) for part in cuts]
+        bits = {}
+        for level in range(3):
+            posts = []
+            for k, table in enumerate(tables):
+                block = substring._at(table, bits.get(k), level, 13, 4)
+                block.extend(level)
+                posts.append(block.posts(k))
+            posts = pa.concat_tables(posts)
+            for bucket in sorted(set(posts["bucket"].to_pylist())):
+                said = substring._judged(level, level == 2)(posts.filter(pc.equal(posts["bucket"], bucket)))
+                for k in range(len(tables)):
+                    mine = said.filter(pc.equal(said["block"], k))
+                    bits[k] = pa.concat_tables([bits[k], mine]) if k in bits else mine
+        got = [r for k, table in enumerate(tables) for r in substring._at(table, bits.get(k), 3, 13, 4).digests().to_pylist()]
+        assert {r["doc_id"]: tuple(r.values()) for r in got} == want and sum(w[2] for w in want.values()) > 100
 
 
 def test_words_and_their_hashes():

@@ -299,6 +299,34 @@ def candidate_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.keep_names(found)
 
 
+def _case(on: str, values: list[str]) -> str:
+    return f"CASE {on} % {len(values)} " + " ".join(f"WHEN {i} THEN '" + v.replace("'", "''") + "'" for i, v in enumerate(values)) + " END"
+
+
+#: Names made of each part's own that break every rule of the filter, or only nearly do; the same text in Spark and in the SQL.
+_NAMES = f"""CASE p_partkey % 18 WHEN 0 THEN p_name WHEN 1 THEN 'Best ' || p_name || ' tools' WHEN 2 THEN upper({_case("p_size", fixed.GENERIC_PHRASES)})
+    WHEN 3 THEN ' "' || {_case("p_size", fixed.BOILERPLATE_LABELS)} || '".' WHEN 4 THEN p_name || '/' || p_brand WHEN 5 THEN p_name || '  VS ' || p_type WHEN 6 THEN {_case("p_size", fixed.WEAK_SINGLES)}
+    WHEN 7 THEN ' ' || substring(p_name, 1, 1) || ' ' WHEN 8 THEN repeat(p_name || ' ', 12) WHEN 9 THEN 'Clinical ' || {_case("p_size", fixed.GENERIC_DESCRIPTORS)} || ' startups'
+    WHEN 10 THEN p_brand || ' “' || p_name || '”!' WHEN 11 THEN NULL WHEN 12 THEN 'Best ' || p_name WHEN 13 THEN {_case("p_size", fixed.WEAK_SINGLES)} || ' ' || p_name
+    WHEN 14 THEN p_name || ' ' || {_case("p_size", fixed.GENERIC_HEADS)} WHEN 15 THEN '?!' WHEN 16 THEN {_case("p_size", fixed.GENERIC_LEADS)} || ' ' || {_case("p_partkey", fixed.GENERIC_HEADS)} ELSE p_type || '’s vs. ' || p_brand END"""
+
+
+def names_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the name filter leaves of a name made for each part; a quarter of them has no mentions."""
+    names = read(spark, sf_dir, "part").select("p_partkey", F.expr(_NAMES).alias("name"), (F.col("p_size") % 4).alias("mentions"))
+    return evidence.keep_names(names)
+
+
+_NAMES_KEPT_SQL = rf"""
+WITH n AS (SELECT p_partkey, {_NAMES} AS name, p_size % 4 mentions FROM part),
+k AS (SELECT *, trim(regexp_replace(lower(translate(name, '’‘`', '')), '\s+', ' ', 'g'), ' "''“”‘’.,;:!?()[]{{}}<>') lab FROM n),
+t AS (SELECT *, string_split(lab, ' ') tok FROM k),
+r AS (SELECT *, list_contains({_sql_list(fixed.GENERIC_HEADS)}, tok[-1]) head, list_contains({_sql_list(fixed.GENERIC_LEADS)}, tok[1]) AS led, list_has_all({_sql_list(fixed.GENERIC_DESCRIPTORS)}, tok) AS plain FROM t)
+SELECT p_partkey, name, mentions FROM r WHERE length(trim(name)) BETWEEN 2 AND 80 AND mentions > 0 AND NOT (head AND (led OR plain)) AND NOT list_contains({_sql_list(fixed.GENERIC_PHRASES + fixed.BOILERPLATE_LABELS)}, lab)
+    AND lab NOT LIKE '%/%' AND lab NOT LIKE '% vs %' AND NOT list_contains({_sql_list(fixed.WEAK_SINGLES)}, lab)
+"""
+
+
 def candidate_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = evidence.mentions(_candidates(spark), _texts(spark, sf_dir)).select("request_id", "name", F.col("source_id").alias("url"))
     return evidence.drop_subsets(urls.select("request_id", "name").distinct(), urls)
@@ -616,7 +644,7 @@ _REGISTERED = {
     chunk_rank_topk: _CHUNK_RANK_SQL, bm25_scores: _BM25_SQL, text_tokens: _TOKENS_SQL, text_urls: _URLS_SQL, passage_cleanup: _CLEANUP_SQL,
     results_pruned: _PRUNED_SQL + "SELECT request_id, ord, url, domain, query FROM k", results_merged: _MERGED_SQL + "SELECT request_id, url, domain, rank, first_seen, queries, shortlist_score FROM sc",
     shortlist_domain_cap: _SHORTLIST_SQL, shortlist_bucket_floor: _FLOOR_SQL, shortlist_quota: _QUOTA_SQL, shortlist_buckets: _BUCKETS_SQL, sources_assessed: _ASSESSED_SQL,
-    word_stems: _stems_sql(), sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, paragraph_windows: _PWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
+    word_stems: _stems_sql(), sentence_table: _SENTENCES_SQL, candidate_mentions: _MENTIONS_SQL, names_kept: _NAMES_KEPT_SQL, candidate_subsets: _SUBSETS_SQL, sentence_matches: _MATCHES_SQL, evidence_windows: _EVWINDOWS_SQL, paragraph_windows: _PWINDOWS_SQL, evidence_entity_scores: _ESCORE_SQL,
     entity_support: _SUPPORT_SQL, entity_variants: _VARIANTS_SQL, entity_ranking: _RANKING_SQL, entity_alignment: _ALIGNMENT_SQL, entity_supporting_variants: _SUPPORTING_SQL, entity_mmr: _MMR_SQL, near_copies: _COPIES_SQL,
     column_fill_rates: _FILL_SQL, gap_fill: _GAP_SQL, final_table: _FINAL_SQL, shown_columns: _SHOWN_SQL,
     run_latest_stage: _LATEST_SQL, run_stage_windows: _WINDOWS_SQL, eval_rows_new: _EVAL_SQL, conversation_plan: _PLAN_SQL, chunks_hierarchical: None,

@@ -109,7 +109,7 @@ def social_post(url: Column) -> Column:
 def clean_passage(text: Column) -> Column:
     """Drop lines of boilerplate, table scaffolding, images and JSON; at most one blank line stands between others."""
     boiler = "(?i)^(?:" + "|".join(fixed.BOILERPLATE_LINES) + ")$"
-    lines = F.transform(F.split(F.regexp_replace(text, r"(?i)\*\[Image(?:[^\]]*)\]\*", ""), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, r"(?i)\*\[Image(?:[^\]]*)\]\*", ""), "\n"), lambda s: F.trim(s))  # F.trim itself would take a line's place as what to trim
     bare = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^[\s|#>*_-]+", ""), r"[\s|#>*_-]+$", ""))
     json = lambda s: s.rlike(r"^[\[{]") & F.try_parse_json(s).isNotNull()
     kept = F.filter(lines, lambda s: ~s.rlike(r"^\|?\s*(?:[-:]+\s*\|\s*)+[-:]*\|?$|^\|$") & ~bare(s).rlike(boiler) & ~json(s))

@@ -41,6 +41,11 @@ def test_passage_cleanup(spark):
     assert value(spark, T.page_title(F.lit(""), F.lit("u"))) == "u"
 
 
+def test_passage_lines_keep_their_digits(spark):
+    raw = "  Call 555-8630\nat 16.155.205.171\n | --- | --- | \n2 or 12  "
+    assert value(spark, T.clean_passage(F.lit(raw))) == "Call 555-8630\nat 16.155.205.171\n2 or 12"
+
+
 def test_chunks():
     assert len(chunker.split("A " * 33 + "\n\n" + "tiny" + "\n\n" + "B " * 10 + "\n\n" + "C " * 45, 70, 25, None)) >= 3
     got = chunker.split("alpha " * 40, 100, None or 20, None)

@@ -8,6 +8,8 @@ however often it is tried. Folders are paths or URIs that Arrow's file systems r
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 import re
 import uuid
@@ -24,6 +26,8 @@ from ..operators.evidence import first_of
 from ..operators.plan import cut
 
 _COMMITS, _FILES = "_commits", "files"
+#: Bytes of a file that are read or written at once.
+_PIECE = 1 << 20
 
 
 class LogMoved(RuntimeError):
@@ -41,10 +45,17 @@ class _Folder:
         system, base = pafs.FileSystem.from_uri(local) if "://" in local else (pafs.LocalFileSystem(), local)
         return system, "/".join([base.rstrip("/"), *names])
 
-    def write(self, data: bytes, *names: str) -> None:
+    def writing(self, *names: str) -> io.BufferedWriter:
         system, path = self._at(*names)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path, compression=None) as out:
+        return io.BufferedWriter(system.open_output_stream(path, compression=None), _PIECE)
+
+    def reading(self, *names: str) -> io.BufferedReader:
+        system, path = self._at(*names)
+        return io.BufferedReader(system.open_input_stream(path, compression=None), _PIECE)
+
+    def write(self, data: bytes, *names: str) -> None:
+        with self.writing(*names) as out:
             out.write(data)
 
     def read(self, *names: str) -> bytes:
@@ -96,18 +107,25 @@ class _File(InputPartition):
 
 
 def _write(folder: _Folder, rows: Iterator, columns: list[str]) -> _Written:
-    lines = [json.dumps({c: row[c] for c in columns}, default=str, ensure_ascii=False) for row in rows]
-    if not lines:
+    """Lines go to the file as they come, so a task holds one row, however many it writes."""
+    first = next(rows, None)
+    if first is None:
         return _Written(None)
     name = f"{uuid.uuid4().hex}.jsonl"
-    folder.write(("\n".join(lines) + "\n").encode(), _FILES, name)
+    with folder.writing(_FILES, name) as out:
+        for row in itertools.chain([first], rows):
+            out.write((json.dumps({c: row[c] for c in columns}, default=str, ensure_ascii=False) + "\n").encode())
     return _Written(name)
 
 
 def _read(folder: _Folder, file: str | None, columns: list[str]) -> Iterator[tuple]:
-    for line in folder.read(_FILES, file).decode().split("\n")[:-1] if file else []:
-        row = json.loads(line)
-        yield tuple(row.get(c) for c in columns)
+    """A file's rows, read a piece at a time."""
+    if not file:
+        return
+    with folder.reading(_FILES, file) as src:
+        for line in src:
+            row = json.loads(line)
+            yield tuple(row.get(c) for c in columns)
 
 
 class _Writer(DataSourceWriter, DataSourceStreamWriter):

@@ -2,6 +2,7 @@
 
 import json
 import os
+import tracemalloc
 
 import pytest
 
@@ -115,3 +116,15 @@ def test_a_table_of_requests_is_asked(spark):
     assert [r["place"] for r in got] == list(range(50))
     assert all((r["payload"], r["error"], r["attempts"]) == (None, "TimeoutError: slow", 3) if r["place"] % 10 == 3 else f"/q{r['place']}" in r["payload"] and r["attempts"] == 1 and r["error"] is None for r in got)
     assert service.ask_all(asked.limit(0), "tests.replayed_answers:answer", ["place", "q"], title="T").count() == 0
+
+
+def test_row_log_holds_a_row_at_a_time(tmp_path):
+    folder, columns, rows = rowlog._Folder(str(tmp_path / "log")), ["key", "n"], 50_000
+    tracemalloc.start()
+    try:
+        written = rowlog._write(folder, ({"key": "é " * 20, "n": i} for i in range(rows)), columns)
+        assert sum(n for _, n in rowlog._read(folder, written.file, columns)) == rows * (rows - 1) // 2
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000  # the file has 15 MB
+    finally:
+        tracemalloc.stop()
+    assert rowlog._write(folder, iter(()), columns).file is None and list(rowlog._read(folder, None, columns)) == []

@@ -67,6 +67,12 @@ def supporting_variants(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
     return _uses(evidence, preferred).groupBy("request_id", "entity").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["variant"]).alias("supporting"))
 
 
+def used_variants(evidence: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(request_id, entity, dominant, supporting) as diversify() takes them: both of the above from one count of the uses."""
+    key = F.struct(-F.col("uses"), "place", F.lower("variant"))
+    return _uses(evidence, preferred).groupBy("request_id", "entity").agg(F.min_by("variant", key).alias("dominant"), F.collect_set("variant").alias("supporting"))
+
+
 def alignment(texts: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     """(request_id, entity, bm25, span, anchor, alignment): how well each entity's evidence answers the request.
 
@@ -74,9 +80,12 @@ def alignment(texts: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     is one text, of the request's corpus of entities; within a request it is no more than the windows of its selected
     passages. Anchors are the tokens that all variants share, or the first variant's where they share none.
     """
-    tokens = texts.select("request_id", "entity", "seq", (F.col("tokens") if "tokens" in texts.columns else retrieval_tokens(F.col("text"), stem)).alias("t"))
-    docs = tokens.groupBy("request_id", F.col("entity").alias("chunk_id")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"])).alias("tokens"))
-    docs = cut(docs.withColumn("length", F.size("tokens")))
+    given = "tokens" in texts.columns
+    what = F.col("tokens" if given else "text")
+    whole = texts.select("request_id", "entity", F.struct("seq", what.alias("t")).alias("one_")).groupBy("request_id", F.col("entity").alias("chunk_id"))
+    parts = F.transform(F.sort_array(F.collect_list("one_")), lambda x: x["t"])
+    # No token crosses a line's end, so an entity's texts are moved as one and cut into tokens where the query is known.
+    whole = whole.agg((F.flatten(parts) if given else F.array_join(parts, "\n")).alias("whole_"))
     clean = lambda q: retrieval_tokens(q, stem)
     asked = plans.select("request_id", clean(F.col("normalized_query")).alias("query"), F.filter(F.concat(F.array("normalized_query", "base_query"), "rewrites"), lambda q: F.trim(q) != "").alias("all_"))
     sets = F.transform("all_", lambda q: F.array_distinct(clean(q)))
@@ -84,9 +93,14 @@ def alignment(texts: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     asked = asked.withColumn("sets", sets).withColumn("shared", shared)
     asked = asked.select("request_id", "query", F.coalesce(F.when(F.size("shared") > 0, F.col("shared")), F.try_element_at("sets", F.lit(1)), F.array().cast("array<string>")).alias("anchors"))
     asked = cut(asked)
+    docs = whole.join(small(asked), "request_id", "left").select("request_id", "chunk_id", "query", "anchors", (F.col("whole_") if given else retrieval_tokens(F.col("whole_"), stem)).alias("all_"))
+    # Of an entity's tokens only those of the query are written: scores need no others, but how many there were.
+    held = F.filter("all_", lambda t: F.array_contains("query", t))
+    docs = docs.select("request_id", "chunk_id", F.size("all_").alias("length"), F.coalesce(held, F.array().cast("array<string>")).alias("tokens"), span_share(F.col("query"), F.col("all_")).alias("span"), share(F.col("all_"), F.col("anchors")).alias("anchor"), F.col("query").isNotNull().alias("asked_"))
+    docs = cut(docs)
     scores = bm25(build(docs, terms_of(asked, "query")), asked.select("request_id", F.lit("q").alias("label"), F.col("query").alias("tokens")))
-    df = docs.withColumnRenamed("chunk_id", "entity").join(small(asked), "request_id").join(scores.select("request_id", F.col("chunk_id").alias("entity"), F.col("score").alias("bm25")), ["request_id", "entity"], "left")
-    df = df.select("request_id", "entity", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), span_share(F.col("query"), F.col("tokens")).alias("span"), share(F.col("tokens"), F.col("anchors")).alias("anchor"))
+    df = docs.where("asked_").join(scores.select("request_id", "chunk_id", F.col("score").alias("bm25")), ["request_id", "chunk_id"], "left")
+    df = df.select("request_id", F.col("chunk_id").alias("entity"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "span", "anchor")
     total = sum((w * F.col(c) for w, c in zip(fixed.ALIGNMENT_WEIGHTS, ("bm25", "span", "anchor"))), F.lit(0.0))
     return df.select("request_id", "entity", *[F.round(c, 6).alias(c) for c in ("bm25", "span", "anchor")], F.round(total, 6).alias("alignment"))
 

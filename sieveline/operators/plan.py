@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import EMPTY_QUERY, NO_TOPIC
@@ -13,18 +14,31 @@ from ..functions.text import collapse
 FALLBACK_COLUMNS = ["name", "website", "location", "category"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a relation that several branches read to the folder in spark.checkpoint.dir, and cut its lineage there. Only a
-    session on one machine gets a folder of our own."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a session on one machine gets a folder of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sieveline-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a relation that several branches read to checkpoint_dir(), and cut its lineage there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as cut() for wide rows of columns that repeat themselves: written as Parquet, so that each branch reads its own
+    columns only."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(written: DataFrame, most: int = 20_000) -> DataFrame:
     """A written relation, marked to be sent to every task if it has no more than so many rows; else as it is."""
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written

@@ -438,8 +438,11 @@ def entity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dominant(rows: DataFrame) -> DataFrame:
-    preferred = rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(PREFERRED)], "variant string, place int")
-    return entities.dominant_variant(rows, preferred)
+    return entities.dominant_variant(rows, _preferred(rows.sparkSession))
+
+
+def _preferred(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(v, i) for i, v in enumerate(PREFERRED)], "variant string, place int")
 
 
 _VARIANTS_SQL = _EVIDENCE_SQL + """,
@@ -460,7 +463,7 @@ def _alignment(rows: DataFrame) -> DataFrame:
 
 
 def entity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alignment(plan.cut(_evidence(spark, sf_dir))).select("request_id", "entity", "span", "anchor", "alignment")
+    return _alignment(plan.stored(_evidence(spark, sf_dir).select("request_id", "entity", "seq", "text"))).select("request_id", "entity", "span", "anchor", "alignment")
 
 
 _ALIGNMENT = _SUPPORT + rf""",
@@ -483,7 +486,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def entity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(plan.cut(_evidence(spark, sf_dir))).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
+    return _ranked(plan.stored(_evidence(spark, sf_dir))).select("request_id", "entity", "support_score", "alignment", "final_score", "candidate_type", "kept", "position")
 
 
 _RANKING_SQL = _ALIGNMENT + """,
@@ -504,11 +507,9 @@ _SUPPORTING_SQL = _EVIDENCE_SQL + "SELECT request_id, entity, string_agg(variant
 
 def entity_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kept entities of each request, made diverse."""
-    rows = plan.cut(_evidence(spark, sf_dir))
+    rows = plan.stored(_evidence(spark, sf_dir))
     top = _ranked(rows).where("kept").select("request_id", "entity", "position", "final_score")
-    used = rows.groupBy("request_id", "entity").agg(F.collect_set("variant").alias("supporting"))
-    main = _dominant(rows).select("request_id", "entity", F.col("variant").alias("dominant"))
-    return entities.diversify(top.join(used, ["request_id", "entity"]).join(main, ["request_id", "entity"]))
+    return entities.diversify(top.join(entities.used_variants(rows, _preferred(spark)), ["request_id", "entity"]))
 
 
 #: One entity of every request a step; `nearest` is the largest likeness to any taken one.

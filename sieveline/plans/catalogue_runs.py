@@ -645,7 +645,7 @@ SELECT k p_partkey, array_to_string(list_transform(string_split(replace("key", '
 """
 
 def entity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.entity_log(base._ranked(plan.cut(base._evidence(spark, sf_dir)))).select("request_id", F.col("n").cast("int").alias("n"), "name", "kept", "candidate_type", "final_score", "support_score", "alignment")
+    return report.entity_log(base._ranked(plan.stored(base._evidence(spark, sf_dir)))).select("request_id", F.col("n").cast("int").alias("n"), "name", "kept", "candidate_type", "final_score", "support_score", "alignment")
 
 
 _ELOG_SQL = base._RANKING_SQL.replace("SELECT request_id, entity, support_score, alignment, final_score,", "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY final_score >= 0.3 OR top < 0.3 DESC, final_score DESC, support_score DESC, alignment DESC, entity)::INT n, entity AS name, CASE WHEN final_score >= 0.3 OR top < 0.3 THEN 'yes' ELSE 'no' END kept, round(final_score::DECIMAL(12, 7), 4)::DOUBLE final_score, round(support_score::DECIMAL(12, 7), 4)::DOUBLE support_score, round(alignment::DECIMAL(12, 7), 4)::DOUBLE alignment,")

@@ -171,3 +171,20 @@ def test_stems_are_words_of_the_corpus(spark):
     asked = stems.stemmed(spark.createDataFrame([("r", "cats"), ("r", "box")], "request_id string, term string"), found, "request_id")
     index = postings.build(documents, asked, found)
     assert sorted((r["term"], r["chunk_id"]) for r in index.postings.collect()) == [("box", "a"), ("box", "c"), ("cat", "a"), ("cat", "b"), ("cat", "c")]
+
+
+def test_alignment_writes_only_the_tokens_of_the_query(spark, monkeypatch):
+    written, cut = [], entities.cut
+    monkeypatch.setattr(entities, "cut", lambda df: written.append(cut(df)) or written[-1])
+    texts = spark.createDataFrame([("r", "a", 1, "red green"), ("r", "a", 0, "Blue x.\ny RED"), ("r", "b", 0, "green"), ("other", "c", 0, "red")], "request_id string, entity string, seq long, text string")
+    plans = spark.createDataFrame([("r", "red green", "red green", ["red"])], "request_id string, normalized_query string, base_query string, rewrites array<string>")
+    got = {r["entity"]: (round(r["span"], 2), round(r["anchor"], 2)) for r in entities.alignment(texts, plans).collect()}
+    assert got == {"a": (1.0, 1.0), "b": (0.5, 0.0)}
+    docs = {r["chunk_id"]: (r["length"], r["tokens"]) for df in written if "tokens" in df.columns for r in df.collect()}
+    assert docs == {"a": (6, ["red", "red", "green"]), "b": (1, ["green"]), "c": (1, [])}
+
+
+def test_used_variants_in_one_count(spark):
+    rows = spark.createDataFrame([("r", "a", v) for v in ("y", "x", "x", "y", "z", " ", None)], "request_id string, entity string, variant string")
+    got = entities.used_variants(rows, spark.createDataFrame([("y", 0)], "variant string, place int")).collect()
+    assert [(r["dominant"], sorted(r["supporting"])) for r in got] == [("y", ["x", "y", "z"])]

@@ -1,5 +1,7 @@
 """Hand-checked expectations for the operators outside llm."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +249,22 @@ def test_names_that_differ_in_case_are_one(spark):
     names = spark.createDataFrame([("a", n) for n in got], "request_id string, name string")
     seen = {(r["name"], r["source_id"]): r["mentions"] for r in evidence.mentions(names, texts).collect()}
     assert seen == {("Acme Labs", "1"): 2, ("Acme Labs", "2"): 1, ("Bolt's Works", "1"): 1}
+
+
+def test_near_copies_across_frames_without_groups_of_pandas(spark):
+    rng, rows = random.Random(3), []
+    for source, n in ((None, 3), ("a", 1), ("b", 1), ("c", 12), ("d", 4), ("e", 1)):
+        for entity in ("x", None):
+            rows += [("r", entity, source, i, rng.sample("uvwxyz", rng.randint(0, 3))) for i in range(n)]
+    rng.shuffle(rows)
+    want = set()
+    for key in {r[:3] for r in rows}:
+        own = sorted((r for r in rows if r[:3] == key), key=lambda r: r[3])
+        want |= {r[:4] for r, new in zip(own, entities.first_of_copies([set(r[4]) for r in own], 0.85)) if new}
+    chunks = spark.createDataFrame(rows, "request_id string, entity string, source_url string, seq int, tokens array<string>")
+    for frame in (1, 2, 5, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frame)
+        got = entities.drop_near_copies(chunks)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()

@@ -13,7 +13,7 @@ from .common import cut
 from .components import connected_components
 
 COSINE, RECALL = 0.9, 0.99
-SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 65_536, 8, 32_768
+SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 16_384, 8, 32_768
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, AUDITED = 12, 48, 32, 512, 48
 #: A query with more links in a shard is scanned, so that only its count is sent; and a row with up to so many links to a
 #: block's scanned queries is told of each.
@@ -146,14 +146,15 @@ class Graph:
         return beam_search(self.x, self.layers[-1], q, above._descend(q, len(self.x)), min(beam, len(self.x)))
 
     def dump(self) -> bytes:
+        """The layers alone: the vectors go beside them, in double precision."""
         out = io.BytesIO()
-        np.savez(out, x=self.x, **{f"l{i}": t.astype(np.int32) for i, t in enumerate(self.layers)})
+        np.savez(out, **{f"l{i}": t.astype(np.int32) for i, t in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, exact: np.ndarray) -> Graph:
         z = np.load(io.BytesIO(data))
-        return cls(z["x"], [z[f"l{i}"].astype(np.int64) for i in range(len(z.files) - 1)])
+        return cls(exact.astype(np.float32), [z[f"l{i}"].astype(np.int64) for i in range(len(z.files))])
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -371,7 +372,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
         exact = np.frombuffer(g["exact"], float).reshape(len(names), -1)
         b = b.sort_values("rep")
         qn, qw = b["rep"].to_numpy(), b["weight"].to_numpy()
-        (i, j), (u, v), (scanned, counts) = _answers(Graph.load(g["graph"]), names, exact, weights, unit(np.stack(b["x"].to_numpy())), qn, cosine, recall, int(g["shard"]) + shards * int(g["block"]))
+        (i, j), (u, v), (scanned, counts) = _answers(Graph.load(g["graph"], exact), names, exact, weights, unit(np.stack(b["x"].to_numpy())), qn, cosine, recall, int(g["shard"]) + shards * int(g["block"]))
         forest = np.array(_roots(np.concatenate([qn[i], qn[u]]), np.concatenate([names[j], names[v]])), np.int64).reshape(-1, 2)
         parts = [(FOREST, forest[:, 0], forest[:, 1], 0, 0), (LINK, qn[i], names[j], qw[i], weights[j]), (COUNT, qn[scanned], np.int64(g["shard"]), 0, 0)]
         out = pd.concat([pd.DataFrame(dict(zip(cols, p))) if len(p[1]) else pd.DataFrame({k: np.empty(0, np.int64) for k in cols}) for p in parts])

@@ -782,3 +782,15 @@ def test_pipeline_keeps_documents_without_or_with_shared_ids(spark):
     mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, out, "").collect()]
     assert set(mixed) <= set(got) and max(mixed.count(r) for r in got) <= 3 and {(8, None), (None, None)} <= set(mixed)
     assert any(i is None and t for i, t in mixed) and abs(sum(len(t.split()) for _, t in mixed if t) - sum(len(t.split()) for _, t in got if t)) <= 41
+
+
+def test_graphs_are_sent_without_a_second_copy_of_their_vectors():
+    x = np.random.default_rng(2).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph.build(x.astype(np.float32))
+    data = graph.dump()
+    assert len(data) < 4 * sum(t.size for t in graph.layers) + 4_000
+    again = hnsw.Graph.load(data, x)
+    assert (again.x == graph.x).all() and all((a == b).all() for a, b in zip(again.layers, graph.layers))
+    # A row with a full shard's graph and vectors is moved as one.
+    assert hnsw.SHARD_ROWS * (64 * 8 + 2 * hnsw.NEIGHBOURS * 4 * 1.2) < 2**24

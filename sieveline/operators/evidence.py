@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import comparison_key, match_text, mentions_of, sentences, token_list, words_in
+from .plan import tasks_for
 
 
 def mentions(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -55,9 +56,17 @@ def drop_subsets(names: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def stop_entities(mentions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Names with two mentions or a source that is not low. mentions(request_id, name, source_id, mentions), sources(request_id, source_id, non_low)."""
-    df = mentions.join(sources, ["request_id", "source_id"], "left").groupBy("request_id", "name").agg(F.sum("mentions").alias("mentions"), F.bool_or(F.coalesce("non_low", F.lit(False))).alias("non_low"))
-    return df.where("mentions >= 2 or non_low")
+    """Names with two mentions or a source that is not low. mentions(request_id, name, source_id, mentions), of any number of rows
+    for a name and source, sources(request_id, source_id, non_low).
+
+    Most names have a row or two, so combining them where they are read holds about all of them: rows are dealt by name to
+    as many tasks as they need. A name of very many rows goes in eight shares first, by the partition that they are read from.
+    """
+    tasks, key = tasks_for(mentions), ["request_id", "name"]
+    total = (F.sum("mentions").alias("mentions"), F.bool_or("non_low").alias("non_low"))
+    df = mentions.join(sources, ["request_id", "source_id"], "left").select(*key, "mentions", F.coalesce("non_low", F.lit(False)).alias("non_low"), (F.spark_partition_id() % 8).alias("share_"))
+    df = df.repartition(tasks, *key, "share_").groupBy(*key, "share_").agg(*total)
+    return df.repartition(tasks, *key).groupBy(*key).agg(*total).where("mentions >= 2 or non_low")
 
 
 def sentence_rows(texts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..functions.fixed import EMPTY_QUERY, NO_TOPIC
 from ..functions.text import collapse
 
 FALLBACK_COLUMNS = ["name", "website", "location", "category"]
+#: How many rows of an aggregation that hardly shrinks them a task holds.
+ROWS_A_TASK = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -44,6 +47,11 @@ def small(written: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """How many partitions to deal rows to, counted, so that a task's share does not grow with them."""
+    return max(ceil(rows.count() / ROWS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def per_request(*order) -> Window:
     return Window.partitionBy("request_id").orderBy(*order)
 

@@ -268,3 +268,16 @@ def test_near_copies_across_frames_without_groups_of_pandas(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_stop_entities_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(plan, "ROWS_A_TASK", 100, raising=False)
+    n = F.col("id")
+    seen = spark.range(2000).select(F.concat(F.lit("r"), n % 2).alias("request_id"), F.when(n < 1000, F.concat(F.lit("n"), n)).otherwise("often").alias("name"), (n % 4).alias("source_id"), F.lit(1).cast("long").alias("mentions"))
+    sources = spark.createDataFrame([("r0", 0, True), ("r1", 1, False), ("r0", 2, None), ("q", 3, True)], "request_id string, source_id long, non_low boolean")
+    got = evidence.stop_entities(seen, sources)
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {("r0", "often", 500, True), ("r1", "often", 500, False)} | {("r0", f"n{i}", 1, True) for i in range(0, 1000, 4)}
+    # 2,000 rows for 20 tasks, whatever partitions are set or run together.
+    assert got.rdd.getNumPartitions() == 20
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 60

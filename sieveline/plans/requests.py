@@ -34,7 +34,7 @@ def _one_for_each(rows: DataFrame, order: list, most: int) -> DataFrame:
 
 def _shortlisted(found: DataFrame, tokens: DataFrame, totals: DataFrame, cap: int) -> DataFrame:
     """Raw results -> pruned, merged, scored, bucketed, cut by the buckets' floors and dealt to the shortlist."""
-    merged = results.merge_by_url(results.prune(found, tokens)).withColumn("bucket", results.bucket_of(F.col("title"), F.col("url")))
+    merged = plan.cut(results.merge_by_url(results.prune(found, tokens)).withColumn("bucket", results.bucket_of(F.col("title"), F.col("url"))))
     # The floors go by the queries that found anything, the shortlist by those sent.
     strong = results.bucket_floor(results.shortlist_score(merged.join(results.queries_seen(merged), "request_id"), "total")).select("request_id", "url")
     rows = results.shortlist_score(merged.join(totals, "request_id"), "total")
@@ -61,15 +61,15 @@ def run(requests: DataFrame, pages: DataFrame, settings: Settings = Settings(),
     here. Pages' texts, their words' postings, passages and what comes of them are written to the checkpoint folder once, as
     several branches read them.
     """
-    s, texts = settings, plan.cut(stored.page_texts(pages))
-    words = plan.cut(stored.page_words(texts))
+    s, texts = settings, plan.stored(stored.page_texts(pages))
+    words = plan.stored(stored.page_words(texts))
     plans = plan.normalised(requests)
     fine = plans.where("not error").select("*")
     queries = plan.executed_queries(plans, s.queries)
     totals = queries.groupBy("request_id").agg(F.count("*").alias("total"))
     tokens = search.query_tokens(fine)
     shortlist = lambda found: _shortlisted(found, tokens, totals, s.shortlist)
-    source = lambda asked: stored.results(texts, asked, words=words)
+    source = lambda asked: plan.cut(stored.results(texts, asked, words=words))
     found = plan.cut(search.search(queries, source, shortlist, budget=s.queries))
     chosen = plan.cut(shortlist(found))
     sources, chunks = stored.read_sources(search.within_budget(chosen, s.reads), texts)
@@ -119,7 +119,7 @@ def rank_entities(rows: DataFrame, plans: DataFrame, stem=None) -> DataFrame:
     Near copies of a source's passages are left out before anything is counted."""
     marked = plan.cut(rows.withColumn("tokens", retrieval_tokens(F.col("text"), stem)))
     fresh = entities.drop_near_copies(marked.select("request_id", "entity", "source_url", "seq", "tokens"))
-    rows = marked.join(fresh, ["request_id", "entity", "source_url", "seq"], "left_semi")
+    rows = plan.cut(marked.join(fresh, ["request_id", "entity", "source_url", "seq"], "left_semi"))
     worth = F.when(F.col("officiality") == "low_quality", 0.0).when(F.col("source_quality") == "high", 1.0).when(F.col("source_quality") == "medium", 0.5).otherwise(0.0)
     totals, preferred = entities.variant_totals(plans), entities.preferred_variants(plans)
     each = entities.features(rows.select("request_id", "entity", "source_url", worth.alias("quality"), "query_sources", F.col("selected_chunk_rank").alias("chunk_rank")))

@@ -23,19 +23,23 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def results(pages: DataFrame, queries: DataFrame, snippet_chars: int = 300, words: DataFrame | None = None) -> DataFrame:
-    """Search results of queries(request_id, place, query, count): pages by the number of the query's words they hold, then by
-    page_id, `count` of them; the snippet is what stands from the first such word on.
+    """Search results of queries(request_id, place, query, count), one a request and place: pages by the number of the query's
+    words they hold, then by page_id, `count` of them; the snippet is what stands from the first such word on.
 
     pages as page_texts() gives them, words as page_words() does, where that is written already. Only postings of some query's
-    words cross a shuffle; texts are joined by page_id to the few that are found.
+    words are counted, by numbers alone: a query's first word is known by its place in the query's sorted words. The ranks
+    have the largest count as their limit, which Spark pushes below the shuffle, and no page's text crosses one unless
+    very many are found.
     """
-    asked = queries.select("request_id", "place", "query", "count", F.explode(plain_tokens(F.col("query"))).alias("word"))
-    asked = cut(asked)
-    posts = (page_words(pages) if words is None else words).join(small(cut(asked.select("word").distinct())), "word", "left_semi")
-    hits = posts.join(asked, "word").groupBy("request_id", "place", "query", "count", "page_id").agg(F.count("*").alias("words"), F.min("word").alias("word"))
+    asked = cut(queries.select("request_id", "place", "query", "count", F.array_sort(plain_tokens(F.col("query"))).alias("terms")))
+    most = asked.agg(F.max("count")).first()[0] or 0
+    each = cut(asked.select("request_id", "place", F.posexplode("terms").alias("at", "word")))
+    posts = (page_words(pages) if words is None else words).join(small(cut(each.select("word").distinct())), "word", "left_semi")
+    hits = posts.join(small(each), "word").groupBy("request_id", "place", "page_id").agg(F.count("*").alias("words"), F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("request_id", "place").orderBy(F.desc("words"), "page_id"))
-    top = hits.withColumn("rank", rank).where(F.col("rank") <= F.col("count"))
-    df = top.join(pages, "page_id")
+    top = hits.withColumn("rank", rank).where(F.col("rank") <= most).join(small(asked), ["request_id", "place"]).where(F.col("rank") <= F.col("count"))
+    top = top.select("request_id", "place", "query", "page_id", "rank", F.element_at("terms", F.col("at") + 1).alias("word"))
+    df = pages.join(small(cut(top)), "page_id")
     at = F.greatest(F.instr(F.lower("text"), F.col("word")), F.lit(1))
     ord_ = F.col("place") * 1_000_000 + F.col("rank")
     return df.select("request_id", ord_.cast("long").alias("ord"), "url", "title", F.substring("text", at, F.lit(snippet_chars)).alias("snippet"), "domain", "rank", "query")
@@ -45,10 +49,12 @@ def read_sources(shortlisted: DataFrame, pages: DataFrame) -> tuple[DataFrame, D
     """(sources, chunks) of shortlisted(request_id, url, position): pages that are not stored could not be read.
 
     A page is read and cut once, however many requests ask for it. Chunk ids are the source's id and the place."""
-    wanted = shortlisted.select("url").distinct()
-    # Of pages that share a url the one with the smallest page_id is read.
-    texts = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.min_by(F.struct("title", "text"), "page_id").alias("p")).select("url", "p.*")
-    sources = shortlisted.select("request_id", "url", "position").join(texts.select("url", "title", F.lit(True).alias("read_")), "url", "left")
+    shortlisted = cut(shortlisted.select("request_id", "url", "position"))
+    wanted = small(cut(shortlisted.select("url").distinct()))
+    # Of pages that share a url the one with the smallest page_id is read: found by numbers, before any text is.
+    first = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    texts = cut(pages.join(small(cut(first)), ["url", "page_id"], "left_semi").select("url", "title", "text").dropDuplicates(["url"]))
+    sources = shortlisted.join(texts.select("url", "title", F.lit(True).alias("read_")), "url", "left")
     sources = sources.select("request_id", F.concat(F.lit("page:"), "url").alias("source_id"), F.col("position").alias("ord"), "url", F.coalesce("title", "url").alias("title"), F.lit("page_reader").alias("origin"), F.coalesce("read_", F.lit(False)).alias("fetch_succeeded"))
-    cut = chunker.chunks(texts.select(F.concat(F.lit("page:"), "url").alias("source_id"), "text"))
-    return sources, sources.select("request_id", "source_id").join(cut, "source_id").select("request_id", "source_id", "chunk_id", "sequence_index", "text")
+    pieces = chunker.chunks(texts.select(F.concat(F.lit("page:"), "url").alias("source_id"), "text"))
+    return sources, sources.select("request_id", "source_id").join(pieces, "source_id").select("request_id", "source_id", "chunk_id", "sequence_index", "text")

@@ -72,6 +72,26 @@ def test_a_search_reads_written_words(spark):
     assert [r["text"] for r in chunks.collect()] == ["early words here"]
 
 
+def test_no_text_of_all_pages_is_shuffled_for_a_search(spark):
+    pages = spark.range(40).selectExpr("id page_id", "concat('https://a', id, '.com/') url", "concat('<p>', if(id % 2 = 0, 'Wind and solar ', 'solar '), id, '</p>') html")
+    texts = plan.stored(stored.page_texts(pages))
+    words = plan.stored(stored.page_words(texts))
+    asked = spark.createDataFrame([("r", 0, "wind solar", 3), ("r", 1, "solar", 2), ("q", 0, "wind 7", 30), ("q", 1, "none", 4)], "request_id string, place int, query string, count int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = stored.results(texts, asked, words=words)
+        got = {(r["request_id"], r["ord"]): (r["url"], r["rank"], r["query"], r["snippet"]) for r in found.collect()}
+        plans = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plans and "Exchange hashpartitioning(page_id" not in plans and "SortMergeJoin" not in plans
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {("r", 1 + i): (f"https://a{2 * i}.com/", 1 + i, "wind solar", f"solar {2 * i}") for i in range(3)}
+    want |= {("r", 1_000_001 + i): (f"https://a{i}.com/", 1 + i, "solar", f"solar {i}") for i in range(2)}
+    # A word of one character is no word to search for; what stands first in the query's sorted words begins the snippet.
+    want |= {("q", 1 + i): (f"https://a{2 * i}.com/", 1 + i, "wind 7", f"Wind and solar {2 * i}") for i in range(20)}
+    assert got == want
+
+
 def grown(paragraphs, lengths, at, name, stops, most):
     first = last = at
     size, left, right = lengths[at], True, True

@@ -77,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.shift = Tokenizer.from_file(path), end, np.uint64(64 - bits)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, np.array([ord(c) for _, c in sorted(_byte_letters().items())], "<u4")
         self.hashes, self.heads = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.sizes, self.ids = np.zeros(1 << bits, np.uint8), np.zeros((1 << bits, KEPT_IDS), "<u4")
 
@@ -98,7 +98,10 @@ class Encoder:
 
     def _learn(self, view: memoryview, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, their numbers) of these pre-tokens."""
-        parts = [str(view[a : a + n], "latin-1").translate(self.letters) for a, n in zip(start.tolist(), size.tolist())]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(view, np.uint8)[np.arange(edges[-1]) + np.repeat(start - edges[:-1], size)]
+        text = self.letters[data].tobytes().decode("utf-32-le")  # a letter a byte
+        parts = [text[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
         lists = [[t.id for t in self.model.tokenize(p)] for p in parts]
         return np.fromiter((i for x in lists for i in x), "<u4"), np.fromiter(map(len, lists), np.int64, len(lists))
 

@@ -189,6 +189,35 @@ def test_range_coder_round_trip():
         rangecoder.encode([np.array([rangecoder.LARGEST], "<u4")])
 
 
+
+def test_carries_run_through_words_that_other_lanes_wrote_between():
+    """Lanes' numbers are summed exactly, however far a carry goes; words are kept in one list and dealt to lanes at the end."""
+    rng = np.random.default_rng(8)
+    lanes, steps = 300, 40
+    coder, total, scale = rangecoder.Writer(lanes), [0] * lanes, [1] * lanes
+    for t in range(steps):
+        # Mostly the topmost unit, so that words of ones wait for a carry.
+        start = np.where(rng.random(lanes) < 0.8, 65535, rng.integers(0, 65536, lanes))
+        unit = coder.range >> np.uint64(16)
+        exact = [int(u) * int(s) for u, s in zip(unit, start)]
+        before = [sum(len(x[x == k]) for x in coder.lanes) for k in range(lanes)]
+        total = [v + (e << 16 * (200 - n)) for v, e, n in zip(total, exact, before)]
+        coder.narrow(slice(0, lanes), unit, start, np.ones(lanes, np.int64))
+    for got, v in zip(coder.done(), total):
+        words = np.frombuffer(got, "<u2").tolist()
+        number = sum(w << 16 * (202 - k) for k, w in enumerate(words))
+        assert v <= number < v + (1 << 16 * (204 - len(words)))
+
+
+def test_the_format_is_the_one_that_older_files_have():
+    rng = np.random.default_rng(9)
+    ids = (rng.zipf(1.3, 300_000) % 50_000).astype("<u4")
+    blocks = [ids[a : a + n] for a, n in zip(range(0, 300_000, 2048), rng.integers(0, 2049, 146).tolist())] + [np.array([rangecoder.LARGEST - 1, 0, 131_071, 131_072], "<u4")]
+    payloads = rangecoder.encode(blocks)
+    assert zlib.crc32(b"".join(payloads)) == 296228740
+    assert all(np.array_equal(a, b) for a, b in zip(rangecoder.decode(payloads, np.array([len(b) for b in blocks])), blocks))
+
+
 def test_predictions_pay():
     rng = np.random.default_rng(2)
     phrase = rng.integers(0, 50_000, 40)

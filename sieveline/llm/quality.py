@@ -150,28 +150,40 @@ class Model:
 def _pool(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = pooled(batch.column("text"), shared.value).astype("<f8")
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            x = pooled(batch.column("text"), shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * SIZE, pa.int32()), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": lists})
 
     return run
 
 
+def in_order(doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) by doc_id, then by x's bytes and y, so that any order of rows gives the same; without objects for the rows."""
+    _, own, count = np.unique(doc, return_inverse=True, return_counts=True)
+    order = np.argsort(own, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(count)])
+    for a, b in zip(edge[:-1][count > 1].tolist(), edge[1:][count > 1].tolist()):
+        order[a:b] = sorted(order[a:b], key=lambda i: (x[i].tobytes(), y[i]))
+    return x[order], y[order].astype(float)
+
+
 def fit(labelled: DataFrame, shared: Broadcast, hidden: int = 32, epochs: int = 60) -> Model:
     """The network from the labelled sample, a tenth of which sets the temperature, over the word vectors in `shared`.
 
     Labelled rows without text are left out; without any left, every score is 0.5.
     """
-    rows = labelled.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "y").mapInArrow(_pool(shared), "doc_id long, y int, x binary").collect()
-    rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows)
-    if not rows:
+    rows = labelled.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "y").mapInArrow(_pool(shared), "doc_id long, y int, x array<double>").toArrow()
+    if not rows.num_rows:
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
-    x, y = np.array([np.frombuffer(r[1], "<f8") for r in rows]), np.array([r[2] for r in rows], float)
+    x, y = in_order(rows["doc_id"].to_numpy(), rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE), rows["y"].to_numpy())
+    del rows
     rng = np.random.default_rng(5)
     order = rng.permutation(len(y))
     aside = order[: len(y) // 10]
     used = order[len(aside) :]
     centre, scale = x[used].mean(axis=0), x[used].std(axis=0) + 1e-6
-    z = (x - centre) / scale
+    z = x - centre
+    z /= scale
     p = {"w1": rng.normal(0, np.sqrt(2 / SIZE), (SIZE, hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, np.sqrt(1 / hidden), hidden), "b2": np.zeros(1)}
     m, v, t = {k: 0 * a for k, a in p.items()}, {k: 0 * a for k, a in p.items()}, 0
     for _ in range(epochs):

@@ -623,6 +623,23 @@ def test_classifiers(spark):
     assert toxicity.classify(df, labels.limit(0)).count() == 602 and quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_quality_sample_reaches_the_driver_without_objects_for_its_rows():
+    """Rows that share a doc_id go by their features' bytes and their label; 20,000 rows of a sample take few copies of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    doc, x, y = rng.integers(0, 60, 200), rng.integers(0, 2, (200, 3)).astype(float), rng.integers(0, 2, 200)
+    want = sorted((d, r.tobytes(), c) for d, r, c in zip(doc.tolist(), x, y.tolist()))
+    got, label = quality.in_order(doc, x, y)
+    assert [w[1] for w in want] == [r.tobytes() for r in got] and [w[2] for w in want] == label.tolist()
+    doc, x, y = rng.permutation(20_000), rng.random((20_000, quality.SIZE)), rng.integers(0, 2, 20_000)
+    tracemalloc.start()
+    quality.in_order(doc, x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes
+
+
 def test_quality_vectors_add_up_and_pool(spark, monkeypatch):
     """Context sums and pooled numbers against plain loops, over texts with nulls, empties, a long one and repeats."""
     texts = [None, "", " \t", "a b a c!! 12 b", "B b b", "x " * 5000 + "end", "a b a c!! 12 b", "\u00e9t\u00e9 -- a1b"]
